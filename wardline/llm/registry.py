@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import exact_dedup, pii, sharding
+from wardline.llm import exact_dedup, mixing, pii, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1,
         "op3_pii": pii.op3,
         "op5_exact_dedup": exact_dedup.op5,
         "op10_sharding": sharding.op10,
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mixing": mixing.OP1_SQL,
         "op3_pii": pii.OP3_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "op10_sharding": sharding.OP10_SQL,
