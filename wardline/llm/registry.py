@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import exact_dedup, mixing, packing, pii, sharding
+from wardline.llm import exact_dedup, mixing, near_dedup, packing, pii, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1,
+        "op2_near_dedup": near_dedup.op2,
         "op3_pii": pii.op3,
         "op5_exact_dedup": exact_dedup.op5,
         "op7_packing": packing.op7,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.OP1_SQL,
+        "op2_near_dedup": near_dedup.OP2_SQL,
         "op3_pii": pii.OP3_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "op10_sharding": sharding.OP10_SQL,
