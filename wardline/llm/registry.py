@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import exact_dedup, mixing, near_dedup, packing, pii, sharding
+from wardline.llm import exact_dedup, mixing, near_dedup, packing, pii, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": mixing.op1,
         "op2_near_dedup": near_dedup.op2,
         "op3_pii": pii.op3,
+        "op4_toxicity": toxicity.op4,
         "op5_exact_dedup": exact_dedup.op5,
         "op7_packing": packing.op7,
         "op10_sharding": sharding.op10,
