@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import exact_dedup, mixing, near_dedup, packing, pii, sharding, substring_dedup, toxicity
+from wardline.llm import exact_dedup, mixing, near_dedup, packing, pii, sharding, substring_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": pii.op3,
         "op4_toxicity": toxicity.op4,
         "op5_exact_dedup": exact_dedup.op5,
+        "op6_top_k": topk.op6,
         "op7_packing": packing.op7,
         "op9_substring_dedup": substring_dedup.op9,
         "op10_sharding": sharding.op10,
@@ -28,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_near_dedup": near_dedup.OP2_SQL,
         "op3_pii": pii.OP3_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op6_top_k": topk.OP6_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
         "op10_sharding": sharding.OP10_SQL,
     }
