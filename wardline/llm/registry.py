@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import exact_dedup, mixing, near_dedup, packing, pii, sharding, substring_dedup, topk, toxicity
+from wardline.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, pii, sharding, substring_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": exact_dedup.op5,
         "op6_top_k": topk.op6,
         "op7_packing": packing.op7,
+        "op8_lm_scoring": lm_scoring.op8,
         "op9_substring_dedup": substring_dedup.op9,
         "op10_sharding": sharding.op10,
     }
