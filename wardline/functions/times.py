@@ -8,24 +8,27 @@ from pyspark.sql import Column, functions as F
 ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})([T ]([0-9]{2}):([0-9]{2})(:([0-9]{2})([.,]([0-9]{1,9}))?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
 
 
+#: A zone at the end, which only text with a clock time can have.
+ZONE = r"^.{16,}?(Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
 def days_from_civil(year: Column, month: Column, day: Column) -> Column:
     """Days since 1970-01-01; null for dates that don't exist."""
     return F.unix_date(F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd"))
 
 
 def iso_ms(text: Column) -> Column:
-    """ISO-8601 text to epoch milliseconds; without a zone it is UTC; null if it is none or a field is out of range."""
-    part = lambda i: F.regexp_extract(text, ISO, i)
-    number = lambda i: F.coalesce(part(i).try_cast("int"), F.lit(0))
-    date = F.try_to_date(F.concat_ws("-", part(1), part(2), part(3)), "yyyy-MM-dd")
-    zone = F.regexp_replace(part(11), ":", "")
-    shift = F.when(zone.isin("", "Z"), 0).otherwise(
-        (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")) * F.when(F.substring(zone, 1, 1) == "-", -60).otherwise(60)
-    )
-    in_range = (number(5) < 24) & (number(6) < 60) & (number(8) < 60)
-    millis = F.rpad(F.substring(part(10), 1, 3), 3, "0").try_cast("int")
-    seconds = F.unix_date(date).cast("long") * 86_400 + number(5) * 3600 + number(6) * 60 + number(8) - shift
-    return F.when(text.rlike(ISO) & in_range, seconds * 1000 + F.coalesce(millis, F.lit(0)))
+    """ISO-8601 text to epoch milliseconds; without a zone it is UTC; null if it is none or a field is out of range.
+
+    The text is used several times, so it should be a plain column.
+    """
+    zone = F.regexp_extract(text, ZONE, 1)
+    at = F.replace(F.substring(text, F.lit(1), F.length(text) - F.length(zone)), F.lit(","), F.lit(".")).try_cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at)
+    digits = F.replace(zone, F.lit(":"), F.lit(""))
+    minutes = F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")
+    shift = F.when(zone.startswith("-"), -minutes).when(zone.startswith("+"), minutes).otherwise(0)
+    return F.when(text.rlike(ISO), F.floor(micros / 1000) - shift * 60_000)
 
 
 def number_ms(value: Column) -> Column:

@@ -12,36 +12,30 @@ from wardline.functions.times import iso_ms, number_ms
 from wardline.schemas import SLEEP_STATES, TIERS
 
 
-def _field(name: str, kind: str) -> Column:
-    return F.try_variant_get(F.col("__v"), f"$.{name}", kind)
-
-
-def _kind(name: str) -> Column:
-    return F.coalesce(F.schema_of_variant(_field(name, "variant")), F.lit("MISSING"))
+NAMES = ("device_id", "room_id", "type", "ts", "seq", "in_room", "magnitude", "state", "confidence", "rssi")
 
 
 def _is_number(kind: Column) -> Column:
     return kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$")
 
 
-def _is_integer(kind: Column) -> Column:
-    return kind.rlike(r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL\([0-9]+,0\))$")
-
-
 def validated(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """raw (ord, received_ms, raw, ...) with `reason` (null: accepted) and the normalised columns."""
-    names = ("device_id", "room_id", "type", "ts", "seq", "in_room", "magnitude", "state", "confidence", "rssi")
-    d = raw.withColumn("__v", F.try_parse_json("raw"))
-    d = d.withColumns({f"__k_{n}": _kind(n) for n in names}).withColumn("__root", F.schema_of_variant("__v"))
-    text = lambda n: F.when(F.col(f"__k_{n}") == "STRING", _field(n, "string"))
-    ts = F.when(F.col("__k_ts") == "STRING", iso_ms(F.trim(text("ts")))).when(_is_number(F.col("__k_ts")), number_ms(_field("ts", "double")))
-    d = d.withColumns({"device_id": text("device_id"), "room_id": text("room_id"), "type": text("type"), "t_ms": ts, "state": text("state")})
-    numbers = {n: F.when(_is_number(F.col(f"__k_{n}")), _field(n, "double")) for n in ("magnitude", "confidence", "rssi")}
-    d = d.withColumns(numbers | {"seq": F.when(_is_integer(F.col("__k_seq")), _field("seq", "bigint")), "in_room": F.when(F.col("__k_in_room") == "BOOLEAN", _field("in_room", "boolean"))})
+    fields = F.from_json("raw", ", ".join(f"{n} VARIANT" for n in NAMES))
+    d = raw.withColumn("__v", fields).withColumn("__root", F.substring(F.ltrim("raw"), 1, 1) == "{").withColumn("__seq", F.get_json_object("raw", "$.seq"))
+    d = d.withColumns({f"__{n}": F.col(f"__v.{n}") for n in NAMES})
+    d = d.withColumns({f"__k_{n}": F.coalesce(F.schema_of_variant(f"__{n}"), F.lit("MISSING")) for n in NAMES})
+    get = lambda n, kind: F.try_variant_get(f"__{n}", "$", kind)
+    text = lambda n: F.when(F.col(f"__k_{n}") == "STRING", get(n, "string"))
+    number = lambda n: F.when(_is_number(F.col(f"__k_{n}")), get(n, "double"))
+    d = d.withColumns({"device_id": text("device_id"), "room_id": text("room_id"), "type": text("type"), "state": text("state"), "__ts_text": F.trim(text("ts")), "__ts_number": number("ts")})
+    whole = (F.col("__k_seq") == "BIGINT") & F.col("__seq").rlike("^-?[0-9]+$")  # 1.0 is no integer
+    d = d.withColumns({n: number(n) for n in ("magnitude", "confidence", "rssi")} | {"seq": F.when(whole, get("seq", "bigint")), "in_room": F.when(F.col("__k_in_room") == "BOOLEAN", get("in_room", "boolean"))})
+    d = d.withColumn("t_ms", F.coalesce(iso_ms(F.col("__ts_text")), number_ms(F.col("__ts_number"))))
     empty = lambda n: F.coalesce(F.length(n), F.lit(0)) == 0
     of = lambda kind, bad: (F.col("type") == kind) & bad
     reason = (
-        F.when(F.col("__v").isNull() | ~F.col("__root").startswith("OBJECT"), "malformed")
+        F.when(~F.coalesce("__root", F.lit(False)) | F.try_parse_json("raw").isNull(), "malformed")
         .when(empty("device_id"), "missing_device_id")
         .when(empty("room_id"), "missing_room_id")
         .when(~F.coalesce(F.col("type").isin(*TIERS), F.lit(False)), "bad_type")
@@ -55,7 +49,7 @@ def validated(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
         .when(of("fall_warn", F.col("confidence").isNull()), "bad_confidence")
         .when(of("net_status", F.col("rssi").isNull()), "bad_rssi")
     )
-    return d.withColumn("reason", reason).drop("__v", "__root", *[f"__k_{n}" for n in names])
+    return d.withColumn("reason", reason).drop("__v", "__root", "__seq", "__ts_text", "__ts_number", *[f"__k_{n}" for n in NAMES], *[f"__{n}" for n in NAMES])
 
 
 def tier(kind: Column) -> Column:

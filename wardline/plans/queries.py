@@ -13,6 +13,7 @@ from wardline.config import DEFAULT
 from wardline.functions import params, times
 from wardline.operators import dedup, feed, health, metrics, occupancy, schedule, validate
 from wardline.sources import bodies, sensors
+from wardline.sources.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,8 +70,13 @@ checked AS (
   FROM parsed)"""
 
 
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw events as they would lie in a landing table."""
+    return stage(sensors.raw_events(spark, sf_dir), "landed")
+
+
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.validated(sensors.raw_events(spark, sf_dir))
+    return validate.validated(landed(spark, sf_dir))
 
 
 @query("ingest_reason_counts", on_sensor("SELECT reason, count(*) AS n FROM checked WHERE reason IS NOT NULL GROUP BY reason", _CHECKED))
@@ -109,7 +115,7 @@ SELECT body_id, CASE WHEN body_reason IS NOT NULL OR (a = 0 AND r = 1) THEN 400
   CASE WHEN body_reason IS NULL THEN a ELSE 0 END AS accepted, CASE WHEN body_reason IS NULL THEN r ELSE 0 END AS rejected, coalesce(body_reason, first) AS reason FROM counted""", _CHECKED, _BODIES))
 def ingest_body_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a second form a body: an array if the second is even, else lines; some bodies are broken or empty."""
-    raw = sensors.raw_events(spark, sf_dir)
+    raw = landed(spark, sf_dir)
     lists = raw.groupBy(F.floor(F.col("received_ms") / 1000).alias("body_id")).agg(F.max("received_ms").alias("received_ms"), F.array_sort(F.collect_list(F.struct("ord", "raw", F.col("received_ms").alias("rx")))).alias("x"))
     lines, items = F.array_join(F.col("x.raw"), "\n"), F.concat(F.lit("["), F.array_join(F.col("x.raw"), ","), F.lit("]"))
     body = F.when(F.pmod("body_id", F.lit(50)) == 7, F.concat(lines, F.lit("\n{bad"))).when(F.pmod("body_id", F.lit(50)) == 9, "  ").when(F.col("body_id") % 2 == 0, items).otherwise(lines)

@@ -15,7 +15,9 @@ def parsed(bodies: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split("__t", "\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     d = bodies.withColumn("__t", text).withColumn("__v", F.try_parse_json("__t"))
     is_array = F.startswith("__t", F.lit("["))
-    items = F.transform(F.try_variant_get("__v", "$", "array<variant>"), lambda x: F.to_json(x))
+    kinds = F.transform(F.try_variant_get("__v", "$", "array<variant>"), lambda x: F.struct(F.schema_of_variant(x).alias("kind"), F.to_json(x).alias("json")))
+    # objects keep their text, in which 1.0 and 1 differ; other items are malformed whatever they are
+    items = F.zip_with(kinds, F.from_json("__t", "array<string>"), lambda k, own: F.when(k["kind"].startswith("OBJECT"), own).otherwise(k["json"]))
     events = F.when(is_array, items).when(F.contains("__t", F.lit("\n")), lines).otherwise(F.array("__t"))
     d = d.withColumn("__events", events)
     broken = F.when(is_array, F.col("__v").isNull()).otherwise(F.exists("__events", lambda x: F.try_parse_json(x).isNull()))
