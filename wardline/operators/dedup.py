@@ -75,7 +75,7 @@ def alarm_log(events: DataFrame, window_ms: int | None = None, slack: int | None
 def session_alarms(events: DataFrame, gap_ms: int) -> DataFrame:
     """Sessions of warnings by device, a gap of exactly gap_ms included: chains, unlike the fold. device_id, start_ms, copies."""
     at = events.where("type = 'fall_warn'").withColumn("at", F.timestamp_millis("t_ms"))
-    return at.groupBy("device_id", F.session_window("at", f"{gap_ms + 1} milliseconds")).agg(F.min("t_ms").alias("start_ms"), F.count(F.lit(1)).alias("copies")).drop("session_window")
+    return at.groupBy("device_id", F.session_window("at", f"{gap_ms} milliseconds")).agg(F.min("t_ms").alias("start_ms"), F.count(F.lit(1)).alias("copies")).drop("session_window")
 
 
 def public(alarms: DataFrame) -> DataFrame:
