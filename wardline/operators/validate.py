@@ -12,44 +12,38 @@ from wardline.functions.times import iso_ms, number_ms
 from wardline.schemas import SLEEP_STATES, TIERS
 
 
-NAMES = ("device_id", "room_id", "type", "ts", "seq", "in_room", "magnitude", "state", "confidence", "rssi")
-
-
-def _is_number(kind: Column) -> Column:
-    return kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$")
+#: Strict kinds: a BIGINT field is null for 1.0 and "1", a DOUBLE field for true and "0.9", a BOOLEAN field for 1.
+FIELDS = "device_id VARIANT, room_id VARIANT, type STRING, ts STRING, seq BIGINT, in_room BOOLEAN, magnitude DOUBLE, state STRING, confidence DOUBLE, rssi DOUBLE"
+#: The same fields once more where the kind matters: whether seq is there at all, and whether ts is a number.
+KINDS = "seq STRING, ts DOUBLE"
 
 
 def validated(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """raw (ord, received_ms, raw, ...) with `reason` (null: accepted) and the normalised columns."""
-    fields = F.from_json("raw", ", ".join(f"{n} VARIANT" for n in NAMES))
-    d = raw.withColumn("__v", fields).withColumn("__root", F.substring(F.ltrim("raw"), 1, 1) == "{").withColumn("__seq", F.get_json_object("raw", "$.seq"))
-    d = d.withColumns({f"__{n}": F.col(f"__v.{n}") for n in NAMES})
-    d = d.withColumns({f"__k_{n}": F.coalesce(F.schema_of_variant(f"__{n}"), F.lit("MISSING")) for n in NAMES})
-    get = lambda n, kind: F.try_variant_get(f"__{n}", "$", kind)
-    text = lambda n: F.when(F.col(f"__k_{n}") == "STRING", get(n, "string"))
-    number = lambda n: F.when(_is_number(F.col(f"__k_{n}")), get(n, "double"))
-    d = d.withColumns({"device_id": text("device_id"), "room_id": text("room_id"), "type": text("type"), "state": text("state"), "__ts_text": F.trim(text("ts")), "__ts_number": number("ts")})
-    whole = (F.col("__k_seq") == "BIGINT") & F.col("__seq").rlike("^-?[0-9]+$")  # 1.0 is no integer
-    d = d.withColumns({n: number(n) for n in ("magnitude", "confidence", "rssi")} | {"seq": F.when(whole, get("seq", "bigint")), "in_room": F.when(F.col("__k_in_room") == "BOOLEAN", get("in_room", "boolean"))})
-    d = d.withColumn("t_ms", F.coalesce(iso_ms(F.col("__ts_text")), number_ms(F.col("__ts_number"))))
+    d = raw.withColumn("__a", F.from_json("raw", FIELDS)).withColumn("__b", F.from_json("raw", KINDS))
+    text = lambda n: F.when(F.schema_of_variant(f"__a.{n}") == "STRING", F.try_variant_get(f"__a.{n}", "$", "string"))
+    finite = lambda n: F.when(F.abs(f"__a.{n}") < float("inf"), F.col(f"__a.{n}"))  # noqa: E731  "NaN" as text would pass otherwise
+    d = d.select("*", text("device_id").alias("device_id"), text("room_id").alias("room_id"), "__a.type", "__a.seq", "__a.in_room", "__a.state", *[finite(n).alias(n) for n in ("magnitude", "confidence", "rssi")], F.trim("__a.ts").alias("__ts_text"))
+    d = d.withColumn("t_ms", F.when(F.col("__b.ts").isNotNull(), number_ms(F.col("__b.ts"))).otherwise(iso_ms(F.col("__ts_text"))))
     empty = lambda n: F.coalesce(F.length(n), F.lit(0)) == 0
     of = lambda kind, bad: (F.col("type") == kind) & bad
     reason = (
-        F.when(~F.coalesce("__root", F.lit(False)) | F.try_parse_json("raw").isNull(), "malformed")
+        F.when(~F.startswith(F.ltrim(F.coalesce("raw", F.lit(""))), F.lit("{")), "malformed")
+        .when(empty("device_id") & F.try_parse_json("raw").isNull(), "malformed")
         .when(empty("device_id"), "missing_device_id")
         .when(empty("room_id"), "missing_room_id")
         .when(~F.coalesce(F.col("type").isin(*TIERS), F.lit(False)), "bad_type")
         .when(F.col("t_ms").isNull(), "bad_ts")
         .when(F.col("t_ms") > F.col("received_ms") + config.future_limit_ms, "ts_too_future")
         .when(F.col("t_ms") < F.col("received_ms") - config.past_limit_ms, "ts_too_old")
-        .when(~F.col("__k_seq").isin("MISSING", "VOID") & F.col("seq").isNull(), "bad_seq")
+        .when(F.col("__b.seq").isNotNull() & F.col("seq").isNull(), "bad_seq")
         .when(of("presence", F.col("in_room").isNull()), "bad_in_room")
         .when(of("motion", F.col("magnitude").isNull()), "bad_magnitude")
         .when(of("sleep_state", ~F.coalesce(F.col("state").isin(*SLEEP_STATES), F.lit(False))), "bad_state")
         .when(of("fall_warn", F.col("confidence").isNull()), "bad_confidence")
         .when(of("net_status", F.col("rssi").isNull()), "bad_rssi")
     )
-    return d.withColumn("reason", reason).drop("__v", "__root", "__seq", "__ts_text", "__ts_number", *[f"__k_{n}" for n in NAMES], *[f"__{n}" for n in NAMES])
+    return d.withColumn("reason", reason).drop("__a", "__b", "__ts_text")
 
 
 def tier(kind: Column) -> Column:
