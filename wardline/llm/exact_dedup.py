@@ -73,14 +73,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = stage(verdicts(docs, id_col, text_col).where("group_size > 1"), "verdicts")
     per_row = stage(found.groupBy("sha", "doc_id").agg(F.first("kept").alias("__kept"), (F.count(F.lit(1)) > 1).alias("__again")), "per_row")
-    own = docs.columns
-    keyed = docs.withColumn("__sha", F.unhex(F.sha2(normalised(F.col(text_col)), 256))).withColumn("__id", F.col(id_col))
-    marks = sized(per_row.select(F.col("sha").alias("__sha2"), F.col("doc_id").alias("__id2"), "__kept", "__again"), 128)
-    seen = keyed.join(marks, (F.col("__sha") == F.col("__sha2")) & F.col("__id").eqNullSafe(F.col("__id2")), "left").where(F.coalesce("__kept", F.lit(True)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no column of docs can clash with ours
+    keyed = docs.select(row, F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha"), F.col(id_col).alias("id"))
+    marks = sized(per_row.select(F.col("sha").alias("sha2"), F.col("doc_id").alias("id2"), "__kept", "__again"), 128)
+    seen = keyed.join(marks, (F.col("sha") == F.col("sha2")) & F.col("id").eqNullSafe(F.col("id2")), "left").where(F.coalesce("__kept", F.lit(True)))
     if per_row.where("__kept and __again").isEmpty():
-        return seen.select(*own)
-    again = seen.where("__again").dropDuplicates(["__sha", "__id"])
-    return seen.where(~F.coalesce("__again", F.lit(False))).select(*own).unionByName(again.select(*own))
+        return seen.select("row.*")
+    again = seen.where("__again").dropDuplicates(["sha", "id"])
+    return seen.where(~F.coalesce("__again", F.lit(False))).select("row.*").unionByName(again.select("row.*"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -109,12 +109,11 @@ def mixture(docs: DataFrame, weight: Column | None = None) -> DataFrame:
 def mix(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     """The mixed documents: each row of docs as often as the mix takes it, all columns kept."""
     per_source, edge = plan(_scored(docs, weight))
-    keyed = _keyed(docs, weight).withColumnsRenamed({"__size": "size", "__key": "key", "__bucket": "bucket"}) if not {"size", "key", "bucket"} & set(docs.columns) else None
-    if keyed is None:
-        raise ValueError("rename the columns size, key and bucket first")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")  # no column of docs can clash with ours
+    keyed = _keyed(docs, weight).select(row, "doc_id", "source", F.col("__size").alias("size"), F.col("__key").alias("key"), F.col("__bucket").alias("bucket"))
     times = F.col("epochs") + F.when((F.col("size") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0)
-    taken = _decided(keyed, per_source, edge).withColumn("__times", times.cast("int"))
-    return taken.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    taken = _decided(keyed, per_source, edge).select("__row", times.cast("int").alias("times")).where("times > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("__row.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

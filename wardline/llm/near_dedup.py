@@ -237,8 +237,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, all columns kept."""
-    gone = stage(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "gone")
-    return docs.join(sized(gone, 48), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left_anti")
+    gone = stage(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("id2"), F.col("th").alias("th2")).distinct(), "gone")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no column of docs can clash with ours
+    keyed = docs.select(row, F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"))
+    return keyed.join(sized(gone, 48), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left_anti").select("row.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
