@@ -6,7 +6,9 @@
 3. Automata. The phrases of a batch of documents are compiled to an Aho-Corasick automaton, one shard for each
    batch, and the whole texts stream through it; hits are exact occurrences of phrases. Windows that chose a
    phrase that was hit are candidates; each is known by 96 bits of hashes of its words.
-4. A window recurs in a document if a smaller doc_id has the same window. Words under such windows go.
+4. A window recurs in a document if a smaller doc_id has the same window. Words under such windows go. Windows of
+   the smallest doc_id with their phrase can't go, and those of the greatest make none go, so a window takes
+   part in one side of the match only, unless its phrase is in three documents or more.
 
 Documents without a recurring phrase are not read again until the result is written. Recurring phrases and
 windows are matched by aggregation before shuffling and by joins that can be split where a key is hot.
@@ -75,25 +77,33 @@ def compiled(phrases: Iterable[bytes]):
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, part, text, phrases) -> candidate windows: hashes w and c, id, place (part and word number)."""
+    """(id, part, text, phrases) -> candidate windows: hashes w and c, id, place (part and word number), role.
+
+    The first byte of a phrase is its role in the document: bit 0 if a greater doc_id has it, bit 1 if a smaller one.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         lists = batch.column(3).to_pylist()
-        automaton = compiled({p for x in lists for p in x})
-        w, c, ids, place = [], [], [], []
-        for doc_id, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), words.texts(batch.column(2)), strict=True):
+        automaton = compiled({p[1:] for x in lists for p in x})
+        w, c, ids, place, role = [], [], [], [], []
+        for doc_id, part, text, phrases in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), words.texts(batch.column(2)), lists, strict=True):
             own = words.split(text)
             h = words.hashes(own)
             g, least = chosen(h)
+            roles = {p[1:]: p[0] for p in phrases}
             hits = occurrences(automaton, own)
-            at = np.flatnonzero(np.isin(least, g[hits]))
+            known, first = np.unique(g[hits], return_index=True)
+            role_of = np.array([roles.get(b" ".join(own[p : p + PHRASE]), 0) for p in hits[first].tolist()], np.int32)
+            near = np.minimum(np.searchsorted(known, least), max(0, len(known) - 1))
+            at = np.flatnonzero((known[near] == least) & (role_of[near] > 0)) if len(known) else np.empty(0, np.int64)
+            role.append(role_of[near[at]] if len(known) else np.empty(0, np.int32))
             w.append(words.long_runs(h, WINDOW)[at].view(np.int64))
             c.append((words.long_runs(h, WINDOW, 41)[at] >> np.uint64(33)).astype(np.int32))
             ids.append(np.full(len(at), doc_id, np.int64))
             place.append((part << 32) | at)
         cat = lambda x, kind: pa.array(np.concatenate(x).astype(kind))
-        yield pa.RecordBatch.from_arrays([cat(w, np.int64), cat(c, np.int32), cat(ids, np.int64), cat(place, np.int64)], ["w", "c", "id", "place"])
+        yield pa.RecordBatch.from_arrays([cat(w, np.int64), cat(c, np.int32), cat(ids, np.int64), cat(place, np.int64), cat(role, np.int32)], ["w", "c", "id", "place", "role"])
 
 
 def _ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,28 +126,30 @@ def keep_mask(n: int, ranges: bytes | None) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with __id (null last) and __part, 31 bits of the text's hash that tell rows of one doc_id apart."""
-    return docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))).withColumn("__part", F.shiftrightunsigned(F.xxhash64(text_col), 33))
+    """row (all of docs), text, id (null last) and part, 31 bits of the text's hash that tell rows of one doc_id apart."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no column of docs can clash with ours
+    return docs.select(row, F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.shiftrightunsigned(F.xxhash64(text_col), 33).alias("part"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Staged (rid, rpart, ranges) for each document that has words to remove."""
     text_batches(docs.sparkSession)
-    base = _keyed(docs, id_col, text_col).select(F.col("__id").alias("id"), F.col("__part").alias("part"), F.col(text_col).alias("text"))
+    base = _keyed(docs, id_col, text_col).select("id", "part", "text")
     anchors = stage(base.mapInArrow(_anchors, "id long, part long, phrase binary"), "anchors")
-    recurring = anchors.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("phrase")
-    lists = stage(anchors.join(recurring, "phrase").groupBy("id", "part").agg(F.collect_set("phrase").alias("phrases")), "lists")
+    recurring = anchors.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    role = F.when(F.col("id") == F.col("least"), F.lit(b"\x01")).when(F.col("id") == F.col("most"), F.lit(b"\x02")).otherwise(F.lit(b"\x03"))
+    lists = stage(anchors.join(recurring, "phrase").withColumn("phrase", F.concat(role, "phrase")).groupBy("id", "part").agg(F.collect_set("phrase").alias("phrases")), "lists")
     some = base.join(sized(lists.select("id", "part"), 48), ["id", "part"], "left_semi")
-    found = stage(some.join(lists, ["id", "part"]).select("id", "part", "text", "phrases").mapInArrow(_windows, "w long, c int, id long, place long"), "windows")
-    first = found.groupBy("w", "c").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    later = found.join(first, ["w", "c"]).where("id > least")
+    found = stage(some.join(lists, ["id", "part"]).select("id", "part", "text", "phrases").mapInArrow(_windows, "w long, c int, id long, place long, role int"), "windows")
+    first = found.where("role & 1 > 0").groupBy("w", "c").agg(F.min("id").alias("least"))
+    later = found.where("role & 2 > 0").join(first, ["w", "c"]).where("id > least")
     starts = later.groupBy("id", F.shiftright("place", 32).alias("part")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts"))
     return stage(starts.mapInArrow(_ranges, "rid long, rpart long, ranges binary"), "ranges")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = repeats(docs, id_col, text_col)
-    return _keyed(docs, id_col, text_col).join(sized(found, 128), (F.col("__id") == F.col("rid")) & (F.col("__part") == F.col("rpart")), "left")
+    return _keyed(docs, id_col, text_col).join(sized(found, 128), (F.col("id") == F.col("rid")) & (F.col("part") == F.col("rpart")), "left")
 
 
 def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +167,7 @@ def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs."""
-    rows = _marked(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), "ranges")
+    rows = _marked(docs, id_col, text_col).select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), "text", "ranges")
     return rows.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -172,8 +184,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return pd.Series(out)
 
-    marked = _marked(docs, id_col, text_col)
-    return marked.withColumn(text_col, F.when(F.col("ranges").isNotNull(), cut(F.col(text_col), F.col("ranges"))).otherwise(F.col(text_col))).select(*docs.columns)
+    changed = F.when(F.col("ranges").isNotNull(), cut(F.col("text"), F.col("ranges"))).otherwise(F.col("text"))
+    columns = [changed.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return _marked(docs, id_col, text_col).select(*columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
