@@ -140,7 +140,12 @@ class Model:
         return np.array([sum(map(of, d)) / len(d) if d else 0.0 for d in docs])
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.a * evidence + self.b, -30, 30)))
+        return 1.0 / (1.0 + np.exp(-np.clip(self.a * bent(evidence) + self.b, -30, 30)))
+
+
+def bent(evidence: np.ndarray) -> np.ndarray:
+    """Evidence as the curve sees it: how far it lies below zero hardly matters, so that odd texts don't flatten the slope."""
+    return np.minimum(np.maximum(evidence, 0.0), 2.0) + 0.02 * np.minimum(evidence, 0.0)
 
 
 COUNTS = "h long, ctx long, low long, k int, t long, o long"
@@ -233,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     model = Model(keys, kneser_ney(keys, col("ctx").view(np.uint64), col("low").view(np.uint64), col("k"), col("t"), col("o"))) if len(keys) else Model(keys, np.empty(0, np.float32))
     fit = sample.where("part = 4").select("text", "toxic")
     rows = _with_evidence(fit.select(F.col("toxic").cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text"), model).toArrow()
-    model.a, model.b = logistic(rows.column("score").to_numpy(), rows.column("doc_id").to_numpy() > 0)
+    model.a, model.b = logistic(bent(rows.column("score").to_numpy()), rows.column("doc_id").to_numpy() > 0)
     return model
 
 
