@@ -43,6 +43,9 @@ def validated(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
         .when(of("fall_warn", F.col("confidence").isNull()), "bad_confidence")
         .when(of("net_status", F.col("rssi").isNull()), "bad_rssi")
     )
+    # the partition's number, never negative, keeps filters on the reason above this projection: pushed below it, they
+    # would parse the text again for each rule
+    reason = F.coalesce(reason, F.when(F.spark_partition_id() < 0, "never"))
     return d.withColumn("reason", reason).drop("__a", "__b", "__ts_text")
 
 
