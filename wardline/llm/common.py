@@ -1,12 +1,12 @@
-"""Shared helpers of the training-data operators: staging, sized joins, row numbers."""
+"""Shared helpers of the training-data operators: patterns, sized joins, batches of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
+from wardline.sources.staging import number_rows, shared_dir, stage
+
+__all__ = ["BROADCAST_BYTES", "SPACE", "WORD", "number_rows", "shared_dir", "sized", "stage", "text_batches"]
 
 #: Words are maximal runs of anything but ASCII white space (fixed by the contract).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,30 +17,6 @@ BROADCAST_BYTES = 8 << 20
 TEXT_BATCH_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Where it is unset (tests on a local master) a temporary folder is used; on any other
-    master that is an error, since executors could not see the driver's own disk.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='wardline-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wardline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of texts that Python workers receive."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
@@ -49,23 +25,3 @@ def text_batches(spark: SparkSession) -> None:
 def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a staged table for broadcasting if its measured size is small; otherwise leave it to a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
-
-
-def number_rows(df: DataFrame, *order: Column, name: str = "row_number") -> DataFrame:
-    """Number rows 0, 1, ... in the given order, without gathering them in one task.
-
-    Rows are dealt by range, sorted within partitions and staged with their place; the offsets of the
-    partitions come from one count per partition, so only that small table is ever gathered.
-    Rows that tie in every order column get numbers in arbitrary order among themselves.
-    """
-    placed = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("__at", 33)
-    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    joined = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")  # one row for each partition
-    return joined.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__before")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
