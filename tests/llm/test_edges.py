@@ -168,6 +168,20 @@ def test_toxicity_held_out(spark):
     assert len(rows) > 300 and sum(caught) / len(caught) > 0.85 and sum(blamed) / len(blamed) < 0.02
 
 
+def test_toxicity_held_out_all_languages(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    scored = toxicity.score_documents(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out")
+    rows = scored.join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        caught, blamed = [r.predicted for r in rows if r.lang == lang and r.toxic], [r.predicted for r in rows if r.lang == lang and not r.toxic]
+        print(lang, sum(caught), len(caught), sum(blamed), len(blamed))
+        assert len(caught) > 5 and sum(caught) / len(caught) > 0.6 and sum(blamed) / len(blamed) < 0.02
+    caught = [r.predicted for r in rows if r.toxic]
+    assert sum(caught) / len(caught) > 0.85
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (400, 12)))]

@@ -5,8 +5,13 @@ ORDER - 1 characters before it in the word; inflected and rare words are thus ju
 above the lowest keep a class's own counts, less a discount; what is discounted goes to the next lower order,
 and the lowest order is shared: numbers of different contexts that a character continues in either class.
 Strings of characters seen fewer than MIN_COUNT times in all are left to their shorter endings.
-A document's score compares the two log-likelihoods, divided by its length in words, through a logistic curve
-fitted to a fourth of the training documents, which the counts don't use.
+A document's evidence compares the two log-likelihoods, divided by its length in words.
+
+A mean over all words hides a few strongly marked words among many ordinary ones, as in languages with few toxic
+documents. So beginnings of words (stems) that recur within toxic documents far more often than within ordinary ones
+are marks: by a Poisson model of its count in the length of the document, each gives a log-likelihood ratio, and the
+strongest of a document, up to MARKED, is its second evidence. Languages are not looked at.
+A logistic curve of both is fitted to a fourth of the training documents, which the counts don't use.
 
 Only labelled rows with crc32(doc_id) mod 5 <> 0 are learned from, at most TRAIN_DOCS of them (chosen by a hash of
 doc_id, so the sample is the same in each run); scores use the text alone.
@@ -29,6 +34,10 @@ from wardline.llm import words
 from wardline.llm.common import stage, text_batches
 
 ORDER, DISCOUNT, MIN_COUNT, TRAIN_DOCS = 6, 0.75, 4, 12_000
+#: Bytes of a stem; times it must recur in a document to count as repeated there; toxic documents that must repeat it.
+STEM, REPEATED, MARK_DOCS = (4, 10), 2, 4
+#: A mark's least ratio of document rates, in standard errors too; the most that a document's marks can say.
+MARK_RATIO, MARK_ERRORS, MARKED = 4.0, 3.0, 20.0
 #: Characters of a word that are looked at in each row of codes; longer words take several rows.
 WIDTH = 24
 #: Word values that a worker keeps.
@@ -81,11 +90,18 @@ def contexts(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def stems(word: bytes) -> list[bytes]:
+    """Beginnings of a word, whose end is marked (2) so that short words count as a whole."""
+    w = word + b"\x02"
+    return [w[:k] for k in range(STEM[0], min(len(w), STEM[1]) + 1)]
+
+
 class Model:
-    """Log-ratio of each known string of characters, in an open hash table."""
+    """Log-ratio of each known string of characters, in an open hash table; marks with what each occurrence says for
+    toxicity and each word of the text against it; slopes and intercept of the curve."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, a: float = 0.0, b: float = -2.0) -> None:
-        self.a, self.b = a, b
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.a, self.b, self.marks = (0.0, 0.0), -2.0, {}
         bits = max(4, int(2 * len(keys)).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
@@ -99,6 +115,17 @@ class Model:
             todo, step = np.delete(todo, got), step + np.uint64(1)
             self.probes += 1
         self.cache: dict[bytes, float] = {}
+        self.hits: dict[bytes, list[bytes]] = {}  # marks of cached words that have any
+
+    def shared(self) -> tuple:
+        return self.keys, self.values, self.mask, self.probes, self.a, self.b, self.marks
+
+    @classmethod
+    def of(cls, shared: tuple) -> Model:
+        """A worker's own model, with an empty cache."""
+        own = cls(np.empty(0, np.uint64), np.empty(0, np.float32))
+        own.keys, own.values, own.mask, own.probes, own.a, own.b, own.marks = shared
+        return own
 
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is known, and its value."""
@@ -127,20 +154,29 @@ class Model:
         per_row = total.reshape(len(x), -1).sum(axis=1)
         return np.add.reduceat(per_row, np.append(0, np.cumsum(rows_of(found))[:-1]))
 
+    def marked(self, doc: list[bytes]) -> float:
+        """Log-likelihood ratio of the strongest mark in a document."""
+        if self.hits.keys().isdisjoint(doc):
+            return 0.0
+        found = Counter(m for w in doc if w in self.hits for m in self.hits[w])
+        return min(max(0.0, *(n * self.marks[m][0] - len(doc) * self.marks[m][1] for m, n in found.items())), MARKED)
+
     def evidence(self, texts: list[bytes | None]) -> np.ndarray:
-        """Difference of the log-likelihoods by word, for each text."""
+        """For each text the difference of the log-likelihoods by word, bent, and what its marks say."""
         docs = [tokens(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.cache.clear(), self.hits.clear()
         missing = list({w for d in docs for w in d if w not in self.cache})
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
             self.cache.update(zip(part, self.of_words(part).tolist(), strict=True))
+            self.hits.update((w, own) for w in part if (own := [m for m in stems(w) if m in self.marks]))
         of = self.cache.__getitem__
-        return np.array([sum(map(of, d)) / len(d) if d else 0.0 for d in docs])
+        means = np.array([sum(map(of, d)) / len(d) if d else 0.0 for d in docs])
+        return np.stack([bent(means), np.array([self.marked(d) for d in docs], float)], axis=1)
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.a * bent(evidence) + self.b, -30, 30)))
+        return 1.0 / (1.0 + np.exp(-np.clip(evidence @ np.array(self.a) + self.b, -30, 30)))
 
 
 def bent(evidence: np.ndarray) -> np.ndarray:
@@ -179,6 +215,63 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+STEMS = "stem binary, docs_t long, docs_o long, n_o long, n_t long, words_t long"
+
+
+def _stems(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) -> for each stem, summed within a task: toxic and ordinary documents that repeat it, occurrences in
+    all ordinary ones and in the toxic ones that repeat it, and words of the latter. The empty stem has the totals:
+    documents of each class, and words of ordinary ones."""
+    held: dict[bytes, list[int]] = {}
+
+    def flush() -> pa.RecordBatch:
+        sums = np.array(list(held.values()), np.int64)
+        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), *(pa.array(sums[:, i]) for i in range(5))], ["stem", "docs_t", "docs_o", "n_o", "n_t", "words_t"])
+        held.clear()
+        return out
+
+    def add(stem: bytes, *values: int) -> None:
+        own = held.setdefault(stem, [0] * 5)
+        for i, v in enumerate(values):
+            own[i] += v
+
+    for batch in batches:
+        for text, toxic in zip(words.texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            doc = tokens(text)
+            found: Counter[bytes] = Counter()
+            for w, n in Counter(doc).items():
+                for s in stems(w):
+                    found[s] += n
+            add(b"", int(bool(toxic)), int(not toxic), 0 if toxic else len(doc))
+            for s, n in found.items():
+                again = int(n >= REPEATED)
+                if not toxic:
+                    add(s, 0, again, n)
+                elif again:
+                    add(s, 1, 0, 0, n, len(doc))
+        if len(held) > 200_000:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def marks_of(sample: DataFrame) -> dict[bytes, tuple[float, float]]:
+    """Marks of toxicity in (text, toxic): log-ratio of the rates by word, and their difference."""
+    summed = sample.mapInArrow(_stems, STEMS).groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("docs_t", "docs_o", "n_o", "n_t", "words_t")))
+    rows = summed.where(f"stem = X'' or docs_t >= {MARK_DOCS}").toArrow().to_pylist()  # bounded by the sample
+    total = next((r for r in rows if not r["stem"]), None)
+    marks = {}
+    for r in rows:
+        if not r["stem"]:
+            continue
+        ratio = np.log((r["docs_t"] + 0.5) / (total["docs_t"] + 1)) - np.log((r["docs_o"] + 0.5) / (total["docs_o"] + 1))
+        error = np.sqrt(1 / (r["docs_t"] + 0.5) + 1 / (r["docs_o"] + 0.5))
+        toxic, ordinary = r["n_t"] / r["words_t"], (r["n_o"] + 0.5) / (total["n_o"] + 1)
+        if ratio > np.log(MARK_RATIO) and ratio > MARK_ERRORS * error and toxic > ordinary:
+            marks[r["stem"]] = (float(np.log(toxic / ordinary)), toxic - ordinary)
+    return marks
+
+
 def kneser_ney(h: np.ndarray, ctx: np.ndarray, low: np.ndarray, k: np.ndarray, t: np.ndarray, o: np.ndarray) -> np.ndarray:
     """Log-ratio of the two models for each string: its hash, that of all but its last character (ctx), that of
     all but its first (low), its number of characters, and its counts in toxic and ordinary text."""
@@ -200,21 +293,21 @@ def kneser_ney(h: np.ndarray, ctx: np.ndarray, low: np.ndarray, k: np.ndarray, t
     return np.log(p[0] / p[1]).astype(np.float32)
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton steps with a little ridge; the intercept alone if there is one class only."""
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes and intercept by Newton steps with a little ridge; the intercept alone if there is one class only."""
     if not len(x):
-        return 0.0, -2.0
+        return (0.0,) * x.shape[1], -2.0
     rate = (y.sum() + 0.5) / (len(y) + 1.0)
-    w = np.array([0.0, np.log(rate / (1 - rate))])
+    w = np.append(np.zeros(x.shape[1]), np.log(rate / (1 - rate)))
     if y.min() == y.max():
-        return float(w[0]), float(w[1])
-    scale = x.std() or 1.0
-    z = np.stack([x / scale, np.ones(len(x))])
+        return tuple(w[:-1].tolist()), float(w[-1])
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    z, ridge = np.vstack([(x / scale).T, np.ones(len(x))]), np.append(np.full(x.shape[1], 1e-2), 1e-6)
     for _ in range(50):
         q = 1.0 / (1.0 + np.exp(-np.clip(w @ z, -30, 30)))
-        step = np.linalg.solve((z * (q * (1 - q))) @ z.T + np.diag([1e-2, 1e-6]), z @ (y - q) - np.array([1e-2, 1e-6]) * w)
+        step = np.linalg.solve((z * (q * (1 - q))) @ z.T + np.diag(ridge), z @ (y - q) - ridge * w)
         w = w + np.clip(step, -2, 2)
-    return float(w[0] / scale), float(w[1])
+    return tuple((w[:-1] / scale).tolist()), float(w[-1])
 
 
 def remainder(doc_id: Column) -> Column:
@@ -236,25 +329,36 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     col = lambda name: found.column(name).to_numpy()
     keys = col("h").view(np.uint64)
     model = Model(keys, kneser_ney(keys, col("ctx").view(np.uint64), col("low").view(np.uint64), col("k"), col("t"), col("o"))) if len(keys) else Model(keys, np.empty(0, np.float32))
-    fit = sample.where("part = 4").select("text", "toxic")
-    rows = _with_evidence(fit.select(F.col("toxic").cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text"), model).toArrow()
-    model.a, model.b = logistic(bent(rows.column("score").to_numpy()), rows.column("doc_id").to_numpy() > 0)
+    model.marks = marks_of(sample.where("part < 4").select("text", "toxic").coalesce(8))
+    rows = _evidence(sample.where("part = 4").select(F.col("toxic").cast("long").alias("toxic"), "text"), model).toArrow()
+    model.a, model.b = logistic(np.stack([rows.column("words").to_numpy(), rows.column("marks").to_numpy()], axis=1), rows.column("toxic").to_numpy() > 0)
     return model
 
 
+def _evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """(toxic, text) -> toxic and both kinds of evidence."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.shared())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.of(shared.value)
+        for batch in batches:
+            found = own.evidence(words.texts(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], ["toxic", "words", "marks"])
+
+    return rows.mapInArrow(run, "toxic long, words double, marks double")
+
+
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def _with_evidence(rows: DataFrame, model: Model, raw: bool = True) -> DataFrame:
-    """(doc_id, held_out, text) -> doc_id, held_out, score (raw: the evidence itself), predicted."""
-    shared = rows.sparkSession.sparkContext.broadcast((model.keys, model.values, model.mask, model.probes, model.a, model.b))
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, held_out, text) -> doc_id, held_out, score, predicted."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.shared())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(np.empty(0, np.uint64), np.empty(0, np.float32))
-        own.keys, own.values, own.mask, own.probes, own.a, own.b = shared.value
+        own = Model.of(shared.value)
         for batch in batches:
-            found = own.evidence(words.texts(batch.column(2)))
-            score = found if raw else own.scores(found)
+            score = own.scores(own.evidence(words.texts(batch.column(2))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, SCORED)
@@ -263,18 +367,17 @@ def _with_evidence(rows: DataFrame, model: Model, raw: bool = True) -> DataFrame
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id")) == 0).alias("held_out"), "text")
-    return _with_evidence(rows, train(docs, labels), raw=False)
+    return _scored(rows, train(docs, labels))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic; all columns kept, texts not moved between tasks."""
     model = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.values, model.mask, model.probes, model.a, model.b))
+    shared = docs.sparkSession.sparkContext.broadcast(model.shared())
     place = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(np.empty(0, np.uint64), np.empty(0, np.float32))
-        own.keys, own.values, own.mask, own.probes, own.a, own.b = shared.value
+        own = Model.of(shared.value)
         for batch in batches:
             yield batch.filter(pa.array(own.scores(own.evidence(words.texts(batch.column(place)))) < 0.5))
 
