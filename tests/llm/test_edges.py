@@ -276,6 +276,17 @@ def test_lm_scoring_by_hand(spark):
         assert r.mean_log_prob > -math.log(40) + 0.5
 
 
+def test_lm_scoring_counts_rare_words(spark):
+    """Outside the vocabulary too, a word has the probability of its own count; both words look alike as neighbours."""
+    frequent = " ".join(f"f{i}" for i in range(lm_scoring.VOCABULARY))
+    texts = [frequent] * 6 + ["f1 f2 seldom_zz f3 f4", "f1 f2 once_zz f3 f4", "seldom_zz", "seldom_zz seldom_zz seldom_zz", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.log_prob for r in lm_scoring.score_documents(frame).collect()}
+    assert len(got) == len(texts) and math.isclose(got[6] - got[7], math.log(5), rel_tol=1e-4)
+    vocabulary = lm_scoring.build_vocabulary(frame)
+    assert len(vocabulary.known) == lm_scoring.VOCABULARY and math.isclose(vocabulary.within[lm_scoring.VOCABULARY], -math.log(6))
+
+
 def test_packing_edges(spark, docs, nothing):
     rows = packing.pack_documents(docs).collect()
     assert {r.doc_id for r in rows} == {d for d, *_ in ROWS} and packing.pack_documents(nothing).count() == 0

@@ -4,10 +4,12 @@
    their last two bytes. Words are grouped in CLASSES: the most frequent have one each, the rest are dealt out by
    hash, and words outside the vocabulary form the last.
 2. The network reads the numbers of SIDE words on both sides of a masked word and predicts its class; within a
-   class a word has the probability of its count in the corpus (outside the vocabulary: evenly by kinds).
+   class a word has the probability of its count in the corpus.
 3. Training masks every MASK-th word of every document. Tasks train from the same start by Adagrad and their
    parameters are averaged, weighted by words; parts of the parameters are summed in order of the tasks.
-4. Scoring masks every word in turn; a document's score is the sum of the log-probabilities of its words.
+4. Scoring masks every word in turn; a document's score is the sum of the log-probabilities of its words. Counts of
+   words outside the vocabulary, which grow with the corpus, are joined by 64-bit hash after the network has scored;
+   words seen once have the logarithm 0 and need no partner. Logarithms are added in fixed point, in any order alike.
 
 Only the vocabulary and the parameters, whose sizes are fixed, come to the driver.
 
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,6 +40,8 @@ PAD = VOCABULARY + OTHER
 SHAPES = {"e": (PAD + 1, WIDTH), "w1": (2 * SIDE * WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "b2": (CLASSES,)}
 #: Words that a worker keeps the number of.
 CACHE_WORDS = 400_000
+#: Spark's seed of xxhash64; unit of the logarithms that are added in fixed point.
+HASH_SEED, UNIT = 42, 2.0**-32
 
 
 def own_words(text: bytes | None) -> list[bytes]:
@@ -45,22 +50,23 @@ def own_words(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Vocabulary:
-    """Numbers, classes and log-probabilities within a class of the frequent words; the last class has all others."""
+    """Numbers, classes and log-probabilities within a class of the frequent words; the last class has all others,
+    whose `within` lacks the logarithm of their own count."""
 
     known: dict[bytes, int]
     class_of: np.ndarray  # of each number
     within: np.ndarray
 
     @classmethod
-    def build(cls, frequent: list[tuple[bytes, int]], kinds: int) -> Vocabulary:
-        """frequent: (word, count) by falling count; kinds: different words in the corpus."""
+    def build(cls, frequent: list[tuple[bytes, int]], total: int) -> Vocabulary:
+        """frequent: (word, count) by falling count; total: words of the corpus."""
         spread = CLASSES - 1 - OWN
         classes = [i if i < OWN else OWN + zlib.crc32(w) % spread for i, (w, _) in enumerate(frequent)]
         class_of = np.full(PAD + 1, CLASSES - 1, np.int64)
         class_of[: len(classes)] = classes
         counts = np.array([n for _, n in frequent], float)
         sums = np.bincount(np.array(classes, np.int64), counts, CLASSES) if len(classes) else np.ones(CLASSES)
-        within = np.full(PAD + 1, -np.log(max(1, kinds - len(frequent))))
+        within = np.full(PAD + 1, -np.log(max(1, total - sum(n for _, n in frequent))))
         within[: len(classes)] = np.log(counts / sums[classes]) if len(classes) else []
         return cls({w: i for i, (w, _) in enumerate(frequent)}, class_of, within)
 
@@ -81,10 +87,18 @@ class Numbers(dict):
         return value
 
     def of(self, text: bytes | None) -> np.ndarray:
-        found = own_words(text)
+        return self.of_words(own_words(text))
+
+    def of_words(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
 
+def rare(found: list[bytes], ids: np.ndarray) -> np.ndarray:
+    """Hashes of the words outside the vocabulary, as Spark's xxhash64 gives them."""
+    at = np.flatnonzero(ids >= VOCABULARY).tolist()
+    return np.fromiter((xxhash.xxh64_intdigest(found[i], HASH_SEED) for i in at), np.uint64, len(at)).view(np.int64)
+
+
 def start() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(SEED)
     scale = {"e": 0.1, "w1": 0.15, "w2": 0.15, "b1": 0.0, "b2": 0.0}
@@ -163,11 +177,17 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def build_vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word, n of all words, staged."""
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_counts, "word binary, n long")
-    every = stage(counted.groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
+    return stage(counted.groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
+
+
+def build_vocabulary(docs: DataFrame, text_col: str = "text", every: DataFrame | None = None) -> Vocabulary:
+    """every: the result of `count_words`, if there is one."""
+    every = count_words(docs, text_col) if every is None else every
     frequent = every.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()  # a fixed number of words
-    return Vocabulary.build([(bytes(r.word), r.n) for r in frequent], every.count())
+    return Vocabulary.build([(bytes(r.word), r.n) for r in frequent], every.agg(F.sum("n")).first()[0] or 0)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> dict[str, np.ndarray]:
@@ -232,29 +252,40 @@ def log_probs(p: dict[str, np.ndarray], vocabulary: Vocabulary, near: np.ndarray
     return out
 
 
-SCORED = "doc_id long, n_words long, log_prob double, mean_log_prob double"
+SCORED = "row long, doc_id long, n_words long, part double, rare array<long>"
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_words, log_prob, mean_log_prob."""
     text_batches(docs.sparkSession)
-    vocabulary = build_vocabulary(docs, text_col)
+    every = count_words(docs, text_col)
+    vocabulary = build_vocabulary(docs, text_col, every)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(docs, vocabulary, text_col)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, p = shared.value
-        numbers = Numbers(vocabulary.known)
+        numbers, row = Numbers(vocabulary.known), TaskContext.get().partitionId() << 40
         for batch in batches:
             if not batch.num_rows:
                 continue
-            docs = [numbers.of(t) for t in words.texts(batch.column(1))]
+            found = [own_words(t) for t in words.texts(batch.column(1))]
+            docs = [numbers.of_words(f) for f in found]
             n = np.array([len(d) for d in docs])
             scores = log_probs(p, vocabulary, np.concatenate([around(d) for d in docs]), np.concatenate(docs))
             sums = np.diff(np.append(0.0, np.cumsum(scores))[np.append(0, np.cumsum(n))])
-            mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sums), mean], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED)
+            outside = [rare(f, d) for f, d in zip(found, docs, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in outside])), pa.int32()), pa.array(np.concatenate(outside)))
+            rows = pa.array(np.arange(row, row + len(docs)))
+            row += len(docs)
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(n, pa.int64()), pa.array(sums), lists], ["row", "doc_id", "n_words", "part", "rare"])
+
+    scored = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED), "scored")
+    # frequent words have counts here too, but none of their hashes is looked up
+    counts = every.where("n > 1").select(F.xxhash64("word").alias("h"), F.round(F.log("n") / UNIT).cast("long").alias("log_n"))
+    own = scored.select("row", F.explode("rare").alias("h")).join(counts, "h").groupBy("row").agg(F.sum("log_n").alias("log_n"))
+    log_prob = F.col("part") + F.coalesce(F.col("log_n") * UNIT, F.lit(0.0))
+    whole = scored.drop("rare").join(own, "row", "left").withColumn("log_prob", log_prob)
+    return whole.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
