@@ -70,6 +70,14 @@ def test_stateless_streams(rocks, tmp_path):
     assert rocks.table("avail").count() == 0
 
 
+def test_availability_is_exact(rocks, tmp_path):
+    beats = [(f"d{d}", "heartbeat", NOW // 300_000 * 300_000 + 1000 * s + again) for d in range(20) for s in range(300 - d) for again in (0, 500)]
+    rocks.createDataFrame(beats, "device_id string, type string, t_ms long").write.parquet(str(tmp_path / "events"))
+    stream = rocks.readStream.schema("device_id string, type string, t_ms long").parquet(str(tmp_path / "events"))
+    run(pipeline.availability(stream, slide="5 minutes").writeStream.format("memory").outputMode("update").queryName("beats").option("checkpointLocation", str(tmp_path / "c")))
+    assert {r.device_id: r.heartbeats for r in rocks.table("beats").collect()} == {f"d{d}": 300 - d for d in range(20)}
+
+
 @pytest.mark.parametrize("name", ["smoke", "adversarial"])
 def test_workload_counts_equal_truth(spark, name):
     events = workload.generate(spark, workload.SCENARIOS[name].__class__(**vars(workload.SCENARIOS[name]) | {"devices": 400, "per_second": 0.1})).persist()
