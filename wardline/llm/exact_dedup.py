@@ -1,9 +1,9 @@
-"""Exact dedup by two-pass Bloom filtering (DataFrame functions only).
+"""Exact dedup by counted hashes and a Bloom filter (DataFrame functions only).
 
 Pass 1 reads the texts once and stages a narrow digest (doc_id, 64-bit hash, SHA-256). Hashes that occur
-twice or more, by a map-side combined count, fill a register-blocked Bloom filter: each sets four bits in
+twice or more, by a count that shuffles the 64-bit hash of every row, unique ones included, fill a register-blocked Bloom filter: each sets four bits in
 one 64-bit word. Pass 2 tests every digest with a single look-up of its word. Only rows that the filter
-reports as possibly repeated shuffle by SHA-256; all others pass straight through as groups of one.
+reports as possibly repeated shuffle by SHA-256; all others pass from there as groups of one.
 The filter is broadcast if its measured size is small, and joined on the word's number otherwise.
 
 Defined results: null text counts as empty; empty texts are equal to each other. A null doc_id comes after
