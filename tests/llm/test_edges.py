@@ -276,6 +276,15 @@ def test_lm_scoring_by_hand(spark):
         assert r.mean_log_prob > -math.log(40) + 0.5
 
 
+def test_lm_scoring_learns_from_all_words(spark):
+    """Few short texts are enough to learn a cycle of words, if each word is a target."""
+    texts = [(i, " ".join(f"w{(i + j) % 20}" for j in range(16))) for i in range(400)]
+    rows = lm_scoring.score_documents(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect()
+    mean = sum(r.mean_log_prob for r in rows) / len(rows)
+    print("mean", mean)
+    assert mean > -2.5
+
+
 def test_lm_scoring_counts_rare_words(spark):
     """Outside the vocabulary too, a word has the probability of its own count; both words look alike as neighbours."""
     frequent = " ".join(f"f{i}" for i in range(lm_scoring.VOCABULARY))

@@ -5,7 +5,7 @@
    hash, and words outside the vocabulary form the last.
 2. The network reads the numbers of SIDE words on both sides of a masked word and predicts its class; within a
    class a word has the probability of its count in the corpus.
-3. Training masks every MASK-th word of every document. Tasks train from the same start by Adagrad and their
+3. Training masks every word of every document in turn, in one pass. Tasks train from the same start by Adagrad and their
    parameters are averaged, weighted by words; parts of the parameters are summed in order of the tasks.
 4. Scoring masks every word in turn; a document's score is the sum of the log-probabilities of its words. Counts of
    words outside the vocabulary, which grow with the corpus, are joined by 64-bit hash after the network has scored;
@@ -35,7 +35,7 @@ from wardline.llm.common import stage, text_batches
 
 VOCABULARY, OTHER, CLASSES, OWN = 8192, 64, 128, 96
 SIDE, WIDTH, HIDDEN, SEED = 2, 16, 32, 5
-MASK, BATCH, RATE, CHUNK = 16, 512, 0.08, 8192
+BATCH, RATE, CHUNK = 512, 0.08, 8192
 PAD = VOCABULARY + OTHER
 SHAPES = {"e": (PAD + 1, WIDTH), "w1": (2 * SIDE * WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "b2": (CLASSES,)}
 #: Words that a worker keeps the number of.
@@ -201,10 +201,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> di
                 ids = numbers.of(text)
                 if not len(ids):
                     continue
-                at = np.arange(int(ids.sum()) % min(MASK, len(ids)), len(ids), MASK)
-                near.append(around(ids)[at])
-                target.append(vocabulary.class_of[ids[at]])
-                waiting += len(at)
+                near.append(around(ids))
+                target.append(vocabulary.class_of[ids])
+                waiting += len(ids)
                 if waiting >= 16 * BATCH:
                     x, y = np.concatenate(near), np.concatenate(target)
                     for i in range(0, waiting - waiting % BATCH, BATCH):
