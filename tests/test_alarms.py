@@ -61,6 +61,9 @@ def test_feed(spark):
         feed.since(alarms, "garbage")
     text = feed.sse(alarms).orderBy("cursor").first().message
     assert text.startswith('id: 1\nevent: alarm\ndata: {"event_id":"fall_dev_0_') and text.endswith("\n\n")
+    first, *_, live = feed.sse_backlog(alarms, "2").orderBy("part", "cursor").collect()
+    assert first.message.startswith("id: 3\n") and (live.cursor, live.message) == (5, ": connected cursor=5\n\n")
+    assert feed.sse_backlog(alarms, str(NOW + 99)).collect()[0].message == ": connected cursor=5\n\n"
     mirror = alarms.where("cursor <= 2").select("event_id")
     assert cursors(feed.missing_from_mirror(alarms, mirror)) == [3, 4, 5]
     assert cursors(feed.missing_from_mirror(alarms.unionByName(alarms.withColumn("cursor", alarms.cursor + 5)), mirror)) == [3, 4, 5]

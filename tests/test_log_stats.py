@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from helpers import NOW, event, falls, frame
 from wardline.operators import dedup, stats
 from wardline.sources import log
@@ -14,6 +16,10 @@ def test_parquet_log(spark, tmp_path):
     one = log.of_type(back, "presence")
     assert one.count() == 1 and "PartitionFilters: [isnotnull(event_type" in one._jdf.queryExecution().executedPlan().toString()
     assert log.truncate_before(back, NOW // log.HOUR_MS + 1).isEmpty()
+    log.write_log(rows(spark).withColumn("received_ms", F.col("received_ms") + 2 * log.HOUR_MS), str(tmp_path / "log"))
+    assert log.drop_before(spark, str(tmp_path / "log"), NOW // log.HOUR_MS + 1) == 3
+    left = log.read_log(spark, str(tmp_path / "log"))
+    assert left.count() == 3 and left.where(F.col("hour") <= NOW // log.HOUR_MS).isEmpty() and log.drop_before(spark, str(tmp_path / "nowhere"), 9) == 0
 
 
 def test_replay_skips_broken_lines(spark, tmp_path):

@@ -66,8 +66,24 @@ def test_stateless_streams(rocks, tmp_path):
     run(pipeline.ingest(pipeline.read_raw(rocks, str(landing)), root, str(tmp_path / "c1")))
     run(pipeline.exact_copies_dropped(pipeline.read_events(rocks, root)).writeStream.format("memory").queryName("copies").option("checkpointLocation", str(tmp_path / "c2")))
     assert rocks.table("copies").count() == 2
-    run(pipeline.availability(pipeline.read_events(rocks, root)).writeStream.format("memory").outputMode("update").queryName("avail").option("checkpointLocation", str(tmp_path / "c3")))
-    assert rocks.table("avail").count() == 0
+
+
+def test_subscribers(spark):
+    new = spark.createDataFrame([(i, f"e{i}") for i in range(1, 6)], "cursor long, event_id string").orderBy("cursor")
+    got, late, subscribers = [], [], pipeline.Subscribers()
+
+    def broken(alarm):
+        raise OSError
+
+    end = subscribers.add("a", lambda x: got.append(x["cursor"]))
+    subscribers.add("b", lambda x: late.append(x["cursor"]), after=3)
+    subscribers.add("c", broken)
+    subscribers(new.where("cursor < 4"), 0)
+    subscribers(new, 1)
+    assert got == [1, 2, 3, 4, 5] and late == [4, 5] and set(subscribers.live) == {"a", "b"}
+    end()
+    subscribers(new.withColumn("cursor", new.cursor + 5), 2)
+    assert got == [1, 2, 3, 4, 5] and late[-1] == 10
 
 
 def test_availability_is_exact(rocks, tmp_path):

@@ -19,7 +19,11 @@ class Config:
     dedup_seq_slack: int = 2
     queue_high_water: int = 200_000
     queue_low_water: int = 100_000
+    max_ack_delay_ms: int = 4_000
+    drain_budget_ms: int = 8
     drain_batch_max: int = 20_000
+    fsync_ms: int = 200
+    sse_heartbeat_ms: int = 15_000
     wal_segment_bytes: int = 64 << 20
     snapshot_ms: int = 10_000
     report_ms: int = 30_000

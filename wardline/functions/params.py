@@ -1,79 +1,62 @@
-"""Query parameters, parsed on the driver, and the same rules as SQL columns."""
+"""Query parameters as columns; `evaluate` gives one value of them to the driver."""
 
 from __future__ import annotations
 
-import re
-from datetime import datetime, timezone
+from typing import Any
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
-UNIT_MS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000}
-WINDOW = r"^([0-9]+(\.[0-9]+)?)\s*(ms|s|m|h)?$"
-#: Integers below this are cursors (or epoch seconds); from here on they are epoch milliseconds.
-MS_FROM = 1_000_000_000_000
-DEFAULT_WINDOW = "5m"
+from wardline.functions.times import BLANK, iso_ms
+
+#: Milliseconds of each unit (none: seconds), the window without a parameter, the first number that is a time.
+UNITS = {"ms": 1, "s": 1000, "": 1000, "m": 60_000, "h": 3_600_000}
+DEFAULT_WINDOW, FIRST_TIME = "5m", 1_000_000_000_000
 
 
 class BadParameter(ValueError):
     """A query parameter that can't be read; its text is the reason code."""
 
 
-def parse_window_ms(raw: str | None, most: int) -> int | None:
-    """'90', '30s', '5m', '1h', '500ms' to milliseconds, at most `most`; None if it is no positive duration."""
-    found = re.match(WINDOW, (raw or DEFAULT_WINDOW).strip(), re.IGNORECASE)
-    if not found or float(found[1]) <= 0:
-        return None
-    return int(min(float(found[1]) * UNIT_MS[(found[3] or "s").lower()], most))
+def evaluate(spark: SparkSession, value: Column) -> Any:
+    """A column of literals as a value: optimised to a constant, so that no data are read."""
+    return spark.range(1).select(value.alias("value")).first()[0]
 
 
-def window_ms_or_fail(raw: str | None, most: int) -> int:
-    value = parse_window_ms(raw, most)
-    if value is None:
-        raise BadParameter("bad_window")
-    return value
+def window_ms(raw: Column, most: int) -> Column:
+    """A number and a unit (ms, s, m, h; seconds without one) in milliseconds, at most `most`; null if it is no
+    positive duration. Without a parameter it is five minutes."""
+    text = F.lower(F.trim(F.coalesce(F.nullif(raw, F.lit("")), F.lit(DEFAULT_WINDOW)), F.lit(BLANK)))
+    unit = F.regexp_extract(text, "([a-z]*)$", 1)
+    amount = F.trim(F.substring(text, F.lit(1), F.length(text) - F.length(unit)), F.lit(BLANK))
+    per_unit = F.try_element_at(F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair]), unit)
+    sound = amount.rlike(r"\A[0-9]+([.][0-9]+)?\z") & (amount.try_cast("double") > 0)
+    return F.when(sound, F.floor(F.least(amount.try_cast("double") * per_unit, F.when(per_unit.isNotNull(), F.lit(float(most))))))
 
 
-def window_ms(raw: Column, most: int) -> Column:
-    """`parse_window_ms` as a column."""
-    text = F.trim(F.when(F.coalesce(raw, F.lit("")) == "", F.lit(DEFAULT_WINDOW)).otherwise(raw))
-    value = F.regexp_extract(text, f"(?i){WINDOW}", 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(text, f"(?i){WINDOW}", 3))
-    factor = F.lit(None).cast("double")
-    for name, ms in (*UNIT_MS.items(), ("", 1000)):
-        factor = F.when(unit == name, F.lit(float(ms))).otherwise(factor)
-    return F.when(text.rlike(f"(?i){WINDOW}") & (value > 0), F.floor(F.least(value * factor, F.lit(float(most)))))
-
-
-def parse_iso_ms(text: str) -> int | None:
-    """ISO-8601 to epoch milliseconds, exactly; times without a zone are UTC."""
-    try:
-        at = datetime.fromisoformat(text.strip())
-    except ValueError:
-        return None
-    at = at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at
-    whole = at - datetime(1970, 1, 1, tzinfo=timezone.utc)
-    return (whole.days * 86_400 + whole.seconds) * 1000 + whole.microseconds // 1000
+def since(raw: Column) -> Column:
+    """Where to read on, as a struct (kind, value): a cursor, a time (ts, in milliseconds), or invalid.
 
+    Nothing or blanks mean cursor 0; digits alone a cursor below FIRST_TIME and a time from there; else ISO-8601.
+    """
+    text = F.trim(F.coalesce(raw, F.lit("")), F.lit(BLANK))
+    digits = text.rlike(r"\A[0-9]*\z")
+    value = F.when(digits, F.coalesce(F.nullif(text, F.lit("")), F.lit("0")).try_cast("long")).otherwise(iso_ms(text))
+    kind = F.when(value.isNull(), "invalid").when(digits & (value < FIRST_TIME), "cursor").otherwise("ts")
+    return F.struct(kind.alias("kind"), value.alias("value"))
 
-def parse_since(raw: str | None) -> tuple[str, int | None]:
-    """('cursor', n), ('ts', ms) or ('invalid', None)."""
-    text = (raw or "").strip()
-    if not text:
-        return "cursor", 0
-    if re.fullmatch("[0-9]+", text):
-        return ("cursor" if int(text) < MS_FROM else "ts"), int(text)
-    ms = parse_iso_ms(text)
-    return ("invalid", None) if ms is None else ("ts", ms)
 
+def window_or_fail(spark: SparkSession, raw: str | None, most: int) -> int:
+    value = evaluate(spark, window_ms(F.lit(raw).cast("string"), most))
+    if value is None:
+        raise BadParameter("bad_window")
+    return value
 
-def since(raw: Column) -> Column:
-    """`parse_since` as a struct column (kind, value)."""
-    from wardline.functions.times import iso_ms
 
-    text = F.trim(F.coalesce(raw, F.lit("")))
-    number, ms = F.when(text.rlike("^[0-9]{1,18}$"), text.try_cast("long")), iso_ms(text)
-    kind = F.when(text == "", "cursor").when(number < MS_FROM, "cursor").when(number.isNotNull() | ms.isNotNull(), "ts").otherwise("invalid")
-    return F.struct(kind.alias("kind"), F.when(text == "", F.lit(0).cast("long")).otherwise(F.coalesce(number, ms)).alias("value"))
+def since_or_fail(spark: SparkSession, raw: str | None) -> tuple[str, int]:
+    found = evaluate(spark, since(F.lit(raw).cast("string")))
+    if found.kind == "invalid":
+        raise BadParameter("bad_since")
+    return found.kind, found.value
 
 
 def page_limit(raw: str | int | None, default: int = 200_000, most: int = 1_000_000) -> int:

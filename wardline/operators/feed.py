@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.functions.params import BadParameter, page_limit, parse_since
+from wardline.functions.params import page_limit, since_or_fail
 from wardline.operators.dedup import public
 
 
@@ -18,9 +18,7 @@ def since_ts(alarms: DataFrame, ms: int, limit: int = 200_000) -> DataFrame:
 
 
 def since(alarms: DataFrame, raw: str | None, limit: int | str | None = None) -> DataFrame:
-    kind, value = parse_since(raw)
-    if kind == "invalid":
-        raise BadParameter("bad_since")
+    kind, value = since_or_fail(alarms.sparkSession, raw)
     return (since_cursor if kind == "cursor" else since_ts)(alarms, value, page_limit(limit))
 
 
@@ -39,9 +37,7 @@ def alarm_page(alarms: DataFrame, raw_since: str | None = None, limit: int | str
 
 def stream_start(alarms: DataFrame, raw_since: str | None) -> int:
     """The cursor after which a subscriber is served: a time means the first alarm later than it, and all that follow."""
-    kind, value = parse_since(raw_since)
-    if kind == "invalid":
-        raise BadParameter("bad_since")
+    kind, value = since_or_fail(alarms.sparkSession, raw_since)
     if kind == "cursor":
         return value
     first, head = alarms.agg(F.min(F.when(F.col("ts_ms") > value, F.col("cursor"))), F.max("cursor")).first()
@@ -57,5 +53,14 @@ def missing_from_mirror(alarms: DataFrame, mirror: DataFrame) -> DataFrame:
 
 def sse(alarms: DataFrame) -> DataFrame:
     """cursor and `message`: the text of a server-sent event for each alarm."""
-    data = F.to_json(F.struct(*public(alarms).columns))
+    data = F.to_json(F.struct(*public(alarms).columns), {"ignoreNullFields": "false"})
     return alarms.select("cursor", F.concat(F.lit("id: "), F.col("cursor").cast("string"), F.lit("\nevent: alarm\ndata: "), data, F.lit("\n\n")).alias("message"))
+
+
+def sse_backlog(alarms: DataFrame, raw_since: str | None) -> DataFrame:
+    """What a subscriber receives at first: part 0, the events after its start, and part 1, the cursor from which it is served live."""
+    start = stream_start(alarms, raw_since)
+    later = alarms.where(F.col("cursor") > start)
+    head = later.agg(F.coalesce(F.max("cursor"), F.lit(start)).cast("long").alias("cursor"))
+    live = head.select(F.lit(1).alias("part"), "cursor", F.format_string(": connected cursor=%d\n\n", "cursor").alias("message"))
+    return sse(later).select(F.lit(0).alias("part"), "cursor", "message").unionByName(live)

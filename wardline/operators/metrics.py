@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from wardline.sources.staging import number_rows
+
 #: Upper bounds of latency buckets in milliseconds: fixed values.
-BOUNDS = (1, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
+BOUNDS = (1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000)
 QUANTILES = (0.5, 0.95, 0.99)
 #: How many of the newest observations quantiles look at.
 RING = 20_000
@@ -45,8 +47,8 @@ def rates(events: DataFrame, every_ms: int = 30_000, at: str = "received_ms") ->
 
 
 def sampled(events: DataFrame, every: int = 64) -> DataFrame:
-    """Every n-th event, by a hash of the arrival key: no global numbering."""
-    return events.where(F.pmod(F.xxhash64("ord"), F.lit(every)) == 0)
+    """Every n-th event in order of arrival, exactly: rows are numbered by ranges, not in one task."""
+    return number_rows(events, F.col("ord"), name="__nth", first=1).where(F.col("__nth") % every == 0).drop("__nth")
 
 
 def gauges(events: DataFrame, alarms: DataFrame) -> DataFrame:
@@ -61,13 +63,50 @@ def scorecard(found: Column, truth: Column) -> Column:
     return F.when(found > truth, "leaking").when(found < truth, "missing").otherwise("ok")
 
 
-def prometheus(hist: DataFrame, name: str) -> DataFrame:
-    """Text exposition of a histogram: i, line."""
-    bucket = hist.select("i", F.format_string(f'{name}_bucket{{le="%s"}} %d', "le", "n").alias("line"))
-    last = hist.where("le = '+Inf'")
-    total = last.select((F.col("i") + 1).alias("i"), F.concat(F.lit(f"{name}_sum "), F.col("sum").cast("string")).alias("line"))
-    count = last.select((F.col("i") + 2).alias("i"), F.concat(F.lit(f"{name}_count "), F.col("count").cast("string")).alias("line"))
-    return bucket.unionByName(total).unionByName(count)
+def short(x: Column) -> Column:
+    """A number with six significant digits, without trailing zeros, as C's %g writes it."""
+    text = F.format_string("%.5e", x.cast("double"))  # d.ddddde+xx
+    sign, digits = F.when(x < 0, "-").otherwise(""), F.translate(F.regexp_extract(text, r"([0-9.]+)e", 1), ".", "")
+    power = F.regexp_extract(text, r"e([+-][0-9]+)", 1)
+    e = power.cast("int")
+    whole = F.when(e < 0, "0").otherwise(F.substring(digits, F.lit(1), e + 1))
+    part = F.when(e < 0, F.concat(F.repeat(F.lit("0"), -e - 1), digits)).otherwise(F.substring(digits, e + 2, F.lit(6)))
+    fixed = F.concat(whole, F.rtrim(F.concat(F.lit("."), F.rtrim(part, F.lit("0"))), F.lit(".")))
+    scaled = F.concat(F.substring(digits, 1, 1), F.rtrim(F.concat(F.lit("."), F.rtrim(F.substring(digits, 2, 5), F.lit("0"))), F.lit(".")), F.lit("e"), power)
+    return F.concat(sign, F.when(e.between(-4, 5), fixed).otherwise(scaled))
+
+
+#: The histograms that are exposed, and their help.
+HELP = {
+    "alarm_publish_latency_ms": "Milliseconds from event acceptance to alarm publication on the feed",
+    "ingest_apply_latency_ms": "Milliseconds from event acceptance to aggregation state update",
+}
+
+
+def series(rows: DataFrame, name: str, value: str, label: str | None = None) -> DataFrame:
+    """rows -> (name, labels, value), one for each row."""
+    labels = F.lit(None).cast("string") if label is None else F.format_string(f'%s="%s"', F.lit(label), F.col(label))
+    return rows.select(F.lit(name).alias("name"), labels.alias("labels"), F.col(value).cast("double").alias("value"))
+
+
+def histogram_lines(hist: DataFrame, name: str) -> DataFrame:
+    """Text exposition of one histogram: i, line."""
+    head = F.array(F.lit(f"# HELP {name} {HELP[name]}"), F.lit(f"# TYPE {name} histogram"))
+    bucket = F.array(F.format_string(f'{name}_bucket{{le="%s"}} %d', "le", "n"))
+    foot = F.array(F.concat(F.lit(f"{name}_sum "), short(F.col("sum"))), F.format_string(f"{name}_count %d", "count"))
+    lines = F.when(F.col("i") == 0, F.concat(head, bucket)).when(F.col("le") == "+Inf", F.concat(bucket, foot)).otherwise(bucket)
+    d = hist.select("i", F.posexplode(lines).alias("at", "line"))
+    return d.select((F.col("i") + F.col("at") + F.when(F.col("i") > 0, 2).otherwise(0)).cast("int").alias("i"), "line")
+
+
+def prometheus(counted: DataFrame, gauged: DataFrame, histograms: dict[str, DataFrame]) -> DataFrame:
+    """Text exposition: part (0 counters, 1 gauges, 2 and on histograms), i, line. counted and gauged have (name, labels, value)."""
+    line = F.concat(F.col("name"), F.coalesce(F.concat(F.lit("{"), "labels", F.lit("}")), F.lit("")), F.lit(" "), short(F.col("value")))
+    numbered = lambda rows, part: rows.select(F.lit(part).alias("part"), (F.row_number().over(Window.orderBy("name", F.asc_nulls_first("labels"))) - 1).alias("i"), line.alias("line"))  # noqa: E731  a row for each series
+    out = numbered(counted, 0).unionByName(numbered(gauged, 1))
+    for part, (name, hist) in enumerate(histograms.items(), 2):
+        out = out.unionByName(histogram_lines(hist, name).select(F.lit(part).alias("part"), "i", "line"))
+    return out
 
 
 def counter_deltas(snapshots: DataFrame) -> DataFrame:

@@ -8,35 +8,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.config import DEFAULT, Config
-from wardline.functions.times import iso_ms, number_ms
+from wardline.functions.times import BLANK, iso_ms, number_ms
 from wardline.schemas import SLEEP_STATES, TIERS
 
 
-#: Strict kinds: a BIGINT field is null for 1.0 and "1", a DOUBLE field for true and "0.9", a BOOLEAN field for 1.
-FIELDS = "device_id VARIANT, room_id VARIANT, type STRING, ts STRING, seq BIGINT, in_room BOOLEAN, magnitude DOUBLE, state STRING, confidence DOUBLE, rssi DOUBLE"
-#: The same fields once more where the kind matters: whether seq is there at all, and whether ts is a number.
-KINDS = "seq STRING, ts DOUBLE"
+#: Strict kinds: a DOUBLE field is null for true and "0.9", a BOOLEAN field for 1. The kind of a VARIANT is looked at.
+FIELDS = "device_id VARIANT, room_id VARIANT, type STRING, ts VARIANT, seq VARIANT, in_room BOOLEAN, magnitude DOUBLE, state STRING, confidence DOUBLE, rssi DOUBLE"
+NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+
+
+def strict_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value. The parser stops after the first value, so the text is followed by its
+    own hash in an array: that is the second and last item only if the text ends where its value does."""
+    seal = F.xxhash64(text).cast("string")
+    items = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
+    return F.coalesce(F.try_variant_get(items, "$[1]", "string") == seal, F.lit(False))
 
 
 def validated(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """raw (ord, received_ms, raw, ...) with `reason` (null: accepted) and the normalised columns."""
-    d = raw.withColumn("__a", F.from_json("raw", FIELDS)).withColumn("__b", F.from_json("raw", KINDS))
-    text = lambda n: F.when(F.schema_of_variant(f"__a.{n}") == "STRING", F.try_variant_get(f"__a.{n}", "$", "string"))
+    d = raw.withColumn("__a", F.from_json("raw", FIELDS, {"allowSingleQuotes": "false"})).withColumn("__strict", strict_json(F.col("raw")))
+    d = d.withColumns({f"__{n}": F.schema_of_variant(f"__a.{n}") for n in ("device_id", "room_id", "ts", "seq")})
+    own = lambda n, kind, wanted: F.when(wanted, F.try_variant_get(f"__a.{n}", "$", kind))
+    text = lambda n: own(n, "string", F.col(f"__{n}") == "STRING")
     finite = lambda n: F.when(F.abs(f"__a.{n}") < float("inf"), F.col(f"__a.{n}"))  # noqa: E731  "NaN" as text would pass otherwise
-    d = d.select("*", text("device_id").alias("device_id"), text("room_id").alias("room_id"), "__a.type", "__a.seq", "__a.in_room", "__a.state", *[finite(n).alias(n) for n in ("magnitude", "confidence", "rssi")], F.trim("__a.ts").alias("__ts_text"))
-    d = d.withColumn("t_ms", F.when(F.col("__b.ts").isNotNull(), number_ms(F.col("__b.ts"))).otherwise(iso_ms(F.col("__ts_text"))))
+    d = d.select(
+        "*", text("device_id").alias("device_id"), text("room_id").alias("room_id"), "__a.type", own("seq", "bigint", F.col("__seq") == "BIGINT").alias("seq"), "__a.in_room", "__a.state",
+        *[finite(n).alias(n) for n in ("magnitude", "confidence", "rssi")], F.trim(text("ts"), F.lit(BLANK)).alias("__text"), own("ts", "double", F.col("__ts").rlike(NUMBER)).alias("__number"),
+    )
+    d = d.withColumn("t_ms", F.when(F.col("__number").isNotNull(), number_ms(F.col("__number"))).otherwise(iso_ms(F.col("__text"))))
     empty = lambda n: F.coalesce(F.length(n), F.lit(0)) == 0
     of = lambda kind, bad: (F.col("type") == kind) & bad
     reason = (
-        F.when(~F.startswith(F.ltrim(F.coalesce("raw", F.lit(""))), F.lit("{")), "malformed")
-        .when(empty("device_id") & F.try_parse_json("raw").isNull(), "malformed")
+        F.when(~F.startswith(F.ltrim(F.coalesce("raw", F.lit(""))), F.lit("{")) | ~F.col("__strict"), "malformed")
         .when(empty("device_id"), "missing_device_id")
         .when(empty("room_id"), "missing_room_id")
         .when(~F.coalesce(F.col("type").isin(*TIERS), F.lit(False)), "bad_type")
         .when(F.col("t_ms").isNull(), "bad_ts")
         .when(F.col("t_ms") > F.col("received_ms") + config.future_limit_ms, "ts_too_future")
         .when(F.col("t_ms") < F.col("received_ms") - config.past_limit_ms, "ts_too_old")
-        .when(F.col("__b.seq").isNotNull() & F.col("seq").isNull(), "bad_seq")
+        .when((F.coalesce("__seq", F.lit("VOID")) != "VOID") & F.col("seq").isNull(), "bad_seq")
         .when(of("presence", F.col("in_room").isNull()), "bad_in_room")
         .when(of("motion", F.col("magnitude").isNull()), "bad_magnitude")
         .when(of("sleep_state", ~F.coalesce(F.col("state").isin(*SLEEP_STATES), F.lit(False))), "bad_state")
@@ -46,7 +57,7 @@ def validated(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
     # the partition's number, never negative, keeps filters on the reason above this projection: pushed below it, they
     # would parse the text again for each rule
     reason = F.coalesce(reason, F.when(F.spark_partition_id() < 0, "never"))
-    return d.withColumn("reason", reason).drop("__a", "__b", "__ts_text")
+    return d.withColumn("reason", reason).drop("__a", "__strict", "__device_id", "__room_id", "__ts", "__seq", "__text", "__number")
 
 
 def tier(kind: Column) -> Column:

@@ -5,15 +5,16 @@ Every query reads its whole tables; `as_of` is the greatest event time. Limits s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.config import DEFAULT
 from wardline.functions import params, times
-from wardline.operators import dedup, feed, health, metrics, occupancy, schedule, validate
-from wardline.sources import bodies, sensors
-from wardline.sources.staging import stage
+from wardline.operators import dedup, feed, health, metrics, occupancy, schedule, stats, validate
+from wardline.sources import bodies, log, sensors
+from wardline.sources.staging import shared_dir, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,28 +137,28 @@ def ts_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("ord", "iso", times.iso_ms(F.col("iso")).alias("from_iso"), times.number_ms(t.cast("double")).alias("from_number"), times.days_from_civil(F.year(date), F.month(date), F.day(date)).cast("long").alias("day"))
 
 
-_WINDOWS = ("1m", "5m", "1h", "30s", "90", None, "24h", "bogus", "", "0", "-5s", "500ms", "0.5ms", "1.5 H", "2 M", "1d")
+#: Parameters and what they mean, as literals.
+_WINDOWS = (
+    ("7m", 420_000), ("45s", 45_000), ("250 ms", 250), (None, 300_000), ("", 300_000), ("12", 12_000), ("2H", 3_600_000), ("59.5 m", 3_570_000), ("0.4ms", 0), ("  3s\t", 3000),
+    ("0s", None), ("-7s", None), ("ten", None), ("3 d", None), ("4 5s", None), (".5s", None), ("   ", None),
+)
 
 
-@query("window_parse", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {params.parse_window_ms(w, 3_600_000) if params.parse_window_ms(w, 3_600_000) is not None else 'NULL'}::BIGINT)" for i, w in enumerate(_WINDOWS)) + ") t(i, ms)")
+@query("window_parse", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if ms is None else ms}::BIGINT)" for i, (_, ms) in enumerate(_WINDOWS)) + ") t(i, ms)")
 def window_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_WINDOWS)), "i int, raw string").select("i", params.window_ms(F.col("raw"), DEFAULT.max_occupancy_window_ms).alias("ms"))
+    return spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(_WINDOWS)], "i int, raw string").select("i", params.window_ms(F.col("raw"), DEFAULT.max_occupancy_window_ms).alias("ms"))
 
 
-_SINCE = ("0", "", None, "42", "999999999999", "1000000000000", "1780000000000", "2026-05-23T18:53:49.123Z", "2026-05-23T18:53:49+02:00", "2026-05-23", "garbage", "-1", "2026-13-45T00:00:00Z")
+_SINCE = (
+    (None, "cursor", 0), ("  ", "cursor", 0), ("17", "cursor", 17), ("999999999999", "cursor", 999_999_999_999), ("1000000000000", "ts", 1_000_000_000_000), (" 1700000000123 ", "ts", 1_700_000_000_123),
+    ("2024-01-01T00:30:00.250Z", "ts", 1_704_069_000_250), ("2024-01-01 01:30:00+01:00", "ts", 1_704_069_000_000), ("2024-01-01T003000-0000", "ts", 1_704_069_000_000), ("20240101T00:30Z", "ts", 1_704_069_000_000),
+    ("2024-01-01", "ts", 1_704_067_200_000), ("2024-01-01T06", "ts", 1_704_088_800_000), ("2024-01-01T00:30:00,7509", "ts", 1_704_069_000_750), ("2024-02-30", "invalid", None), ("-5", "invalid", None), ("soon", "invalid", None), ("2024-01-01T25:00", "invalid", None),
+)
 
 
-def _since_sql() -> str:
-    rows = []
-    for i, raw in enumerate(_SINCE):
-        kind, value = params.parse_since(raw)
-        rows.append(f"({i}, '{kind}', {'NULL' if value is None else value}::BIGINT)")
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(i, kind, value)"
-
-
-@query("since_parse", _since_sql())
+@query("since_parse", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{kind}', {'NULL' if v is None else v}::BIGINT)" for i, (_, kind, v) in enumerate(_SINCE)) + ") t(i, kind, value)")
 def since_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame(list(enumerate(_SINCE)), "i int, raw string").withColumn("s", params.since(F.col("raw")))
+    d = spark.createDataFrame([(i, raw) for i, (raw, *_) in enumerate(_SINCE)], "i int, raw string").withColumn("s", params.since(F.col("raw")))
     return d.select("i", "s.kind", "s.value")
 
 
@@ -219,17 +220,15 @@ FROM (SELECT *, CASE WHEN in_room THEN greatest(0, least(coalesce(lead(t_ms) OVE
 GROUP BY room_id""", _POINTS)
 
 
-def _occupancy(raw: str) -> None:
-    window_ms = params.window_ms_or_fail(raw, DEFAULT.max_occupancy_window_ms)
-
+def _occupancy(raw: str, window_ms: int) -> None:
     @query(f"room_occupancy_{raw}", _occupancy_sql(window_ms))
     def room_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
         ev = events(spark, sf_dir)
-        return occupancy.room_occupancy(ev, window_ms, as_of(ev))
+        return occupancy.room_occupancy(ev, params.window_or_fail(spark, raw, DEFAULT.max_occupancy_window_ms), as_of(ev))
 
 
-for _raw in ("1m", "5m", "1h"):
-    _occupancy(_raw)
+for _raw, _ms in (("1m", 60_000), ("5m", 300_000), ("1h", 3_600_000)):
+    _occupancy(_raw, _ms)
 
 
 @query("room_timeline", on_sensor("SELECT * FROM points", _POINTS))
@@ -271,8 +270,8 @@ alarms AS (
   FROM (SELECT device_id, unnest(arg_max(al, rn), recursive := true) FROM fold GROUP BY device_id))"""
 
 
-def on_alarms(sql: str, window_ms: int = 1000, slack: int | None = 2) -> str:
-    return on_sensor(sql, _alarms_sql(window_ms, slack), recursive=True)
+def on_alarms(sql: str, window_ms: int = 1000, slack: int | None = 2, *ctes: str) -> str:
+    return on_sensor(sql, _alarms_sql(window_ms, slack), *ctes, recursive=True)
 
 
 def alarms(spark: SparkSession, sf_dir: str, window_ms: int = 1000, slack: int | None = 2) -> DataFrame:
@@ -326,8 +325,8 @@ def alarm_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("alarm_mirror_antijoin", on_alarms("SELECT event_id, min(cursor) AS cursor FROM alarms WHERE event_id NOT IN (SELECT event_id FROM alarms WHERE cursor % 3 = 0) GROUP BY event_id"))
 def alarm_mirror_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = alarms(spark, sf_dir)
-    return feed.missing_from_mirror(log, log.where("cursor % 3 = 0")).select("event_id", "cursor")
+    found = alarms(spark, sf_dir)
+    return feed.missing_from_mirror(found, found.where("cursor % 3 = 0")).select("event_id", "cursor")
 
 
 @query("cursor_density_check", on_alarms("SELECT count(*) AS n, count(DISTINCT cursor) AS cursors, min(cursor) AS first, max(cursor) AS last, count(DISTINCT event_id) AS ids FROM alarms"))
@@ -358,7 +357,16 @@ def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("ord", (F.col("received_ms") - F.col("t_ms")).alias("value"))
 
 
-@query("latency_histogram", on_sensor(" UNION ALL ".join(f"SELECT {i}::INT AS i, '{b}' AS le, count(*) FILTER (value <= {b}) AS n, sum(value)::BIGINT AS sum, count(*) AS count FROM lat" for i, b in enumerate(metrics.BOUNDS)) + f" UNION ALL SELECT {len(metrics.BOUNDS)}::INT, '+Inf', count(*), sum(value)::BIGINT, count(*) FROM lat", _LATENCY))
+#: Bounds of latency buckets, written out so that the query's own can't vouch for themselves.
+_BOUNDS = (1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000)
+
+
+def _histogram_sql(rows: str) -> str:
+    bars = [f"SELECT {i}::INT AS i, '{b}' AS le, count(*) FILTER (value <= {b}) AS n, sum(value)::BIGINT AS sum, count(*) AS count FROM {rows}" for i, b in enumerate(_BOUNDS)]
+    return " UNION ALL ".join([*bars, f"SELECT {len(_BOUNDS)}::INT, '+Inf', count(*), sum(value)::BIGINT, count(*) FROM {rows}"])
+
+
+@query("latency_histogram", on_sensor(_histogram_sql("lat"), _LATENCY))
 def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(latencies(spark, sf_dir))
 
@@ -408,6 +416,100 @@ def tier_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.drained(events(spark, sf_dir), DRAIN).select("ord", "tier", F.col("position").cast("int").alias("position"))
 
 
-@query("prometheus_render")
+_EVERY_64TH = "nth AS (SELECT value FROM (SELECT value, row_number() OVER (ORDER BY ord) AS k FROM lat) WHERE k % 64 = 0)"
+
+
+@query("latency_sampled_histogram", on_sensor(_histogram_sql("nth"), _LATENCY, _EVERY_64TH))
+def latency_sampled_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is a sample: every 64th event in order of arrival."""
+    return metrics.histogram(metrics.sampled(latencies(spark, sf_dir)))
+
+
+def _lines_sql(part: int, rows: str, name: str, text: str) -> str:
+    return f"""
+SELECT {part} AS part, (row_number() OVER (ORDER BY i, k) - 1)::INT AS i, line FROM (
+  SELECT i, k, line FROM (SELECT -1 AS i, 0 AS k, '# HELP {name} {text}' AS line UNION ALL SELECT -1, 1, '# TYPE {name} histogram'
+    UNION ALL SELECT i, 2, '{name}_bucket{{le="' || le || '"}} ' || n FROM ({rows}) UNION ALL SELECT i, 3, '{name}_sum ' || printf('%g', sum::DOUBLE) FROM ({rows}) WHERE le = '+Inf'
+    UNION ALL SELECT i, 4, '{name}_count ' || count FROM ({rows}) WHERE le = '+Inf'))"""
+
+
+_SERIES = """
+counted AS (
+  SELECT 'events_accepted_total' AS name, NULL AS labels, count(*) AS value FROM sensor
+  UNION ALL SELECT 'events_accepted_by_type_total', 'type="' || type || '"', count(*) FROM sensor GROUP BY type
+  UNION ALL SELECT 'alarms_created_total', NULL, count(*) FROM alarms UNION ALL SELECT 'alarms_duplicates_collapsed_total', NULL, sum(duplicates_collapsed) FROM alarms),
+gauged AS (
+  SELECT 'devices_tracked' AS name, count(DISTINCT device_id) AS value FROM sensor UNION ALL SELECT 'rooms_tracked', count(DISTINCT room_id) FROM sensor WHERE type = 'presence'
+  UNION ALL SELECT 'alarms_total', count(*) FROM alarms)"""
+
+
+@query("prometheus_render", on_alarms(f"""
+SELECT 0 AS part, (row_number() OVER (ORDER BY name, labels NULLS FIRST) - 1)::INT AS i, name || coalesce('{{' || labels || '}}', '') || ' ' || printf('%g', value::DOUBLE) AS line FROM counted
+UNION ALL SELECT 1, (row_number() OVER (ORDER BY name) - 1)::INT, name || ' ' || printf('%g', value::DOUBLE) FROM gauged
+UNION ALL {_lines_sql(2, _histogram_sql("falls_lat"), "alarm_publish_latency_ms", "Milliseconds from event acceptance to alarm publication on the feed")}
+UNION ALL {_lines_sql(3, _histogram_sql("nth"), "ingest_apply_latency_ms", "Milliseconds from event acceptance to aggregation state update")}
+""", 1000, 2, _LATENCY, _EVERY_64TH, "falls_lat AS (SELECT received_ms - t_ms AS value FROM sensor WHERE type = 'fall_warn')", _SERIES))
 def prometheus_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.prometheus(metrics.histogram(latencies(spark, sf_dir)), "ingest_latency_ms")
+    """Counters, gauges and both histograms; here the latency of a warning stands for that of its alarm."""
+    ev = events(spark, sf_dir)
+    found = stage(dedup.fold_falls(ev).select("duplicates_collapsed"), "folded")
+    one = lambda df, name: df.withColumn("value", F.col(name).cast("long"))
+    gauges = stage(metrics.gauges(ev, found), "gauges")
+    counted = metrics.series(one(gauges, "events"), "events_accepted_total", "value").unionByName(metrics.series(metrics.counters(ev, "type"), "events_accepted_by_type_total", "n", "type"))
+    counted = counted.unionByName(metrics.series(gauges, "alarms_created_total", "alarms")).unionByName(metrics.series(gauges, "alarms_duplicates_collapsed_total", "duplicates_collapsed"))
+    gauged = metrics.series(gauges, "devices_tracked", "devices").unionByName(metrics.series(gauges, "rooms_tracked", "rooms")).unionByName(metrics.series(gauges, "alarms_total", "alarms"))
+    value = ev.select("ord", "type", (F.col("received_ms") - F.col("t_ms")).alias("value"))
+    shown = {"alarm_publish_latency_ms": metrics.histogram(value.where("type = 'fall_warn'")), "ingest_apply_latency_ms": metrics.histogram(metrics.sampled(value))}
+    return metrics.prometheus(counted, gauged, shown)
+
+
+# ---- summaries, logs and streams ----------------------------------------------------------------------------
+
+
+@query("stats_summary", on_alarms("""
+SELECT (SELECT count(DISTINCT device_id) FROM sensor) AS devices, (SELECT count(DISTINCT room_id) FROM sensor WHERE type = 'presence') AS rooms, (SELECT count(*) FROM sensor) AS events,
+  (SELECT count(*) FROM alarms) AS alarms, (SELECT string_agg(type || ':' || n, ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM sensor GROUP BY type)) AS accepted,
+  (SELECT string_agg(tier || ':' || n, ',' ORDER BY tier) FROM (SELECT tier, count(*) AS n FROM sensor GROUP BY tier)) AS depth, (SELECT quantile_disc(received_ms - t_ms, 0.95) FROM sensor)::DOUBLE AS p95"""))
+def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir)
+    row = stats.stats(ev, ev.where("false").select(F.lit("").alias("reason")), dedup.fold_falls(ev), ev)
+    pairs = lambda name, key, value: F.array_join(F.transform(name, lambda x: F.concat_ws(":", x[key].cast("string"), x[value].cast("string"))), ",").alias(name)
+    return row.select("gauges.devices", "gauges.rooms", "gauges.events", "gauges.alarms", pairs("accepted", "type", "n"), pairs("depth", "tier", "depth"), F.col("latency.p95").cast("double").alias("p95"))
+
+
+@query("alarm_sse", on_alarms("""
+SELECT cursor, 'id: ' || cursor || chr(10) || 'event: alarm' || chr(10) || 'data: {"event_id":"' || event_id || '","device_id":"' || device_id || '","room_id":"' || room_id || '","ts":"' || ts || '","confidence":' || confidence
+  || ',"cursor":' || cursor || ',"duplicates_collapsed":' || duplicates_collapsed || '}' || chr(10) || chr(10) AS message FROM alarms WHERE cursor > 40
+UNION ALL SELECT max(cursor), ': connected cursor=' || max(cursor) || chr(10) || chr(10) FROM alarms"""))
+def alarm_sse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.sse_backlog(stage(alarms(spark, sf_dir), "alarms"), "40").select("cursor", "message")
+
+
+@query("replayed_alarms", on_alarms("SELECT * FROM alarms"))
+def replayed_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alarms after the log was exported as lines and replayed."""
+    path = f"{shared_dir(spark)}/wardline/lines-{uuid.uuid4().hex}"
+    log.export_lines(events(spark, sf_dir).drop("event_id", "cp"), path)
+    return dedup.alarm_log(log.replay(spark, path)[0])
+
+
+@query("streamed_alarms", on_alarms("SELECT * FROM alarms"))
+def streamed_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same alarms from a stateful stream over the event log, run until nothing is left."""
+    from wardline.streaming import pipeline
+
+    root = f"{shared_dir(spark)}/wardline/stream-{uuid.uuid4().hex}"
+    events(spark, sf_dir).drop("event_id", "cp").write.parquet(f"{root}/events/batch_id=0")
+    pipeline.run(pipeline.write_alarms(pipeline.alarm_changes(pipeline.read_events(spark, root)), root, f"{root}/checkpoint"))
+    return pipeline.alarm_log(spark, root)
+
+
+@query("mirrored_alarms", on_alarms("SELECT event_id, min(cursor) AS cursor FROM alarms GROUP BY event_id"))
+def mirrored_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mirror table that was filled with a part of the alarms, then reconciled twice with the whole log."""
+    from wardline.streaming import pipeline
+
+    path, found = f"{shared_dir(spark)}/wardline/mirror-{uuid.uuid4().hex}", stage(alarms(spark, sf_dir), "alarms")
+    for part in (found.where("cursor % 2 = 0 AND cursor < 100"), found, found):
+        pipeline.mirror(part, path)
+    return spark.read.parquet(path).groupBy("event_id").agg(F.min("cursor").alias("cursor"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wardline.operators.validate import strict_json
+
 
 def parsed(bodies: DataFrame) -> DataFrame:
     """bodies (body_id, received_ms, body) -> a row for each event: body_id, received_ms, pos, raw.
@@ -20,7 +22,7 @@ def parsed(bodies: DataFrame) -> DataFrame:
     items = F.zip_with(kinds, F.from_json("__t", "array<string>"), lambda k, own: F.when(k["kind"].startswith("OBJECT"), own).otherwise(k["json"]))
     events = F.when(is_array, items).when(F.contains("__t", F.lit("\n")), lines).otherwise(F.array("__t"))
     d = d.withColumn("__events", events)
-    broken = F.when(is_array, F.col("__v").isNull()).otherwise(F.exists("__events", lambda x: F.try_parse_json(x).isNull()))
+    broken = F.when(is_array, ~strict_json(F.col("__t"))).otherwise(F.exists("__events", lambda x: ~strict_json(x)))
     reason = F.when(F.col("__t") == "", "empty_body").when(broken, "invalid_json")
     d = d.withColumn("body_reason", reason).withColumn("__events", F.when(F.col("body_reason").isNull(), F.col("__events")))
     return d.select("body_id", "received_ms", "body_reason", F.posexplode_outer("__events").alias("pos", "raw"))

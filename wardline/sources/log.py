@@ -31,6 +31,17 @@ def truncate_before(log: DataFrame, hour: int) -> DataFrame:
     return log.where(F.col("hour") >= hour)
 
 
+def drop_before(spark: SparkSession, path: str, hour: int) -> int:
+    """Delete the folders of hours before `hour` from the log on disk; returns how many went. Folder names alone are read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_type=*/hour=*"))
+    old = [f.getPath() for f in found or [] if int(f.getPath().getName().split("=")[1]) < hour]
+    for folder in old:
+        fs.delete(folder, True)
+    return len(old)
+
+
 def replay(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines of events -> (events, skipped lines). A line that can't be read is skipped wherever it stands.
 

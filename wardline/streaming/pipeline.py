@@ -120,26 +120,56 @@ def write_alarms(changes: DataFrame, root: str, checkpoint: str, publish: Callab
         spark = batch.sparkSession
         kept = batch.persist()
         kept.where("kind = 'amended'").write.mode("overwrite").parquet(_batch_dir(f"{root}/amendments", batch_id))
-        head = 0
-        if batch_id:
-            before = alarm_rows(spark, root)
-            head = before.where(F.col("batch_id") < batch_id).agg(F.coalesce(F.max("cursor"), F.lit(0))).first()[0] if before is not None else 0
+        head = head_before(spark, root, batch_id)
         new = number_rows(kept.where("kind = 'created'").drop("kind", "change_ord"), F.col("ord"), name="cursor", first=head + 1)
         new.write.mode("overwrite").parquet(_batch_dir(f"{root}/alarms", batch_id))
+        written = spark.read.schema(new.schema).parquet(_batch_dir(f"{root}/alarms", batch_id))
+        written.agg(F.coalesce(F.max("cursor"), F.lit(head)).cast("long").alias("head")).write.mode("overwrite").parquet(_batch_dir(f"{root}/heads", batch_id))
         kept.unpersist()
         if publish:
-            publish(spark.read.parquet(_batch_dir(f"{root}/alarms", batch_id)).orderBy("cursor"), batch_id)
+            publish(written.orderBy("cursor"), batch_id)
 
     return changes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
 
 
-def alarm_rows(spark: SparkSession, root: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.option("basePath", f"{root}/alarms").parquet(f"{root}/alarms")
-    except AnalysisException:
-        return None
+def head_before(spark: SparkSession, root: str, batch_id: int) -> int:
+    """The last cursor given before a batch: one row that the batch before it wrote, whatever the length of the history."""
+    if not batch_id:
+        return 0
+    return spark.read.schema("head long").parquet(_batch_dir(f"{root}/heads", batch_id - 1)).first()[0]
+
+
+class Subscribers:
+    """Receivers of new alarms, for `publish`: each gets an alarm at most once, in order of cursors. One that fails is
+    dropped and stops nothing."""
+
+    def __init__(self) -> None:
+        self.live: dict[str, list] = {}
+
+    def add(self, name: str, send: Callable[[dict], None], after: int = 0) -> Callable[[], None]:
+        """Serve alarms with cursors beyond `after`; the result ends the subscription."""
+        self.live[name] = [send, after]
+        return lambda: self.live.pop(name, None)
+
+    def __call__(self, new: DataFrame, batch_id: int) -> None:
+        for alarm in new.toLocalIterator():  # a batch of new alarms, row by row
+            for name, (send, after) in list(self.live.items()):
+                if alarm.cursor > after:
+                    try:
+                        send(alarm.asDict())
+                        self.live[name][1] = alarm.cursor
+                    except Exception:
+                        self.live.pop(name, None)
+
+
+def run(writer: DataStreamWriter, seconds: int = 600) -> None:
+    """Run a stream until nothing is left; its error is raised here."""
+    spark = SparkSession.active()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    query = writer.trigger(availableNow=True).start()
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream did not end within {seconds} s")
 
 
 def alarm_log(spark: SparkSession, root: str) -> DataFrame:
