@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, pii, sharding, substring_dedup, topk, toxicity
+from wardline.llm import common, exact_dedup, lm_scoring, mixing, near_dedup, packing, pii, sharding, substring_dedup, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(20_000))
@@ -17,7 +17,14 @@ ROWS = [
     (1, "a  b\tc d", "en", "s1", 1), (2, "a b c d", None, "s1", None), (3, None, "en", None, 1), (4, "", "en", "s2", 1), (5, " \n\t ", "en", "s2", 1), (6, LONG, "en", "s1", 1), (7, LONG + " end", "en", None, 1),
     (8, BASE, "en", "s3", 1), (8, BASE, "en", "s3", 1), (None, BASE, "en", "s3", 1), (9, BASE + " tail", None, "s3", 1), (None, None, None, None, None), (10, "A B C D", "en", "", 1), (11, "🙂 é 東京 x", "en", "s1", 1), (12, "x" * 200_000, "en", "s4", 1),
 ]
-CLASHING = ["size", "key", "bucket", "target", "rest", "id", "th", "sha", "part", "row", "ranges", "n", "fp", "source_size", "epochs", "s", "length", "score", "v"]
+CLASHING = ["size", "key", "bucket", "target", "rest", "id", "th", "sha", "part", "row", "ranges", "n", "fp", "source_size", "epochs", "s", "length", "score", "v",
+            "pii", "place", "shard", "slot", "row_number", "__size", "__key", "__bucket", "__text", "__email", "__base", "__at", "__part", "__place", "__n", "__word", "__bits", "__h", "__w", "__maybe", "__kept", "__again", "__row"]
+
+
+BEYOND = {
+    "exact": exact_dedup.verdicts, "exact_docs": lambda d: exact_dedup.exact_dedup(d).select("doc_id"), "near": near_dedup.near_duplicates, "near_docs": lambda d: near_dedup.near_dedup(d).select("doc_id"),
+    "substring": substring_dedup.digests, "cut": lambda d: substring_dedup.substring_dedup(d).select("doc_id", "text"), "mix": lambda d: mixing.mix(d).select("doc_id"),
+}
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +37,11 @@ def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def only_own(rows):
+    """Columns that were given come back with their own values."""
+    return all(r[c] == "own" for r in rows.select(*CLASHING).collect() for c in CLASHING)
+
+
 def norm(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
@@ -44,10 +56,31 @@ def test_exact_dedup(spark, docs, nothing):
     assert sorted((repr(r.doc_id), repr(r.keep_id), r.group_size) for r in got) == want
     assert {bytes(r.sha).hex() for r in got} == {hashlib.sha256(t.encode()).hexdigest() for t in groups}
     kept = exact_dedup.exact_dedup(docs)
-    assert kept.columns == docs.columns and sorted(norm(r.text) for r in kept.collect()) == sorted(groups)
+    assert kept.columns == docs.columns and sorted(norm(r.text) for r in kept.collect()) == sorted(groups) and only_own(kept)
     assert exact_dedup.verdicts(nothing).count() == exact_dedup.exact_dedup(nothing).count() == 0
 
 
+def test_exact_dedup_shuffles_suspects_only(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', CASE WHEN id < 6000 THEN 0 WHEN id < 8000 THEN id DIV 2 ELSE id END) AS text")
+    digests = exact_dedup.digests(rows)
+    maybe = exact_dedup.tested(digests).where("maybe").count()
+    assert 8000 <= maybe < 8000 + 3 * 12_000 / exact_dedup.CELLS_PER_ROW
+    sizes = {r.group_size: r["count"] for r in exact_dedup.verdicts(rows).groupBy("group_size").count().collect()}
+    assert sizes == {6000: 6000, 2: 2000, 1: 12_000}
+
+
+def test_beyond_broadcasts(spark, docs, monkeypatch):
+    """With tables too large to broadcast the results are the same, and only texts that may have a partner shuffle."""
+    before = {name: sorted(map(repr, f(docs).collect())) for name, f in BEYOND.items()}
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(common, "HOT", 3)
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", 1)
+    for name, f in BEYOND.items():
+        assert sorted(map(repr, f(docs).collect())) == before[name], name
+    plan = exact_dedup.exact_dedup(docs.limit(9))._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bits" in plan and "LeftOuter" in plan
+
+
 def plain_shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
@@ -106,7 +139,12 @@ def test_mixing(spark, docs, nothing):
     assert math.isclose(sum(t[0] for t in total.values()), sum(r.size for r in got))
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mixture(docs.repartition(5)).collect()))
     mixed = mixing.mix(docs)
-    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert mixed.columns == docs.columns and mixed.count() > 0 and only_own(mixed)
+    domains = spark.createDataFrame([(i, "w " * (1 + i * 7 % 50), f"d{i:03}") for i in range(300)], "doc_id long, text string, source string")
+    taken = {r.source: r for r in mixing.mixture(domains).collect()}
+    assert math.isclose(sum(r.target for r in taken.values()), sum(r.size for r in taken.values()))
+    free = [r.target / (1 + i % 3) for i, r in enumerate(taken[f"d{i:03}"] for i in range(300)) if r.target < 3 * r.size]
+    assert len(free) > 100 and max(free) - min(free) < 1e-6 and all(r.target / (1 + i % 3) <= free[0] + 1e-6 for i, r in enumerate(taken[f"d{i:03}"] for i in range(300)))
     assert mixing.mixture(nothing).count() == mixing.mix(nothing).count() == 0
     weighted = mixing.mixture(docs.withColumn("q", F.lit(None).cast("double")), F.col("q"))
     assert weighted.count() == len(ROWS)
@@ -135,7 +173,8 @@ PII = [
 
 
 def test_pii(spark, docs, nothing):
-    rows = pii.find_spans(spark.createDataFrame(list(enumerate(PII)), "doc_id long, text string").withColumn("pii", F.lit(1))).collect()
+    rows = pii.find_spans(spark.createDataFrame(list(enumerate(PII)), "doc_id long, text string").withColumn("PII", F.lit(1))).withColumnRenamed("PII", "given").withColumnRenamed("pii_2", "pii").collect()
+    assert all(r.given == 1 for r in rows)
     for r in rows:
         base = [f"{s.kind}:{s.start}:{s.stop}" for s in r.pii if s.kind in pii.BASE]
         assert base == plain_spans(r.text), r.text and r.text[:50]
@@ -146,6 +185,7 @@ def test_pii(spark, docs, nothing):
     clean = pii.redact(spark.createDataFrame([(1, "é a@b.c, +44 20 7946 0958."), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.text for r in clean] == ["é [email], [phone].", None]
     assert pii.find_spans(docs).count() == len(ROWS) and pii.find_spans(nothing).count() == 0
+    assert only_own(pii.find_spans(docs)) and only_own(pii.redact(docs)) and pii.redact(docs).columns == docs.columns
 
 
 def test_toxicity(spark, docs, nothing, sf):
@@ -239,8 +279,9 @@ def test_sharding(spark, docs, nothing, tmp_path):
     assert sharding.assign_shards(nothing).count() == 0
     for n in (1, 2, 5, 1000, 4097):
         assert sorted(sharding.permuted(np.arange(n), n).tolist()) == list(range(n))
-    sharding.write_shards(spark.createDataFrame(ROWS, SCHEMA), str(tmp_path / "out"), 4)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(ROWS)
+    sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() == len(ROWS) and only_own(written) and {r.shard_2 for r in written.select("shard_2", "slot_2").collect()} == {0, 1, 2, 3}
 
 
 def test_lm_scoring(spark, docs, nothing):

@@ -1,12 +1,15 @@
-"""Shared helpers of the training-data operators: patterns, sized joins, batches of texts."""
+"""Shared helpers of the training-data operators: patterns, joins that bound what moves, batches of texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from wardline.sources.staging import number_rows, shared_dir, stage
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "WORD", "number_rows", "shared_dir", "sized", "stage", "text_batches"]
+__all__ = ["SPACE", "WORD", "free_name", "number_rows", "partnered", "prefix_sums", "shared_dir", "sized", "spread_join", "stage", "text_batches"]
 
 #: Words are maximal runs of anything but ASCII white space (fixed by the contract).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +18,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_BYTES = 8 << 20
 #: Rows in one Arrow batch of texts handed to Python; bounds a worker's memory.
 TEXT_BATCH_ROWS = 256
+#: Groups of more than one in HOT rows number HOT at most, so that they can be broadcast.
+HOT = 65_536
+#: Words of 64 bits in the filter that is broadcast before a shuffle of texts; keys for each word; bits set by a key.
+FILTER_WORDS, KEYS_PER_WORD, PROBES = 1 << 18, 4, 4
 
 
 def text_batches(spark: SparkSession) -> None:
@@ -22,6 +29,76 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
-def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or name_2, name_3, ... if docs has such a column already."""
+    taken, out, i = {c.lower() for c in docs.columns}, name, 1
+    while out.lower() in taken:
+        i += 1
+        out = f"{name}_{i}"
+    return out
+
+
+def sized(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
     """Mark a staged table for broadcasting if its measured size is small; otherwise leave it to a shuffled join."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    return F.broadcast(df) if df.count() * row_bytes <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
+def mask(h: Column) -> Column:
+    """The bits that a hash sets in its word."""
+    mixed, bits = F.xxhash64(h, F.lit(11)), F.lit(0).cast("long")
+    for i in range(PROBES):
+        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(mixed, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
+    return bits
+
+
+def partnered(rows: DataFrame, side: DataFrame, on: Column, row_hash: Column, side_hash: Column, row_bytes: int, how: str = "inner") -> DataFrame:
+    """rows (wide, with texts) joined with a staged side: inner, left or left_anti.
+
+    A side that is small as measured is broadcast. Otherwise a Bloom filter of its keys, of at most FILTER_WORDS words,
+    is broadcast, and only rows that may have a partner shuffle; the rest are decided where they are. The filter loses
+    its force gradually beyond some 4 million keys; what it lets through is decided by the join, so nothing is lost.
+    """
+    n = side.count()
+    if n * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(side), on, how)
+    words = min(FILTER_WORDS, max(1, n // KEYS_PER_WORD))
+    filled = side.select(F.pmod(side_hash, F.lit(words)).alias("__word"), mask(side_hash).alias("__bits"))
+    bits = F.broadcast(stage(filled.groupBy("__word").agg(F.bit_or("__bits").alias("__bits")), "filter"))  # FILTER_WORDS rows at most
+    flagged = rows.withColumn("__h", row_hash).withColumn("__w", F.pmod("__h", F.lit(words))).join(bits, F.col("__w") == F.col("__word"), "left")
+    may = F.coalesce(F.col("__bits").bitwiseAND(mask(F.col("__h"))) == mask(F.col("__h")), F.lit(False))
+    own = ["__h", "__w", "__word", "__bits"]
+    joined = flagged.where(may).drop(*own).join(side, on, how)
+    if how == "inner":
+        return joined
+    return joined.unionByName(flagged.where(~may).drop(*own), allowMissingColumns=True)
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, row_bytes: int = 128) -> DataFrame:
+    """Staged rows joined with one staged row for each of their groups, whose `size` counts the group's rows.
+
+    Groups that are small as measured are broadcast. Otherwise the groups of more than one in HOT rows, HOT at most,
+    are broadcast and their rows stay where they are; no key of the shuffled rest has more than one in HOT rows.
+    """
+    n = groups.count()
+    if n * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(groups), keys)
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(groups.where(F.col(size) * HOT > total))
+    cold = groups.where(F.col(size) * HOT <= total)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
+def prefix_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """df with, for each new name -> column, the sum of that column over the rows before, in an order without ties.
+
+    Rows are dealt by range and sorted within ranges; one row for each range is ever gathered.
+    """
+    placed = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    totals = placed.groupBy("__part").agg(*[F.sum(c).alias(f"__{name}") for name, c in sums.items()])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__part", *[F.coalesce(F.sum(f"__{name}").over(before), F.lit(0)).alias(f"__{name}") for name in sums])
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(F.broadcast(offsets), "__part")  # one row for each range
+    out = joined.select("*", *[(F.col(f"__{name}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(name) for name, c in sums.items()])
+    return out.drop("__at", "__part", *[f"__{name}" for name in sums])

@@ -1,10 +1,14 @@
-"""Exact dedup by counted hashes and a Bloom filter (DataFrame functions only).
+"""Exact dedup by two-pass Bloom filtering (DataFrame functions only).
 
-Pass 1 reads the texts once and stages a narrow digest (doc_id, 64-bit hash, SHA-256). Hashes that occur
-twice or more, by a count that shuffles the 64-bit hash of every row, unique ones included, fill a register-blocked Bloom filter: each sets four bits in
-one 64-bit word. Pass 2 tests every digest with a single look-up of its word. Only rows that the filter
-reports as possibly repeated shuffle by SHA-256; all others pass from there as groups of one.
-The filter is broadcast if its measured size is small, and joined on the word's number otherwise.
+Pass 1 reads the texts once and stages a narrow digest (doc_id, 64-bit hash, SHA-256). Each hash falls on one cell of a
+counting filter of CELLS_PER_ROW cells for each row of the table; counts are added up within tasks first, so what
+moves is at most one (cell, count) pair for each row and task, whatever the copies, and never a digest. Cells hit twice
+or more are kept as bits, 64 in a word. Pass 2 tests every digest with a look-up of its bit: a row whose cell was hit
+once is certainly unique and passes from there as a group of one. Only the others, repeated rows and about one unique
+row in CELLS_PER_ROW, shuffle by SHA-256, which decides. The bits are broadcast up to FILTER_BYTES as measured, and
+joined on the word's number beyond.
+
+A group of copies, however large, is added up within tasks, and its verdict goes to its rows by `spread_join`.
 
 Defined results: null text counts as empty; empty texts are equal to each other. A null doc_id comes after
 all others, and keep_id is null only if a group has no other id. Rows that repeat with the same doc_id and
@@ -16,10 +20,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.llm.common import SPACE, sized, stage
+from wardline.llm.common import SPACE, partnered, sized, spread_join, stage
 
-#: Bits set for each hash, in a word of 64; two repeated hashes share a word on average.
-PROBES, HASHES_PER_WORD = 4, 2
+#: Cells of the filter for each row of the table; the most that is broadcast of its bits, and what a word of them takes.
+CELLS_PER_ROW, FILTER_BYTES, WORD_BYTES = 16, 32 << 20, 48
 
 
 def normalised(text: Column) -> Column:
@@ -32,37 +36,31 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return stage(norm.select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")), "digests")
 
 
-def mask(h: Column) -> Column:
-    """The bits that a hash sets in its word."""
-    mixed, bits = F.xxhash64(h, F.lit(11)), F.lit(0).cast("long")
-    for i in range(PROBES):
-        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(mixed, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
-    return bits
+def bit_of(cell: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(cell, F.lit(64)).cast("int"))
 
 
-def bloom(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Words (number, bits) of the filter over hashes that repeat, and how many words it may have."""
-    repeated = stage(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated")
-    words = max(1, repeated.count() // HASHES_PER_WORD)
-    filled = repeated.select(F.pmod("h", F.lit(words)).alias("word"), mask(F.col("h")).alias("bits"))
-    return stage(filled.groupBy("word").agg(F.bit_or("bits").alias("bits")), "bloom"), words
+def again(rows: DataFrame, cells: int) -> DataFrame:
+    """Pass 1: the words (number, bits) of the filter that have a cell hit twice or more, staged."""
+    counts = rows.groupBy(F.pmod("h", F.lit(cells)).alias("cell")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stage(counts.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit_of(F.col("cell"))).alias("bits")), "bloom")
 
 
 def tested(rows: DataFrame) -> DataFrame:
-    """rows with `maybe`: false where the hash is certainly unique."""
-    filter_words, words = bloom(rows)
-    probe = rows.withColumn("word", F.pmod("h", F.lit(words)))
-    hit = probe.join(sized(filter_words, 64), "word", "left")
-    return hit.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(mask(F.col("h"))) == mask(F.col("h")), F.lit(False))).drop("word", "bits")
+    """Pass 2: rows with `maybe`, false where the hash is certainly unique."""
+    cells = max(64, rows.count() * CELLS_PER_ROW)
+    probe = rows.withColumn("cell", F.pmod("h", F.lit(cells))).withColumn("word", F.shiftright("cell", 6))
+    hit = probe.join(sized(again(rows, cells), WORD_BYTES, FILTER_BYTES), "word", "left")
+    return hit.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(bit_of(F.col("cell"))) != 0, F.lit(False))).drop("word", "cell", "bits")
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, sha."""
     rows = tested(digests(docs, id_col, text_col))
-    suspects, alone = rows.where("maybe"), rows.where(~F.col("maybe"))
+    suspects, alone = stage(rows.where("maybe").drop("maybe", "h"), "suspects"), rows.where(~F.col("maybe"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id")))
-    groups = suspects.groupBy("sha").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    in_groups = suspects.join(groups, "sha").select("doc_id", F.col("first.id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("first.id")).alias("kept"), "sha")
+    groups = stage(suspects.groupBy("sha").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
+    in_groups = spread_join(suspects, groups, ["sha"], "group_size").select("doc_id", F.col("first.id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("first.id")).alias("kept"), "sha")
     return alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha").unionByName(in_groups)
 
 
@@ -75,8 +73,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     per_row = stage(found.groupBy("sha", "doc_id").agg(F.first("kept").alias("__kept"), (F.count(F.lit(1)) > 1).alias("__again")), "per_row")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no column of docs can clash with ours
     keyed = docs.select(row, F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha"), F.col(id_col).alias("id"))
-    marks = sized(per_row.select(F.col("sha").alias("sha2"), F.col("doc_id").alias("id2"), "__kept", "__again"), 128)
-    seen = keyed.join(marks, (F.col("sha") == F.col("sha2")) & F.col("id").eqNullSafe(F.col("id2")), "left").where(F.coalesce("__kept", F.lit(True)))
+    marks = per_row.select(F.col("sha").alias("sha2"), F.col("doc_id").alias("id2"), "__kept", "__again")
+    same = (F.col("sha") == F.col("sha2")) & F.col("id").eqNullSafe(F.col("id2"))
+    seen = partnered(keyed, marks, same, F.xxhash64("sha", "id"), F.xxhash64("sha2", "id2"), 128, "left").where(F.coalesce("__kept", F.lit(True)))
     if per_row.where("__kept and __again").isEmpty():
         return seen.select("row.*")
     again = seen.where("__again").dropDuplicates(["sha", "id"])

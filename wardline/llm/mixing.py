@@ -10,11 +10,14 @@ up; the last one is taken in part (`taken` is exact) or, in `mix`, whole if at l
 Keys are ranked in two levels, so that no source, however large, is sorted in one task: sums for each of BUCKETS
 ranges of the key find the range where the budget ends, and only the rows of that range are sorted.
 
+Sources may be as many as domains: they are ordered by ranges (`prefix_sums`), never in one task.
+
 Quality weight: 1 less twice the share of ASCII punctuation and digits, 0.05 at least (or a column of yours).
 
 Defined results: null text has size 0 and is never taken; null sources form one source; sources without words
 have target 0; rows that repeat in doc_id, source and size draw the same key and share what is taken evenly
-(rounded down); an empty table gives no rows.
+(rounded down); an empty table gives no rows; other columns, whatever their names, are kept by `mix` and don't matter
+otherwise.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from wardline.llm.common import WORD, sized, stage
+from wardline.llm.common import WORD, number_rows, partnered, prefix_sums, sized, stage
 
 MAX_EPOCHS, BUCKETS, SEED = 3, 4096, "mix-1"
 WEIGHTS = (1, 2, 3)
@@ -34,34 +37,34 @@ def quality(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.lit(1.0) - F.lit(2.0) * share)
 
 
-def _keyed(docs: DataFrame, weight: Column | None) -> DataFrame:
-    """docs with __size, __key and __bucket."""
+def _keyed(docs: DataFrame, weight: Column | None, *carried: Column) -> DataFrame:
+    """carried, doc_id, source, size, key and bucket of each row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     head = F.substring(F.md5(F.encode(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")), 1, 13)
     u = (F.conv(head, 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
     w = quality(text) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.05)), F.lit(1e-6))
-    out = docs.withColumn("__size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("__key", -F.log(u) / w)
-    return out.withColumn("__bucket", F.floor(F.lit(float(BUCKETS)) * F.col("__key") / (F.col("__key") + 1.0)).cast("int"))
+    out = docs.select(*carried, "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (-F.log(u) / w).alias("key"))
+    return out.withColumn("bucket", F.floor(F.lit(float(BUCKETS)) * F.col("key") / (F.col("key") + 1.0)).cast("int"))
 
 
 def targets(totals: DataFrame) -> DataFrame:
-    """source, source_size -> target (double). One small row for each source is ordered globally."""
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_name, filling = Window.orderBy(F.asc_nulls_last("source")), Window.orderBy("level", F.asc_nulls_last("source"))
-    earlier = filling.rowsBetween(Window.unboundedPreceding, -1)
+    """Staged source, source_size -> target (double)."""
     w = F.lit(None)
     for i, x in enumerate(WEIGHTS):
-        w = F.when((F.row_number().over(by_name) - 1) % len(WEIGHTS) == i, x).otherwise(w)
-    t = totals.withColumn("w", w.cast("long")).withColumn("cap", F.col("source_size") * MAX_EPOCHS)
-    t = t.withColumn("level", F.col("cap").cast("double") / F.col("w").cast("double"))
-    t = t.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(earlier), F.lit(0)))
-    t = t.withColumn("w_left", F.sum("w").over(every) - F.coalesce(F.sum("w").over(earlier), F.lit(0)))
-    share = lambda a: (F.col("w") * a["left"]).cast("double") / a["w_left"].cast("double")
-    here = F.struct("left", "w_left")
-    t = t.withColumn("fits", F.when(share(here) <= F.col("cap").cast("double"), here))
-    t = t.withColumn("at", F.first("fits", ignorenulls=True).over(filling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    full = F.max(F.col("fits").isNotNull()).over(filling.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return t.withColumn("target", F.when(full, share(F.col("at"))).otherwise(F.col("cap").cast("double"))).select("source", "source_size", "target")
+        w = F.when(F.col("place") % len(WEIGHTS) == i, x).otherwise(w)
+    t = number_rows(totals, F.asc_nulls_last("source"), name="place").withColumn("w", w.cast("long")).withColumn("cap", F.col("source_size") * MAX_EPOCHS)
+    t = stage(t.withColumn("level", F.col("cap").cast("double") / F.col("w").cast("double")).drop("place"), "levels")
+    every = t.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))
+    t = prefix_sums(t, [F.asc("level"), F.asc_nulls_last("source")], {"caps": "cap", "ws": "w"}).withColumn("one", F.lit(1))
+    t = t.join(F.broadcast(every.withColumn("one", F.lit(1))), "one")  # one row
+    t = stage(t.withColumn("left", F.col("all_size") - F.col("caps")).withColumn("w_left", F.col("all_w") - F.col("ws")), "filling")
+    share = lambda left, w_left: (F.col("w") * left).cast("double") / w_left.cast("double")
+    fits = t.where(share(F.col("left"), F.col("w_left")) <= F.col("cap").cast("double"))
+    # the first source, in the order in which they fill up, whose share of the rest is within its cap
+    at = fits.agg(F.max(F.struct("w_left", "left")).alias("at")).withColumn("one", F.lit(1))
+    t = t.join(F.broadcast(at), "one", "left")  # one row
+    open_ = F.col("w_left") <= F.col("at.w_left")
+    return t.withColumn("target", F.when(open_, share(F.col("at.left"), F.col("at.w_left"))).otherwise(F.col("cap").cast("double"))).select("source", "source_size", "target")
 
 
 def plan(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,13 +90,14 @@ def plan(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _scored(docs: DataFrame, weight: Column | None) -> DataFrame:
-    return stage(_keyed(docs, weight).select("doc_id", "source", F.col("__size").alias("size"), F.col("__key").alias("key"), F.col("__bucket").alias("bucket")), "scored")
+    return stage(_keyed(docs, weight), "scored")
 
 
 def _decided(rows: DataFrame, per_source: DataFrame, edge: DataFrame) -> DataFrame:
     """rows (doc_id, source, size, key, bucket, ...) with epochs and extra: what is taken beyond complete epochs."""
     out = rows.join(sized(per_source, 160), F.col("source").eqNullSafe(F.col("s")), "left")
-    out = out.join(sized(edge, 160), (F.col("key") == F.col("k2")) & (F.col("size") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("s3")), "left")
+    same = (F.col("key") == F.col("k2")) & (F.col("size") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("s3"))
+    out = partnered(out, edge, same, F.xxhash64("key", "size", "doc_id", "source"), F.xxhash64("k2", "n2", "d2", "s3"), 160, "left")
     inside = F.col("end_bucket").isNotNull()
     extra = F.when(inside & (F.col("bucket") < F.col("end_bucket")), F.col("size")).when(inside & (F.col("bucket") == F.col("end_bucket")), F.coalesce("edge_extra", F.lit(0)))
     whole = F.col("rest") >= F.col("source_size")  # no range ends the budget: all is taken once more
@@ -109,11 +113,10 @@ def mixture(docs: DataFrame, weight: Column | None = None) -> DataFrame:
 def mix(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     """The mixed documents: each row of docs as often as the mix takes it, all columns kept."""
     per_source, edge = plan(_scored(docs, weight))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")  # no column of docs can clash with ours
-    keyed = _keyed(docs, weight).select(row, "doc_id", "source", F.col("__size").alias("size"), F.col("__key").alias("key"), F.col("__bucket").alias("bucket"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no column of docs can clash with ours
     times = F.col("epochs") + F.when((F.col("size") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0)
-    taken = _decided(keyed, per_source, edge).select("__row", times.cast("int").alias("times")).where("times > 0")
-    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("__row.*")
+    taken = _decided(_keyed(docs, weight, row), per_source, edge).select("row", times.cast("int").alias("times")).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

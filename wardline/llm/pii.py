@@ -12,7 +12,8 @@ in PLAIN find, but in linear time and without recursion on very long texts. Offs
 split at the matches, and the lengths of gaps and matches are added up.
 
 Defined results: null and empty texts have no spans (counts 0, empty strings); repeated rows are treated alike;
-an empty table gives no rows; null doc_id is passed through; extra columns don't matter.
+an empty table gives no rows; null doc_id is passed through; all columns of the input are kept, and if one of them is
+named pii, the spans are in pii_2 (or the next free name).
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline.llm.common import free_name
+
 #: The base kinds in the order of listing, as the contract writes them.
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -75,42 +78,49 @@ def _spans(text: Column, kind: str) -> Column:
     """Valid spans of one kind, in order."""
     pattern, none = FAST[kind], F.array().cast(SPAN)
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("m"), F.length(g).cast("long").alias("gap")))
+    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
+        start = acc["at"] + F.length(x["g"])
         stop = start + F.length(x["m"])
-        before = F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT)).cast("int")))
-        score = F.lit(SCORE[kind]) + F.when(before.rlike(rf"(^|[^a-z])({WORDS[kind]})"), BOOST).otherwise(0.0)
+        before = F.right(F.concat(acc["tail"], x["g"]), F.lit(CONTEXT))  # each gap is read once, the text never again
+        score = F.lit(SCORE[kind]) + F.when(F.lower(before).rlike(rf"(^|[^a-z])({WORDS[kind]})"), BOOST).otherwise(0.0)
         one = F.array(F.struct(start.alias("start"), stop.alias("stop"), score.alias("score")))
-        return F.struct(stop.alias("at"), F.when(VALID[kind](x["m"]), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+        tail = F.right(F.concat(before, x["m"]), F.lit(CONTEXT))
+        return F.struct(stop.alias("at"), tail.alias("tail"), F.when(VALID[kind](x["m"]), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    found = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), none.alias("found")), step, lambda acc: acc["found"])
     guard = F.contains(text, F.lit({"email": "@", "phone": "+"}[kind])) if kind in ("email", "phone") else text.rlike(GUARD[kind])
     return F.when(guard, found).otherwise(none)
 
 
-def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with an array `pii` of structs (kind, start, stop, score), in order of start, then kind as listed."""
-    text = F.col("__text")
-    out = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    out = out.withColumns({f"__{kind}": _spans(text, kind) for kind in PLAIN})
-    base = F.concat(*[F.col(f"__{kind}") for kind in BASE])
-    free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    own = F.filter("__national", lambda s: (s["score"] >= THRESHOLD) & free(s) & ~F.substring(text, s["start"].cast("int"), F.when(s["start"] > 0, 1).otherwise(0)).rlike("[0-9+]"))
-    out = out.withColumn("__base", base).withColumn("__national", F.when(F.size("__national") > 0, own).otherwise(F.col("__national")))
+def _found(docs: DataFrame, text_col: str) -> DataFrame:
+    """row (all of docs), text and pii: no column of docs can clash with ours."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.col("text")
+    out = out.withColumns({kind: _spans(text, kind) for kind in PLAIN})
+    out = out.withColumn("base", F.concat(*BASE))
+    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    own = F.filter("national", lambda s: (s["score"] >= THRESHOLD) & free(s) & ~F.substring(text, s["start"].cast("int"), F.when(s["start"] > 0, 1).otherwise(0)).rlike("[0-9+]"))
+    out = out.withColumn("national", F.when(F.size("national") > 0, own).otherwise(F.col("national")))
+
     def named(rank: int, kind: str) -> Column:
-        return F.transform(f"__{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind"), s["score"].alias("score")))
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind"), s["score"].alias("score")))
 
     every = F.array_sort(F.concat(*[named(i, kind) for i, kind in enumerate(PLAIN)]))
     spans = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["score"].alias("score")))
-    return out.withColumn("pii", spans).drop("__text", "__base", *[f"__{kind}" for kind in PLAIN])
+    return out.select("row", "text", spans.alias("pii"))
+
+
+def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with an array `pii` (or the next free name) of structs (kind, start, stop, score), in order of start, then kind as listed."""
+    return _found(docs, text_col).select("row.*", F.col("pii").alias(free_name(docs, "pii")))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in square brackets; of overlapping spans the first is named."""
-    found = find_spans(docs, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
@@ -119,8 +129,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(s["start"] >= acc["at"], new).otherwise(more)
 
     end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
-    clean = F.aggregate("pii", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, end)
-    return found.withColumn(text_col, F.when(F.size("pii") > 0, clean).otherwise(F.col(text_col))).drop("pii")
+    clean = F.when(F.size("pii") > 0, F.aggregate("pii", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, end)).otherwise(F.col(f"row.`{text_col}`"))
+    return _found(docs, text_col).select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:

@@ -8,7 +8,8 @@ a row. Shards differ by at most one row: law `rows`. Groups of equal texts are n
 group may hold a third of all rows, which that law excludes.
 
 Defined results: null text has no bytes (size 8, checksum 0); null doc_id comes last; rows that repeat in
-doc_id, size and checksum are interchangeable; an empty table gives no rows.
+doc_id, size and checksum are interchangeable, and are spread over ranges by their place in the input; an empty table
+gives no rows; `write_shards` keeps all columns, and names its own shard_2 or slot_2 if those names are taken.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm.common import number_rows
+from wardline.llm.common import free_name, number_rows
 
 SHARDS, SEED, ROUNDS = 24, 20_240, 6
 #: Multipliers and additive keys stay small enough for signed 64-bit products in any SQL engine.
@@ -76,14 +77,18 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_co
     """doc_id, size, text_crc32, row_number, shard, slot: the texts themselves are not moved."""
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(data) + F.lit(8)).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    numbered = number_rows(narrow, F.asc_nulls_last("doc_id"), F.asc("size"), F.asc("text_crc32"))
+    placed = narrow.withColumn("place", F.monotonically_increasing_id())
+    numbered = number_rows(placed, F.asc_nulls_last("doc_id"), F.asc("size"), F.asc("text_crc32"), F.asc("place")).drop("place")
     return with_shards(numbered, docs.count(), shards, seed)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id") -> None:
     """Write docs as one folder for each shard, rows within a file in slot order; one shuffle carries whole rows."""
-    rows = with_shards(number_rows(docs, F.asc_nulls_last(id_col)), docs.count(), shards, seed)
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no column of docs can clash with ours
+    numbered = number_rows(docs.select(row, F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("place")), F.asc_nulls_last("id"), F.asc("place"))
+    rows = with_shards(numbered, docs.count(), shards, seed).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    rows.select("row.*", F.col("shard").alias(shard), F.col("slot").alias(slot)).write.partitionBy(shard).parquet(path)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
