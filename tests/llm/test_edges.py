@@ -304,7 +304,7 @@ def test_lm_scoring_by_hand(spark):
         texts.append((i, " ".join(own)))
     frame = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
     vocabulary = lm_scoring.build_vocabulary(frame)
-    p = lm_scoring.train(frame, vocabulary)
+    p = lm_scoring.train(lm_scoring.numbered(frame, vocabulary), vocabulary)
     for r in lm_scoring.score_documents(frame).where("doc_id < 3").collect():
         ids = [vocabulary.known[w.encode()] for w in texts[r.doc_id][1].split()]
         total = 0.0
@@ -326,6 +326,48 @@ def test_lm_scoring_learns_from_all_words(spark):
     assert mean > -2.5
 
 
+def test_lm_scoring_held_out(spark):
+    """On documents it hasn't seen, the network beats a unigram of all words, however the others lie in tasks."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").dropDuplicates(["text"]).persist()
+    seen, unseen = docs.where("crc32(cast(doc_id AS string)) % 5 <> 0"), docs.where("crc32(cast(doc_id AS string)) % 5 = 0")
+    every = lm_scoring.count_words(seen)
+    counts = {bytes(r.word): r.n for r in every.collect()}
+    total = sum(counts.values())
+    found = [w for r in unseen.collect() for w in lm_scoring.own_words((r.text or "").encode())]
+    unigram = sum(math.log(counts.get(w, 1) / total) for w in found) / len(found)
+    vocabulary = lm_scoring.build_vocabulary(seen, every=every)
+    assert len(vocabulary.known) == lm_scoring.VOCABULARY
+    target, scores = lm_scoring.numbered(unseen, vocabulary), []
+    for tasks in (1, 4, 16):
+        p = lm_scoring.train(lm_scoring.numbered(seen.repartition(tasks), vocabulary), vocabulary)
+        scores.append({r.doc_id: (r.n_words, r.log_prob) for r in lm_scoring.score_numbered(target, every, p, vocabulary).collect()})
+    assert sum(n for n, _ in scores[0].values()) == len(found)
+    means = [sum(x for _, x in s.values()) / len(found) for s in scores]
+    print("unigram", unigram, "network", means)
+    assert min(means) > unigram + 0.15
+    assert all(abs(s[d][1] - x) <= 0.02 * n for s in scores[1:] for d, (n, x) in scores[0].items())
+
+
+def test_lm_gradient(spark):
+    """The summed gradient is that of the cross-entropy, by differences."""
+    rng = np.random.default_rng(2)
+    vocabulary = lm_scoring.Vocabulary.build([(b"a", 5), (b"b", 3), (b"c", 2)], 12)
+    p = {k: v.astype(float) for k, v in lm_scoring.start(vocabulary).items()}
+    p["w2"] = rng.standard_normal(p["w2"].shape)
+    ids = rng.integers(0, 3, 30).astype(np.uint16)
+    ((near, own),) = lm_scoring.around(ids)
+    total = {k: np.zeros(s[::-1] if k == "e" else s) for k, s in lm_scoring.SHAPES.items()}
+    lm_scoring.add_gradient(p, near, vocabulary.class_of[own], total)
+    loss = lambda: -(lm_scoring.log_probs(p, vocabulary, near, own) - vocabulary.within[own]).sum()
+    for k, at in (("e", (1, 3)), ("e", (lm_scoring.PAD, 0)), ("w1", (5, 7)), ("b1", (2,)), ("w2", (4, 1)), ("b2", (0,))):
+        now = p[k][at]
+        p[k][at] = now + 1e-5
+        more = loss()
+        p[k][at] = now - 1e-5
+        slope, p[k][at] = (more - loss()) / 2e-5, now
+        assert math.isclose(slope, total[k][at[::-1]] if k == "e" else total[k][at], rel_tol=1e-3, abs_tol=1e-6), k
+
+
 def test_lm_scoring_counts_rare_words(spark):
     """Outside the vocabulary too, a word has the probability of its own count; both words look alike as neighbours."""
     frequent = " ".join(f"f{i}" for i in range(lm_scoring.VOCABULARY))

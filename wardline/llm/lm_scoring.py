@@ -4,14 +4,17 @@
    their last two bytes. Words are grouped in CLASSES: the most frequent have one each, the rest are dealt out by
    hash, and words outside the vocabulary form the last.
 2. The network reads the numbers of SIDE words on both sides of a masked word and predicts its class; within a
-   class a word has the probability of its count in the corpus.
-3. Training masks every word of every document in turn, in one pass. Tasks train from the same start by Adagrad and their
-   parameters are averaged, weighted by words; parts of the parameters are summed in order of the tasks.
+   class a word has the probability of its count in the corpus. It starts with the classes' own frequencies.
+3. Texts are turned into numbers once and staged. Training masks every word of every document once: a hash of its
+   text deals each document to one of ROUNDS rounds, later ones larger. In a round all tasks sum the gradients of
+   their words for the same parameters, the sums are added up by part of the parameters, and the driver takes one step
+   (Adam). So the parameters don't depend on how documents lie in files and tasks, but for rounding.
 4. Scoring masks every word in turn; a document's score is the sum of the log-probabilities of its words. Counts of
    words outside the vocabulary, which grow with the corpus, are joined by 64-bit hash after the network has scored;
    words seen once have the logarithm 0 and need no partner. Logarithms are added in fixed point, in any order alike.
 
-Only the vocabulary and the parameters, whose sizes are fixed, come to the driver.
+Only the vocabulary, the parameters and their gradients, whose sizes are fixed, come to the driver. Long texts pass
+through the network STEP words at a time.
 
 Defined results: null and blank texts have 0 words, log_prob 0 and a null mean; repeated rows score alike; null
 doc_id is passed through; an empty table gives no rows; extra columns don't matter.
@@ -33,9 +36,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardline.llm import words
 from wardline.llm.common import stage, text_batches
 
-VOCABULARY, OTHER, CLASSES, OWN = 8192, 64, 128, 96
+VOCABULARY, OTHER, CLASSES, OWN = 8192, 64, 64, 48
 SIDE, WIDTH, HIDDEN, SEED = 2, 16, 32, 5
-BATCH, RATE, CHUNK = 512, 0.08, 8192
+#: Rounds of training, how much larger the last is than the first, the rate, and Adam's memories of gradients and squares.
+ROUNDS, GROWTH, RATE, MEMORY = 32, 10.0, 0.1, (0.8, 0.95)
+#: Words that pass through the network at once; values in one part of the parameters; gradient tasks for each core.
+STEP, CHUNK, TASKS_PER_CORE = 4096, 16_384, 2
 PAD = VOCABULARY + OTHER
 SHAPES = {"e": (PAD + 1, WIDTH), "w1": (2 * SIDE * WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, CLASSES), "b2": (CLASSES,)}
 #: Words that a worker keeps the number of.
@@ -56,6 +62,7 @@ class Vocabulary:
     known: dict[bytes, int]
     class_of: np.ndarray  # of each number
     within: np.ndarray
+    rates: np.ndarray  # log-probability of each class
 
     @classmethod
     def build(cls, frequent: list[tuple[bytes, int]], total: int) -> Vocabulary:
@@ -65,10 +72,13 @@ class Vocabulary:
         class_of = np.full(PAD + 1, CLASSES - 1, np.int64)
         class_of[: len(classes)] = classes
         counts = np.array([n for _, n in frequent], float)
-        sums = np.bincount(np.array(classes, np.int64), counts, CLASSES) if len(classes) else np.ones(CLASSES)
-        within = np.full(PAD + 1, -np.log(max(1, total - sum(n for _, n in frequent))))
+        sums = np.bincount(np.array(classes, np.int64), counts, CLASSES) if len(classes) else np.zeros(CLASSES)
+        rest = max(1, total - int(counts.sum()))
+        within = np.full(PAD + 1, -np.log(rest))
         within[: len(classes)] = np.log(counts / sums[classes]) if len(classes) else []
-        return cls({w: i for i, (w, _) in enumerate(frequent)}, class_of, within)
+        sums[CLASSES - 1] = rest
+        sums += 0.5
+        return cls({w: i for i, (w, _) in enumerate(frequent)}, class_of, within, np.log(sums / sums.sum()))
 
 
 class Numbers(dict):
@@ -86,11 +96,8 @@ class Numbers(dict):
         self[word] = value
         return value
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        return self.of_words(own_words(text))
-
     def of_words(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        return np.fromiter(map(self.__getitem__, found), np.uint16, len(found))
 
 
 def rare(found: list[bytes], ids: np.ndarray) -> np.ndarray:
@@ -99,53 +106,77 @@ def rare(found: list[bytes], ids: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(found[i], HASH_SEED) for i in at), np.uint64, len(at)).view(np.int64)
 
 
-def start() -> dict[str, np.ndarray]:
+def start(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """Parameters that predict each class by its frequency, whatever the neighbours."""
     rng = np.random.default_rng(SEED)
-    scale = {"e": 0.1, "w1": 0.15, "w2": 0.15, "b1": 0.0, "b2": 0.0}
-    return {k: (rng.standard_normal(s) * scale[k]).astype(np.float32) for k, s in SHAPES.items()}
+    scale = {"e": 0.3, "w1": 0.15, "w2": 0.01, "b1": 0.0}
+    p = {k: (rng.standard_normal(SHAPES[k]) * v).astype(np.float32) for k, v in scale.items()}
+    return p | {"b2": vocabulary.rates.astype(np.float32)}
 
 
-def around(ids: np.ndarray) -> np.ndarray:
-    """For each word, the numbers of its neighbours, PAD beyond the ends."""
+def around(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of at most STEP words of a text: the numbers of each word's neighbours, PAD beyond the ends, and the words'."""
     padded = np.pad(ids, SIDE, constant_values=PAD)
-    n = len(ids)
-    return np.stack([padded[i : i + n] for i in range(2 * SIDE + 1) if i != SIDE], axis=1)
-
-
-def forward(p: dict[str, np.ndarray], near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, hidden values and log-probabilities of classes."""
+    for lo in range(0, len(ids), STEP):
+        own = ids[lo : lo + STEP]
+        yield np.stack([padded[lo + i : lo + i + len(own)] for i in range(2 * SIDE + 1) if i != SIDE], axis=1), own
+
+
+def together(texts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of several texts, joined to some STEP words."""
+    near, own, waiting = [], [], 0
+    for ids in texts:
+        for x, y in around(ids):
+            near.append(x), own.append(y)
+            waiting += len(y)
+            if waiting >= STEP:
+                yield np.concatenate(near), np.concatenate(own)
+                near, own, waiting = [], [], 0
+    if waiting:
+        yield np.concatenate(near), np.concatenate(own)
+
+
+def forward(p: dict[str, np.ndarray], near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, hidden values, and of each class the output and the logarithm of their exponentials' sum."""
     x = p["e"][near].reshape(len(near), -1)
     hidden = np.tanh(x @ p["w1"] + p["b1"])
     out = hidden @ p["w2"] + p["b2"]
     out -= out.max(axis=1, keepdims=True)
-    out -= np.log(np.exp(out).sum(axis=1, keepdims=True))
-    return x, hidden, out
-
-
-class Trainer:
-    """Adagrad on mean cross-entropy; embeddings are updated only where they were read."""
-
-    def __init__(self) -> None:
-        self.p = start()
-        self.seen = {k: np.full_like(v, 1e-3) for k, v in self.p.items()}
-
-    def step(self, near: np.ndarray, target: np.ndarray) -> None:
-        p = self.p
-        x, hidden, out = forward(p, near)
-        d = np.exp(out)
-        d[np.arange(len(target)), target] -= 1.0
-        d /= len(target)
-        grad = {"w2": hidden.T @ d, "b2": d.sum(axis=0)}
-        back = (d @ p["w2"].T) * (1.0 - hidden * hidden)
-        grad |= {"w1": x.T @ back, "b1": back.sum(axis=0)}
-        rows, place = np.unique(near, return_inverse=True)
-        e = np.zeros((len(rows), WIDTH), np.float32)
-        np.add.at(e, place.reshape(near.shape).ravel(), (back @ p["w1"].T).reshape(-1, WIDTH))
-        for k, g in grad.items():
-            self.seen[k] += g * g
-            p[k] -= RATE * g / np.sqrt(self.seen[k])
-        self.seen["e"][rows] += e * e
-        p["e"][rows] -= RATE * e / np.sqrt(self.seen["e"][rows])
+    return x, hidden, out, np.log(np.exp(out).sum(axis=1))
+
+
+def add_gradient(p: dict[str, np.ndarray], near: np.ndarray, target: np.ndarray, total: dict[str, np.ndarray]) -> None:
+    """Adds the gradient of the cross-entropy of these words to total, where embeddings are transposed."""
+    x, hidden, out, norm = forward(p, near)
+    out -= norm[:, None]
+    d = np.exp(out, out=out)
+    d[np.arange(len(target)), target] -= 1.0
+    total["w2"] += hidden.T @ d
+    total["b2"] += d.sum(axis=0)
+    back = (d @ p["w2"].T) * (1.0 - hidden * hidden)
+    total["w1"] += x.T @ back
+    total["b1"] += back.sum(axis=0)
+    e, rows = (back @ p["w1"].T).reshape(-1, WIDTH), near.ravel()
+    for j in range(WIDTH):
+        total["e"][j] += np.bincount(rows, e[:, j], PAD + 1)
+
+
+class Adam:
+    """Steps along mean gradients, scaled by their running squares; the rate falls in the second half."""
+
+    def __init__(self, p: dict[str, np.ndarray]) -> None:
+        self.p, self.steps = p, 0
+        self.mean, self.square = ({k: np.zeros(s) for k, s in SHAPES.items()} for _ in range(2))
+
+    def step(self, gradient: dict[str, np.ndarray], left: float) -> None:
+        """left: the share of the rounds that is still ahead."""
+        self.steps += 1
+        a, b = MEMORY
+        for k, g in gradient.items():
+            self.mean[k] = a * self.mean[k] + (1 - a) * g
+            self.square[k] = b * self.square[k] + (1 - b) * g * g
+            step = self.mean[k] / (1 - a**self.steps) / (np.sqrt(self.square[k] / (1 - b**self.steps)) + 1e-7)
+            self.p[k] = (self.p[k] - RATE * min(1.0, 2 * left) * step).astype(np.float32)
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -156,7 +187,7 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k], at = values[at : at + n].reshape(s).astype(np.float32), at + n
+        out[k], at = values[at : at + n].reshape(s), at + n
     return out
 
 
@@ -190,102 +221,132 @@ def build_vocabulary(docs: DataFrame, text_col: str = "text", every: DataFrame |
     return Vocabulary.build([(bytes(r.word), r.n) for r in frequent], every.agg(F.sum("n")).first()[0] or 0)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> dict[str, np.ndarray]:
+def round_ends() -> np.ndarray:
+    """Where each round's share of the hashes ends, out of 1."""
+    sizes = 1.0 + (GROWTH - 1.0) * np.linspace(0.0, 1.0, ROUNDS) ** 2
+    return np.cumsum(sizes) / sizes.sum()
+
+
+NUMBERED = "row long, doc_id long, n_words long, round int, ids binary, rare array<long>"
+
+
+def numbered(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Staged: row number, doc_id, words, round, numbers of the words, and hashes of those outside the vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    ends = round_ends()
 
-    def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, trainer = shared.value, Trainer()
-        numbers, near, target, trained, waiting = Numbers(vocabulary.known), [], [], 0, 0
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, row = Numbers(shared.value.known), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for text in words.texts(batch.column(0)):
-                ids = numbers.of(text)
-                if not len(ids):
-                    continue
-                near.append(around(ids))
-                target.append(vocabulary.class_of[ids])
-                waiting += len(ids)
-                if waiting >= 16 * BATCH:
-                    x, y = np.concatenate(near), np.concatenate(target)
-                    for i in range(0, waiting - waiting % BATCH, BATCH):
-                        trainer.step(x[i : i + BATCH], y[i : i + BATCH])
-                    rest = waiting - waiting % BATCH
-                    near, target, trained, waiting = [x[rest:]], [y[rest:]], trained + rest, waiting % BATCH
-        if waiting:
-            x, y = np.concatenate(near), np.concatenate(target)
-            for i in range(0, waiting, BATCH):
-                trainer.step(x[i : i + BATCH], y[i : i + BATCH])
-            trained += waiting
-        if trained:
-            values = flat(trainer.p)
+            if not batch.num_rows:
+                continue
+            texts = words.texts(batch.column(1))
+            found = [own_words(t) for t in texts]
+            ids = [numbers.of_words(f) for f in found]
+            outside = [rare(f, d) for f, d in zip(found, ids, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in outside])), pa.int32()), pa.array(np.concatenate(outside)))
+            place = np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts], np.uint64).astype(float) / 2.0**64
+            rounds = np.minimum(np.searchsorted(ends, place, side="right"), ROUNDS - 1).astype(np.int32)
+            rows = pa.array(np.arange(row, row + len(ids)))
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array([len(d) for d in ids], pa.int64()), pa.array(rounds), pa.array([d.tobytes() for d in ids], pa.binary()), lists], ["row", "doc_id", "n_words", "round", "ids", "rare"])
+
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # sorted by round and in small pages, so that a round reads its own pages only
+    return stage(base.mapInArrow(run, NUMBERED).sortWithinPartitions("round"), "numbered", **{"parquet.page.size": 1 << 16})
+
+
+PARTS = "chunk int, part binary"
+
+
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, part) sorted by chunk -> sums; holds one sum at a time."""
+    now, total = None, None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "part"])
+    for batch in batches:
+        for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if chunk != now:
+                if now is not None:
+                    yield row()
+                now, total = chunk, 0.0
+            total = total + np.frombuffer(part)
+    if now is not None:
+        yield row()
+
+
+def gradient(rows: DataFrame, p: dict[str, np.ndarray], vocabulary: Vocabulary) -> np.ndarray | None:
+    """The number of words in staged rows (ids) and the sum of their gradients, flat; None without words."""
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast((p, vocabulary.class_of))
+
+    def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, class_of = shared.value
+        total, n = {k: np.zeros(s[::-1] if k == "e" else s) for k, s in SHAPES.items()}, 0
+        texts = (np.frombuffer(x, np.uint16) for batch in batches for x in batch.column(0).to_pylist())
+        for near, own in together(texts):
+            add_gradient(p, near, class_of[own], total)
+            n += len(own)
+        if n:
+            values = np.append(float(n), flat(total | {"e": total["e"].T}))
             parts = [values[i : i + CHUNK].tobytes() for i in range(0, len(values), CHUNK)]
-            n, task = len(parts), TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array([trained] * n, pa.int64()), pa.array(parts, pa.binary())], ["chunk", "task", "n", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "part"])
+
+    sums = rows.coalesce(TASKS_PER_CORE * context.defaultParallelism).mapInArrow(local, PARTS)
+    parts = sums.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_summed, PARTS).collect()  # as large as the parameters
+    shared.unpersist()
+    return np.concatenate([np.frombuffer(bytes(r.part)) for r in sorted(parts, key=lambda r: r.chunk)]) if parts else None
 
-    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by chunk and task -> weighted means; holds one sum at a time."""
-        now, total, weight = None, None, 0
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(total / weight).tobytes()], pa.binary())], ["chunk", "part"])
-        for batch in batches:
-            for chunk, n, part in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if chunk != now:
-                    if now is not None:
-                        yield row()
-                    now, total, weight = chunk, 0.0, 0
-                total, weight = total + n * np.frombuffer(part), weight + n
-        if now is not None:
-            yield row()
 
-    trained = docs.select(F.col(text_col).alias("text")).mapInArrow(local, "chunk int, task int, n long, part binary")
-    means = trained.repartition("chunk").sortWithinPartitions("chunk", "task").mapInArrow(summed, "chunk int, part binary")
-    parts = means.orderBy("chunk").collect()  # the parameters: a fixed size
-    return shaped(np.concatenate([np.frombuffer(bytes(r.part)) for r in parts])) if parts else start()
+def train(staged: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """Parameters from the result of `numbered`."""
+    adam = Adam(start(vocabulary))
+    for i in range(ROUNDS):
+        found = gradient(staged.where(F.col("round") == i).select("ids"), adam.p, vocabulary)
+        if found is not None:
+            adam.step(shaped(found[1:] / found[0]), 1.0 - i / ROUNDS)
+    return adam.p
 
 
 def log_probs(p: dict[str, np.ndarray], vocabulary: Vocabulary, near: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log-probability of each word given its neighbours."""
-    out = np.empty(len(ids))
-    for i in range(0, len(ids), 2048):
-        part = ids[i : i + 2048]
-        logs = forward(p, near[i : i + 2048])[2]
-        out[i : i + 2048] = logs[np.arange(len(part)), vocabulary.class_of[part]] + vocabulary.within[part]
-    return out
+    _, _, out, norm = forward(p, near)
+    return out[np.arange(len(ids)), vocabulary.class_of[ids]].astype(float) - norm + vocabulary.within[ids]
 
 
-SCORED = "row long, doc_id long, n_words long, part double, rare array<long>"
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, log_prob, mean_log_prob."""
-    text_batches(docs.sparkSession)
-    every = count_words(docs, text_col)
-    vocabulary = build_vocabulary(docs, text_col, every)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, train(docs, vocabulary, text_col)))
+def network_scores(staged: DataFrame, p: dict[str, np.ndarray], vocabulary: Vocabulary) -> DataFrame:
+    """row, doc_id, n_words and part: what the network and the vocabulary say of a document."""
+    shared = staged.sparkSession.sparkContext.broadcast((p, vocabulary))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, p = shared.value
-        numbers, row = Numbers(vocabulary.known), TaskContext.get().partitionId() << 40
+        p, vocabulary = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = [own_words(t) for t in words.texts(batch.column(1))]
-            docs = [numbers.of_words(f) for f in found]
-            n = np.array([len(d) for d in docs])
-            scores = log_probs(p, vocabulary, np.concatenate([around(d) for d in docs]), np.concatenate(docs))
-            sums = np.diff(np.append(0.0, np.cumsum(scores))[np.append(0, np.cumsum(n))])
-            outside = [rare(f, d) for f, d in zip(found, docs, strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in outside])), pa.int32()), pa.array(np.concatenate(outside)))
-            rows = pa.array(np.arange(row, row + len(docs)))
-            row += len(docs)
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(n, pa.int64()), pa.array(sums), lists], ["row", "doc_id", "n_words", "part", "rare"])
+            docs = [np.frombuffer(x, np.uint16) for x in batch.column(3).to_pylist()]
+            found = [log_probs(p, vocabulary, near, own) for near, own in together(docs)]
+            ends = np.cumsum([0, *map(len, docs)])
+            sums = np.diff(np.append(0.0, np.cumsum(np.concatenate(found)))[ends]) if found else np.zeros(len(docs))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums)], ["row", "doc_id", "n_words", "part"])
+
+    return staged.select("row", "doc_id", "n_words", "ids").mapInArrow(run, "row long, doc_id long, n_words long, part double")
 
-    scored = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCORED), "scored")
+
+def score_numbered(staged: DataFrame, every: DataFrame, p: dict[str, np.ndarray], vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, n_words, log_prob, mean_log_prob from the results of `numbered`, `count_words` and `train`."""
     # frequent words have counts here too, but none of their hashes is looked up
     counts = every.where("n > 1").select(F.xxhash64("word").alias("h"), F.round(F.log("n") / UNIT).cast("long").alias("log_n"))
-    own = scored.select("row", F.explode("rare").alias("h")).join(counts, "h").groupBy("row").agg(F.sum("log_n").alias("log_n"))
+    own = staged.select("row", F.explode("rare").alias("h")).join(counts, "h").groupBy("row").agg(F.sum("log_n").alias("log_n"))
     log_prob = F.col("part") + F.coalesce(F.col("log_n") * UNIT, F.lit(0.0))
-    whole = scored.drop("rare").join(own, "row", "left").withColumn("log_prob", log_prob)
+    whole = network_scores(staged, p, vocabulary).join(own, "row", "left").withColumn("log_prob", log_prob)
     return whole.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, log_prob, mean_log_prob."""
+    text_batches(docs.sparkSession)
+    every = count_words(docs, text_col)
+    vocabulary = build_vocabulary(docs, text_col, every)
+    staged = numbered(docs, vocabulary, id_col, text_col)
+    return score_numbered(staged, every, train(staged, vocabulary), vocabulary)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
