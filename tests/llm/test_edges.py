@@ -222,10 +222,16 @@ def test_toxicity_held_out_all_languages(spark):
     assert sum(caught) / len(caught) > 0.85
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("coarse", [False, True])
+def test_top_k(spark, monkeypatch, coarse):
+    """Against brute force, with cells as they are and with so few, in so small blocks, that bounds decide little."""
+    if coarse:
+        for name, value in (("CELLS", 3), ("FIRST", 6), ("QUERY_BLOCK", 4), ("ROW_BLOCK", 50), ("STEP", 2)):
+            monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (400, 12)))]
     rows += [(400, rows[0][1]), (401, rows[0][1]), (450, None), (500, [1.0, None]), (550, [float("nan")] * 12), (600, [float("inf")] * 12), (650, []), (None, rows[1][1]), (700, [1e7] * 12), (750, [1.0, 2.0]), (751, [3.0, 4.0]), (50, rows[2][1])]
+    rows += [(i, rows[7][1]) for i in range(800, 1100)]  # one vector in many rows, queries among them
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("rank", F.lit(1))
     vectors = topk.integers(frame)
     got = {}
@@ -239,6 +245,16 @@ def test_top_k(spark):
     assert topk.top_k(vectors.where("false"), vectors.where("false")).count() == 0
 
 
+def test_top_k_reads_few_vectors(spark, monkeypatch):
+    """Cells decide nearly everything; few pairs meet whole vectors."""
+    x = np.random.default_rng(4).normal(0, 0.125, (3000, 64))
+    vectors = topk.integers(spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    kept = {}
+    monkeypatch.setattr(topk, "stage", lambda df, name: kept.setdefault(name, common.stage(df, name)))
+    assert topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).count() == 300
+    assert kept["open"].count() < 60 * 3000 / 50
+
+
 def test_substring_dedup(spark, docs, nothing):
     rng = np.random.default_rng(6)
     passages = [" ".join(f"p{i}_{rng.integers(40)}" for _ in range(70)) for i in range(6)]

@@ -1,12 +1,13 @@
 """Exact top-k inner products by vector-approximation files.
 
-Vectors become integers, floor(256 x). Each dimension's range is cut into CELLS equal cells, and a vector's
-approximation is its cell numbers, a byte for each dimension. Queries (a stated set) and candidates are dealt to
-a grid: blocks of QUERY_BLOCK queries against blocks of ROW_BLOCK candidates, one group for each pair. In a
-group the approximations are scanned first: the corners of a cell bound the product from above and below. The
-k-th greatest lower bound, raised as exact products become known, rules candidates out; those left are read
-exactly in the order of their upper bounds until the next bound cannot beat the k-th result. The groups' results
-are merged by rank. No block is cut short: sizes only set how work is dealt.
+1. Vectors become integers, floor(256 x). Of equal vectors only the K + 1 smallest ids can be among the best, as they tie.
+2. Each dimension's range is cut into at most CELLS equal cells; a vector's approximation is its cell numbers, a byte for
+   each dimension. The middle of the cells gives the product but for an error that depends on the query alone.
+3. Queries (a stated set) are held against all approximations in blocks. A block passes on each query's candidates
+   whose upper bound reaches the block's K-th greatest lower bound; then the K-th greatest lower bound of all blocks
+   rules out more.
+4. Exact vectors are read in the order of upper bounds: the FIRST of each query, whose K-th product settles which others
+   can still matter, then those. Only such pairs ever meet a whole vector.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part, nor do rows
 without vec_id; vectors of different lengths never meet; rows that share a vec_id are one query (the least
@@ -27,9 +28,7 @@ from wardline.llm import words
 from wardline.llm.common import stage
 
 K, EVERY, SCALE = 5, 50, 256
-CELLS, QUERY_BLOCK, ROW_BLOCK, STEP = 32, 1024, 4096, 16
-#: Products of components up to this size are exact in double precision for up to 8,000 dimensions.
-SAFE = 1 << 20
+CELLS, FIRST, QUERY_BLOCK, ROW_BLOCK, STEP = 256, 16, 1024, 16_384, 64
 
 
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -39,79 +38,117 @@ def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return vectors.withColumn("v", v).where(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform("v", lambda x: F.floor(x * SCALE)).alias("v"))
 
 
-def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The approximation (cell numbers) of integer vectors, and the corners of cells: (CELLS + 1, d), floor to ceiling."""
-    low, high = x.min(axis=0), x.max(axis=0)
-    width = np.maximum(1, -(-(high - low + 1) // CELLS))
-    return ((x - low) // width).astype(np.uint8), low + np.arange(CELLS + 1)[:, None] * width
-
-
-def best(query: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's K best rows of x, ties to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    x, ids = x[order], ids[order]
-    kind = np.float64 if max(np.abs(x).max(), np.abs(query).max()) <= SAFE else np.int64
-    near, corner = cells(x)
-    dims = np.arange(x.shape[1])
-    floor_, ceiling = corner[near, dims].astype(kind), (corner[near + 1, dims] - 1).astype(kind)
-    out: list[tuple[int, int, int]] = []
-    for lo in range(0, len(query), 64):
-        q = query[lo : lo + 64]
-        plus, minus = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-        above, below = plus @ ceiling.T + minus @ floor_.T, plus @ floor_.T + minus @ ceiling.T
-        for i, q_id in enumerate(q_ids[lo : lo + 64].tolist()):
-            mine = ids == q_id
-            up, down = above[i], below[i]
-            open_ = np.flatnonzero(~mine)
-            if len(open_) > K:
-                sure = np.partition(down[open_], len(open_) - K)[len(open_) - K]
-                open_ = open_[up[open_] >= sure]
-            open_ = open_[np.argsort(-up[open_], kind="stable")]
-            found_at, found = np.empty(0, np.int64), np.empty(0, np.int64)
-            for at in range(0, len(open_), STEP):
-                part = open_[at : at + STEP]
-                if len(found) >= K and up[part[0]] < found[K - 1]:
-                    break  # certain: nothing ahead can reach the k-th result
-                found_at, found = np.append(found_at, part), np.append(found, x[part] @ q[i])
-                keep = np.lexsort((found_at, -found))[:K]
-                found_at, found = found_at[keep], found[keep]
-            out += [(q_id, int(ids[j]), int(s)) for j, s in zip(found_at, found, strict=True)]
-    return out
-
-
-FOUND = "query_id long, vec_id long, score long"
-
-
-def _searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, cell, is_query, vec_id, v) sorted by d and cell -> the best of each group of the grid."""
-    for table in words.grouped(batches, 2):
-        at = words.bounds(table, 2)
-        is_query, ids = table.column(2).to_numpy(), table.column(3).to_numpy()
-        flat = pa.concat_arrays([c.flatten() for c in table.column(4).chunks]).to_numpy()
-        length = table.column(0).to_numpy()
-        begin = np.append(0, np.cumsum(length))
-        rows: list[tuple[int, int, int]] = []
-        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            v = flat[begin[lo] : begin[hi]].reshape(hi - lo, -1)
-            q = is_query[lo:hi] > 0
-            if q.any() and not q.all():
-                rows += best(v[q], ids[lo:hi][q], v[~q], ids[lo:hi][~q])
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+def ranges(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors the least component of each dimension and the width of its cells."""
 
+    def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for d, _, x in by_length(batch.column(0)):
+                low, high = held.get(d, (x[0], x[0]))
+                held[d] = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+        for d, (low, high) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d)), pa.array(np.arange(d)), pa.array(low), pa.array(high)], ["d", "dim", "low", "high"])
 
-def top_k(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, rank, vec_id, score from staged integer vectors (vec_id, v)."""
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, m = vectors.count(), max(1, asked.count())
+    found = vectors.select("v").mapInArrow(local, "d long, dim long, low long, high long")
+    table = found.groupBy("d", "dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("d", "dim").toArrow()  # as long as a vector
+    d, low, high = (table.column(c).to_numpy() for c in ("d", "low", "high"))
+    return {int(k): (low[d == k], np.maximum(1, -(-(high[d == k] - low[d == k] + 1) // CELLS))) for k in np.unique(d)}
+
+
+def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The vectors of a list column by length: the length, their places and their values."""
+    flat, length = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+    begin = np.cumsum(length) - length
+    for d in np.unique(length).tolist():
+        at = np.flatnonzero(length == d)
+        yield d, at, flat[begin[at][:, None] + np.arange(d)]
+
+
+def approximations(vectors: DataFrame, grid: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """rid, vec_id, d and cells (a byte for each dimension) of (rid, vec_id, v)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, near = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, object)
+            for d, at, x in by_length(batch.column(2)):
+                low, width = grid[d]
+                cells = ((x - low) // width).astype(np.uint8)
+                length[at] = d
+                near[at] = [row.tobytes() for row in cells]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(length), pa.array(near, pa.binary())], ["rid", "vec_id", "d", "cells"])
+
+    return vectors.select("rid", "vec_id", "v").mapInArrow(run, "rid long, vec_id long, d long, cells binary")
+
+
+def candidates(query: np.ndarray, q_ids: np.ndarray, near: np.ndarray, ids: np.ndarray, low: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """For some queries at a time: their ids, the rows that can be among the K best, and bounds of the products below and above."""
+    middle = low + near.astype(np.int64) * width + (width - 1) / 2.0
+    far = np.abs(middle).max(axis=0)
+    for lo in range(0, len(query), STEP):
+        q, own = query[lo : lo + STEP].astype(float), q_ids[lo : lo + STEP]
+        error = np.abs(q) @ ((width - 1) / 2.0) + np.abs(q) @ far * (len(low) + 4) * 2.0**-51  # cells, and rounding
+        s = q @ middle.T
+        s[own[:, None] == ids[None, :]] = -np.inf
+        least = np.full(len(q), -np.inf) if s.shape[1] <= K else np.partition(s, s.shape[1] - K, axis=1)[:, s.shape[1] - K]
+        i, row = np.nonzero((s >= (least - 2.0 * error)[:, None]) & (s > -np.inf))
+        yield own[i], row, s[i, row] - error[i], s[i, row] + error[i]
+
+
+FOUND = "query_id long, rid long, vec_id long, below double, above double"
+
+
+def scanned(asked: DataFrame, near: DataFrame, grid: dict[int, tuple[np.ndarray, np.ndarray]], n: int, m: int) -> DataFrame:
+    """Staged candidates of all queries, from a grid of blocks of queries (vec_id, v) and of approximations."""
     q_blocks, r_blocks = -(-m // QUERY_BLOCK), max(1, -(-n // ROW_BLOCK))
-    own_q, own_r = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)), F.pmod(F.xxhash64("vec_id", "v"), F.lit(r_blocks))
-    q = asked.select(F.size("v").cast("long").alias("d"), F.explode(F.sequence(own_q * r_blocks, own_q * r_blocks + r_blocks - 1)).alias("cell"), F.lit(1).alias("is_query"), "vec_id", "v")
-    r = vectors.select(F.size("v").cast("long").alias("d"), F.explode(F.sequence(own_r, own_r + (q_blocks - 1) * r_blocks, F.lit(r_blocks))).alias("cell"), F.lit(0).alias("is_query"), "vec_id", "v")
+    own_q, own_r = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)), F.pmod(F.xxhash64("rid"), F.lit(r_blocks))
+    none = lambda kind: F.lit(None).cast(kind)
+    q = asked.select(F.size("v").cast("long").alias("d"), F.explode(F.sequence(own_q * r_blocks, own_q * r_blocks + r_blocks - 1)).alias("cell"), none("long").alias("rid"), "vec_id", "v", none("binary").alias("cells"))
+    r = near.select("d", F.explode(F.sequence(own_r, own_r + (q_blocks - 1) * r_blocks, F.lit(r_blocks))).alias("cell"), "rid", "vec_id", none("array<long>").alias("v"), "cells")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in words.grouped(batches, 2):
+            at = words.bounds(table, 2)
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                group = table.slice(lo, hi - lo)
+                rows, asks = group.filter(group.column(5).is_valid()), group.filter(group.column(4).is_valid())
+                if not rows.num_rows or not asks.num_rows:
+                    continue
+                d = group.column(0)[0].as_py()
+                low, width = grid[d]
+                cells = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(-1, d)
+                query = np.concatenate([c.flatten().to_numpy() for c in asks.column(4).chunks]).reshape(-1, d)
+                rids, ids = rows.column(2).to_numpy(), rows.column(3).to_numpy()
+                for q_id, row, below, above in candidates(query, asks.column(3).to_numpy(), cells, ids, low, width):
+                    yield pa.RecordBatch.from_arrays([pa.array(q_id), pa.array(rids[row]), pa.array(ids[row]), pa.array(below), pa.array(above)], ["query_id", "rid", "vec_id", "below", "above"])
+
     dealt = q.unionByName(r).repartition("d", "cell").sortWithinPartitions("d", "cell")
-    found = dealt.mapInArrow(_searched, FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
+    return stage(dealt.mapInArrow(run, FOUND), "candidates")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, rank, vec_id, score from staged integer vectors (vec_id, v)."""
+    rank = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    kth = lambda rows, bound, name: rows.withColumn("place", rank(F.desc(bound))).where(F.col("place") <= K).groupBy("query_id").agg(F.max(F.when(F.col("place") == K, F.col(bound))).alias(name))
+    asked = stage(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    different = stage(vectors.withColumn("copy", copy).where(F.col("copy") <= K + 1).select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v"), "different")
+    grid = ranges(vectors)
+    found = scanned(asked, approximations(different, grid), grid, different.count(), max(1, asked.count()))
+    open_ = found.join(kth(found, "below", "sure"), "query_id").where("sure is null or above >= sure")
+    open_ = stage(open_.select("query_id", "rid", "vec_id", "above", rank(F.desc("above"), "rid").alias("turn")), "open")
+
+    def read(pairs: DataFrame) -> DataFrame:
+        """Exact products of pairs: whole vectors are looked up for these alone."""
+        both = pairs.join(different.select("rid", "v"), "rid").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        product = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
+        return both.select("query_id", "vec_id", product.alias("score"))
+
+    first = stage(read(open_.where(F.col("turn") <= FIRST)), "first")
+    later = open_.where(F.col("turn") > FIRST).join(kth(first, "score", "settled"), "query_id").where(F.col("above") >= F.col("settled"))
+    products = first.unionByName(read(later.select("query_id", "rid", "vec_id")))
+    best = products.withColumn("rank", rank(F.desc("score"), "vec_id")).where(F.col("rank") <= K)
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
