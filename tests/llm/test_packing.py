@@ -46,6 +46,30 @@ def test_whole_table(spark, sf):
     assert sum(r.length for r in rows) > 0.98 * packing.SEQ * (n - 4)
 
 
+def test_fill_with_many_tasks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(64)
+    rows = packing.pack_documents(docs).collect()
+    assert sum(r.length for r in rows) > 0.98 * packing.SEQ * len({r.sequence_id for r in rows})
+
+
+def test_engines_agree(spark):
+    """The faster engine is used where its merges are shown to be the tokenizer's, and not where they aren't."""
+    path = packing.vocabulary()
+    assert packing.same_merges(path)
+    rng = np.random.default_rng(9)
+    own, tokenizer = packing.Ids(path, True), Tokenizer.from_file(path)
+    texts = ["".join(chr(int(c)) for c in rng.integers(32, 127, int(rng.integers(1, 60)))) for _ in range(2000)]
+    texts += ["".join(rng.choice(list("abeinrst'é東 \n\x1c\x85"), int(rng.integers(1, 40)))) for _ in range(2000)]
+    assert own.batch(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_merges_that_differ(monkeypatch):
+    ids = {b"a": 0, b"b": 1, b"c": 2, b"bc": 3, b"ab": 4, b"abc": 5}
+    for last, same in (((b"a", b"bc"), True), ((b"ab", b"c"), False)):
+        monkeypatch.setattr(packing, "byte_tokens", lambda path, last=last: (ids, {b"bc": (b"b", b"c"), b"ab": (b"a", b"b"), b"abc": last}))
+        assert packing.same_merges.__wrapped__("") == same
+
+
 def test_odd_texts(spark):
     docs = [(1, None), (2, ""), (3, "a  b \n c d 　e "), (4, "x" * 9000), (5, "<|endoftext|> y z<|endoftext|>"), (6, "it's  'll\t\r\n"), (None, "z")]
     rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string").withColumn("length", F.lit(1)).coalesce(1), with_ids=True).collect()

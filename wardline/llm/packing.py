@@ -1,7 +1,8 @@
 """Packing documents into sequences of SEQ tokens by Karmarkar-Karp multiway differencing.
 
-Documents are tokenized as they stream through a task, and every BLOCK documents of a task are packed
-together, so nothing is shuffled and no key can be hot. A document (its ids and a closing id) gives full
+Documents are tokenized as they stream through a task, and the places of their pieces are staged. Tasks with some
+TASK_PIECES pieces each, whatever the number of files, pack every BLOCK rests together; nothing is shuffled and no key
+can be hot. A document (its ids and a closing id) gives full
 sequences first; the rest of less than SEQ ids is cut at multiples of CUT. The rests of a block are dealt to
 windows by multiway differencing: the two partial partitions with the largest imbalances are merged, the
 fullest window of one with the emptiest of the other, until one near-equal partition is left. If a window
@@ -9,7 +10,9 @@ exceeds SEQ, the number of windows rises by one and the rests are dealt anew.
 
 Tokenizing caches the ids of words: the tokenizer's pattern never spans a single space that stands between two
 other characters, except as the first character of what follows, so the text is cut there and each different
-part is tokenized once for each batch or taken from a bounded cache. Sequence numbers are unique, not dense.
+part is tokenized once for each batch or taken from a bounded cache. A faster engine, which merges the pair of tokens
+whose concatenation has the lowest id, serves for printable ASCII if `same_merges` shows that it must agree with the
+tokenizer. Sequence numbers are unique, not dense.
 
 Defined results: a null text counts as empty and gives the closing id alone; rows that repeat are packed as
 often as they occur; null doc_id is passed through; an empty table gives no rows; extra columns don't matter.
@@ -17,23 +20,25 @@ often as they occur; null doc_id is passed through; an empty table gives no rows
 
 from __future__ import annotations
 
+import functools
 import heapq
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm.common import text_batches
+from wardline.llm.common import stage, text_batches
 
-SEQ, CUT, BLOCK, END_ID = 2048, 512, 512, 1
+SEQ, CUT, BLOCK, TASK_PIECES, END_ID = 2048, 512, 1024, 16_384, 1
 #: The tokenizer's one special token; texts that hold it are left to the tokenizer.
 SPECIAL = "<|endoftext|>"
-SAMPLE = (" The quick brown fox\njumps, it's 42.5% of naïve 東京 ünïcödé", " e-mail: a.b@c.de +49 (0)30/1234\t\r\n#### ***", " unthinkableness reorganisations 0123456789")
 #: Different words that a worker keeps the ids of.
 CACHE_WORDS = 500_000
 #: Parts encoded in one call.
@@ -48,10 +53,48 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_tokens(path: str) -> tuple[dict[bytes, int], dict[bytes, tuple[bytes, bytes]]]:
+    """Ids of the tokens as bytes, and the two tokens that each merged one is made of."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    others = [x for x in range(256) if x not in own]
+    byte_of = {chr(x): x for x in own} | {chr(256 + i): x for i, x in enumerate(others)}
+    as_bytes = lambda token: bytes(byte_of[c] for c in token)
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = [tuple(map(as_bytes, m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    return {as_bytes(token): i for token, i in model["vocab"].items() if token != SPECIAL}, {a + b: (a, b) for a, b in pairs}
+
+
+@functools.cache
+def same_merges(path: str) -> bool:
+    """Whether merging by lowest concatenation must give the tokenizer's ids.
+
+    Both engines take the leftmost pair of the lowest rank; they differ only where two tokens that are not listed as a
+    merge concatenate to a token. A token that arises within a text arises by the same steps from its own bytes alone,
+    since no step that crosses its ends came before. So it is enough that each token's own last step is its listed merge,
+    that tokens are made by one merge each, and that ids rise in the order of merges.
+    """
+    ids, made_of = byte_tokens(path)
+    order = [ids[t] for t in made_of]
+    if sorted(set(order)) != order or len(ids) != len(made_of) + sum(len(t) == 1 for t in ids):
+        return False
+    for token, pair in made_of.items():
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            ranks = [ids.get(a + b, len(ids) + 1_000_000) for a, b in zip(parts, parts[1:], strict=False)]
+            at = ranks.index(min(ranks))
+            if parts[at] + parts[at + 1] not in ids:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if tuple(parts) != pair:
+            return False
+    return True
+
+
 class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes. fast: whether `same_merges` holds."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, fast: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,28 +102,22 @@ class Ids:
         spaced = [i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.startswith("\u0120")]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[spaced] = True
-        self.merge = self._merger()
+        self.merge = self._fast(path) if fast else lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}  # a part after a space -> ids of the space and the part
 
-    def _merger(self):
-        """A faster engine over the same vocabulary, if it agrees with the tokenizer on a sample; the tokenizer itself otherwise."""
+    @staticmethod
+    def _fast(path: str):
         import public_tokenizers
         import tiktoken
 
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-        others = [x for x in range(256) if x not in own]
-        byte_of = {chr(x): x for x in own} | {chr(256 + i): x for i, x in enumerate(others)}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token != SPECIAL}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        plain = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary if all(fast.encode_ordinary(x) == plain(x) for x in SAMPLE) else plain
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_tokens(path)[0], special_tokens={}).encode_ordinary
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts after a space. Parts without a space are encoded together, JOIN at a time, and told apart by the tokens that begin with a space."""
-        plain = [p and " " not in p and SPECIAL not in p and not p[0].isspace() and not p[-1].isspace() for p in parts]
+        """Ids of parts after a space. Printable ASCII without a space is encoded together, JOIN at a time, and told apart by the tokens that begin with a space."""
+        plain = [p.isascii() and p.isprintable() and " " not in p and SPECIAL not in p and p != "" for p in parts]
         joined = [p for p, ok in zip(parts, plain, strict=True) if ok]
         runs = [" " + " ".join(joined[i : i + JOIN]) for i in range(0, len(joined), JOIN)]
         found: list[bytes] = []
@@ -108,13 +145,9 @@ class Ids:
         return out
 
 
-_ids: dict[str, Ids] = {}
-
-
-def ids_of(path: str) -> Ids:
-    if path not in _ids:
-        _ids[path] = Ids(path)
-    return _ids[path]
+@functools.cache
+def ids_of(path: str, fast: bool) -> Ids:
+    return Ids(path, fast)
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -146,48 +179,19 @@ def pack(sizes: list[int], capacity: int = SEQ) -> list[list[int]]:
         windows += 1
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
-
-
-def _packed(block: list[tuple], base: int) -> tuple[list[tuple], int]:
-    """Rows of one block of pieces (doc_id, start, length, crc, doc_tokens, ...), and the next free sequence number."""
-    rows: list[tuple] = []
-    for piece in (p for p in block if p[2] == SEQ):
-        rows.append((*piece[:5], base, 0, *piece[5:]))
-        base += 1
-    rest = [p for p in block if p[2] < SEQ]
-    for items in pack([p[2] for p in rest]):
-        at = 0
-        for i in items:
-            rows.append((*rest[i][:5], base, at, *rest[i][5:]))
-            at += rest[i][2]
-        base += 1
-    return rows, base
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+FIELDS = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
 
-def packer(path: str, with_ids: bool):
-    """A function for mapInArrow over (doc_id, text)."""
+def tokenized(path: str, fast: bool, with_ids: bool):
+    """A function for mapInArrow over (doc_id, text) that gives the pieces of documents, with their ids as bytes if wanted."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = ids_of(path), np.array([END_ID], "<u4").tobytes()
-        base = TaskContext.get().partitionId() << 36
-        block: list[tuple] = []
-        docs = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal base, block, docs
-            rows, base = _packed(block, base)
-            block, docs = [], 0
-            cols = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True))[:7]]
-            if not with_ids:
-                return pa.RecordBatch.from_arrays(cols, schema=FIELDS)
-            ids = pa.array([np.frombuffer(r[7], "<u4").astype(np.int32) for r in rows], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([*cols, ids], schema=FIELDS.append(pa.field("ids", pa.list_(pa.int32()))))
-
+        own, end = ids_of(path, fast), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             names = batch.column(0).to_pylist()
             for lo in range(0, len(names), 64):
+                rows: list[tuple] = []
                 texts = [t or "" for t in batch.column(1).slice(lo, 64).to_pylist()]
                 for doc_id, ids in zip(names[lo : lo + 64], own.batch(texts), strict=True):
                     ids += end
@@ -195,21 +199,66 @@ def packer(path: str, with_ids: bool):
                     starts = [*range(0, n - n % SEQ, SEQ), *range(n - n % SEQ, n, CUT)]
                     for start, stop in zip(starts, [*starts[1:], n], strict=True):
                         piece = ids[4 * start : 4 * stop]
-                        block.append((doc_id, start, stop - start, zlib.crc32(piece), n, *((piece,) if with_ids else ())))
-                    docs += 1
-                    if docs >= BLOCK or len(block) >= 4 * BLOCK:
-                        yield flush()
-        if block:
-            yield flush()
+                        rows.append((doc_id, start, stop - start, zlib.crc32(piece), n, *((piece,) if with_ids else ())))
+                cols = list(zip(*rows, strict=True))
+                found = [pa.array(c, pa.int64()) for c in cols[:5]]
+                if with_ids:
+                    yield pa.RecordBatch.from_arrays([*found, pa.array(cols[5], pa.binary())], schema=FIELDS.append(pa.field("ids", pa.binary())))
+                else:
+                    yield pa.RecordBatch.from_arrays(found, schema=FIELDS)
 
     return run
 
 
+def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces with sequence_id and offset, packed BLOCK rests at a time."""
+    base = TaskContext.get().partitionId() << 36
+    held: list[pa.RecordBatch] = []
+    rests = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal base, rests
+        table = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        rests = 0
+        size = table.column(2).to_numpy()
+        sequence, offset = np.empty(len(size), np.int64), np.zeros(len(size), np.int64)
+        whole, rest = np.flatnonzero(size == SEQ), np.flatnonzero(size < SEQ)
+        sequence[whole] = base + np.arange(len(whole))
+        base += len(whole)
+        for items in pack(size[rest].tolist()):
+            at = rest[items]
+            sequence[at], offset[at] = base, np.cumsum(size[at]) - size[at]
+            base += 1
+        out = table.add_column(5, "sequence_id", pa.array(sequence)).add_column(6, "offset", pa.array(offset))
+        yield from out.to_batches()
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BLOCK // 4):
+            held.append(batch.slice(lo, BLOCK // 4))
+            rests += int((held[-1].column(2).to_numpy() < SEQ).sum())
+            if rests >= BLOCK or len(held) >= 16:
+                yield from flush()
+    if held:
+        yield from flush()
+
+
 def pack_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece; with_ids adds the piece's token ids, else texts are read but not kept."""
     text_batches(docs.sparkSession)
+    path = path or vocabulary()
     rows = docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text")
-    return rows.mapInArrow(packer(path or vocabulary(), with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
+    ids = ", ids binary" if with_ids else ""
+    pieces = stage(rows.mapInArrow(tokenized(path, same_merges(path), with_ids), PIECES + ids), "pieces")
+    packed = pieces.coalesce(max(1, pieces.count() // TASK_PIECES)).mapInArrow(_placed, f"{PIECES}, sequence_id long, offset long{ids}")
+    if not with_ids:
+        return packed
+
+    @F.pandas_udf("array<int>")
+    def numbers(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: np.frombuffer(x, "<u4").astype(np.int32))
+
+    return packed.withColumn("ids", numbers("ids"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
