@@ -125,6 +125,30 @@ def test_near_dedup_group_of_many_blocks(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain_components(rows))
 
 
+def test_near_dedup_deals_large_groups_once(spark, monkeypatch):
+    """Rows dealt grow with a group, not with its square; only stragglers visit other blocks, and no link is lost."""
+    monkeypatch.setattr(near_dedup, "SKETCH_BLOCK", 64)
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", 64)
+    rng = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(640):
+        own = list(base)
+        own[int(rng.integers(60))] = f"u{i}"
+        if i % 80 == 0:  # a pair of stragglers: near each other, further from the rest
+            own[::12] = [f"s{i}_{j}" for j in range(5)]
+            rows.append((1000 + i, " ".join([*own, "tail"])))
+        rows.append((i, " ".join(own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = []
+    for name in ("homes", "visits"):
+        plain = getattr(near_dedup, name)
+        monkeypatch.setattr(near_dedup, name, lambda *a, plain=plain: dealt.append((a[0].count(), (out := plain(*a)).count())) or out)
+    got = near_dedup.near_duplicates(frame).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain_components(rows))
+    assert len(dealt) == 4 and all(n <= 3 * m for m, n in dealt), dealt
+
+
 def test_mixing(spark, docs, nothing):
     got = mixing.mixture(docs).collect()
     assert len(got) == len(ROWS)

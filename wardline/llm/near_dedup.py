@@ -5,14 +5,17 @@
    form a class; from here on only classes are compared, so copies are never paired.
 2. Classes that share a band hash are candidates. Within a bucket, similarity is estimated from the number of
    equal b-bit values, corrected for chance collisions: J = (E - 2^-b) / (1 - 2^-b). Pairs of LOOSE or more,
-   five standard errors under the threshold, join their classes to loose groups; only a spanning forest of
+   5.6 standard errors under the threshold, join their classes to loose groups; only a spanning forest of
    them is emitted, never all pairs.
-3. Full sets are computed again for the classes in loose groups only. Within a group, exact intersections are
+3. Full sets are computed again for the classes in loose groups only; a Bloom filter keeps other texts where they are. Within a group, exact intersections are
    counted between classes that aren't linked yet, and a spanning forest of the exact links is emitted.
 4. Components of the exact links give the result.
 
-Buckets and groups of more than BLOCK classes are split in blocks, one task for each pair of blocks, so no
-task holds an unbounded group. A pair at the threshold is missed by all bands with probability 7e-7.
+Buckets and groups of more than a block of classes are split, so no task holds an unbounded group: each class is dealt
+to one block, and a few of the group (HEADS) to all of them. What is linked then needs no further comparison. Only classes
+outside the largest component visit the other blocks, so a family of near copies moves once, whatever its size; the
+product of a group's size and its stragglers is dealt only where a large group falls apart. A pair at the threshold is
+missed by all bands with probability 7e-7.
 
 Defined results: null and empty texts, and texts of white space, have an empty set and are linked with nothing;
 texts of fewer than 4 words have their whole sequence as one shingle; a null doc_id comes after all others;
@@ -30,11 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.llm import words
-from wardline.llm.common import sized, stage, text_batches
+from wardline.llm.common import partnered, sized, stage, text_batches
 from wardline.llm.components import components
 
 SHINGLE, THRESHOLD_PERCENT = 4, 80
-BANDS, ROWS, BITS, LOOSE, BLOCK, SEED = 36, 5, 2, 0.6, 256, 77
+BANDS, ROWS, BITS, LOOSE, SEED = 36, 5, 2, 0.6, 77
+#: Classes in a block of a bucket, and of a loose group, whose rows hold whole sets; classes of a group that go to all its blocks.
+SKETCH_BLOCK, SET_BLOCK, HEADS = 4096, 256, 4
 HASHES = BANDS * ROWS
 _rng = np.random.default_rng(SEED)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -104,10 +109,10 @@ def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Roots:
-    """Union-find over 0 .. n-1."""
+    """Union-find over 0 .. n-1, some of which may be together from the start (equal labels)."""
 
-    def __init__(self, n: int) -> None:
-        self.of = np.arange(n)
+    def __init__(self, labels: np.ndarray) -> None:
+        self.of = np.unique(labels, return_inverse=True)[1]
 
     def link(self, i: int, js: np.ndarray) -> list[int]:
         """Joins i with each of js; returns those that were apart until then."""
@@ -120,28 +125,43 @@ class Roots:
         return new
 
 
+def turns(roots: Roots, visits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each class with those that it is still apart from: with all after it, or, where there are visitors, of visitors with residents."""
+    home = np.flatnonzero(~visits)
+    for k in np.flatnonzero(visits).tolist() if visits.any() else range(len(visits) - 1):
+        rest = home if visits[k] else np.arange(k + 1, len(visits))
+        rest = rest[roots.of[rest] != roots.of[k]]
+        if len(rest):
+            yield k, rest
+
+
 EDGES = "u long, v long"
+#: What leads each row that is compared: group, block, class, component so far, and whether it visits the block.
+LEAD = ["key", "block", "cid", "label", "visits"]
 
 
 def _edge_batch(u: list, v: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can reach the threshold."""
+    return 100 * np.minimum(a, b) >= THRESHOLD_PERCENT * np.maximum(a, b)
+
+
 def _loose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, block, cid, n, sig) sorted by key and block -> a spanning forest of likely pairs."""
+    """(LEAD, n, sig) sorted by key and block -> a spanning forest of likely pairs."""
     for table in words.grouped(batches, 2):
-        cid, n = table.column(2).to_numpy(), table.column(3).to_numpy()
-        sig = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64).reshape(-1, SIG_WORDS)
+        cid, label, visits, n = (table.column(i).to_numpy() for i in (2, 3, 4, 5))
+        sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint64).reshape(-1, SIG_WORDS)
         at = words.bounds(table, 2)
         size = np.diff(at)
-        fits = lambda a, b: 100 * np.minimum(a, b) >= THRESHOLD_PERCENT * np.maximum(a, b)
         i = at[:-1][size == 2]  # most buckets: all at once
         ok = fits(n[i], n[i + 1]) & (similarity(sig[i], sig[i + 1]) >= LOOSE)
         us, vs = cid[i[ok]].tolist(), cid[i[ok] + 1].tolist()
         for lo, hi in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True):
-            roots, own, sizes = Roots(hi - lo), sig[lo:hi], n[lo:hi]
-            for k in range(hi - lo - 1):
-                rest = np.flatnonzero(roots.of[k + 1 :] != roots.of[k]) + k + 1
+            roots, own, sizes = Roots(label[lo:hi]), sig[lo:hi], n[lo:hi]
+            for k, rest in turns(roots, visits[lo:hi] > 0):
                 rest = rest[fits(sizes[k], sizes[rest])]
                 if len(rest):
                     new = roots.link(k, rest[similarity(own[k], own[rest]) >= LOOSE])
@@ -152,14 +172,14 @@ def _loose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingles(t).tobytes() for t in words.texts(batch.column(3))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.binary())], ["root", "members", "cid", "found"])
+        found = [shingles(t).tobytes() for t in words.texts(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["cid", "found"])
 
 
 def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(root, block, cid, set) sorted by root and block -> a spanning forest of exact links."""
+    """(LEAD, set) sorted by key and block -> a spanning forest of exact links."""
     for table in words.grouped(batches, 2):
-        cid, found = table.column(2).to_numpy(), table.column(3)
+        cid, label, visits, found = (table.column(2).to_numpy(), table.column(3).to_numpy(), table.column(4).to_numpy(), table.column(5))
         us, vs = [], []
         at = words.bounds(table, 2)
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -167,15 +187,14 @@ def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.array([len(s) for s in sets])
             starts = np.append(0, np.cumsum(size))
             _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-            mark, roots = np.zeros(int(flat.max()) + 1, bool), Roots(hi - lo)
-            for k in range(hi - lo - 1):
-                rest = np.flatnonzero(roots.of[k + 1 :] != roots.of[k]) + k + 1
-                rest = rest[100 * np.minimum(size[k], size[rest]) >= THRESHOLD_PERCENT * np.maximum(size[k], size[rest])]
+            mark, roots = np.zeros(int(flat.max()) + 1, bool), Roots(label[lo:hi])
+            for k, rest in turns(roots, visits[lo:hi] > 0):
+                rest = rest[fits(size[k], size[rest])]
                 if not len(rest):
                     continue
                 mark[flat[starts[k] : starts[k + 1]]] = True
-                if 2 * len(rest) > hi - lo - k:
-                    common = np.add.reduceat(mark[flat[starts[k + 1] :]], starts[k + 1 : -1] - starts[k + 1], dtype=np.int64)[rest - k - 1]
+                if 2 * len(rest) > hi - lo:
+                    common = np.add.reduceat(mark[flat], starts[:-1], dtype=np.int64)[rest]
                 else:
                     common = np.array([np.count_nonzero(mark[flat[starts[j] : starts[j + 1]]]) for j in rest.tolist()])
                 mark[flat[starts[k] : starts[k + 1]]] = False
@@ -185,13 +204,48 @@ def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edge_batch(us, vs)
 
 
-def _blocks(rows: DataFrame, members: str) -> DataFrame:
-    """Adds `block`: 0 for small groups, else a row for each pair of blocks that holds the class."""
-    k = F.ceil(F.col(members) / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("cid"), k).cast("int")
-    pair = lambda j: (F.least(own, j) * 1_000_000 + F.greatest(own, j)).cast("long")
-    pairs = F.when(k <= 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), pair))
-    return rows.withColumn("block", F.explode(pairs))
+def homes(rows: DataFrame, size: int, large: bool) -> DataFrame:
+    """(key, members, cid) -> LEAD: each class in one block of its group, and some HEADS of a group of several in all of them."""
+    if not large:
+        return rows.select("key", F.lit(0).cast("long").alias("block"), "cid", F.col("cid").alias("label"), F.lit(0).alias("visits"))
+    least = [F.min(F.when(F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(HEADS)) == i, F.col("cid"))) for i in range(HEADS)]
+    heads = stage(rows.where(F.col("members") > size).groupBy("key").agg(F.array(*least).alias("heads")), "heads")
+    k = F.ceil(F.col("members") / F.lit(size)).cast("long")
+    own = F.pmod(F.xxhash64("cid"), k)
+    blocks = F.when(F.array_contains("heads", F.col("cid")), F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array(own))
+    headed = rows.join(sized(heads, 96), "key", "left")
+    return headed.select("key", F.explode(blocks).alias("block"), "cid", F.col("cid").alias("label"), F.lit(0).alias("visits"))
+
+
+def visits(rows: DataFrame, groups: DataFrame, size: int) -> DataFrame:
+    """LEAD of a second round over groups of several blocks: classes outside a group's largest component against all others."""
+    named = rows.where(F.col("members") > size).join(groups.select(F.col("u").alias("cid"), "root"), "cid", "left")
+    named = stage(named.select("key", "members", "cid", F.coalesce("root", "cid").alias("label")), "named")
+    counts = named.groupBy("key", "members", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("key", "members").agg(F.max(F.struct("n", "label")).alias("most")).select("key", F.col("most.label").alias("main"), (F.col("members") - F.col("most.n")).alias("apart"))
+    largest = stage(largest.where("apart > 0"), "largest")
+    both = named.join(sized(largest, 64), "key")
+    k, kv = (F.ceil(F.col(c) / F.lit(size)).cast("long") for c in ("members", "apart"))
+    steps = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    pair = lambda home, visiting: home * F.lit(1 << 31) + visiting
+    at_home = F.transform(steps(kv), lambda i: pair(F.pmod(F.xxhash64("cid"), k), i))
+    abroad = F.transform(steps(k), lambda i: pair(i, F.pmod(F.xxhash64("cid", F.lit(1)), kv)))
+    lead = lambda blocks, flag: both.select("key", F.explode(blocks).alias("block"), "cid", "label", F.lit(flag).alias("visits"), "main")
+    return lead(at_home, 0).unionByName(lead(abroad, 1).where("label <> main")).select(*LEAD)
+
+
+def linked(rows: DataFrame, values: DataFrame, compare, size: int) -> DataFrame:
+    """Components (u, root) of the links that compare finds within groups: staged rows (key, members, cid), values by cid."""
+
+    def found(lead: DataFrame) -> DataFrame:
+        dealt = lead.join(values, "cid").select(*LEAD, *[c for c in values.columns if c != "cid"])
+        return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(compare, EDGES)
+
+    large = not rows.where(F.col("members") > size).isEmpty()
+    groups = components(found(homes(rows, size, large)))
+    if not large:
+        return groups
+    return components(groups.select("u", F.col("root").alias("v")).unionByName(found(visits(rows, groups, size))))
 
 
 def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -206,20 +260,18 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     keyed = classes.select("cid", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = stage(keyed.join(shared, "key"), "met")
-    with_sig = _blocks(met, "members").join(classes.select("cid", "n", "sig"), "cid")
-    dealt = with_sig.select("key", "block", "cid", "n", "sig").repartition("key", "block").sortWithinPartitions("key", "block")
-    groups = components(dealt.mapInArrow(_loose, EDGES))
+    groups = linked(met, classes.select("cid", "n", "sig"), _loose, SKETCH_BLOCK)
 
     members = groups.select(F.col("u").alias("cid"), "root").unionByName(groups.select(F.col("root").alias("cid"), "root").distinct())
     sizes = groups.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("members"))
-    wanted = members.join(sizes, "root").join(classes.select("cid", "rep", "rep_th"), "cid")
-    wanted = stage(wanted.select("root", "members", "cid", "rep", "rep_th"), "wanted")
-    texts = base.join(sized(wanted, 64), (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = texts.select("root", "members", "cid", "text").mapInArrow(_sets, "root long, members long, cid long, found binary")
-    near = _blocks(sets, "members").select("root", "block", "cid", "found").repartition("root", "block").sortWithinPartitions("root", "block")
-    linked = components(near.mapInArrow(_exact, EDGES))
-
-    in_links = linked.select(F.col("u").alias("cid"), "root").unionByName(linked.select(F.col("root").alias("cid"), "root").distinct())
+    wanted = stage(members.join(sizes, "root").select(F.col("root").alias("key"), "members", "cid"), "wanted")
+    places = stage(wanted.join(classes.select("cid", "rep", "rep_th"), "cid").select("cid", "rep", "rep_th"), "places")
+    same_text = (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    texts = partnered(base, places, same_text, F.xxhash64("th", "doc_id"), F.xxhash64("rep_th", "rep"), 64)
+    sets = stage(texts.select("cid", "text").mapInArrow(_sets, "cid long, found binary"), "sets")
+    exact = linked(wanted, sets, _exact, SET_BLOCK)
+
+    in_links = exact.select(F.col("u").alias("cid"), "root").unionByName(exact.select(F.col("root").alias("cid"), "root").distinct())
     ids = in_links.join(classes.select("cid", "fp", "rep"), "cid")
     least = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_links = ids.join(least, "root").select("cid", "fp", "component_id")
@@ -230,7 +282,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, th (hash of the text), n_shingles, component_id, kept."""
     rows, company = classes_and_components(docs, id_col, text_col)
-    named = rows.join(sized(company.withColumnRenamed("fp", "fp2"), 96), F.col("fp") == F.col("fp2"), "left")
+    named = partnered(rows, company.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2"), F.xxhash64("fp"), F.xxhash64("fp2"), 96, "left")
     component = F.when(F.col("fp2").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -240,7 +292,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = stage(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("id2"), F.col("th").alias("th2")).distinct(), "gone")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no column of docs can clash with ours
     keyed = docs.select(row, F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"))
-    return keyed.join(sized(gone, 48), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left_anti").select("row.*")
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))
+    return partnered(keyed, gone, same, F.xxhash64("th", "id"), F.xxhash64("th2", "id2"), 48, "left_anti").select("row.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
