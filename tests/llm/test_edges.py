@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +308,23 @@ def test_substring_dedup(spark, docs, nothing):
     assert substring_dedup.digests(nothing).count() == substring_dedup.substring_dedup(nothing).count() == 0
 
 
+def test_substring_automata_decide(spark):
+    """Passages are where the automata find phrases, whoever listed them; one row stands for a run of windows."""
+    texts = [" ".join(f"{c}{i}" for i in range(300)) for c in "ab"]
+    own = [t.encode().split() for t in texts]
+    picked = [b" ".join(w[p : p + substring_dedup.PHRASE]) for w in own for g, least in [substring_dedup.chosen(substring_dedup.words.hashes(w))] for p in np.flatnonzero(np.isin(g, least)).tolist()]
+
+    def found(phrases):
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array(texts), pa.array([phrases, []], pa.list_(pa.binary()))], ["id", "part", "text", "phrases"])
+        return pa.Table.from_batches(substring_dedup._passages([batch])).to_pylist()
+
+    rows = found(picked)
+    for d in (1, 2):
+        runs = sorted((r["start"], r["start"] + r["n"]) for r in rows if r["id"] == d)
+        assert runs[0][0] == 0 and runs[-1][1] == 251 and all(x[1] == y[0] for x, y in zip(runs, runs[1:], strict=False)) and len(runs) < 30
+    assert 0 < len(found(picked[:1])) < 3 and found([b"no such phrase in these two texts"]) == []
+
+
 def test_sharding(spark, docs, nothing, tmp_path):
     import zlib
 

@@ -2,16 +2,17 @@
 
 1. Anchors. In each window of WINDOW words, the PHRASE-word phrase with the least hash is chosen (winnowing), so
    a window that occurs twice chooses the same phrase twice; about one word in 23 starts a chosen phrase.
-2. Recurring phrases are those that documents of different doc_id choose. Each document gets its own list.
-3. Automata. The phrases of a batch of documents are compiled to an Aho-Corasick automaton, one shard for each
-   batch, and the whole texts stream through it; hits are exact occurrences of phrases. Windows that chose a
-   phrase that was hit are candidates; each is known by 96 bits of hashes of its words.
-4. A window recurs in a document if a smaller doc_id has the same window. Words under such windows go. Windows of
-   the smallest doc_id with their phrase can't go, and those of the greatest make none go, so a window takes
-   part in one side of the match only, unless its phrase is in three documents or more.
-
-Documents without a recurring phrase are not read again until the result is written. Recurring phrases and
-windows are matched by aggregation before shuffling and by joins that can be split where a key is hot.
+2. Recurring phrases are those that documents of different doc_id choose, compared as strings.
+3. Automata. The recurring phrases of a batch of documents are compiled to an Aho-Corasick automaton, one shard for each
+   batch, and the whole texts stream through it. Its hits alone say where recurring phrases are: each run of windows
+   that choose a phrase that was hit is a passage, known by 128 bits of hashes of its words. So a passage of some
+   70 words is one row, not one for each of its windows.
+4. A passage that a smaller doc_id has too goes as a whole. Passages that differ but share the phrase are held against
+   each other by their windows, once for each different passage: a window goes if a smaller doc_id has it in any passage.
+
+Documents without a recurring phrase are kept in place by a Bloom filter and not read again until the result is
+written. Passages and windows are matched by aggregation before shuffling, and by joins that leave the rows of hot keys
+where they are.
 
 Defined results: null, empty and short texts (fewer than WINDOW words) keep all words; equal windows within one
 document, or of rows with the same doc_id, are kept; a null doc_id comes after all others; an empty table gives
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.llm import words
-from wardline.llm.common import sized, stage, text_batches
+from wardline.llm.common import partnered, spread_join, stage, text_batches
 
 WINDOW, PHRASE = 50, 6
 #: Stands for a null doc_id where ids are compared.
@@ -76,45 +77,67 @@ def compiled(phrases: Iterable[bytes]):
     return automaton
 
 
-def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, part, text, phrases) -> candidate windows: hashes w and c, id, place (part and word number), role.
+def spans(h: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each run of words from first to end (exclusive), by differences of a polynomial's prefix sums."""
+    step = (int(words.M1) + 2 * seed) % 2**64
+    power = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(h), x, np.uint64)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(words.mixed(h + np.uint64(seed)) * power(step)[:-1])])
+    return words.mixed((sums[end] - sums[first]) * power(pow(step, -1, 2**64))[first] + (end - first).astype(np.uint64))
+
+
+PASSAGES = "g long, h1 long, h2 long, id long, part long, start int, n int"
+
 
-    The first byte of a phrase is its role in the document: bit 0 if a greater doc_id has it, bit 1 if a smaller one.
-    """
+def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, part, text, phrases) -> passages: the phrase's hash, two hashes of the words, id, part, first window and number of windows."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        lists = batch.column(3).to_pylist()
-        automaton = compiled({p[1:] for x in lists for p in x})
-        w, c, ids, place, role = [], [], [], [], []
-        for doc_id, part, text, phrases in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), words.texts(batch.column(2)), lists, strict=True):
+        automaton = compiled({p for x in batch.column(3).to_pylist() for p in x})
+        out: list[list[np.ndarray]] = [[] for _ in PASSAGES.split(", ")]
+        for doc_id, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), words.texts(batch.column(2)), strict=True):
             own = words.split(text)
             h = words.hashes(own)
             g, least = chosen(h)
-            roles = {p[1:]: p[0] for p in phrases}
-            hits = occurrences(automaton, own)
-            known, first = np.unique(g[hits], return_index=True)
-            role_of = np.array([roles.get(b" ".join(own[p : p + PHRASE]), 0) for p in hits[first].tolist()], np.int32)
-            near = np.minimum(np.searchsorted(known, least), max(0, len(known) - 1))
-            at = np.flatnonzero((known[near] == least) & (role_of[near] > 0)) if len(known) else np.empty(0, np.int64)
-            role.append(role_of[near[at]] if len(known) else np.empty(0, np.int32))
-            w.append(words.long_runs(h, WINDOW)[at].view(np.int64))
-            c.append((words.long_runs(h, WINDOW, 41)[at] >> np.uint64(33)).astype(np.int32))
-            ids.append(np.full(len(at), doc_id, np.int64))
-            place.append((part << 32) | at)
-        cat = lambda x, kind: pa.array(np.concatenate(x).astype(kind))
-        yield pa.RecordBatch.from_arrays([cat(w, np.int64), cat(c, np.int32), cat(ids, np.int64), cat(place, np.int64), cat(role, np.int32)], ["w", "c", "id", "place", "role"])
+            if not len(least):
+                continue
+            cut = np.flatnonzero(np.diff(least)) + 1
+            first, last = np.append(0, cut), np.append(cut, len(least))
+            hit = np.isin(least[first], g[occurrences(automaton, own)])
+            first, last = first[hit], last[hit]
+            found = least[first], spans(h, first, last - 1 + WINDOW, 0), spans(h, first, last - 1 + WINDOW, 41), np.full(len(first), doc_id), np.full(len(first), part), first, last - first
+            for x, y in zip(out, found, strict=True):
+                x.append(y)
+        kinds = [np.int64] * 5 + [np.int32] * 2
+        cols = [pa.array((np.concatenate(x) if x else np.empty(0)).astype(kind)) for x, kind in zip(out, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in PASSAGES.split(", ")])
+
+
+WINDOWS = "w long, c long, kid long, id long, offset int"
+
+
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, passages as (start, n, kid)) -> two hashes of each window of a passage, its kid, id and place in it."""
+    for batch in batches:
+        for doc_id, text, passages in zip(batch.column(0).to_pylist(), words.texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            h = words.hashes(words.split(text))
+            w, c = (words.long_runs(h, WINDOW, seed).view(np.int64) for seed in (0, 41))
+            offset = np.concatenate([np.arange(p["n"], dtype=np.int32) for p in passages])
+            kid = np.repeat([p["kid"] for p in passages], [p["n"] for p in passages])
+            at = np.repeat([p["start"] for p in passages], [p["n"] for p in passages]) + offset
+            yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(c[at]), pa.array(kid), pa.array(np.full(len(at), doc_id, np.int64)), pa.array(offset)], [x.split()[0] for x in WINDOWS.split(", ")])
 
 
 def _ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, part, window starts) -> ranges of words under the windows, as pairs of 32-bit numbers."""
+    """(id, part, runs of windows) -> ranges of words under the windows, as pairs of 32-bit numbers."""
     for batch in batches:
         out = []
         for x in batch.column(2):
-            s = np.sort(x.values.to_numpy())
-            cut = np.flatnonzero(np.diff(s) > WINDOW)
-            first, last = s[np.append(0, cut + 1)], s[np.append(cut, len(s) - 1)]
-            out.append(np.stack([first, last + WINDOW], 1).astype(np.int32).tobytes())
+            runs = np.sort(x.values.to_numpy())  # first window in the high half, number of windows in the low one
+            first = runs >> 32
+            end = np.maximum.accumulate(first + (runs & 0xFFFFFFFF) - 1 + WINDOW)
+            cut = np.flatnonzero(first[1:] > end[:-1]) + 1
+            out.append(np.stack([first[np.append(0, cut)], end[np.append(cut - 1, len(end) - 1)]], 1).astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["rid", "rpart", "ranges"])
 
 
@@ -131,25 +154,56 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(row, F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.shiftrightunsigned(F.xxhash64(text_col), 33).alias("part"))
 
 
+def _of_documents(base: DataFrame, side: DataFrame, row_bytes: int) -> DataFrame:
+    """base (id, part, text) with the columns of a staged side (sid, spart, ...); other texts stay where they are."""
+    same = (F.col("id") == F.col("sid")) & (F.col("part") == F.col("spart"))
+    return partnered(base, side, same, F.xxhash64("id", "part"), F.xxhash64("sid", "spart"), row_bytes)
+
+
+KEY = ["g", "h1", "h2"]
+
+
+def passages(base: DataFrame) -> DataFrame:
+    """Staged passages of the documents (id, part, text), as the automata locate them."""
+    anchors = stage(base.mapInArrow(_anchors, "id long, part long, phrase binary"), "anchors")
+    recurring = anchors.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("copies")).where("least < most")
+    recurring = stage(recurring.select("phrase", "copies"), "recurring")
+    lists = spread_join(anchors, recurring, ["phrase"], "copies").groupBy(F.col("id").alias("sid"), F.col("part").alias("spart")).agg(F.collect_set("phrase").alias("phrases"))
+    texts = _of_documents(base, stage(lists, "lists"), 1024)
+    return stage(texts.select("id", "part", "text", "phrases").mapInArrow(_passages, PASSAGES), "passages")
+
+
+def covered(base: DataFrame, classes: DataFrame) -> DataFrame:
+    """KEY, offsets: windows of a passage that a smaller doc_id has in another passage with the same phrase."""
+    shared = classes.groupBy("g").agg(F.min("at.id").alias("least"), F.max("at.id").alias("most"), F.count(F.lit(1)).alias("kinds")).where("least < most")
+    kinds = spread_join(classes, stage(shared, "shared"), ["g"], "kinds").select(F.monotonically_increasing_id().alias("kid"), *KEY, "at")
+    kinds = stage(kinds, "kinds")
+    wanted = kinds.groupBy(F.col("at.id").alias("sid"), F.col("at.part").alias("spart")).agg(F.collect_list(F.struct("at.start", "at.n", "kid")).alias("passages"))
+    texts = _of_documents(base, stage(wanted, "wanted"), 1024)
+    windows = stage(texts.select("id", "text", "passages").mapInArrow(_windows, WINDOWS), "windows")
+    least = stage(windows.groupBy("w", "c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "least")
+    later = spread_join(windows, least, ["w", "c"], "copies").where("id > least").groupBy("kid").agg(F.collect_set("offset").alias("offsets"))
+    return kinds.join(later, "kid").select(*KEY, "offsets")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Staged (rid, rpart, ranges) for each document that has words to remove."""
     text_batches(docs.sparkSession)
     base = _keyed(docs, id_col, text_col).select("id", "part", "text")
-    anchors = stage(base.mapInArrow(_anchors, "id long, part long, phrase binary"), "anchors")
-    recurring = anchors.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    role = F.when(F.col("id") == F.col("least"), F.lit(b"\x01")).when(F.col("id") == F.col("most"), F.lit(b"\x02")).otherwise(F.lit(b"\x03"))
-    lists = stage(anchors.join(recurring, "phrase").withColumn("phrase", F.concat(role, "phrase")).groupBy("id", "part").agg(F.collect_set("phrase").alias("phrases")), "lists")
-    some = base.join(sized(lists.select("id", "part"), 48), ["id", "part"], "left_semi")
-    found = stage(some.join(lists, ["id", "part"]).select("id", "part", "text", "phrases").mapInArrow(_windows, "w long, c int, id long, place long, role int"), "windows")
-    first = found.where("role & 1 > 0").groupBy("w", "c").agg(F.min("id").alias("least"))
-    later = found.where("role & 2 > 0").join(first, ["w", "c"]).where("id > least")
-    starts = later.groupBy("id", F.shiftright("place", 32).alias("part")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts"))
-    return stage(starts.mapInArrow(_ranges, "rid long, rpart long, ranges binary"), "ranges")
+    found = passages(base)
+    classes = stage(found.groupBy(*KEY).agg(F.min(F.struct("id", "part", "start", "n")).alias("at"), F.count(F.lit(1)).alias("copies")), "classes")
+    known = spread_join(found, classes, KEY, "copies")
+    whole = known.where(F.col("id") > F.col("at.id")).select("id", "part", "start", "n")
+    first = known.where(F.col("id") == F.col("at.id")).join(covered(base, classes), KEY)
+    some = first.select("id", "part", F.explode(F.transform("offsets", lambda x: F.col("start") + x)).alias("start"), F.lit(1).alias("n"))
+    runs = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    gone = whole.unionByName(some).groupBy("id", "part").agg(F.collect_set(runs).alias("runs"))
+    return stage(gone.mapInArrow(_ranges, "rid long, rpart long, ranges binary"), "ranges")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    found = repeats(docs, id_col, text_col)
-    return _keyed(docs, id_col, text_col).join(sized(found, 128), (F.col("id") == F.col("rid")) & (F.col("part") == F.col("rpart")), "left")
+    same = (F.col("id") == F.col("rid")) & (F.col("part") == F.col("rpart"))
+    return partnered(_keyed(docs, id_col, text_col), repeats(docs, id_col, text_col), same, F.xxhash64("id", "part"), F.xxhash64("rid", "rpart"), 128, "left")
 
 
 def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
