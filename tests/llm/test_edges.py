@@ -224,29 +224,89 @@ def test_toxicity(spark, docs, nothing, sf):
 
 
 def test_toxicity_held_out(spark):
-    """In these tables only the English documents carry words that mark toxicity; other labels look alike."""
-    sf = "/root/testdata/sf0.1"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'")
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    rows = toxicity.score_documents(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
-    caught, blamed = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
-    assert len(rows) > 300 and sum(caught) / len(caught) > 0.85 and sum(blamed) / len(blamed) < 0.02
-
-
-def test_toxicity_held_out_all_languages(spark):
+    """Toxic documents of every language are found, and ordinary ones left alone, among those it hasn't learned from."""
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     scored = toxicity.score_documents(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out")
     rows = scored.join(docs.select("doc_id", "lang"), "doc_id").collect()
     for lang in ("en", "de", "fr", "es"):
-        caught, blamed = [r.predicted for r in rows if r.lang == lang and r.toxic], [r.predicted for r in rows if r.lang == lang and not r.toxic]
-        print(lang, sum(caught), len(caught), sum(blamed), len(blamed))
-        assert len(caught) > 5 and sum(caught) / len(caught) > 0.6 and sum(blamed) / len(blamed) < 0.02
+        toxic, ordinary = ([(r.score, r.predicted) for r in rows if r.lang == lang and r.toxic == x] for x in (1, 0))
+        area = sum((a > b) + (a == b) / 2 for a, _ in toxic for b, _ in ordinary) / len(toxic) / len(ordinary)
+        print(lang, sum(p for _, p in toxic), len(toxic), sum(p for _, p in ordinary), len(ordinary), round(area, 3))
+        assert len(toxic) > 5 and area > 0.9
+        assert sum(p for _, p in toxic) / len(toxic) > 0.6 and sum(p for _, p in ordinary) / len(ordinary) < 0.02
     caught = [r.predicted for r in rows if r.toxic]
     assert sum(caught) / len(caught) > 0.85
 
 
+KN_TRAIN = [("bad dog bites bad dog", 1), ("the bad cat bites", 1), ("the good dog sleeps", 0), ("the dog sleeps and the cat sleeps", 0), ("bad weather", 0), ("", 0)]
+
+
+def test_toxicity_words_by_hand(spark, monkeypatch):
+    """The word models against a plain loop over the formulas."""
+    monkeypatch.setattr(toxicity, "MIN_PAIRS", 1)
+    table, unknown = toxicity.expression_ratios(spark.createDataFrame(KN_TRAIN, "text string, toxic int"))
+    model = toxicity.Model(toxicity.Table(np.empty(0, np.uint64), np.empty(0)), table, unknown, {})
+    d = toxicity.DISCOUNT
+    n = ({}, {})
+    for text, c in KN_TRAIN:
+        for v, w in zip(["<s>", *text.split()], text.split(), strict=False):
+            n[c][v, w] = n[c].get((v, w), 0) + 1
+    before = [{w: len({v for v, x in n[c] if x == w}) for _, w in n[c]} for c in (0, 1)]
+    either = {w: len({v for v, x in n[0].keys() | n[1].keys() if x == w}) for _, w in n[0].keys() | n[1].keys()}
+
+    def p1(w, c):
+        shared = either.get(w, 1) / (sum(either.values()) + len(either))
+        return (max(before[c].get(w, 0) - d, 0) + d * len(before[c]) * shared) / sum(before[c].values())
+
+    def p2(v, w, c):
+        follow = {x: m for (u, x), m in n[c].items() if u == v}
+        return (max(follow.get(w, 0) - d, 0) + d * len(follow) * p1(w, c)) / sum(follow.values()) if follow else p1(w, c)
+
+    texts = ["bad dog", "the dog bites the unknown cat", "nothing of this", "the good cat sleeps", "unknown", ""]
+    for text, got in zip(texts, model.in_context([t.encode().split() for t in texts]), strict=True):
+        want = [math.log(p2(v, w, 1) / p2(v, w, 0)) for v, w in zip(["<s>", *text.split()], text.split(), strict=False)]
+        assert math.isclose(got, sum(want) / max(1, len(want)), rel_tol=1e-4, abs_tol=1e-6), text
+
+
+def test_toxicity_characters_by_hand(spark, monkeypatch):
+    """The character models against a plain loop over the formulas."""
+    monkeypatch.setattr(toxicity, "MIN_COUNT", 1)
+    found = toxicity.string_counts(spark.createDataFrame(KN_TRAIN, "text string, toxic int")).toArrow()
+    rows = {c: found.column(c).to_numpy() for c in found.column_names}
+    rows |= {c: rows[c].view(np.uint64) for c in ("h", "ctx", "low")}
+    model = toxicity.Model(toxicity.Table(rows["h"], toxicity.kneser_ney(rows)), toxicity.Table(np.empty(0, np.uint64), np.empty(0)), 0.0, {})
+    d, order = toxicity.DISCOUNT, toxicity.ORDER
+    n = ({}, {})
+    for text, c in KN_TRAIN:
+        for w in (f"<{x}>" for x in text.split()):
+            for k in range(1, order + 1):
+                for i in range(max(1, k - 1), len(w)):
+                    x = w[i - k + 1 : i + 1]
+                    n[c][x] = n[c].get(x, 0) + 1
+    every = n[0].keys() | n[1].keys()
+    longer = lambda x, strings: sum(len(y) == len(x) + 1 and y[1:] == x for y in strings)
+
+    def own(x, c):
+        return longer(x, n[c]) if len(x) < order and longer(x, every) else n[c].get(x, 0)
+
+    def p(x, c):
+        if len(x) == 1:
+            return longer(x, every) + 1.0  # over the same sum in both classes
+        alike = [own(y, c) for y in every if len(y) == len(x) and y[:-1] == x[:-1]]
+        return (max(own(x, c) - d, 0) + d * sum(v > 0 for v in alike) * p(x[1:], c) / norm(x)) / sum(alike) * norm(x) if sum(alike) else p(x[1:], c)
+
+    norm = lambda x: sum(longer(y, every) + 1.0 for y in every if len(y) == 1)
+    for word in ("bad", "dog", "batter", "zzz", "cats"):
+        total = 0.0
+        w = f"<{word}>"
+        for i in range(1, len(w)):
+            known = [w[i - k + 1 : i + 1] for k in range(order, 0, -1) if i - k + 1 >= 0 and w[i - k + 1 : i + 1] in every]
+            total += math.log(p(known[0], 1) / p(known[0], 0)) if known else 0.0
+        assert math.isclose(float(model.of_words([word.encode()])[0]), total, rel_tol=1e-4, abs_tol=1e-5), word
+
+
 @pytest.mark.parametrize("coarse", [False, True])
 def test_top_k(spark, monkeypatch, coarse):
     """Against brute force, with cells as they are and with so few, in so small blocks, that bounds decide little."""

@@ -1,17 +1,22 @@
-"""Toxicity by class-conditional Kneser-Ney models of the characters of words.
+"""Toxicity by class-conditional Kneser-Ney models of words in their context, and of the characters of words.
 
-Two interpolated Kneser-Ney models, of toxic and of ordinary text, predict each character of a word from up to
-ORDER - 1 characters before it in the word; inflected and rare words are thus judged by their stems. Orders
-above the lowest keep a class's own counts, less a discount; what is discounted goes to the next lower order,
-and the lowest order is shared: numbers of different contexts that a character continues in either class.
-Strings of characters seen fewer than MIN_COUNT times in all are left to their shorter endings.
-A document's evidence compares the two log-likelihoods, divided by its length in words.
+Two interpolated Kneser-Ney models, of toxic and of ordinary text, predict each word from the one before it, so
+expressions of two words are seen. What is discounted of a pair goes to the word alone, by the number of different words
+before it in the class (continuation counts), and then to shared backoff: the number of different words before it in
+either class. A pair or word without evidence of its own thus says what its shorter part says, and at last nothing.
+
+Two more models predict each character of a word from up to ORDER - 1 characters before it in the word; inflected and
+rare words are judged by their stems. The highest order has a class's own counts, lower ones its continuation counts
+(strings at the beginning of a word their own), and the lowest is shared by the classes.
+Pairs seen fewer than MIN_PAIRS times, and strings of characters fewer than MIN_COUNT times, are left to their shorter
+endings; continuation counts are taken before.
+For each of both the evidence of a document is the difference of the two log-likelihoods, divided by its length in words.
 
 A mean over all words hides a few strongly marked words among many ordinary ones, as in languages with few toxic
 documents. So beginnings of words (stems) that recur within toxic documents far more often than within ordinary ones
 are marks: by a Poisson model of its count in the length of the document, each gives a log-likelihood ratio, and the
-strongest of a document, up to MARKED, is its second evidence. Languages are not looked at.
-A logistic curve of both is fitted to a fourth of the training documents, which the counts don't use.
+strongest of a document, up to MARKED, is its third evidence. Languages are not looked at.
+A logistic curve of the three is fitted to a fourth of the training documents, which the counts don't use.
 
 Only labelled rows with crc32(doc_id) mod 5 <> 0 are learned from, at most TRAIN_DOCS of them (chosen by a hash of
 doc_id, so the sample is the same in each run); scores use the text alone.
@@ -33,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from wardline.llm import words
 from wardline.llm.common import stage, text_batches
 
-ORDER, DISCOUNT, MIN_COUNT, TRAIN_DOCS = 6, 0.75, 4, 12_000
+ORDER, DISCOUNT, MIN_COUNT, MIN_PAIRS, TRAIN_DOCS = 6, 0.75, 4, 2, 12_000
 #: Bytes of a stem; times it must recur in a document to count as repeated there; toxic documents that must repeat it.
 STEM, REPEATED, MARK_DOCS = (4, 10), 2, 4
 #: A mark's least ratio of document rates, in standard errors too; the most that a document's marks can say.
@@ -96,12 +101,21 @@ def stems(word: bytes) -> list[bytes]:
     return [w[:k] for k in range(STEM[0], min(len(w), STEM[1]) + 1)]
 
 
-class Model:
-    """Log-ratio of each known string of characters, in an open hash table; marks with what each occurrence says for
-    toxicity and each word of the text against it; slopes and intercept of the curve."""
+#: What is added to a word's hash where it stands for the word alone, for the context that it is, and for a text's beginning.
+ALONE, BEFORE, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
+
+
+def pairs(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words of several texts, whose first ones are at starts: hashes of each word with the one before it, of that context, and of the word alone."""
+    before = np.concatenate([h[:0], np.roll(h, 1)])
+    before[starts] = BEGIN
+    return words.mixed(before * words.M1 + h), words.mixed(before + BEFORE), words.mixed(h + ALONE)
+
+
+class Table:
+    """Values of 64-bit keys, in an open hash table."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.a, self.b, self.marks = (0.0, 0.0), -2.0, {}
         bits = max(4, int(2 * len(keys)).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
@@ -114,18 +128,6 @@ class Model:
             self.keys[at[got]], self.values[at[got]] = keys[todo[got]], values[todo[got]]
             todo, step = np.delete(todo, got), step + np.uint64(1)
             self.probes += 1
-        self.cache: dict[bytes, float] = {}
-        self.hits: dict[bytes, list[bytes]] = {}  # marks of cached words that have any
-
-    def shared(self) -> tuple:
-        return self.keys, self.values, self.mask, self.probes, self.a, self.b, self.marks
-
-    @classmethod
-    def of(cls, shared: tuple) -> Model:
-        """A worker's own model, with an empty cache."""
-        own = cls(np.empty(0, np.uint64), np.empty(0, np.float32))
-        own.keys, own.values, own.mask, own.probes, own.a, own.b, own.marks = shared
-        return own
 
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is known, and its value."""
@@ -140,6 +142,24 @@ class Model:
                 break
         return known, value
 
+
+class Model:
+    """Log-ratios of strings of characters, and of pairs, contexts and words; marks with what each occurrence says for
+    toxicity and each word of the text against it; slopes and intercept of the curve."""
+
+    def __init__(self, strings: Table, expressions: Table, unknown: float, marks: dict, a: tuple = (0.0,) * 3, b: float = -2.0) -> None:
+        self.strings, self.expressions, self.unknown, self.marks, self.a, self.b = strings, expressions, unknown, marks, a, b
+        self.cache: dict[bytes, float] = {}
+        self.hits: dict[bytes, list[bytes]] = {}  # marks of cached words that have any
+
+    def shared(self) -> tuple:
+        return self.strings, self.expressions, self.unknown, self.marks, self.a, self.b
+
+    @classmethod
+    def of(cls, shared: tuple) -> Model:
+        """A worker's own model, with an empty cache."""
+        return cls(*shared)
+
     def of_words(self, found: list[bytes]) -> np.ndarray:
         """Log-ratio of each word: of each character by the longest known string that it ends."""
         if not found:
@@ -148,7 +168,7 @@ class Model:
         total, open_ = np.zeros(x[:, 1:].size), (x[:, 1:] > 0).ravel()
         for k in range(ORDER, 0, -1):
             at = np.flatnonzero(open_)
-            known, value = self.find(endings(x, k).ravel()[at])
+            known, value = self.strings.find(endings(x, k).ravel()[at])
             total[at[known]] = value[known]
             open_[at[known]] = False
         per_row = total.reshape(len(x), -1).sum(axis=1)
@@ -161,8 +181,23 @@ class Model:
         found = Counter(m for w in doc if w in self.hits for m in self.hits[w])
         return min(max(0.0, *(n * self.marks[m][0] - len(doc) * self.marks[m][1] for m, n in found.items())), MARKED)
 
+    def in_context(self, docs: list[list[bytes]]) -> np.ndarray:
+        """Mean log-ratio of each document's words, given the words before them."""
+        n = np.array([len(d) for d in docs])
+        h = words.hashes([w for d in docs for w in d])
+        if not len(h):
+            return np.zeros(len(docs))
+        starts = np.cumsum(n) - n
+        pair, context, alone = pairs(h, starts[n > 0])
+        known, value = self.expressions.find(pair)
+        rest = np.flatnonzero(~known)
+        named, single = self.expressions.find(alone[rest])
+        value[rest] = np.where(named, single, np.float32(self.unknown)) + self.expressions.find(context[rest])[1]
+        sums = np.diff(np.append(0.0, np.cumsum(value.astype(float)))[np.append(starts, len(h))])
+        return sums / np.maximum(n, 1)
+
     def evidence(self, texts: list[bytes | None]) -> np.ndarray:
-        """For each text the difference of the log-likelihoods by word, bent, and what its marks say."""
+        """For each text the two differences of log-likelihoods by word, bent, and what its marks say."""
         docs = [tokens(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear(), self.hits.clear()
@@ -173,7 +208,7 @@ class Model:
             self.hits.update((w, own) for w in part if (own := [m for m in stems(w) if m in self.marks]))
         of = self.cache.__getitem__
         means = np.array([sum(map(of, d)) / len(d) if d else 0.0 for d in docs])
-        return np.stack([bent(means), np.array([self.marked(d) for d in docs], float)], axis=1)
+        return np.stack([bent(means), self.in_context(docs), np.array([self.marked(d) for d in docs], float)], axis=1)
 
     def scores(self, evidence: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(evidence @ np.array(self.a) + self.b, -30, 30)))
@@ -215,6 +250,64 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def string_counts(sample: DataFrame) -> DataFrame:
+    """h, ctx, low, k, counts t and o of strings seen MIN_COUNT times or more, and how many different characters precede
+    each in toxic (ct), ordinary (co) and any text (c)."""
+    every = sample.mapInArrow(_counted, COUNTS).groupBy("h", "k").agg(F.first("ctx").alias("ctx"), F.first("low").alias("low"), F.sum("t").alias("t"), F.sum("o").alias("o"))
+    every = stage(every, "strings")
+    longer = every.where("k > 1").groupBy(F.col("low").alias("h"), (F.col("k") - 1).cast("int").alias("k"))
+    before = longer.agg(F.sum((F.col("t") > 0).cast("long")).alias("ct"), F.sum((F.col("o") > 0).cast("long")).alias("co"), F.count(F.lit(1)).alias("c"))
+    return every.where(f"t + o >= {MIN_COUNT}").join(before, ["h", "k"], "left").na.fill(0, ["ct", "co", "c"])
+
+
+PAIRS = "h long, ctx long, low long, t long, o long"
+
+
+def _paired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) -> counts by class of words with the words before them, summed within a batch."""
+    for batch in batches:
+        docs = [tokens(t) for t in words.texts(batch.column(0))]
+        n = np.array([len(d) for d in docs], np.int64)
+        h = words.hashes([w for d in docs for w in d])
+        if not len(h):
+            continue
+        pair, context, alone = pairs(h, (np.cumsum(n) - n)[n > 0])
+        toxic = np.repeat(np.array([bool(x) for x in batch.column(1).to_pylist()]), n)
+        keys, first, back = np.unique(pair, return_index=True, return_inverse=True)
+        t, every = np.bincount(back, toxic).astype(np.int64), np.bincount(back)
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, context[first], alone[first], t, every - t)], ["h", "ctx", "low", "t", "o"])
+
+
+def expression_ratios(sample: DataFrame) -> tuple[Table, float]:
+    """Log-ratios of the word models for pairs, contexts and words, by hash, and that of a word that is not known.
+
+    With discount D, counts n of pairs and N of different words before a word, in a class c:
+    p(w) = (max(N_c(w) - D, 0) + D kinds_c shared(w)) / sum N_c, p(w | v) = (max(n_c(vw) - D, 0) + D kinds_c(v) p(w)) / n_c(v).
+    A pair that is not known says log p(w) and the log of the context's factor of p(w).
+    """
+    every = stage(sample.mapInArrow(_paired, PAIRS).groupBy("h").agg(F.first("ctx").alias("ctx"), F.first("low").alias("low"), F.sum("t").alias("t"), F.sum("o").alias("o")), "pairs")
+    some = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    alone = stage(every.groupBy("low").agg(some("t").alias("nt"), some("o").alias("no"), F.count(F.lit(1)).alias("n"), F.sum(F.col("t") + F.col("o")).alias("seen")), "alone")
+    sums = alone.agg(F.sum("nt"), F.sum("no"), F.sum("n"), some("nt"), some("no"), F.count(F.lit(1))).first()
+    if not sums[0] or not sums[1]:
+        return Table(np.empty(0, np.uint64), np.empty(0, np.float32)), 0.0
+    sum_t, sum_o, total, kinds_t, kinds_o, kinds = map(float, sums)
+    single = lambda n, kinds, total_c, shared: (F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * shared) / total_c
+    shared = F.col("n").cast("double") / F.lit(total + kinds)  # what is left is for words that are not known
+    alone = alone.select("low", "seen", single("nt", kinds_t, sum_t, shared).alias("pt"), single("no", kinds_o, sum_o, shared).alias("po"))
+    context = every.groupBy("ctx").agg(F.sum("t").alias("ct"), F.sum("o").alias("co"), some("t").alias("kt"), some("o").alias("ko"))
+    left = lambda k, c: F.when(F.col(c) > 0, DISCOUNT * F.col(k) / F.greatest(F.col(c), F.lit(1))).otherwise(1.0)
+    context = stage(context.select("ctx", "ct", "co", left("kt", "ct").alias("lt"), left("ko", "co").alias("lo")), "contexts")
+    own = lambda n, c, rest, p: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(c), F.lit(1)) + F.col(rest) * F.col(p)
+    known = every.where(f"t + o >= {MIN_PAIRS}").join(alone, "low").join(context, "ctx")
+    known = known.select("h", F.log(own("t", "ct", "lt", "pt") / own("o", "co", "lo", "po")).alias("value"))
+    known = known.unionByName(alone.where(f"seen >= {MIN_PAIRS}").select(F.col("low").alias("h"), F.log(F.col("pt") / F.col("po")).alias("value")))
+    known = known.unionByName(context.where(f"ct + co >= {MIN_PAIRS}").select(F.col("ctx").alias("h"), F.log(F.col("lt") / F.col("lo")).alias("value")))
+    found = known.toArrow()  # bounded by the sample
+    table = Table(found.column("h").to_numpy().view(np.uint64), found.column("value").to_numpy().astype(np.float32))
+    return table, float(np.log(kinds_t / sum_t) - np.log(kinds_o / sum_o))
+
+
 STEMS = "stem binary, docs_t long, docs_o long, n_o long, n_t long, words_t long"
 
 
@@ -272,9 +365,10 @@ def marks_of(sample: DataFrame) -> dict[bytes, tuple[float, float]]:
     return marks
 
 
-def kneser_ney(h: np.ndarray, ctx: np.ndarray, low: np.ndarray, k: np.ndarray, t: np.ndarray, o: np.ndarray) -> np.ndarray:
-    """Log-ratio of the two models for each string: its hash, that of all but its last character (ctx), that of
-    all but its first (low), its number of characters, and its counts in toxic and ordinary text."""
+def kneser_ney(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Log-ratio of the two models for each string of `string_counts`: h is its hash, ctx that of all but its last
+    character, low that of all but its first, k its number of characters."""
+    h, ctx, low, k = rows["h"], rows["ctx"], rows["low"], rows["k"]
     p, by_hash = np.zeros((2, len(h))), np.argsort(h)
     row_of = lambda x: by_hash[np.minimum(np.searchsorted(h, x, sorter=by_hash), len(h) - 1)]
     for order in range(1, ORDER + 1):
@@ -282,12 +376,13 @@ def kneser_ney(h: np.ndarray, ctx: np.ndarray, low: np.ndarray, k: np.ndarray, t
         if not len(at):
             continue
         if order == 1:
-            one_of = np.bincount(row_of(low[k == 2]), minlength=len(h))[at] + 1.0  # different characters before each
-            lower, back = np.tile(one_of / one_of.sum(), (2, 1)), np.zeros(len(at), np.int64)
-        else:
-            lower, back = p[:, row_of(low[at])], np.unique(ctx[at], return_inverse=True)[1]
-        for c, n in enumerate((t, o)):
-            own = n[at].astype(float)
+            one_of = rows["c"][at] + 1.0
+            p[:, at] = one_of / one_of.sum()
+            continue
+        lower, back = p[:, row_of(low[at])], np.unique(ctx[at], return_inverse=True)[1]
+        for c, (n, before) in enumerate((("t", "ct"), ("o", "co"))):
+            # strings that begin words have nothing before them; their own counts stand in
+            own = np.where((order < ORDER) & (rows["c"][at] > 0), rows[before][at], rows[n][at]).astype(float)
             total, kinds = np.bincount(back, own)[back], np.bincount(back, own > 0)[back]
             p[c, at] = np.where(total > 0, (np.maximum(own - DISCOUNT, 0) + DISCOUNT * kinds * lower[c]) / np.maximum(total, 1), lower[c])
     return np.log(p[0] / p[1]).astype(np.float32)
@@ -320,32 +415,34 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     text_batches(spark)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = stage(usable.withColumn("part", remainder(F.col("doc_id"))).where("part <> 0"), "usable")
-    share = int(1_000_000 * min(1.0, TRAIN_DOCS / max(1, usable.count())))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    share = int(min(1.0, TRAIN_DOCS / max(1, usable.count())) * (1 << 62))
+    chosen = usable.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < share)
     sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "part").repartition(8), "sample")  # TRAIN_DOCS rows or so
-    counted = sample.where("part < 4").select("text", "toxic").coalesce(8).mapInArrow(_counted, COUNTS)
-    kept = counted.groupBy("h", "k").agg(F.first("ctx").alias("ctx"), F.first("low").alias("low"), F.sum("t").alias("t"), F.sum("o").alias("o")).where(f"t + o >= {MIN_COUNT}")
-    found = kept.toArrow()  # bounded by the sample
-    col = lambda name: found.column(name).to_numpy()
-    keys = col("h").view(np.uint64)
-    model = Model(keys, kneser_ney(keys, col("ctx").view(np.uint64), col("low").view(np.uint64), col("k"), col("t"), col("o"))) if len(keys) else Model(keys, np.empty(0, np.float32))
-    model.marks = marks_of(sample.where("part < 4").select("text", "toxic").coalesce(8))
-    rows = _evidence(sample.where("part = 4").select(F.col("toxic").cast("long").alias("toxic"), "text"), model).toArrow()
-    model.a, model.b = logistic(np.stack([rows.column("words").to_numpy(), rows.column("marks").to_numpy()], axis=1), rows.column("toxic").to_numpy() > 0)
+    counted = sample.where("part < 4").select("text", "toxic").coalesce(8)
+    found = string_counts(counted).toArrow()  # bounded by the sample
+    rows = {c: found.column(c).to_numpy() for c in found.column_names}
+    rows |= {c: rows[c].view(np.uint64) for c in ("h", "ctx", "low")}
+    expressions, unknown = expression_ratios(counted)
+    model = Model(Table(rows["h"], kneser_ney(rows) if len(rows["h"]) else np.empty(0, np.float32)), expressions, unknown, marks_of(counted))
+    held = _evidence(sample.where("part = 4").select(F.col("toxic").cast("long").alias("toxic"), "text"), model).toArrow()
+    model.a, model.b = logistic(np.stack([held.column(c).to_numpy() for c in EVIDENCE], axis=1), held.column("toxic").to_numpy() > 0)
     return model
 
 
+EVIDENCE = ("characters", "words", "marks")
+
+
 def _evidence(rows: DataFrame, model: Model) -> DataFrame:
-    """(toxic, text) -> toxic and both kinds of evidence."""
+    """(toxic, text) -> toxic and all kinds of evidence."""
     shared = rows.sparkSession.sparkContext.broadcast(model.shared())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.of(shared.value)
         for batch in batches:
             found = own.evidence(words.texts(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], ["toxic", "words", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in found.T)], ["toxic", *EVIDENCE])
 
-    return rows.mapInArrow(run, "toxic long, words double, marks double")
+    return rows.mapInArrow(run, "toxic long, " + ", ".join(f"{x} double" for x in EVIDENCE))
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
