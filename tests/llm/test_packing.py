@@ -59,6 +59,8 @@ def test_engines_agree(spark):
     rng = np.random.default_rng(9)
     own, tokenizer = packing.Ids(path, True), Tokenizer.from_file(path)
     texts = ["".join(chr(int(c)) for c in rng.integers(32, 127, int(rng.integers(1, 60)))) for _ in range(2000)]
+    texts += ["".join(chr(int(c)) for c in rng.integers(0xA1, 0x250, int(rng.integers(1, 40)))) for _ in range(2000)]
+    texts += [" ".join(own.tokenizer.decode(rng.integers(0, 50_000, 30).tolist()).split()) for _ in range(500)]
     texts += ["".join(rng.choice(list("abeinrst'é東 \n\x1c\x85"), int(rng.integers(1, 40)))) for _ in range(2000)]
     assert own.batch(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 

@@ -11,7 +11,7 @@ exceeds SEQ, the number of windows rises by one and the rests are dealt anew.
 Tokenizing caches the ids of words: the tokenizer's pattern never spans a single space that stands between two
 other characters, except as the first character of what follows, so the text is cut there and each different
 part is tokenized once for each batch or taken from a bounded cache. A faster engine, which merges the pair of tokens
-whose concatenation has the lowest id, serves for printable ASCII if `same_merges` shows that it must agree with the
+whose concatenation has the lowest id, serves for printable Latin text if `same_merges` shows that it must agree with the
 tokenizer. Sequence numbers are unique, not dense.
 
 Defined results: a null text counts as empty and gives the closing id alone; rows that repeat are packed as
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import os
 import re
@@ -44,6 +45,8 @@ CACHE_WORDS = 500_000
 #: Parts encoded in one call.
 JOIN = 64
 #: A space between two characters that aren't white space: parts on its two sides tokenize independently.
+#: Parts of printable Latin characters, whose classes are the same in all versions of Unicode since 5.0, and single line ends.
+LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u024f]+(?:\n[!-~\u00a1-\u00ac\u00ae-\u024f]+)*")
 SAFE_SPACE, UNSAFE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s | \s")
 
 
@@ -116,8 +119,8 @@ class Ids:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts after a space. Printable ASCII without a space is encoded together, JOIN at a time, and told apart by the tokens that begin with a space."""
-        plain = [p.isascii() and p.isprintable() and " " not in p and SPECIAL not in p and p != "" for p in parts]
+        """Ids of parts after a space. Latin ones are encoded together, JOIN at a time, and told apart by the tokens that begin with a space."""
+        plain = [LATIN.fullmatch(p) is not None and SPECIAL not in p for p in parts]
         joined = [p for p, ok in zip(parts, plain, strict=True) if ok]
         runs = [" " + " ".join(joined[i : i + JOIN]) for i in range(0, len(joined), JOIN)]
         found: list[bytes] = []
@@ -135,7 +138,7 @@ class Ids:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        missing = list({p for x in parts for p in x[1:] if p not in known})
+        missing = list(set(itertools.chain.from_iterable(x[1:] for x in parts)).difference(known))
         known.update(zip(missing, self._encode_parts(missing), strict=True))
         heads = self._encode([x[0] for x in parts])
         out = [head + b"".join(map(known.__getitem__, x[1:])) for head, x in zip(heads, parts, strict=True)]
