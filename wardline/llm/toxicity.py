@@ -46,7 +46,7 @@ MARK_RATIO, MARK_ERRORS, MARKED = 4.0, 3.0, 20.0
 #: Characters of a word that are looked at in each row of codes; longer words take several rows.
 WIDTH = 24
 #: Word values that a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 STRIP = b".,;:!?\"'()[]{}<>*#&$%@^~|/\\+=_-`0123456789"
 
 

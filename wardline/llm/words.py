@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Different words that a worker keeps the hash of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
