@@ -39,7 +39,7 @@ from wardline.llm.components import components
 SHINGLE, THRESHOLD_PERCENT = 4, 80
 BANDS, ROWS, BITS, LOOSE, SEED = 36, 5, 2, 0.6, 77
 #: Classes in a block of a bucket, and of a loose group, whose rows hold whole sets; classes of a group that go to all its blocks.
-SKETCH_BLOCK, SET_BLOCK, HEADS = 4096, 256, 4
+SKETCH_BLOCK, SET_BLOCK, HEADS = 4096, 1024, 4
 HASHES = BANDS * ROWS
 _rng = np.random.default_rng(SEED)
 _A = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
