@@ -82,6 +82,15 @@ def test_beyond_broadcasts(spark, docs, monkeypatch):
     assert "__bits" in plan and "LeftOuter" in plan
 
 
+def test_spread_join_of_large_groups(spark, monkeypatch):
+    """Sizes may be 32-bit numbers near their limit; hot and other groups give what a plain join gives."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1)
+    rows = common.stage(spark.range(3000).selectExpr("id % 7 AS k", "id"), "rows")
+    groups = common.stage(spark.range(5).selectExpr("id AS k", "CAST(CASE WHEN id < 2 THEN 2000000000 ELSE 3 END AS int) AS n"), "groups")
+    for few in (False, True):
+        assert sorted(map(tuple, common.spread_join(rows, groups, ["k"], "n", few=few).collect())) == sorted(map(tuple, rows.join(groups, "k").collect()))
+
+
 def plain_shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
@@ -109,8 +118,9 @@ def test_near_dedup(spark, docs, nothing):
     assert near_dedup.near_duplicates(nothing).count() == near_dedup.near_dedup(nothing).count() == 0
 
 
-def test_near_dedup_group_of_many_blocks(spark):
+def test_near_dedup_group_of_many_blocks(spark, monkeypatch):
     """A group of variants larger than a block, linked in chains, next to documents that share a passage only."""
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", 256)
     rng = np.random.default_rng(8)
     base = [f"b{i}" for i in range(80)]
     rows, now = [], base
@@ -526,6 +536,15 @@ def test_pipeline(spark, nothing, tmp_path):
     assert all(abs(times[d] - mixed.get(d, 0)) <= 0.5 for d in times if times[d])
     assert pipeline.run(spark, sf).count() > 0
     (tmp_path / "none").mkdir()
+    odd = spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit("own") for c in CLASHING})
+    for name, apply in pipeline.STAGES[:-1]:
+        odd = apply(spark, odd, sf)
+        assert odd.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), *CLASHING] and only_own(odd), name
+        rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+        if name != "mixing":
+            assert len(set(rows)) == len({norm(t) for _, t in rows} if name != "toxicity" else set(rows))
+    assert all(t and t.split() for _, t in rows) and {d for d, _ in rows} <= {1, 6, 8, 9, 11, 12}
+    assert {r.doc_id for r in pipeline.STAGES[-1][1](spark, odd, sf).collect()} == {d for d, _ in rows}
     spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "none/documents.parquet"))
     spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "none/labels.parquet"))
     assert pipeline.run(spark, str(tmp_path / "none")).count() == 0

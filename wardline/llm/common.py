@@ -51,40 +51,52 @@ def mask(h: Column) -> Column:
     return bits
 
 
+def flagged(rows: DataFrame, row_hash: Column, side: DataFrame, side_hash: Column, n: int) -> DataFrame:
+    """rows with __may: whether they may have a partner among the n rows of a staged side, by a broadcast Bloom filter.
+
+    The filter has at most FILTER_WORDS words. It loses its force gradually beyond some 4 million keys; what it lets
+    through is decided by a join, so nothing is lost.
+    """
+    words = min(FILTER_WORDS, max(1, n // KEYS_PER_WORD))
+    filled = side.select(F.pmod(side_hash, F.lit(words)).alias("__word"), mask(side_hash).alias("__bits"))
+    bits = F.broadcast(stage(filled.groupBy("__word").agg(F.bit_or("__bits").alias("__bits")), "filter"))  # FILTER_WORDS rows at most
+    found = rows.withColumn("__h", row_hash).withColumn("__w", F.pmod("__h", F.lit(words))).join(bits, F.col("__w") == F.col("__word"), "left")
+    may = F.coalesce(F.col("__bits").bitwiseAND(mask(F.col("__h"))) == mask(F.col("__h")), F.lit(False))
+    return found.withColumn("__may", may).drop("__h", "__w", "__word", "__bits")
+
+
 def partnered(rows: DataFrame, side: DataFrame, on: Column, row_hash: Column, side_hash: Column, row_bytes: int, how: str = "inner") -> DataFrame:
     """rows (wide, with texts) joined with a staged side: inner, left or left_anti.
 
-    A side that is small as measured is broadcast. Otherwise a Bloom filter of its keys, of at most FILTER_WORDS words,
-    is broadcast, and only rows that may have a partner shuffle; the rest are decided where they are. The filter loses
-    its force gradually beyond some 4 million keys; what it lets through is decided by the join, so nothing is lost.
+    A side that is small as measured is broadcast. Otherwise only rows that may have a partner (`flagged`) shuffle; the
+    rest are decided where they are.
     """
     n = side.count()
     if n * row_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(side), on, how)
-    words = min(FILTER_WORDS, max(1, n // KEYS_PER_WORD))
-    filled = side.select(F.pmod(side_hash, F.lit(words)).alias("__word"), mask(side_hash).alias("__bits"))
-    bits = F.broadcast(stage(filled.groupBy("__word").agg(F.bit_or("__bits").alias("__bits")), "filter"))  # FILTER_WORDS rows at most
-    flagged = rows.withColumn("__h", row_hash).withColumn("__w", F.pmod("__h", F.lit(words))).join(bits, F.col("__w") == F.col("__word"), "left")
-    may = F.coalesce(F.col("__bits").bitwiseAND(mask(F.col("__h"))) == mask(F.col("__h")), F.lit(False))
-    own = ["__h", "__w", "__word", "__bits"]
-    joined = flagged.where(may).drop(*own).join(side, on, how)
+    found = flagged(rows, row_hash, side, side_hash, n)
+    joined = found.where("__may").drop("__may").join(side, on, how)
     if how == "inner":
         return joined
-    return joined.unionByName(flagged.where(~may).drop(*own), allowMissingColumns=True)
+    return joined.unionByName(found.where("not __may").drop("__may"), allowMissingColumns=True)
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, row_bytes: int = 128) -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, row_bytes: int = 128, few: bool = False) -> DataFrame:
     """Staged rows joined with one staged row for each of their groups, whose `size` counts the group's rows.
 
+    few: most rows have no group, so those that may have one are told apart first (`flagged`).
+
     Groups that are small as measured are broadcast. Otherwise the groups of more than one in HOT rows, HOT at most,
     are broadcast and their rows stay where they are; no key of the shuffled rest has more than one in HOT rows.
     """
     n = groups.count()
     if n * row_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), keys)
+    if few:
+        rows = flagged(rows, F.xxhash64(*keys), groups, F.xxhash64(*keys), n).where("__may").drop("__may")
     total = groups.agg(F.sum(size)).first()[0] or 0
-    hot = F.broadcast(groups.where(F.col(size) * HOT > total))
-    cold = groups.where(F.col(size) * HOT <= total)
+    hot = F.broadcast(groups.where(F.col(size).cast("long") * HOT > total))
+    cold = groups.where(F.col(size).cast("long") * HOT <= total)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
 

@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.llm import words
-from wardline.llm.common import partnered, spread_join, stage, text_batches
+from wardline.llm.common import number_rows, partnered, spread_join, stage, text_batches
 
 WINDOW, PHRASE = 50, 6
+#: Windows that a task holds before it passes them on.
+FLUSH = 200_000
 #: Stands for a null doc_id where ids are compared.
 LAST_ID = (1 << 63) - 1
 
@@ -113,19 +115,29 @@ def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in PASSAGES.split(", ")])
 
 
-WINDOWS = "w long, c long, kid long, id long, offset int"
+#: Windows by two hashes: their place (number of the passage, and in it), and roles (1: may go; 2: may make others go).
+WINDOWS = "w long, c int, place long, role int"
+PLACE_BITS = 26
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, passages as (start, n, kid)) -> two hashes of each window of a passage, its kid, id and place in it."""
+    """(text, passages as (start, n, kid, role)) -> the windows of the passages."""
+    names = [x.split()[0] for x in WINDOWS.split(", ")]
     for batch in batches:
-        for doc_id, text, passages in zip(batch.column(0).to_pylist(), words.texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        held: list[tuple[np.ndarray, ...]] = []
+        for text, passages in zip(words.texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             h = words.hashes(words.split(text))
-            w, c = (words.long_runs(h, WINDOW, seed).view(np.int64) for seed in (0, 41))
-            offset = np.concatenate([np.arange(p["n"], dtype=np.int32) for p in passages])
-            kid = np.repeat([p["kid"] for p in passages], [p["n"] for p in passages])
-            at = np.repeat([p["start"] for p in passages], [p["n"] for p in passages]) + offset
-            yield pa.RecordBatch.from_arrays([pa.array(w[at]), pa.array(c[at]), pa.array(kid), pa.array(np.full(len(at), doc_id, np.int64)), pa.array(offset)], [x.split()[0] for x in WINDOWS.split(", ")])
+            start, n, kid, role = (np.array([p[x] for p in passages]) for x in ("start", "n", "kid", "role"))
+            ends = np.cumsum(n)
+            offset = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            at = np.repeat(start, n) + offset
+            w, c = words.long_runs(h, WINDOW)[at].view(np.int64), (words.long_runs(h, WINDOW, 41)[at] >> np.uint64(33)).astype(np.int32)
+            held.append((w, c, np.repeat(kid << PLACE_BITS, n) | offset, np.repeat(role, n).astype(np.int32)))
+            if sum(len(x[0]) for x in held) > FLUSH:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
 
 
 def _ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,22 +180,33 @@ def passages(base: DataFrame) -> DataFrame:
     anchors = stage(base.mapInArrow(_anchors, "id long, part long, phrase binary"), "anchors")
     recurring = anchors.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("copies")).where("least < most")
     recurring = stage(recurring.select("phrase", "copies"), "recurring")
-    lists = spread_join(anchors, recurring, ["phrase"], "copies").groupBy(F.col("id").alias("sid"), F.col("part").alias("spart")).agg(F.collect_set("phrase").alias("phrases"))
+    lists = spread_join(anchors, recurring, ["phrase"], "copies", few=True).groupBy(F.col("id").alias("sid"), F.col("part").alias("spart")).agg(F.collect_set("phrase").alias("phrases"))
     texts = _of_documents(base, stage(lists, "lists"), 1024)
     return stage(texts.select("id", "part", "text", "phrases").mapInArrow(_passages, PASSAGES), "passages")
 
 
 def covered(base: DataFrame, classes: DataFrame) -> DataFrame:
-    """KEY, offsets: windows of a passage that a smaller doc_id has in another passage with the same phrase."""
+    """KEY, offsets: windows of a passage that a smaller doc_id has in another passage with the same phrase.
+
+    Passages (one of each kind) are numbered in the order of doc_id, so the least number that has a window tells whether
+    an earlier document has it. Those of a phrase's least doc_id can't lose windows, those of its greatest make none go.
+    """
     shared = classes.groupBy("g").agg(F.min("at.id").alias("least"), F.max("at.id").alias("most"), F.count(F.lit(1)).alias("kinds")).where("least < most")
-    kinds = spread_join(classes, stage(shared, "shared"), ["g"], "kinds").select(F.monotonically_increasing_id().alias("kid"), *KEY, "at")
-    kinds = stage(kinds, "kinds")
-    wanted = kinds.groupBy(F.col("at.id").alias("sid"), F.col("at.part").alias("spart")).agg(F.collect_list(F.struct("at.start", "at.n", "kid")).alias("passages"))
+    role = (F.col("at.id") > F.col("least")).cast("int") + (F.col("at.id") < F.col("most")).cast("int") * 2
+    kinds = spread_join(classes, stage(shared, "shared"), ["g"], "kinds", few=True).select(*KEY, "at", role.alias("role"))
+    kinds = stage(number_rows(kinds, F.col("at.id"), name="kid"), "kinds")
+    firsts = kinds.groupBy(F.col("at.id").alias("sid")).agg(F.min("kid").alias("first"))
+    wanted = kinds.groupBy(F.col("at.id").alias("sid"), F.col("at.part").alias("spart")).agg(F.collect_list(F.struct("at.start", "at.n", "kid", "role")).alias("passages"))
     texts = _of_documents(base, stage(wanted, "wanted"), 1024)
-    windows = stage(texts.select("id", "text", "passages").mapInArrow(_windows, WINDOWS), "windows")
-    least = stage(windows.groupBy("w", "c").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "least")
-    later = spread_join(windows, least, ["w", "c"], "copies").where("id > least").groupBy("kid").agg(F.collect_set("offset").alias("offsets"))
-    return kinds.join(later, "kid").select(*KEY, "offsets")
+    windows = stage(texts.select("text", "passages").mapInArrow(_windows, WINDOWS), "windows")
+    makers = windows.where("role & 2 > 0").groupBy("w", "c").agg(F.shiftright(F.min("place"), PLACE_BITS).alias("least"), F.count(F.lit(1)).cast("int").alias("copies"))
+    met = spread_join(windows.where("role & 1 > 0"), stage(makers, "makers"), ["w", "c"], "copies")
+    kid = F.shiftright("place", PLACE_BITS)
+    later = met.where(F.col("least") < kid).select(kid.alias("kid"), "least", F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("offset"))
+    found = later.groupBy("kid").agg(F.collect_set(F.struct("offset", "least")).alias("found"))
+    named = found.join(kinds.select("kid", *KEY, F.col("at.id").alias("sid")), "kid").join(firsts, "sid")
+    gone = F.transform(F.filter("found", lambda x: x["least"] < F.col("first")), lambda x: x["offset"])
+    return named.select(*KEY, gone.alias("offsets")).where(F.size("offsets") > 0)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
