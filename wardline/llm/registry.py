@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, pii, sharding, substring_dedup, topk, toxicity
+from wardline.llm import alignment, chat, exact_dedup, filter_audit, lm_scoring, mixing, near_dedup, packing, pii, sharding, substring_dedup, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": lm_scoring.op8,
         "op9_substring_dedup": substring_dedup.op9,
         "op10_sharding": sharding.op10,
+        "op11_chat_format": chat.op11,
+        "op12_filter_audit": filter_audit.op12,
+        "op13_alignment": alignment.op13,
     }
 
 
@@ -33,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_top_k": topk.OP6_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
         "op10_sharding": sharding.OP10_SQL,
+        "op11_chat_format": chat.OP11_SQL,
+        "op12_filter_audit": filter_audit.OP12_SQL,
     }
