@@ -68,24 +68,6 @@ def test_stateless_streams(rocks, tmp_path):
     assert rocks.table("copies").count() == 2
 
 
-def test_subscribers(spark):
-    new = spark.createDataFrame([(i, f"e{i}") for i in range(1, 6)], "cursor long, event_id string").orderBy("cursor")
-    got, late, subscribers = [], [], pipeline.Subscribers()
-
-    def broken(alarm):
-        raise OSError
-
-    end = subscribers.add("a", lambda x: got.append(x["cursor"]))
-    subscribers.add("b", lambda x: late.append(x["cursor"]), after=3)
-    subscribers.add("c", broken)
-    subscribers(new.where("cursor < 4"), 0)
-    subscribers(new, 1)
-    assert got == [1, 2, 3, 4, 5] and late == [4, 5] and set(subscribers.live) == {"a", "b"}
-    end()
-    subscribers(new.withColumn("cursor", new.cursor + 5), 2)
-    assert got == [1, 2, 3, 4, 5] and late[-1] == 10
-
-
 def test_availability_is_exact(rocks, tmp_path):
     beats = [(f"d{d}", "heartbeat", NOW // 300_000 * 300_000 + 1000 * s + again) for d in range(20) for s in range(300 - d) for again in (0, 500)]
     rocks.createDataFrame(beats, "device_id string, type string, t_ms long").write.parquet(str(tmp_path / "events"))

@@ -36,7 +36,7 @@ def _matches(a: Column, f: Column, window_ms: int, slack: int | None) -> Column:
     return near & (f["q"].isNull() | a["q0"].isNull() | f["q"].between(a["q0"] - slack, a["q1"] + slack))
 
 
-def _fold(copies: Column, window_ms: int, slack: int | None) -> Column:
+def _fold(copies: Column, window_ms: int, slack: int | None, known: Column | None = None) -> Column:
     def step(acc: Column, f: Column) -> Column:
         at = F.array_position(F.transform(acc, lambda a: _matches(a, f, window_ms, slack)), True)
         new = F.struct(f["ord"].alias("ord"), f["t"].alias("t0"), f["room_id"].alias("room_id"), f["t"].alias("ts_ms"), f["confidence"].alias("confidence"), F.lit(0).alias("dups"), f["q"].alias("q0"), f["q"].alias("q1"))
@@ -50,17 +50,48 @@ def _fold(copies: Column, window_ms: int, slack: int | None) -> Column:
 
         return F.when(F.coalesce(at, F.lit(0)) == 0, F.concat(acc, F.array(new))).otherwise(F.transform(acc, amended))
 
-    return F.aggregate(copies, F.array().cast(ALARM), step)
+    return F.aggregate(copies, F.array().cast(ALARM) if known is None else known, step)
 
 
 def fold_falls(events: DataFrame, window_ms: int | None = None, slack: int | None = 2, config: Config = DEFAULT) -> DataFrame:
     """Alarms without cursors: ord and time of the first copy, and what the copies amended. slack None: no guard."""
     window_ms = config.dedup_window_ms if window_ms is None else window_ms
     falls = islands(events.where("type = 'fall_warn'").select("device_id", "room_id", "ord", "t_ms", "seq", "confidence"), window_ms)
-    copy = F.struct("ord", F.col("t_ms").alias("t"), F.col("seq").alias("q"), "confidence", "room_id")
-    lists = falls.groupBy("device_id", "island").agg(F.array_sort(F.collect_list(copy)).alias("copies"))
-    a = lists.select("device_id", F.inline(_fold(F.col("copies"), window_ms, slack)))
-    return a.select(
+    lists = falls.groupBy("device_id", "island").agg(F.array_sort(F.collect_list(_copy())).alias("copies"))
+    return shown(lists.select("device_id", F.inline(_fold(F.col("copies"), window_ms, slack))))
+
+
+def _copy() -> Column:
+    return F.struct("ord", F.col("t_ms").alias("t"), F.col("seq").alias("q"), "confidence", "room_id")
+
+
+def fold_onto(known: DataFrame, events: DataFrame, window_ms: int | None = None, slack: int | None = 2, config: Config = DEFAULT) -> DataFrame:
+    """State of alarms (device_id and the fields of ALARM) -> their state after later events.
+
+    An alarm stands at its own time among the new warnings, so islands bound the fold as they do without known alarms.
+    Alarms of devices without a new warning pass where they are.
+    """
+    window_ms = config.dedup_window_ms if window_ms is None else window_ms
+    falls = events.where("type = 'fall_warn'").select("device_id", "room_id", "ord", "t_ms", "seq", "confidence")
+    touched = falls.select("device_id").distinct()
+    fields = [c.split(":")[0] for c in ALARM.removeprefix("array<struct<").removesuffix(">>").split(",")]
+    kind = ALARM.removeprefix("array<").removesuffix(">")
+    own = known.join(touched, "device_id", "left_semi").select("device_id", "ord", F.col("ts_ms").alias("t_ms"), F.struct(*fields).cast(kind).alias("alarm"))
+    points = falls.select("device_id", "ord", "t_ms", _copy().alias("copy")).unionByName(own, allowMissingColumns=True)
+    lists = islands(points, window_ms).groupBy("device_id", "island").agg(F.array_sort(F.collect_list("alarm")).alias("alarms"), F.array_sort(F.collect_list("copy")).alias("copies"))
+    folded = lists.select("device_id", F.inline(_fold(F.col("copies"), window_ms, slack, F.col("alarms"))))
+    return known.join(touched, "device_id", "left_anti").select("device_id", *fields).unionByName(folded)
+
+
+def fold_state(events: DataFrame, window_ms: int | None = None, slack: int | None = 2, config: Config = DEFAULT) -> DataFrame:
+    """State of all alarms of events, to be continued by `fold_onto`."""
+    empty = events.sparkSession.createDataFrame([], "device_id string, ord long, t0 long, room_id string, ts_ms long, confidence double, dups int, q0 long, q1 long")
+    return fold_onto(empty, events, window_ms, slack, config)
+
+
+def shown(state: DataFrame) -> DataFrame:
+    """State of alarms as alarms without cursors."""
+    return state.select(
         "ord", F.concat(F.lit("fall_"), "device_id", F.lit("_"), F.col("t0").cast("string")).alias("event_id"), "device_id", "room_id", to_iso(F.col("ts_ms")).alias("ts"), "ts_ms",
         "confidence", F.col("dups").alias("duplicates_collapsed"), F.col("q0").alias("seq_min"), F.col("q1").alias("seq_max"),
     )

@@ -50,6 +50,11 @@ def occupied(events: DataFrame, window_ms: int, as_of_ms: int, config: Config =
     return d.select("room_id", "in_room", (F.coalesce("later_ms", F.lit(0)) + carried).cast("long").alias("occupied_ms"), (F.coalesce("points", F.lit(0)) + F.col("older")).cast("int").alias("transitions"))
 
 
+def from_points(points: DataFrame, window_ms: int, as_of_ms: int, config: Config = DEFAULT) -> DataFrame:
+    """Occupancy of all rooms from timelines (room_id, t_ms, in_room, ord) that a stream or a snapshot has kept."""
+    return room_occupancy(points.withColumn("type", F.lit("presence")), window_ms, as_of_ms, config=config)
+
+
 def room_occupancy(events: DataFrame, window_ms: int, as_of_ms: int, keys: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
     """Occupancy of all rooms, or of those in keys (room_id), unknown ones included."""
     found = occupied(events, window_ms, as_of_ms, config).withColumn("known", F.lit(True))

@@ -499,7 +499,7 @@ def streamed_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.streaming import pipeline
 
     root = f"{shared_dir(spark)}/wardline/stream-{uuid.uuid4().hex}"
-    events(spark, sf_dir).drop("event_id", "cp").write.parquet(f"{root}/events/batch_id=0")
+    pipeline.add_events(events(spark, sf_dir).drop("event_id", "cp"), root, 0)
     pipeline.run(pipeline.write_alarms(pipeline.alarm_changes(pipeline.read_events(spark, root)), root, f"{root}/checkpoint"))
     return pipeline.alarm_log(spark, root)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wardline.operators.validate import strict_json
 from wardline.schemas import EVENTS
 
 HOUR_MS = 3_600_000
@@ -50,7 +51,7 @@ def replay(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines = spark.read.text(path)
     parsed = lines.withColumn("e", F.from_json("value", EVENTS))
     sound = F.col("e.device_id").isNotNull() & F.col("e.type").isNotNull() & F.col("e.t_ms").isNotNull()
-    ok = F.coalesce(sound, F.lit(False)) & F.try_parse_json("value").isNotNull()
+    ok = F.coalesce(sound, F.lit(False)) & strict_json(F.col("value"))
     return parsed.where(ok).select("e.*"), parsed.where(~ok & (F.trim("value") != "")).select("value")
 
 

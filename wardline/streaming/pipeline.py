@@ -1,7 +1,8 @@
 """Structured Streaming: raw events to the event log and rejects, warnings to alarms, and the feed of alarms.
 
-Every table is a folder of Parquet with one subfolder for each micro-batch, written with overwrite, so a batch
-that is repeated after a failure replaces its own rows and nothing is doubled. Progress lives in checkpoints.
+Every table is a folder of Parquet with one subfolder for each micro-batch, put in its place at once and named by an entry
+of the table's manifest (`manifest`), which readers follow; a batch that is repeated after a failure is not written again.
+Alarms are committed only after the events they come from. Progress lives in checkpoints.
 """
 
 from __future__ import annotations
@@ -15,12 +16,9 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 from wardline.config import DEFAULT, Config
 from wardline.functions.times import to_iso
 from wardline.operators.validate import accepted, rejects, validated
-from wardline.schemas import EVENTS, RAW
+from wardline.schemas import EVENTS, RAW, REJECTS
 from wardline.sources.staging import number_rows
-
-
-def _batch_dir(path: str, batch_id: int) -> str:
-    return f"{path}/batch_id={batch_id}"
+from wardline.streaming import manifest
 
 
 def read_raw(spark: SparkSession, landing: str, max_files: int = 100) -> DataFrame:
@@ -32,22 +30,37 @@ def ingest(raw: DataFrame, root: str, checkpoint: str, config: Config = DEFAULT)
     """Validate raw events; accepted ones go to root/events, others to root/rejects with their text and reason."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if not manifest.begin(spark, root, "events", batch_id):
+            return
         checked = validated(batch, config).persist()
-        accepted(checked).write.mode("overwrite").parquet(_batch_dir(f"{root}/events", batch_id))
-        rejects(checked).write.mode("overwrite").parquet(_batch_dir(f"{root}/rejects", batch_id))
+        manifest.publish(rejects(checked), root, "rejects", batch_id)
+        add_events(accepted(checked), root, batch_id)
         checked.unpersist()
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def add_events(events: DataFrame, root: str, batch_id: int) -> None:
+    """One more batch of the event log; that of its rejects is committed with it."""
+    spark = events.sparkSession
+    place = manifest.publish(events, root, "events", batch_id)
+    manifest.commit(spark, root, "rejects", batch_id, rows=0)
+    manifest.commit(spark, root, "events", batch_id, rows=spark.read.schema(EVENTS).parquet(place).count())
+
+
 def read_events(spark: SparkSession, root: str) -> DataFrame:
     """The event log as a stream."""
-    return spark.readStream.schema(EVENTS).parquet(f"{root}/events/*")
+    return spark.readStream.schema(EVENTS).parquet(f"{root}/events/batch_id=*")
 
 
 def event_log(spark: SparkSession, root: str) -> DataFrame:
-    """The event log as a table: whatever batches are complete."""
-    return spark.read.schema(EVENTS).parquet(f"{root}/events").drop("batch_id")
+    """The event log as a table: its committed batches."""
+    return manifest.committed(spark, root, "events", EVENTS)
+
+
+def reject_log(spark: SparkSession, root: str) -> DataFrame:
+    return manifest.committed(spark, root, "rejects", REJECTS)
 
 
 ALARM_STATE = "ord long, t0 long, room_id string, ts_ms long, confidence double, dups int, q0 long, q1 long"
@@ -110,21 +123,29 @@ def alarm_changes(events: DataFrame, config: Config = DEFAULT, slack: int | None
     )
 
 
+ALARM_ROW = f"device_id string, {ALARM_STATE}, cursor long"
+
+
 def write_alarms(changes: DataFrame, root: str, checkpoint: str, publish: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
     """Created alarms get the next dense cursors and go to root/alarms; amendments to root/amendments.
 
-    `publish` is called with the new alarms of a batch after they are written; corrections are never published.
+    `publish` is called with the new alarms of a batch after they are committed; corrections are never published.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if not manifest.begin(spark, root, "alarms", batch_id):
+            return
         kept = batch.persist()
-        kept.where("kind = 'amended'").write.mode("overwrite").parquet(_batch_dir(f"{root}/amendments", batch_id))
+        manifest.publish(kept.where("kind = 'amended'"), root, "amendments", batch_id)
         head = head_before(spark, root, batch_id)
         new = number_rows(kept.where("kind = 'created'").drop("kind", "change_ord"), F.col("ord"), name="cursor", first=head + 1)
-        new.write.mode("overwrite").parquet(_batch_dir(f"{root}/alarms", batch_id))
-        written = spark.read.schema(new.schema).parquet(_batch_dir(f"{root}/alarms", batch_id))
-        written.agg(F.coalesce(F.max("cursor"), F.lit(head)).cast("long").alias("head")).write.mode("overwrite").parquet(_batch_dir(f"{root}/heads", batch_id))
+        place = manifest.publish(new, root, "alarms", batch_id)
+        written = spark.read.schema(ALARM_ROW).parquet(place)
+        rows, last = written.agg(F.count(F.lit(1)), F.coalesce(F.max("cursor"), F.lit(head))).first()
+        needs = manifest.await_batches(spark, root, "events")
+        manifest.commit(spark, root, "amendments", batch_id, rows=0, needs=needs)
+        manifest.commit(spark, root, "alarms", batch_id, rows=rows, head=last, needs=needs)
         kept.unpersist()
         if publish:
             publish(written.orderBy("cursor"), batch_id)
@@ -133,33 +154,11 @@ def write_alarms(changes: DataFrame, root: str, checkpoint: str, publish: Callab
 
 
 def head_before(spark: SparkSession, root: str, batch_id: int) -> int:
-    """The last cursor given before a batch: one row that the batch before it wrote, whatever the length of the history."""
-    if not batch_id:
-        return 0
-    return spark.read.schema("head long").parquet(_batch_dir(f"{root}/heads", batch_id - 1)).first()[0]
-
-
-class Subscribers:
-    """Receivers of new alarms, for `publish`: each gets an alarm at most once, in order of cursors. One that fails is
-    dropped and stops nothing."""
-
-    def __init__(self) -> None:
-        self.live: dict[str, list] = {}
-
-    def add(self, name: str, send: Callable[[dict], None], after: int = 0) -> Callable[[], None]:
-        """Serve alarms with cursors beyond `after`; the result ends the subscription."""
-        self.live[name] = [send, after]
-        return lambda: self.live.pop(name, None)
-
-    def __call__(self, new: DataFrame, batch_id: int) -> None:
-        for alarm in new.toLocalIterator():  # a batch of new alarms, row by row
-            for name, (send, after) in list(self.live.items()):
-                if alarm.cursor > after:
-                    try:
-                        send(alarm.asDict())
-                        self.live[name][1] = alarm.cursor
-                    except Exception:
-                        self.live.pop(name, None)
+    """The last cursor given before a batch, from the entry of the batch before it, whatever the length of the history."""
+    found = manifest.entry(spark, root, "alarms", batch_id - 1) if batch_id else None
+    if batch_id and found is None:
+        raise RuntimeError(f"alarms, batch {batch_id}: the batch before it has no entry")
+    return found.head if found else 0
 
 
 def run(writer: DataStreamWriter, seconds: int = 600) -> None:
@@ -172,10 +171,11 @@ def run(writer: DataStreamWriter, seconds: int = 600) -> None:
         raise TimeoutError(f"the stream did not end within {seconds} s")
 
 
-def alarm_log(spark: SparkSession, root: str) -> DataFrame:
-    """Alarms as they stand: each creation with its latest amendment (schemas.ALARMS)."""
-    made = spark.read.parquet(f"{root}/alarms").select("device_id", "ord", "t0", "room_id", "cursor", F.struct(F.lit(-1).cast("long").alias("change_ord"), "ts_ms", "confidence", "dups", "q0", "q1").alias("s"))
-    changed = spark.read.parquet(f"{root}/amendments").select("device_id", "ord", F.struct("change_ord", "ts_ms", "confidence", "dups", "q0", "q1").alias("s"))
+def alarm_log(spark: SparkSession, root: str, after_batch: int = -1) -> DataFrame:
+    """Alarms as they stand (of the batches beyond after_batch): each creation with its latest amendment (schemas.ALARMS)."""
+    rows = manifest.committed(spark, root, "alarms", ALARM_ROW, after_batch)
+    made = rows.select("device_id", "ord", "t0", "room_id", "cursor", F.struct(F.lit(-1).cast("long").alias("change_ord"), "ts_ms", "confidence", "dups", "q0", "q1").alias("s"))
+    changed = manifest.committed(spark, root, "amendments", ALARM_CHANGE, after_batch).select("device_id", "ord", F.struct("change_ord", "ts_ms", "confidence", "dups", "q0", "q1").alias("s"))
     last = changed.groupBy("device_id", "ord").agg(F.max_by("s", "s.change_ord").alias("latest"))
     d = made.join(last, ["device_id", "ord"], "left").withColumn("s", F.coalesce("latest", "s"))
     return d.select(
