@@ -21,8 +21,8 @@ def timeline(events: DataFrame) -> DataFrame:
 def pruned(points: DataFrame, as_of_ms: int, config: Config = DEFAULT) -> DataFrame:
     """Points after the retention cutoff, and the last one before it."""
     cutoff = as_of_ms - config.max_occupancy_window_ms - config.retention_grace_ms
-    last = points.where(F.col("t_ms") <= cutoff).groupBy("room_id").agg(F.max_by("in_room", "t_ms").alias("in_room"), F.max("t_ms").alias("t_ms"))
-    return points.where(F.col("t_ms") > cutoff).unionByName(last.select(*points.columns))
+    last = points.where(F.col("t_ms") <= cutoff).groupBy("room_id").agg(F.max_by(F.struct(*points.columns), "t_ms").alias("p"))
+    return points.where(F.col("t_ms") > cutoff).unionByName(last.select("p.*"))
 
 
 def current_state(events: DataFrame) -> DataFrame:

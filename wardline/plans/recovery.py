@@ -144,15 +144,10 @@ def recovered_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crashed(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
     root, path, log = fresh(spark, "snapshots"), fresh(spark, "segments"), log_of(spark, sf_dir)
-    found = None
     for i, part in parts(log):
         segments.write_segment(part, path, i)
         if i < 3:
-            rows = segments.log_lines(spark, path, found.position if found else None)
-            new = segments.events_of(rows)
-            kept = snapshots.advanced(found.tables, new) if found else snapshots.state_of(new)
-            snapshots.save(spark, root, kept, segments.end_of(rows))
-            found = snapshots.load(spark, root)
+            snapshots.advance(spark, root, path)
     spark.createDataFrame([("{ truncated",)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/generation={3:08d}/manifest")
     return snapshots.recover(spark, root, path)
 

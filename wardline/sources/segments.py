@@ -107,7 +107,9 @@ def lines(path: str, part: Range) -> Iterator[tuple[int, bytes]]:
                 at += len(line) + 1
 
 
-def read_range(path: str, part: Range) -> Iterator[pa.RecordBatch]:
+def read_range(path: str, part: Range | None) -> Iterator[pa.RecordBatch]:
+    if part is None:  # what Spark asks for where there is nothing to read
+        return
     held: list[tuple[int, int, str | None]] = []
     weight = 0
 
@@ -214,10 +216,15 @@ def events_of(rows: DataFrame) -> DataFrame:
     return parsed(rows).where("kind = 'event'").select("e.*")
 
 
-def end_of(rows: DataFrame) -> Position:
-    """The position behind the last of these lines."""
-    last = rows.agg(F.max(F.struct("file", (F.col("at") + F.col("size")).alias("at"))).alias("end")).first().end
-    return Position(last.file, last.at) if last else Position()
+def end_of(path: str, whole_lines: bool = True) -> Position:
+    """Where the log ends just now, to bound what is read while it grows. whole_lines: a last line without an end is not
+    counted in, since it may still be written; after a crash nobody will end it."""
+    uri = path if "://" in path else f"file://{path}"
+    files = files_of(uri)
+    if not files:
+        return Position()
+    file, size = files[-1]
+    return Position(file, last_line_end(uri, file, size) if whole_lines else size)
 
 
 def replayed(spark: SparkSession, path: str, start: Position | None = None) -> tuple[DataFrame, DataFrame]:

@@ -134,17 +134,22 @@ def recover(spark: SparkSession, root: str, log: str, window_ms: int | None = No
 
     summary has one row: generation (null: none), replayed, skipped (torn lines), file and at (the position reached).
     """
-    found = load(spark, root)
-    rows = log_lines(spark, log, found.position if found else None)
+    found, reached = load(spark, root), end_of(log, whole_lines=False)
+    rows = log_lines(spark, log, found.position if found else None, reached)
     events = events_of(rows)
     state = advanced(found.tables, events, window_ms, config) if found else state_of(events, window_ms, config)
-    reached = end_of(rows)
-    reached = found.position if found and reached == Position() else reached
     counts = parsed(rows).agg(F.count_if(F.col("kind") == "event").alias("replayed"), F.count_if(F.col("kind") == "torn").alias("skipped"))
     summary = counts.select(F.lit(found.generation if found else None).cast("long").alias("generation"), "replayed", "skipped", F.lit(reached.file).alias("file"), F.lit(reached.at).cast("long").alias("at"))
     return state, summary
 
 
+def advance(spark: SparkSession, root: str, log: str, window_ms: int | None = None, config: Config = DEFAULT) -> int:
+    """Write the next generation: the newest sound one with the whole lines that the log has behind its position."""
+    found, reached = load(spark, root), end_of(log)
+    events = events_of(log_lines(spark, log, found.position if found else None, reached))
+    return save(spark, root, advanced(found.tables, events, window_ms, config) if found else state_of(events, window_ms, config), reached)
+
+
 def alarms_of(state: dict[str, DataFrame]) -> DataFrame:
     """Alarms of the state in the schema of schemas.ALARMS."""
     return dedup.shown(state["alarms"]).join(state["alarms"].select("ord", "cursor"), "ord").drop("ord").select(
