@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import random
 
 import pytest
@@ -101,5 +103,5 @@ def test_registry(spark):
 
 def test_config():
     c = Config.from_env({"DEDUP_WINDOW_MS": "77", "QUEUE_HIGH_WATER": "x", "DATA_DIR": "", "PAST_LIMIT_MS": ""})
-    assert (c.dedup_window_ms, c.queue_high_water, c.data_dir, c.past_limit_ms) == (77, 200_000, "data", 3_600_000)
-    assert c.evolve(dedup_seq_slack=9).dedup_seq_slack == 9 and c.dedup_seq_slack == 2
+    assert (c.dedup_window_ms, c.fsync_ms, c.data_dir, c.past_limit_ms) == (77, 200, "data", 3_600_000)
+    assert replace(c, dedup_seq_slack=9).dedup_seq_slack == 9 and c.dedup_seq_slack == 2

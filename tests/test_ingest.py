@@ -27,6 +27,7 @@ def test_reasons(spark):
         (GOOD | {"type": "motion", "magnitude": "0.5"}, "bad_magnitude"), (GOOD | {"type": "motion", "magnitude": 7}, None), (GOOD | {"type": "sleep_state", "state": "x"}, "bad_state"), (GOOD | {"type": "sleep_state", "state": ["asleep"]}, "bad_state"),
         (GOOD | {"type": "fall_warn", "confidence": True}, "bad_confidence"), (GOOD | {"type": "fall_warn", "confidence": 0.9, "extra": {}}, None), (GOOD | {"type": "net_status"}, "bad_rssi"), (GOOD | {"type": "net_status", "rssi": -60}, None),
         (json.dumps(GOOD) + " xyz", "malformed"), (json.dumps(GOOD) + json.dumps(GOOD), "malformed"), (json.dumps(GOOD) + ',"a"', "malformed"), (json.dumps(GOOD) + "], [1", "malformed"), (json.dumps(GOOD).replace('"', "'"), "malformed"), (json.dumps(GOOD)[:-1], "malformed"), (" " + json.dumps(GOOD) + " ", None),
+        (json.dumps(GOOD)[:-1] + ',"device_id":""}', "missing_device_id"), ('{"type":"no",' + json.dumps(GOOD)[1:], None), (GOOD | {"type": "fall_warn", "confidence": float("nan")}, "malformed"), (json.dumps(GOOD | {"type": "motion"})[:-1] + ',"magnitude":1e999}', "bad_magnitude"),
         ({"type": "x"}, "missing_device_id"), (GOOD | {"ts": "2026-05-23T18:53:49.123Z"}, None), (GOOD | {"ts": NOW / 1000}, None),
     ]
     got = reasons(spark, [c for c, _ in cases])

@@ -310,3 +310,42 @@ def test_schemas_agree():
     from wardline.schemas import EVENTS as OWN
 
     assert [c.split()[0] for c in OWN.split(", ")] == [c.split()[0] for c in EVENTS.split(", ")]
+
+
+def test_snapshots_when_due(spark, tmp_path):
+    root, path = str(tmp_path / "s"), str(tmp_path / "log")
+    segments.write_segment(presence(spark, [(-8_000_000, True), (-7_000_000, False), (-1000, True)]), path, 0)
+    assert snapshots.advance_if_due(spark, root, path, NOW) == 1
+    assert snapshots.advance_if_due(spark, root, path, NOW + DEFAULT.snapshot_ms - 1) is None
+    assert snapshots.advance_if_due(spark, root, path, NOW + DEFAULT.snapshot_ms) == 2
+    assert snapshots.load(spark, root).tables["points"].count() == 2  # what no query can reach is gone
+
+
+def test_served_documents(spark):
+    from wardline.operators import feed as pages, serve
+
+    log = frame(spark, [event(0, "heartbeat", NOW), event(1, "fall_warn", NOW, seq=1)])
+    keys = spark.createDataFrame([("dev_1",), ("none",)], "device_id string")
+    got = {r.id: json.loads(r.json) for r in serve.documents(health.device_health(log, NOW, keys), "device").collect()}
+    assert got["none"] == {"device_id": "none", "known": False, "last_heartbeat_ts": None, "availability_5m": 0.0, "heartbeats_5m": 0, "expected_5m": 300}
+    assert list(got["dev_1"])[:3] == ["device_id", "known", "room_id"] and got["dev_1"]["heartbeats_5m"] == 1
+    page = json.loads(serve.page(pages.alarm_page(dedup.alarm_log(log))).first().json)
+    assert (page["count"], page["cursor"], page["since"]) == (1, 1, None) and page["alarms"][0]["confidence"] is None and "seq_min" not in page["alarms"][0]
+
+
+def test_streams_run_until_stopped(rocks, tmp_path):  # noqa: F811
+    import time
+
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    land(landing, "a.json", [fall(0, 0, 2), fall(1, 0, 3), fall(2, 9000, 1, "d2")])
+    queries = pipeline.start(rocks, str(landing), DEFAULT.__class__(data_dir=str(tmp_path / "data"), fsync_ms=500))
+    try:
+        end = time.time() + 120
+        while time.time() < end and manifest.entry(rocks, str(tmp_path / "data"), "alarms", 0) is None:
+            time.sleep(0.2)
+        assert all(progress.readiness(q)["live"] for q in queries.values())
+    finally:
+        for q in queries.values():
+            q.stop()
+    assert sorted(r.cursor for r in pipeline.alarm_log(rocks, str(tmp_path / "data")).collect()) == [1, 2]

@@ -5,9 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import workload
 from helpers import NOW
 from wardline.operators import dedup
-from wardline.sources import workload
 from wardline.streaming import pipeline
 
 

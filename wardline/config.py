@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
 class Config:
-    """Times in milliseconds unless the name says otherwise."""
+    """Times in milliseconds unless the name says otherwise. Names and defaults are fixed values: the environment surface."""
 
     future_limit_ms: int = 3_600_000
     past_limit_ms: int = 3_600_000
@@ -17,23 +17,17 @@ class Config:
     retention_grace_ms: int = 300_000
     dedup_window_ms: int = 1000
     dedup_seq_slack: int = 2
-    queue_high_water: int = 200_000
-    queue_low_water: int = 100_000
-    max_ack_delay_ms: int = 4_000
-    drain_budget_ms: int = 8
-    drain_batch_max: int = 20_000
+    #: Interval of triggers (pipeline.start), most bytes of a micro-batch (pipeline.read_raw), between snapshots
+    #: (snapshots.advance_if_due), and after which a stream that reports nothing is not ready (progress.readiness).
     fsync_ms: int = 200
-    sse_heartbeat_ms: int = 15_000
     wal_segment_bytes: int = 64 << 20
     snapshot_ms: int = 10_000
     report_ms: int = 30_000
     page_limit: int = 200_000
     page_limit_max: int = 1_000_000
+    #: Where pipeline.start keeps its tables.
     data_dir: str = "data"
 
-    def evolve(self, **changes) -> Config:
-        return replace(self, **changes)
-
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Config:
         """Values that are empty or of the wrong kind leave the default."""

@@ -1,8 +1,8 @@
 """Room occupancy as of a time: the integral of a step function over the last window.
 
-A room's state is what the last presence event says; before the first it is empty. The state carried into the
-window and the current state come from one aggregation with map-side combine; only the points inside the
-window are ordered, so the cost of the window function follows the window, not the history.
+A room's state is what the last presence event says; before the first it is empty. What is older than any window comes
+down to one point for each room by an aggregation with map-side combine; only the points after it are
+ordered, so the cost of the window function follows the retention, not the history.
 """
 
 from __future__ import annotations
@@ -32,22 +32,21 @@ def current_state(events: DataFrame) -> DataFrame:
 
 
 def occupied(events: DataFrame, window_ms: int, as_of_ms: int, config: Config = DEFAULT) -> DataFrame:
-    """room_id, in_room, occupied_ms, transitions for each room with a presence event."""
+    """room_id, in_room, occupied_ms, transitions for each room with a presence event.
+
+    One pass: everything up to the retention cutoff (and the window's start) is one point for each room, its last; only the
+    points after it are told apart and ordered.
+    """
     start = as_of_ms - max(window_ms, 0)
     cutoff = as_of_ms - config.max_occupancy_window_ms - config.retention_grace_ms
-    presence, at, t = events.where("type = 'presence'"), F.struct("t_ms", "ord"), F.col("t_ms")
-    rooms = presence.groupBy("room_id").agg(
-        F.max_by("in_room", at).alias("in_room"), F.max_by(F.when(t <= start, F.col("in_room")), F.when(t <= start, at)).alias("carry"), F.max((t <= cutoff).cast("int")).alias("older")
-    )
-    recent = timeline(presence.where(t > min(start, cutoff)))
-    order = Window.partitionBy("room_id").orderBy("t_ms")
+    old = F.col("t_ms") <= min(start, cutoff)
+    last = F.max(F.struct("t_ms", "ord", "in_room")).alias("p")
+    points = events.where("type = 'presence'").groupBy("room_id", F.when(~old, F.col("t_ms")).alias("__t")).agg(last).select("room_id", "p.t_ms", "p.in_room")
+    t, order = F.col("t_ms"), Window.partitionBy("room_id").orderBy("t_ms")
     end = F.least(F.coalesce(F.lead("t_ms").over(order), F.lit(as_of_ms)), F.lit(as_of_ms))
-    inside = recent.where((t > start) & (t <= as_of_ms)).withColumn("lasts", F.when(F.col("in_room"), end - t).otherwise(0))
-    spans = inside.groupBy("room_id").agg(F.sum("lasts").alias("later_ms"), F.min("t_ms").alias("first_ms"))
-    counts = recent.where(t > cutoff).groupBy("room_id").agg(F.count(F.lit(1)).alias("points"))
-    d = rooms.join(spans, "room_id", "left").join(counts, "room_id", "left")
-    carried = F.when(F.coalesce("carry", F.lit(False)), F.coalesce("first_ms", F.lit(as_of_ms)) - start).otherwise(0)
-    return d.select("room_id", "in_room", (F.coalesce("later_ms", F.lit(0)) + carried).cast("long").alias("occupied_ms"), (F.coalesce("points", F.lit(0)) + F.col("older")).cast("int").alias("transitions"))
+    d = points.withColumn("lasts", F.when(F.col("in_room"), F.greatest(end - F.greatest(t, F.lit(start)), F.lit(0))).otherwise(0))
+    after = F.count_if(t > cutoff) + F.max((t <= cutoff).cast("int"))
+    return d.groupBy("room_id").agg(F.max_by("in_room", "t_ms").alias("in_room"), F.sum("lasts").cast("long").alias("occupied_ms"), after.cast("int").alias("transitions"))
 
 
 def from_points(points: DataFrame, window_ms: int, as_of_ms: int, config: Config = DEFAULT) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.config import DEFAULT
 from wardline.functions import params, times
-from wardline.operators import dedup, feed, health, metrics, occupancy, schedule, stats, validate
+from wardline.operators import dedup, feed, health, metrics, occupancy, schedule, serve, stats, validate
 from wardline.sources import bodies, log, sensors
 from wardline.sources.staging import shared_dir, stage
 
@@ -137,29 +137,29 @@ def ts_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("ord", "iso", times.iso_ms(F.col("iso")).alias("from_iso"), times.number_ms(t.cast("double")).alias("from_number"), times.days_from_civil(F.year(date), F.month(date), F.day(date)).cast("long").alias("day"))
 
 
-#: Parameters and what they mean, as literals.
-_WINDOWS = (
-    ("7m", 420_000), ("45s", 45_000), ("250 ms", 250), (None, 300_000), ("", 300_000), ("12", 12_000), ("2H", 3_600_000), ("59.5 m", 3_570_000), ("0.4ms", 0), ("  3s\t", 3000),
-    ("0s", None), ("-7s", None), ("ten", None), ("3 d", None), ("4 5s", None), (".5s", None), ("   ", None),
-)
+#: Parameters made from events by rules, and their meaning by arithmetic on the same numbers. Literal cases are in the tests.
+_N = "event_id % 97"
 
 
-@query("window_parse", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if ms is None else ms}::BIGINT)" for i, (_, ms) in enumerate(_WINDOWS)) + ") t(i, ms)")
+@query("window_parse", on_sensor(f"""
+SELECT ord, CASE WHEN n = 0 AND kind < 5 OR kind = 6 THEN NULL ELSE least(3600000, CASE kind WHEN 0 THEN n * 1000 WHEN 1 THEN n * 60000 WHEN 2 THEN n WHEN 3 THEN n * 3600000 WHEN 4 THEN n * 1000 WHEN 5 THEN 500 + 1000 * n END) END AS ms
+FROM (SELECT ord, {_N} AS n, event_id % 7 AS kind FROM sensor)"""))
 def window_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(_WINDOWS)], "i int, raw string").select("i", params.window_ms(F.col("raw"), DEFAULT.max_occupancy_window_ms).alias("ms"))
+    """A window parameter for each event, of every unit, and some that are none."""
+    raw = "CASE event_id % 7 WHEN 0 THEN n || 's' WHEN 1 THEN ' ' || n || 'M ' WHEN 2 THEN n || ' ms' WHEN 3 THEN n || 'h' WHEN 4 THEN '' || n WHEN 5 THEN n || '.5s' ELSE n || ' days' END"
+    d = events(spark, sf_dir).selectExpr("ord", "event_id", f"{_N} AS n").selectExpr("ord", f"{raw} AS raw")
+    return d.select("ord", params.window_ms(F.col("raw"), DEFAULT.max_occupancy_window_ms).alias("ms"))
 
 
-_SINCE = (
-    (None, "cursor", 0), ("  ", "cursor", 0), ("17", "cursor", 17), ("999999999999", "cursor", 999_999_999_999), ("1000000000000", "ts", 1_000_000_000_000), (" 1700000000123 ", "ts", 1_700_000_000_123),
-    ("2024-01-01T00:30:00.250Z", "ts", 1_704_069_000_250), ("2024-01-01 01:30:00+01:00", "ts", 1_704_069_000_000), ("2024-01-01T003000-0000", "ts", 1_704_069_000_000), ("20240101T00:30Z", "ts", 1_704_069_000_000),
-    ("2024-01-01", "ts", 1_704_067_200_000), ("2024-01-01T06", "ts", 1_704_088_800_000), ("2024-01-01T00:30:00,7509", "ts", 1_704_069_000_750), ("2024-02-30", "invalid", None), ("-5", "invalid", None), ("soon", "invalid", None), ("2024-01-01T25:00", "invalid", None),
-)
-
-
-@query("since_parse", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{kind}', {'NULL' if v is None else v}::BIGINT)" for i, (_, kind, v) in enumerate(_SINCE)) + ") t(i, kind, value)")
+@query("since_parse", on_sensor("""
+SELECT ord, CASE kind WHEN 0 THEN 'cursor' WHEN 4 THEN 'invalid' WHEN 5 THEN 'cursor' ELSE 'ts' END AS kind, CASE kind WHEN 0 THEN event_id WHEN 4 THEN NULL WHEN 5 THEN 0 WHEN 3 THEN t_ms // 86400000 * 86400000 ELSE t_ms END AS value
+FROM (SELECT *, event_id % 6 AS kind FROM sensor)"""))
 def since_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.createDataFrame([(i, raw) for i, (raw, *_) in enumerate(_SINCE)], "i int, raw string").withColumn("s", params.since(F.col("raw")))
-    return d.select("i", "s.kind", "s.value")
+    """A parameter for each event: a cursor, a time as number, text or date, nothing, and some that are none."""
+    d = events(spark, sf_dir).withColumn("iso", times.to_iso(F.col("t_ms")))
+    raw = "CASE event_id % 6 WHEN 0 THEN '' || event_id WHEN 1 THEN ' ' || t_ms || ' ' WHEN 2 THEN iso WHEN 3 THEN left(iso, 10) WHEN 4 THEN '-' || event_id ELSE '  ' END"
+    d = d.selectExpr("ord", f"{raw} AS raw").withColumn("s", params.since(F.col("raw")))
+    return d.select("ord", "s.kind", "s.value")
 
 
 # ---- devices ------------------------------------------------------------------------------------------------
@@ -469,12 +469,13 @@ def prometheus_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stats_summary", on_alarms("""
 SELECT (SELECT count(DISTINCT device_id) FROM sensor) AS devices, (SELECT count(DISTINCT room_id) FROM sensor WHERE type = 'presence') AS rooms, (SELECT count(*) FROM sensor) AS events,
   (SELECT count(*) FROM alarms) AS alarms, (SELECT string_agg(type || ':' || n, ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM sensor GROUP BY type)) AS accepted,
-  (SELECT string_agg(tier || ':' || n, ',' ORDER BY tier) FROM (SELECT tier, count(*) AS n FROM sensor GROUP BY tier)) AS depth, (SELECT quantile_disc(received_ms - t_ms, 0.95) FROM sensor)::DOUBLE AS p95"""))
+  (SELECT string_agg(tier || ':' || n, ',' ORDER BY tier) FROM (SELECT tier, count(*) AS n FROM sensor GROUP BY tier)) AS depth, (SELECT quantile_disc(received_ms - t_ms, 0.95) FROM sensor)::DOUBLE AS p95,
+  (SELECT string_agg(reason || ':' || n, ',' ORDER BY reason) FROM (SELECT reason, count(*) AS n FROM checked WHERE reason IS NOT NULL GROUP BY reason)) AS rejected""", 1000, 2, _CHECKED))
 def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir)
-    row = stats.stats(ev, ev.where("false").select(F.lit("").alias("reason")), dedup.fold_falls(ev), ev)
+    row = stats.stats(ev, validate.rejects(checked(spark, sf_dir)), dedup.fold_falls(ev), ev)
     pairs = lambda name, key, value: F.array_join(F.transform(name, lambda x: F.concat_ws(":", x[key].cast("string"), x[value].cast("string"))), ",").alias(name)
-    return row.select("gauges.devices", "gauges.rooms", "gauges.events", "gauges.alarms", pairs("accepted", "type", "n"), pairs("depth", "tier", "depth"), F.col("latency.p95").cast("double").alias("p95"))
+    return row.select("gauges.devices", "gauges.rooms", "gauges.events", "gauges.alarms", pairs("accepted", "type", "n"), pairs("depth", "tier", "depth"), pairs("rejected", "reason", "n"), F.col("latency.p95").cast("double").alias("p95"))
 
 
 @query("alarm_sse", on_alarms("""
@@ -485,6 +486,23 @@ def alarm_sse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.sse_backlog(stage(alarms(spark, sf_dir), "alarms"), "40").select("cursor", "message")
 
 
+#: What readers of each kind of row may see, written out so that the library's own lists can't vouch for themselves.
+_SERVED = {
+    "device": ("device_id,known,room_id,last_heartbeat_ts,last_seen_ts,availability_5m,heartbeats_5m,expected_5m", "SELECT device_id FROM sensor GROUP BY 1"),
+    "room": ("room_id,known,in_room,occupied_pct,occupied_seconds,window_seconds,transitions", "SELECT room_id FROM sensor WHERE type = 'presence' GROUP BY 1"),
+    "alarm": ("event_id,device_id,room_id,ts,confidence,cursor,duplicates_collapsed", "SELECT event_id FROM alarms"),
+}
+
+
+@query("served_documents", on_alarms(" UNION ALL ".join(f"SELECT '{kind}' AS kind, id, '{fields}' AS fields FROM ({rows}) t(id)" for kind, (fields, rows) in _SERVED.items())))
+def served_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the fields of every JSON document that is served, in their order."""
+    ev = events(spark, sf_dir)
+    rows = {"device": health.device_health(ev, as_of(ev)), "room": occupancy.room_occupancy(ev, 300_000, as_of(ev)), "alarm": dedup.alarm_log(ev)}
+    out = [serve.documents(df, kind).select(F.lit(kind).alias("kind"), "id", F.array_join(F.json_object_keys("json"), ",").alias("fields")) for kind, df in rows.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("replayed_alarms", on_alarms("SELECT * FROM alarms"))
 def replayed_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alarms after the log was exported as lines and replayed."""

@@ -15,5 +15,7 @@ ALARMS = (
     "event_id STRING, device_id STRING, room_id STRING, ts STRING, ts_ms BIGINT, confidence DOUBLE, cursor BIGINT, "
     "duplicates_collapsed INT, seq_min BIGINT, seq_max BIGINT"
 )
-#: Fields of an alarm that readers see.
+#: Fields that readers see, of an alarm, of a device's health and of a room's occupancy.
 PUBLIC_ALARM = ("event_id", "device_id", "room_id", "ts", "confidence", "cursor", "duplicates_collapsed")
+PUBLIC_HEALTH = ("device_id", "known", "room_id", "last_heartbeat_ts", "last_seen_ts", "availability_5m", "heartbeats_5m", "expected_5m")
+PUBLIC_ROOM = ("room_id", "known", "in_room", "occupied_pct", "occupied_seconds", "window_seconds", "transitions")

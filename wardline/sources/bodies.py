@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.operators.validate import strict_json
+from wardline.operators.validate import last_value_counts, strict_json
 
 
 def parsed(bodies: DataFrame) -> DataFrame:
@@ -13,6 +13,7 @@ def parsed(bodies: DataFrame) -> DataFrame:
     A body that can't be read gives one row with `body_reason` (empty_body or invalid_json) and no event; an empty
     array gives one row with neither. One bad line spoils the whole body.
     """
+    last_value_counts(bodies.sparkSession)
     text = F.regexp_replace(F.coalesce(F.col("body"), F.lit("")), r"^\s+|\s+$", "")
     lines = F.filter(F.transform(F.split("__t", "\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     d = bodies.withColumn("__t", text).withColumn("__v", F.try_parse_json("__t"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardline.operators.validate import strict_json
+from wardline.operators.validate import last_value_counts, strict_json
 from wardline.schemas import EVENTS
 
 HOUR_MS = 3_600_000
@@ -48,6 +48,7 @@ def replay(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     Limits of acceptance are not applied again; lines without a device, a type or a time are no events.
     """
+    last_value_counts(spark)
     lines = spark.read.text(path)
     parsed = lines.withColumn("e", F.from_json("value", EVENTS))
     sound = F.col("e.device_id").isNotNull() & F.col("e.type").isNotNull() & F.col("e.t_ms").isNotNull()

@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from wardline.operators.validate import strict_json
+from wardline.operators.validate import last_value_counts, strict_json
 from wardline.schemas import EVENTS
 
 FORMAT = "sensor_log"
@@ -206,6 +206,7 @@ def parsed(rows: DataFrame) -> DataFrame:
 
     Limits of acceptance are not applied again. An event has a device, a type and a time.
     """
+    last_value_counts(rows.sparkSession)
     d = rows.withColumn("e", F.from_json("line", EVENTS))
     sound = F.col("e.device_id").isNotNull() & F.col("e.type").isNotNull() & F.col("e.t_ms").isNotNull()
     kind = F.when(F.trim(F.coalesce("line", F.lit("x"))) == "", "blank").when(F.col("line").isNull() | ~strict_json(F.col("line")), "torn").when(F.coalesce(sound, F.lit(False)), "event").otherwise("other")

@@ -95,6 +95,15 @@ def await_batches(spark: SparkSession, root: str, name: str, seconds: float = 30
         time.sleep(0.1)
 
 
+def await_first(spark: SparkSession, root: str, name: str, seconds: float = 600) -> None:
+    """Wait for a table's first committed batch."""
+    end = time.time() + seconds
+    while entry(spark, root, name, 0) is None:
+        if time.time() > end:
+            raise TimeoutError(f"{name}: nothing is committed")
+        time.sleep(0.1)
+
+
 def truncate(spark: SparkSession, root: str, name: str, before: int) -> int:
     """Drop the batches before a number, each with its entry first, so that no reader is led to a folder that is going."""
     store, path = _fs(spark, root)

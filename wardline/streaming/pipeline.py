@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from wardline.config import DEFAULT, Config
 from wardline.functions.times import to_iso
@@ -21,9 +21,10 @@ from wardline.sources.staging import number_rows
 from wardline.streaming import manifest
 
 
-def read_raw(spark: SparkSession, landing: str, max_files: int = 100) -> DataFrame:
-    """A stream of JSON files with the columns of schemas.RAW; max_files a trigger is the backpressure."""
-    return spark.readStream.schema(RAW).option("maxFilesPerTrigger", max_files).json(landing)
+def read_raw(spark: SparkSession, landing: str, config: Config = DEFAULT) -> DataFrame:
+    """A stream of JSON files with the columns of schemas.RAW; the bytes that a trigger takes are the backpressure: what
+    lands meanwhile waits in its folder, and nothing is shed."""
+    return spark.readStream.schema(RAW).option("maxBytesPerTrigger", config.wal_segment_bytes).json(landing)
 
 
 def ingest(raw: DataFrame, root: str, checkpoint: str, config: Config = DEFAULT) -> DataStreamWriter:
@@ -161,16 +162,31 @@ def head_before(spark: SparkSession, root: str, batch_id: int) -> int:
     return found.head if found else 0
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that stateful processors need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run(writer: DataStreamWriter, seconds: int = 600) -> None:
     """Run a stream until nothing is left; its error is raised here."""
-    spark = SparkSession.active()
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    use_rocksdb(SparkSession.active())
     query = writer.trigger(availableNow=True).start()
     if not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"the stream did not end within {seconds} s")
 
 
+def start(spark: SparkSession, landing: str, config: Config = DEFAULT) -> dict[str, StreamingQuery]:
+    """Run ingest and alarms side by side until they are stopped, with a trigger every fsync_ms and tables in data_dir."""
+    use_rocksdb(spark)
+    root, every = config.data_dir, {"processingTime": f"{config.fsync_ms} milliseconds"}
+    queries = {"ingest": ingest(read_raw(spark, landing, config), root, f"{root}/checkpoints/ingest", config).queryName("ingest").trigger(**every).start()}
+    manifest.await_first(spark, root, "events")
+    changes = alarm_changes(read_events(spark, root), config, config.dedup_seq_slack)
+    queries["alarms"] = write_alarms(changes, root, f"{root}/checkpoints/alarms").queryName("alarms").trigger(**every).start()
+    return queries
+
+
 def alarm_log(spark: SparkSession, root: str, after_batch: int = -1) -> DataFrame:
     """Alarms as they stand (of the batches beyond after_batch): each creation with its latest amendment (schemas.ALARMS)."""
     rows = manifest.committed(spark, root, "alarms", ALARM_ROW, after_batch)

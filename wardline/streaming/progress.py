@@ -64,9 +64,9 @@ def counters(rows: DataFrame) -> DataFrame:
     return once.withColumn("value", F.sum("n").over(Window.partitionBy("query", "name").orderBy("batch_id"))).select("query", "batch_id", "at_ms", "name", "value")
 
 
-def readiness(query: StreamingQuery, most_ms: int = 60_000) -> dict:
-    """Whether a stream is live (runs without an error) and ready (its last batch is not older than most_ms, or it waits for data)."""
+def readiness(query: StreamingQuery, config: Config = DEFAULT) -> dict:
+    """Whether a stream is live (runs without an error) and ready (its last batch is not older than report_ms, or it waits for data)."""
     last, live = query.lastProgress, bool(query.isActive and query.exception() is None)
     waits = not query.status["isTriggerActive"]
     age = None if last is None else (time.time() - time.mktime(time.strptime(str(last.timestamp)[:19], "%Y-%m-%dT%H:%M:%S")) + time.timezone) * 1000
-    return {"live": live, "ready": live and (waits or age is None or age <= most_ms), "batch_id": None if last is None else last.batchId, "input_rows_per_second": None if last is None else last.inputRowsPerSecond, "age_ms": None if age is None else round(age)}
+    return {"live": live, "ready": live and (waits or age is None or age <= config.report_ms), "batch_id": None if last is None else last.batchId, "input_rows_per_second": None if last is None else last.inputRowsPerSecond, "age_ms": None if age is None else round(age)}

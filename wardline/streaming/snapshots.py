@@ -32,6 +32,7 @@ class Snapshot:
     generation: int
     position: Position
     tables: dict[str, DataFrame]
+    created_ms: int = 0
 
 
 def _checks(table: DataFrame) -> tuple[int, int]:
@@ -78,7 +79,7 @@ def read(spark: SparkSession, root: str, number: int) -> Snapshot | None:
             return None
     except (PySparkException, Py4JJavaError):  # a folder is missing, or a file is cut
         return None
-    return Snapshot(number, Position.of(rows[0].position), tables)
+    return Snapshot(number, Position.of(rows[0].position), tables, rows[0].created_ms)
 
 
 def load(spark: SparkSession, root: str) -> Snapshot | None:
@@ -143,11 +144,20 @@ def recover(spark: SparkSession, root: str, log: str, window_ms: int | None = No
     return state, summary
 
 
-def advance(spark: SparkSession, root: str, log: str, window_ms: int | None = None, config: Config = DEFAULT) -> int:
+def advance_if_due(spark: SparkSession, root: str, log: str, now_ms: int, config: Config = DEFAULT) -> int | None:
+    """The next generation, with history pruned that no query can reach, if the newest sound one is snapshot_ms old or there is none."""
+    found = load(spark, root)
+    if found and now_ms - found.created_ms < config.snapshot_ms:
+        return None
+    return advance(spark, root, log, config=config, now_ms=now_ms)
+
+
+def advance(spark: SparkSession, root: str, log: str, window_ms: int | None = None, config: Config = DEFAULT, now_ms: int | None = None) -> int:
     """Write the next generation: the newest sound one with the whole lines that the log has behind its position."""
     found, reached = load(spark, root), end_of(log)
     events = events_of(log_lines(spark, log, found.position if found else None, reached))
-    return save(spark, root, advanced(found.tables, events, window_ms, config) if found else state_of(events, window_ms, config), reached)
+    state = advanced(found.tables, events, window_ms, config) if found else state_of(events, window_ms, config)
+    return save(spark, root, state if now_ms is None else pruned(state, now_ms, config), reached, now_ms or 0)
 
 
 def alarms_of(state: dict[str, DataFrame]) -> DataFrame:
