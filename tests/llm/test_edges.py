@@ -350,6 +350,26 @@ def test_top_k_reads_few_vectors(spark, monkeypatch):
     assert kept["open"].count() < 60 * 3000 / 50
 
 
+@pytest.mark.parametrize("outliers", ["vectors", "components"])
+def test_top_k_outliers_spoil_no_bounds(spark, monkeypatch, outliers):
+    """With 0.1 % of vectors at 50 times the size, or with one huge component, under 1 % of all pairs are staged."""
+    x = np.random.default_rng(5).normal(0, 0.125, (16_000, 64))
+    if outliers == "vectors":
+        x[7::1000] *= 50
+    else:
+        x[7::1000, 3] = 40.0
+    vectors = topk.integers(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"))
+    kept = {}
+    monkeypatch.setattr(topk, "stage", lambda df, name: kept.setdefault(name, common.stage(df, name)))
+    got = topk.top_k(vectors, vectors.where("vec_id % 250 = 0")).where("rank = 1").collect()
+    assert kept["candidates"].count() < 0.01 * 16_000 * 64
+    v = np.floor(256 * x).astype(np.int64)
+    for r in got:
+        s = v @ v[r.query_id]
+        s[r.query_id] = -(1 << 60)
+        assert (r.vec_id, r.score) == (int(s.argmax()), int(s.max()))
+
+
 def test_substring_dedup(spark, docs, nothing):
     rng = np.random.default_rng(6)
     passages = [" ".join(f"p{i}_{rng.integers(40)}" for _ in range(70)) for i in range(6)]

@@ -1,8 +1,10 @@
 """Exact top-k inner products by vector-approximation files.
 
 1. Vectors become integers, floor(256 x). Of equal vectors only the K + 1 smallest ids can be among the best, as they tie.
-2. Each dimension's range is cut into at most CELLS equal cells; a vector's approximation is its cell numbers, a byte for
-   each dimension. The middle of the cells gives the product but for an error that depends on the query alone.
+2. Each vector is divided by its greatest component's size, its scale. Each dimension's range of what is left is cut into
+   CELLS equal cells; a vector's approximation is its scale and its cell numbers, a byte for each dimension. The middle
+   of the cells gives the product but for an error that is the scale times what depends on the query alone. So a vector of
+   unusual size makes its own bounds wide and no other's.
 3. Queries (a stated set) are held against all approximations in blocks. A block passes on each query's candidates
    whose upper bound reaches the block's K-th greatest lower bound; then the K-th greatest lower bound of all blocks
    rules out more.
@@ -38,22 +40,29 @@ def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return vectors.withColumn("v", v).where(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform("v", lambda x: F.floor(x * SCALE)).alias("v"))
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scales of vectors, and the vectors divided by them (within -1 and 1)."""
+    scale = np.maximum(1, np.abs(x).max(axis=1))
+    return scale, x / scale[:, None]
+
+
 def ranges(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each length of vectors the least component of each dimension and the width of its cells."""
+    """For each length of vectors the least scaled component of each dimension and the width of its cells."""
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for d, _, x in by_length(batch.column(0)):
-                low, high = held.get(d, (x[0], x[0]))
-                held[d] = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+                u = scaled(x)[1]
+                low, high = held.get(d, (u[0], u[0]))
+                held[d] = np.minimum(low, u.min(axis=0)), np.maximum(high, u.max(axis=0))
         for d, (low, high) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d)), pa.array(np.arange(d)), pa.array(low), pa.array(high)], ["d", "dim", "low", "high"])
 
-    found = vectors.select("v").mapInArrow(local, "d long, dim long, low long, high long")
+    found = vectors.select("v").mapInArrow(local, "d long, dim long, low double, high double")
     table = found.groupBy("d", "dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("d", "dim").toArrow()  # as long as a vector
     d, low, high = (table.column(c).to_numpy() for c in ("d", "low", "high"))
-    return {int(k): (low[d == k], np.maximum(1, -(-(high[d == k] - low[d == k] + 1) // CELLS))) for k in np.unique(d)}
+    return {int(k): (low[d == k], np.maximum(2.0**-40, (high[d == k] - low[d == k]) / CELLS)) for k in np.unique(d)}
 
 
 def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -66,33 +75,35 @@ def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def approximations(vectors: DataFrame, grid: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """rid, vec_id, d and cells (a byte for each dimension) of (rid, vec_id, v)."""
+    """rid, vec_id, d, scale and cells (a byte for each dimension) of (rid, vec_id, v)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, near = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, object)
+            length, scales, near = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, object)
             for d, at, x in by_length(batch.column(2)):
                 low, width = grid[d]
-                cells = ((x - low) // width).astype(np.uint8)
-                length[at] = d
+                scale, u = scaled(x)
+                cells = np.clip((u - low) // width, 0, CELLS - 1).astype(np.uint8)
+                length[at], scales[at] = d, scale
                 near[at] = [row.tobytes() for row in cells]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(length), pa.array(near, pa.binary())], ["rid", "vec_id", "d", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(length), pa.array(scales), pa.array(near, pa.binary())], ["rid", "vec_id", "d", "scale", "cells"])
 
-    return vectors.select("rid", "vec_id", "v").mapInArrow(run, "rid long, vec_id long, d long, cells binary")
+    return vectors.select("rid", "vec_id", "v").mapInArrow(run, "rid long, vec_id long, d long, scale long, cells binary")
 
 
-def candidates(query: np.ndarray, q_ids: np.ndarray, near: np.ndarray, ids: np.ndarray, low: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def candidates(query: np.ndarray, q_ids: np.ndarray, near: np.ndarray, scale: np.ndarray, ids: np.ndarray, low: np.ndarray, width: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """For some queries at a time: their ids, the rows that can be among the K best, and bounds of the products below and above."""
-    middle = low + near.astype(np.int64) * width + (width - 1) / 2.0
-    far = np.abs(middle).max(axis=0)
+    middle, d = (low + (near + 0.5) * width) * scale[:, None], len(low)
     for lo in range(0, len(query), STEP):
         q, own = query[lo : lo + STEP].astype(float), q_ids[lo : lo + STEP]
-        error = np.abs(q) @ ((width - 1) / 2.0) + np.abs(q) @ far * (len(low) + 4) * 2.0**-51  # cells, and rounding
-        s = q @ middle.T
-        s[own[:, None] == ids[None, :]] = -np.inf
-        least = np.full(len(q), -np.inf) if s.shape[1] <= K else np.partition(s, s.shape[1] - K, axis=1)[:, s.shape[1] - K]
-        i, row = np.nonzero((s >= (least - 2.0 * error)[:, None]) & (s > -np.inf))
-        yield own[i], row, s[i, row] - error[i], s[i, row] + error[i]
+        size = np.abs(q)
+        error = size @ (width / 2.0) + size.sum(axis=1) * (d + 8) * 2.0**-49  # cells; rounding of cells, middles and sums
+        s, far = q @ middle.T, error[:, None] * scale[None, :]
+        same = own[:, None] == ids[None, :]
+        below = np.where(same, -np.inf, s - far)
+        least = np.full(len(q), -np.inf) if s.shape[1] <= K else np.partition(below, s.shape[1] - K, axis=1)[:, s.shape[1] - K]
+        i, row = np.nonzero((s + far >= least[:, None]) & ~same)
+        yield own[i], row, below[i, row], s[i, row] + far[i, row]
 
 
 FOUND = "query_id long, rid long, vec_id long, below double, above double"
@@ -103,8 +114,8 @@ def scanned(asked: DataFrame, near: DataFrame, grid: dict[int, tuple[np.ndarray,
     q_blocks, r_blocks = -(-m // QUERY_BLOCK), max(1, -(-n // ROW_BLOCK))
     own_q, own_r = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(q_blocks)), F.pmod(F.xxhash64("rid"), F.lit(r_blocks))
     none = lambda kind: F.lit(None).cast(kind)
-    q = asked.select(F.size("v").cast("long").alias("d"), F.explode(F.sequence(own_q * r_blocks, own_q * r_blocks + r_blocks - 1)).alias("cell"), none("long").alias("rid"), "vec_id", "v", none("binary").alias("cells"))
-    r = near.select("d", F.explode(F.sequence(own_r, own_r + (q_blocks - 1) * r_blocks, F.lit(r_blocks))).alias("cell"), "rid", "vec_id", none("array<long>").alias("v"), "cells")
+    q = asked.select(F.size("v").cast("long").alias("d"), F.explode(F.sequence(own_q * r_blocks, own_q * r_blocks + r_blocks - 1)).alias("cell"), none("long").alias("rid"), "vec_id", "v", none("binary").alias("cells"), none("long").alias("scale"))
+    r = near.select("d", F.explode(F.sequence(own_r, own_r + (q_blocks - 1) * r_blocks, F.lit(r_blocks))).alias("cell"), "rid", "vec_id", none("array<long>").alias("v"), "cells", "scale")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in words.grouped(batches, 2):
@@ -119,7 +130,7 @@ def scanned(asked: DataFrame, near: DataFrame, grid: dict[int, tuple[np.ndarray,
                 cells = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(-1, d)
                 query = np.concatenate([c.flatten().to_numpy() for c in asks.column(4).chunks]).reshape(-1, d)
                 rids, ids = rows.column(2).to_numpy(), rows.column(3).to_numpy()
-                for q_id, row, below, above in candidates(query, asks.column(3).to_numpy(), cells, ids, low, width):
+                for q_id, row, below, above in candidates(query, asks.column(3).to_numpy(), cells, rows.column(6).to_numpy(), ids, low, width):
                     yield pa.RecordBatch.from_arrays([pa.array(q_id), pa.array(rids[row]), pa.array(ids[row]), pa.array(below), pa.array(above)], ["query_id", "rid", "vec_id", "below", "above"])
 
     dealt = q.unionByName(r).repartition("d", "cell").sortWithinPartitions("d", "cell")
