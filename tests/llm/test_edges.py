@@ -118,6 +118,30 @@ def test_near_dedup(spark, docs, nothing):
     assert near_dedup.near_duplicates(nothing).count() == near_dedup.near_dedup(nothing).count() == 0
 
 
+def test_near_dedup_finds_every_pair_at_the_threshold(spark):
+    """Recall at exactly 0.8: short pairs of 4 and 5 shingles and long ones of 160 and 200, every one of them."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(6000):
+        n = 8 if i % 10 else 203
+        w = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: 7 if n == 8 else 163]))]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    missed = [r.doc_id for r in found if r.component_id != r.doc_id // 2 * 2]
+    assert not missed, len(missed)
+
+
+def test_near_dedup_estimates(spark):
+    """Pairs of 64 shingles and more stay over LOOSE at the threshold; estimates don't stray further than they should."""
+    rng = np.random.default_rng(9)
+    off = []
+    for _ in range(3000):
+        one = rng.integers(0, 1 << 63, 72, dtype=np.uint64)
+        sig = [np.frombuffer(near_dedup.signature(near_dedup.minima(np.unique(x))), np.uint64) for x in (one[:64], one[8:])]
+        off.append(near_dedup.similarity(*sig) - 56 / 72)
+    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.045 and min(off) > near_dedup.LOOSE - 56 / 72 - 0.02
+
+
 def test_near_dedup_group_of_many_blocks(spark, monkeypatch):
     """A group of variants larger than a block, linked in chains, next to documents that share a passage only."""
     monkeypatch.setattr(near_dedup, "SET_BLOCK", 256)

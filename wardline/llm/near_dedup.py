@@ -5,8 +5,8 @@
    form a class; from here on only classes are compared, so copies are never paired.
 2. Classes that share a band hash are candidates. Within a bucket, similarity is estimated from the number of
    equal b-bit values, corrected for chance collisions: J = (E - 2^-b) / (1 - 2^-b). Pairs of LOOSE or more,
-   5.6 standard errors under the threshold, join their classes to loose groups; only a spanning forest of
-   them is emitted, never all pairs.
+   5.6 standard errors under the threshold, and pairs of small sets, of which the estimate says little, join their
+   classes to loose groups; only a spanning forest of them is emitted, never all pairs.
 3. Full sets are computed again for the classes in loose groups only; a Bloom filter keeps other texts where they are. Within a group, exact intersections are
    counted between classes that aren't linked yet, and a spanning forest of the exact links is emitted.
 4. Components of the exact links give the result.
@@ -38,6 +38,8 @@ from wardline.llm.components import components
 
 SHINGLE, THRESHOLD_PERCENT = 4, 80
 BANDS, ROWS, BITS, LOOSE, SEED = 36, 5, 2, 0.6, 77
+#: Sets of fewer shingles are confirmed without an estimate.
+FEW = 64
 #: Classes in a block of a bucket, and of a loose group, whose rows hold whole sets; classes of a group that go to all its blocks.
 SKETCH_BLOCK, SET_BLOCK, HEADS = 4096, 1024, 4
 HASHES = BANDS * ROWS
@@ -75,8 +77,9 @@ def bands(low: np.ndarray) -> np.ndarray:
 
 
 def signature(low: np.ndarray) -> bytes:
-    """Low bits of the minima, packed."""
-    bits = np.zeros(SIG_WORDS * 64, np.uint8)
+    """Low bits of the minima, packed. The minima are mixed first: the low bits of a product depend on those of the shingle
+    alone, and would be equal in many places at once."""
+    bits, low = np.zeros(SIG_WORDS * 64, np.uint8), low * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
     bits[: HASHES * BITS].reshape(-1, BITS)[:] = (low[:, None] >> np.arange(BITS, dtype=np.uint32)) & np.uint32(1)
     return np.packbits(bits).tobytes()
 
@@ -144,6 +147,11 @@ def _edge_batch(u: list, v: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+def likely(n: np.ndarray, m: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Whether pairs of sets of sizes n and m, with these estimates, are worth confirming. Of few shingles an estimate says little."""
+    return fits(n, m) & ((alike >= LOOSE) | (np.maximum(n, m) < FEW))
+
+
 def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sets of these sizes can reach the threshold."""
     return 100 * np.minimum(a, b) >= THRESHOLD_PERCENT * np.maximum(a, b)
@@ -157,14 +165,14 @@ def _loose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = words.bounds(table, 2)
         size = np.diff(at)
         i = at[:-1][size == 2]  # most buckets: all at once
-        ok = fits(n[i], n[i + 1]) & (similarity(sig[i], sig[i + 1]) >= LOOSE)
+        ok = likely(n[i], n[i + 1], similarity(sig[i], sig[i + 1]))
         us, vs = cid[i[ok]].tolist(), cid[i[ok] + 1].tolist()
         for lo, hi in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True):
             roots, own, sizes = Roots(label[lo:hi]), sig[lo:hi], n[lo:hi]
             for k, rest in turns(roots, visits[lo:hi] > 0):
                 rest = rest[fits(sizes[k], sizes[rest])]
                 if len(rest):
-                    new = roots.link(k, rest[similarity(own[k], own[rest]) >= LOOSE])
+                    new = roots.link(k, rest[likely(sizes[k], sizes[rest], similarity(own[k], own[rest]))])
                     us += [cid[lo + k]] * len(new)
                     vs += cid[lo:hi][new].tolist()
         yield _edge_batch(us, vs)
