@@ -231,6 +231,23 @@ PII = [
 ]
 
 
+def test_pii_takes_time_in_proportion(spark):
+    """Texts of ten thousands of matches: every span, and four times the matches in well under sixteen times the time."""
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        text = " ".join(f"mail é a{i}@b{i}.de +1 (234) 567-{i % 10000:04d}" for i in range(n))
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        t = time.time()
+        row = pii.find_spans(d).select(F.size("pii").alias("n"), F.transform("pii", lambda s: F.struct(s["start"], s["stop"])).alias("at"), F.element_at("pii", -1).alias("last")).first()
+        took.append(time.time() - t)
+        assert row.n == 2 * n and text[row["at"][n][0] : row["at"][n][1]] in (f"a{n // 2}@b{n // 2}.de", f"+1 (234) 567-{n // 2 % 10000:04d}")
+        clean = pii.redact(d).first().text
+        assert clean == " ".join(["mail é [email] [phone]"] * n)
+    assert took[1] < 10 * took[0] + 5
+
+
 def test_pii(spark, docs, nothing):
     rows = pii.find_spans(spark.createDataFrame(list(enumerate(PII)), "doc_id long, text string").withColumn("PII", F.lit(1))).withColumnRenamed("PII", "given").withColumnRenamed("pii_2", "pii").collect()
     assert all(r.given == 1 for r in rows)

@@ -74,11 +74,34 @@ VALID: dict[str, Callable[[Column], Column]] = {
 SPAN = "array<struct<start:bigint,stop:bigint,score:double>>"
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """Valid spans of one kind, in order."""
-    pattern, none = FAST[kind], F.array().cast(SPAN)
+def _chunks(items: Column) -> Column:
+    """A list in slices of about the square root of its size. What appends to a list copies it, so it appends to the list of
+    one slice only, and the slices are put together at the end."""
+    n = F.size(items)
+    size = F.greatest(F.lit(16), F.ceil(F.sqrt(n)).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.slice(items, i * size + 1, size))
+    return F.when(n > 0, parts).otherwise(F.array())
+
+
+def _pairs(text: Column, kind: str) -> Column:
+    """Matches of a kind's pattern, each with the gap before it, in slices."""
+    pattern = FAST[kind]
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    guard = F.contains(text, F.lit({"email": "@", "phone": "+"}[kind])) if kind in ("email", "phone") else text.rlike(GUARD[kind])
+    return F.when(guard, F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g"))))
+
+
+def _spans(parts: Column, kind: str) -> Column:
+    """Valid spans of one kind, in order, from slices of pairs: where each slice begins first, then the spans within it."""
+    none, zero = F.array().cast(SPAN), F.lit(0).cast("long")
+
+    def past(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"), F.right(F.concat(acc["tail"], x["g"], x["m"]), F.lit(CONTEXT)).alias("tail"))
+
+    def begin(acc: Column, part: Column) -> Column:
+        now = F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"))
+        end = F.aggregate(part, now, past)
+        return F.struct(end["at"].alias("at"), end["tail"].alias("tail"), F.concat(acc["heads"], F.array(now)).alias("heads"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
@@ -89,9 +112,9 @@ def _spans(text: Column, kind: str) -> Column:
         tail = F.right(F.concat(before, x["m"]), F.lit(CONTEXT))
         return F.struct(stop.alias("at"), tail.alias("tail"), F.when(VALID[kind](x["m"]), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), none.alias("found")), step, lambda acc: acc["found"])
-    guard = F.contains(text, F.lit({"email": "@", "phone": "+"}[kind])) if kind in ("email", "phone") else text.rlike(GUARD[kind])
-    return F.when(guard, found).otherwise(none)
+    heads = F.aggregate(parts, F.struct(zero.alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<at:bigint,tail:string>>").alias("heads")), begin, lambda acc: acc["heads"])
+    within = F.zip_with(parts, heads, lambda part, h: F.aggregate(part, F.struct(h["at"].alias("at"), h["tail"].alias("tail"), none.alias("found")), step, lambda acc: acc["found"]))
+    return F.coalesce(F.flatten(within), none)
 
 
 def _found(docs: DataFrame, text_col: str) -> DataFrame:
@@ -99,7 +122,10 @@ def _found(docs: DataFrame, text_col: str) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     out = docs.select(row, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
-    out = out.withColumns({kind: _spans(text, kind) for kind in PLAIN})
+    # a column each, so that no pattern runs twice
+    out = out.withColumns({kind: _pairs(text, kind) for kind in PLAIN})
+    out = out.withColumns({kind: F.when(F.size(kind) > 0, _chunks(F.col(kind))) for kind in PLAIN})
+    out = out.withColumns({kind: _spans(F.col(kind), kind) for kind in PLAIN})
     out = out.withColumn("base", F.concat(*BASE))
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
     own = F.filter("national", lambda s: (s["score"] >= THRESHOLD) & free(s) & ~F.substring(text, s["start"].cast("int"), F.when(s["start"] > 0, 1).otherwise(0)).rlike("[0-9+]"))
@@ -120,17 +146,28 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in square brackets; of overlapping spans the first is named."""
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        new = F.struct(F.concat(acc["out"], gap, F.lit("["), s["kind"], F.lit("]")).alias("out"), s["stop"].alias("at"))
-        more = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(more)
-
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
-    clean = F.when(F.size("pii") > 0, F.aggregate("pii", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, end)).otherwise(F.col(f"row.`{text_col}`"))
-    return _found(docs, text_col).select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    text, zero = F.col("text"), F.lit(0).cast("long")
+
+    def begin(acc: Column, part: Column) -> Column:
+        end = F.aggregate(part, acc["at"], lambda at, s: F.greatest(at, s["stop"]))
+        return F.struct(end.alias("at"), F.concat(acc["heads"], F.array(acc["at"])).alias("heads"))
+
+    def pieces(part: Column, at: Column, own: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(own, (acc["at"] - at).cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
+            new = F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(F.concat(gap, F.lit("["), s["kind"], F.lit("]")))).alias("out"))
+            return F.when(s["start"] >= acc["at"], new).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
+
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: acc["out"])
+
+    d = _found(docs, text_col).withColumn("parts", F.when(F.size("pii") > 0, _chunks(F.col("pii"))))
+    d = d.withColumn("heads", F.aggregate("parts", F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("heads")), begin, lambda acc: F.concat(acc["heads"], F.array(acc["at"]))))
+    # each slice of spans works on its own piece of the text
+    slices = F.transform("parts", lambda part, i: F.struct(part.alias("part"), F.col("heads")[i].alias("at"), F.substring(text, F.col("heads")[i].cast("int") + 1, (F.col("heads")[i + 1] - F.col("heads")[i]).cast("int")).alias("own")))
+    d = d.withColumn("slices", slices)
+    rest = F.substring(text, F.element_at("heads", -1).cast("int") + 1, F.length(text))
+    clean = F.when(F.size("pii") > 0, F.concat(F.array_join(F.flatten(F.transform("slices", lambda x: pieces(x["part"], x["at"], x["own"]))), ""), rest)).otherwise(F.col(f"row.`{text_col}`"))
+    return d.select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:
