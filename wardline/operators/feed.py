@@ -27,6 +27,11 @@ def in_room(page: DataFrame, room_id: str | None) -> DataFrame:
     return page if room_id is None else page.where(F.col("room_id") == room_id)
 
 
+def newest(alarms: DataFrame, limit: int = 100) -> DataFrame:
+    """The newest alarms first, as a list of the mirror shows them."""
+    return alarms.orderBy(F.desc("cursor")).limit(limit)
+
+
 def alarm_page(alarms: DataFrame, raw_since: str | None = None, limit: int | str | None = None, room_id: str | None = None) -> DataFrame:
     """One row: alarms (public fields, in cursor order), count, cursor (the log's head), page_cursor (to resume from), since."""
     page = public(in_room(since(alarms, raw_since, limit), room_id))

@@ -89,6 +89,12 @@ def series(rows: DataFrame, name: str, value: str, label: str | None = None) ->
     return rows.select(F.lit(name).alias("name"), labels.alias("labels"), F.col(value).cast("double").alias("value"))
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """Series (name, labels, value) by key: the name, and its labels after a bar if it has any."""
+    key = F.concat(F.col("name"), F.coalesce(F.concat(F.lit("|"), F.nullif("labels", F.lit(""))), F.lit("")))
+    return rows.groupBy(key.alias("key")).agg(F.sum("value").alias("value"))
+
+
 def histogram_lines(hist: DataFrame, name: str) -> DataFrame:
     """Text exposition of one histogram: i, line."""
     head = F.array(F.lit(f"# HELP {name} {HELP[name]}"), F.lit(f"# TYPE {name} histogram"))

@@ -12,8 +12,9 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardline.config import DEFAULT
-from wardline.operators import dedup, integrals, occupancy, rings, stats
-from wardline.plans.queries import QUERIES, SQL, _CHECKED, _COVER, _HEALTH, _POINTS, _REGISTRY, _occupancy_sql, as_of, events, on_alarms, on_sensor, query
+from wardline.operators import dedup, integrals, metrics, occupancy, rings, stats, validate
+from wardline.operators.feed import newest
+from wardline.plans.queries import QUERIES, SQL, _CHECKED, _COVER, _HEALTH, _POINTS, _REGISTRY, _occupancy_sql, as_of, checked, events, on_alarms, on_sensor, query
 from wardline.sources import segments, sensors
 from wardline.sources.staging import shared_dir, stage
 from wardline.streaming import feed, latency, manifest, pipeline, progress, snapshots, state
@@ -207,6 +208,51 @@ def delivery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select("sent", "received", "lost", "share", F.col("p50").cast("double").alias("p50"), F.col("p95").cast("double").alias("p95"))
 
 
+# ---- stateless and windowed streams ------------------------------------------------------------------------------
+
+
+def streamed(spark: SparkSession, sf_dir: str, name: str, query_of, mode: str) -> DataFrame:
+    """What a stream over the log has written, batch after batch, when the log came in parts."""
+    root = fresh(spark, name)
+    for i, part in parts(log_of(spark, sf_dir)):
+        pipeline.add_events(part, root, i)
+        rows = query_of(pipeline.read_events(spark, root))
+        pipeline.run(rows.writeStream.foreachBatch(lambda batch, n: manifest.publish(batch, root, "out", n)).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint"))
+    return spark.read.schema(rows.schema).parquet(f"{root}/out/batch_id=*")
+
+
+@query("exact_copies_dropped", on_sensor("SELECT DISTINCT device_id, t_ms FROM sensor WHERE type = 'fall_warn'"))
+def exact_copies_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings with the same device and time, once each, whichever batch they came in."""
+    return streamed(spark, sf_dir, "exact", lambda ev: pipeline.exact_copies_dropped(ev).select("device_id", "t_ms"), "append")
+
+
+@query("streamed_availability", on_sensor("""SELECT device_id, end_s, count(*) AS heartbeats FROM (
+  SELECT device_id, unnest(range((sec // 60 + 1) * 60, (sec // 60 + 1) * 60 + 300, 60)) AS end_s FROM (SELECT DISTINCT device_id, t_ms // 1000 AS sec FROM sensor WHERE type = 'heartbeat')) GROUP BY ALL"""))
+def streamed_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heartbeat seconds in sliding windows as the stream last gave them."""
+    shape = lambda ev: pipeline.availability(ev).select("device_id", F.unix_seconds("window.end").alias("end_s"), "heartbeats")
+    return streamed(spark, sf_dir, "availability", shape, "update").groupBy("device_id", "end_s").agg(F.max("heartbeats").alias("heartbeats"))
+
+
+@query("alarm_newest", on_alarms("SELECT event_id, cursor FROM alarms ORDER BY cursor DESC LIMIT 100"))
+def alarm_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is the newest 100."""
+    return newest(dedup.alarm_log(log_of(spark, sf_dir))).select("event_id", "cursor")
+
+
+@query("metric_keys", on_sensor("""SELECT 'events_accepted_total' AS key, count(*)::DOUBLE AS value FROM sensor
+UNION ALL SELECT 'events_accepted_by_type_total|type="' || type || '"', count(*)::DOUBLE FROM sensor GROUP BY type
+UNION ALL SELECT 'events_rejected_by_reason_total|reason="' || reason || '"', count(*)::DOUBLE FROM checked WHERE reason IS NOT NULL GROUP BY reason""", _CHECKED))
+def metric_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters by their keys."""
+    ev = log_of(spark, sf_dir)
+    total = ev.agg(F.count(F.lit(1)).alias("n"))
+    rows = metrics.series(total, "events_accepted_total", "n").unionByName(metrics.series(metrics.counters(ev, "type"), "events_accepted_by_type_total", "n", "type"))
+    rejected = metrics.counters(validate.rejects(checked(spark, sf_dir)), "reason")
+    return metrics.keyed(rows.unionByName(metrics.series(rejected, "events_rejected_by_reason_total", "n", "reason")))
+
+
 # ---- progress, feed and commits ----------------------------------------------------------------------------------
 
 
