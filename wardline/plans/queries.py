@@ -5,7 +5,6 @@ Every query reads its whole tables; `as_of` is the greatest event time. Limits s
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,7 +13,7 @@ from wardline.config import DEFAULT
 from wardline.functions import params, times
 from wardline.operators import dedup, feed, health, metrics, occupancy, schedule, serve, stats, validate
 from wardline.sources import bodies, log, sensors
-from wardline.sources.staging import shared_dir, stage
+from wardline.sources.staging import scratch, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -506,7 +505,7 @@ def served_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("replayed_alarms", on_alarms("SELECT * FROM alarms"))
 def replayed_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alarms after the log was exported as lines and replayed."""
-    path = f"{shared_dir(spark)}/wardline/lines-{uuid.uuid4().hex}"
+    path = scratch(spark, "lines")
     log.export_lines(events(spark, sf_dir).drop("event_id", "cp"), path)
     return dedup.alarm_log(log.replay(spark, path)[0])
 
@@ -516,7 +515,7 @@ def streamed_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same alarms from a stateful stream over the event log, run until nothing is left."""
     from wardline.streaming import pipeline
 
-    root = f"{shared_dir(spark)}/wardline/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     pipeline.add_events(events(spark, sf_dir).drop("event_id", "cp"), root, 0)
     pipeline.run(pipeline.write_alarms(pipeline.alarm_changes(pipeline.read_events(spark, root)), root, f"{root}/checkpoint"))
     return pipeline.alarm_log(spark, root)
@@ -527,7 +526,7 @@ def mirrored_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mirror table that was filled with a part of the alarms, then reconciled twice with the whole log."""
     from wardline.streaming import pipeline
 
-    path, found = f"{shared_dir(spark)}/wardline/mirror-{uuid.uuid4().hex}", stage(alarms(spark, sf_dir), "alarms")
+    path, found = scratch(spark, "mirror"), stage(alarms(spark, sf_dir), "alarms")
     for part in (found.where("cursor % 2 = 0 AND cursor < 100"), found, found):
         pipeline.mirror(part, path)
     return spark.read.parquet(path).groupBy("event_id").agg(F.min("cursor").alias("cursor"))

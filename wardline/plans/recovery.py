@@ -5,7 +5,6 @@ Events are landed in parts by arrival, and every stream is stopped and started a
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -16,17 +15,13 @@ from wardline.operators import dedup, integrals, metrics, occupancy, rings, stat
 from wardline.operators.feed import newest
 from wardline.plans.queries import QUERIES, SQL, _CHECKED, _COVER, _HEALTH, _POINTS, _REGISTRY, _occupancy_sql, as_of, checked, events, on_alarms, on_sensor, query
 from wardline.sources import segments, sensors
-from wardline.sources.staging import shared_dir, stage
+from wardline.sources.staging import scratch, stage
 from wardline.streaming import feed, latency, manifest, pipeline, progress, snapshots, state
 
 #: Arrival of one part of the events, and the parts: events of one hour come up to 20 minutes late.
 PART_MS, PARTS = 1_200_000, range(4)
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/wardline/{name}-{uuid.uuid4().hex}"
-
-
 def log_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as the log has them."""
     return stage(events(spark, sf_dir).drop("event_id", "cp"), "sensor-log")
@@ -58,7 +53,7 @@ SELECT device_id, event_id, ts_ms, duplicates_collapsed, seq_min, seq_max FROM (
 WHERE alive = 1"""))
 def open_alarm_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alarms that the stream's state still holds at its end: those of devices that fell silent have been dropped by timers."""
-    root = fresh(spark, "expiring")
+    root = scratch(spark, "expiring")
     for i, part in parts(log_of(spark, sf_dir)):
         pipeline.add_events(part, root, i)
         pipeline.run(pipeline.write_alarms(state.expiring_alarm_changes(pipeline.read_events(spark, root), SHORT, lateness_ms=LATENESS_MS), root, f"{root}/checkpoint"))
@@ -69,7 +64,7 @@ def open_alarm_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("streamed_occupancy_5m", _occupancy_sql(300_000))
 def streamed_occupancy_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occupancy from the timelines in a stream's state, after presence events that came in no order."""
-    root, log = fresh(spark, "timelines"), log_of(spark, sf_dir)
+    root, log = scratch(spark, "timelines"), log_of(spark, sf_dir)
     for i in range(3):
         pipeline.add_events(log.where(F.pmod(F.xxhash64("ord"), F.lit(3)) == i), root, i)
         pipeline.run(state.write_rooms(state.room_changes(pipeline.read_events(spark, root), lateness_ms=4 * PART_MS), root, f"{root}/checkpoint"))
@@ -96,7 +91,7 @@ FROM (SELECT *, coalesce(lead(t_ms) OVER (PARTITION BY room_id ORDER BY t_ms), 9
 WHERE t_ms <= as_of_ms GROUP BY ALL""", _POINTS))
 def occupancy_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occupied time as of three times over three windows, each by two look-ups in a table of prefix sums (of ten minutes)."""
-    log, path = log_of(spark, sf_dir), fresh(spark, "integrals")
+    log, path = log_of(spark, sf_dir), scratch(spark, "integrals")
     integrals.write_integrals(integrals.prefix_integrals(occupancy.timeline(log), 600_000), path)
     now = as_of(log)
     return integrals.occupied_ms(spark.read.parquet(path), [(now - before, w) for before in _BEFORE for w in _LOOKED], 600_000)
@@ -116,7 +111,7 @@ def segmented(log: DataFrame, path: str) -> None:
 @query("replayed_from_position", on_alarms("SELECT * FROM alarms"))
 def replayed_from_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alarms of what was read before a stored position, in the midst of a file, and of a replay from there on."""
-    path = fresh(spark, "segments")
+    path = scratch(spark, "segments")
     segmented(log_of(spark, sf_dir), path)
     rows = segments.log_lines(spark, path)
     middle = rows.where("file LIKE 'segment=00000002/%'").select(F.max(F.struct("file", "at")).alias("p")).first().p
@@ -129,7 +124,7 @@ def replayed_from_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("replay_summary", on_sensor(f"SELECT i AS part, (SELECT count(*) FROM sensor WHERE {part_sql()} >= i) AS events, (4 - i)::BIGINT AS other, (2 * (4 - i))::BIGINT AS skipped FROM range(4) t(i)"))
 def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a replay from the start of each part finds: events, other JSON, torn lines."""
-    path, out = fresh(spark, "segments"), None
+    path, out = scratch(spark, "segments"), None
     segmented(log_of(spark, sf_dir), path)
     for i in PARTS:
         row = segments.replayed(spark, path, segments.Position(f"segment={2 * i:08d}/"))[1].withColumn("part", F.lit(i).cast("long"))
@@ -144,7 +139,7 @@ def recovered_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crashed(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    root, path, log = fresh(spark, "snapshots"), fresh(spark, "segments"), log_of(spark, sf_dir)
+    root, path, log = scratch(spark, "snapshots"), scratch(spark, "segments"), log_of(spark, sf_dir)
     for i, part in parts(log):
         segments.write_segment(part, path, i)
         if i < 3:
@@ -180,7 +175,7 @@ delivered AS (SELECT event_id, sent_ms, received_ms FROM sent LEFT JOIN received
 
 
 def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = fresh(spark, "deliveries")
+    root = scratch(spark, "deliveries")
     falls = stage(events(spark, sf_dir).where("type = 'fall_warn'").withColumn("fall", F.concat(F.lit("fall_"), "device_id", F.lit("_"), F.col("t_ms").cast("string"))), "falls")
     sent = falls.groupBy(F.col("fall").alias("event_id")).agg(F.min("t_ms").alias("at_ms"))
     received = falls.where("cp = 0 AND event_id % 7 <> 0").groupBy(F.col("fall").alias("event_id")).agg(F.min("received_ms").alias("at_ms"))
@@ -213,7 +208,7 @@ def delivery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed(spark: SparkSession, sf_dir: str, name: str, query_of, mode: str) -> DataFrame:
     """What a stream over the log has written, batch after batch, when the log came in parts."""
-    root = fresh(spark, name)
+    root = scratch(spark, name)
     for i, part in parts(log_of(spark, sf_dir)):
         pipeline.add_events(part, root, i)
         rows = query_of(pipeline.read_events(spark, root))
@@ -262,7 +257,7 @@ SELECT batch_id, name, (sum(n) OVER (PARTITION BY name ORDER BY batch_id))::BIGI
     unnest([count(*) FILTER (reason IS NULL), count(*) FILTER (reason IS NOT NULL), coalesce(sum(received_ms - t_ms) FILTER (reason IS NULL), 0)]) AS n FROM checked GROUP BY 1)""", _CHECKED))
 def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of an ingest stream as they stood after each of its batches, as a listener saw them."""
-    root, raw = fresh(spark, "progress"), stage(sensors.raw_events(spark, sf_dir), "landed")
+    root, raw = scratch(spark, "progress"), stage(sensors.raw_events(spark, sf_dir), "landed")
     listener = progress.ProgressLog(spark, f"{root}/progress")
     spark.streams.addListener(listener)
     try:
@@ -282,7 +277,7 @@ def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("resumed_feed", on_alarms("SELECT 'all' AS subscriber, cursor, event_id FROM alarms UNION ALL SELECT 'late', cursor, event_id FROM alarms WHERE cursor > 25"))
 def resumed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two subscribers were given: one from the first alarm on, stopped and resumed as alarms come, one that joins later at a cursor."""
-    root = fresh(spark, "feed")
+    root = scratch(spark, "feed")
     for i, part in parts(log_of(spark, sf_dir)):
         pipeline.add_events(part, root, i)
         pipeline.run(pipeline.write_alarms(pipeline.alarm_changes(pipeline.read_events(spark, root)), root, f"{root}/checkpoint"))
@@ -298,7 +293,7 @@ def resumed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("committed_events", on_sensor(f"SELECT {part_sql()} AS batch_id, type, count(*) AS n FROM sensor WHERE {part_sql()} BETWEEN 1 AND 2 GROUP BY ALL"))
 def committed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What readers see of a log whose first batch was truncated and whose last one is in its place but not committed."""
-    root = fresh(spark, "commits")
+    root = scratch(spark, "commits")
     for i, part in parts(log_of(spark, sf_dir)):
         if i < max(PARTS):
             pipeline.add_events(part, root, i)

@@ -25,11 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/wardline/{name}-{uuid.uuid4().hex}"
+
+
+def _goes_with_driver(spark: SparkSession, path: str, make: bool) -> None:
+    """Have a folder deleted when the driver ends."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    if make:
+        store.mkdirs(own)
+    store.deleteOnExit(own)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for what the application needs while it runs."""
+    path = _path(spark, name)
+    _goes_with_driver(spark, path, make=True)
+    return path
+
+
 def stage(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. The table is deleted
+    when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wardline/{name}-{uuid.uuid4().hex}"
+    path = _path(spark, name)
     df.write.options(compression="zstd", **options).parquet(path)
+    _goes_with_driver(spark, path, make=False)
     return spark.read.schema(df.schema).parquet(path)
 
 
