@@ -61,15 +61,48 @@ def test_exact_dedup(spark, docs, nothing):
     assert exact_dedup.verdicts(nothing).count() == exact_dedup.exact_dedup(nothing).count() == 0
 
 
-def test_exact_dedup_shuffles_suspects_only(spark):
+@pytest.mark.parametrize(("filter_bytes", "turns"), [(exact_dedup.FILTER_BYTES, 0), (3 * common.FILTER_ROW_BYTES, 4)])
+def test_exact_dedup_shuffles_suspects_only(spark, monkeypatch, filter_bytes, turns):
+    """In one turn or several: few unique rows are suspected, and pass 2 shuffles no digest."""
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", filter_bytes)
+    plans = {}
+
+    def staged(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return common.stage(df, name)
+
+    monkeypatch.setattr(exact_dedup, "stage", staged)
     rows = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', CASE WHEN id < 6000 THEN 0 WHEN id < 8000 THEN id DIV 2 ELSE id END) AS text")
-    digests = exact_dedup.digests(rows)
-    maybe = exact_dedup.tested(digests).where("maybe").count()
-    assert 8000 <= maybe < 8000 + 3 * 12_000 / exact_dedup.CELLS_PER_ROW
+    tested = exact_dedup.tested(exact_dedup.digests(rows))
+    looked_up = [*plans.get("by_cell", []), *plans.get("turn", []), tested._jdf.queryExecution().executedPlan().toString()]
+    assert len(plans.get("turn", [])) == turns
+    assert any("BroadcastHashJoin" in p for p in looked_up) and not any("hashpartitioning" in p or "SortMergeJoin" in p for p in looked_up)
+    maybe = tested.where("maybe").count()
+    assert tested.count() == 20_000 and 8000 <= maybe < 8000 + 3 * 12_000 / exact_dedup.CELLS_PER_ROW
     sizes = {r.group_size: r["count"] for r in exact_dedup.verdicts(rows).groupBy("group_size").count().collect()}
     assert sizes == {6000: 6000, 2: 2000, 1: 12_000}
 
 
+@pytest.mark.parametrize(("filter_bytes", "least", "most"), [(common.FILTER_BYTES, 0, 600), (2 * common.FILTER_ROW_BYTES, 50_000, 100_000)])
+def test_bloom_filter_grows_with_its_keys(spark, monkeypatch, filter_bytes, least, most):
+    """No key is missed, few strangers are let through, and a filter at its limit lets through more but loses nothing."""
+    monkeypatch.setattr(common, "FILTER_BYTES", filter_bytes)
+    keys = common.stage(spark.range(100_000).selectExpr("id * 2 AS k", "CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS x"), "keys")
+    found = common.flagged(spark.range(200_000), F.xxhash64("id"), keys, F.xxhash64("k"))
+    assert found.columns == ["id", "__may"] and "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    let = found.where("__may").agg(F.count_if(F.col("id") % 2 == 0), F.count_if(F.col("id") % 2 == 1)).first()
+    assert let[0] == 100_000 and least <= let[1] <= most
+    assert common.flagged(spark.range(9), F.xxhash64("id"), keys.where("k < 0"), F.xxhash64("k")).where("__may").count() == 0
+
+
+def test_broadcasts_are_measured(spark):
+    """Few rows with wide strings, lists or structs don't fit; nulls and empty tables do."""
+    wide = spark.range(10).selectExpr("id", "transform(sequence(1, 900), i -> repeat('x', 50)) AS phrases", "named_struct('t', CAST(NULL AS string)) AS s")
+    assert not common.fits(wide, 500_000) and common.fits(wide, 700_000) and common.fits(wide.where("id < 0"), 0)
+    assert common.fits(spark.range(10).selectExpr("CAST(NULL AS array<string>) AS a", "CAST(NULL AS string) AS b"), 2000)
+    assert common.fits(spark.range(10), 720) and not common.fits(spark.range(10), 719)
+
+
 def test_beyond_broadcasts(spark, docs, monkeypatch):
     """With tables too large to broadcast the results are the same, and only texts that may have a partner shuffle."""
     before = {name: sorted(map(repr, f(docs).collect())) for name, f in BEYOND.items()}

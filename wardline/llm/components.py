@@ -19,7 +19,7 @@ def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
         linked = both.join(F.broadcast(least), "u")
     else:
         least = stage(least, "least")
-        linked = spread_join(both, least, ["u"], "edges", NODE_BYTES)  # the edges of hot nodes stay in place
+        linked = spread_join(both, least, ["u"], "edges")  # the edges of hot nodes stay in place
     if large:
         return linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))

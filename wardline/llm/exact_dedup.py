@@ -3,10 +3,11 @@
 Pass 1 reads the texts once and stages a narrow digest (doc_id, 64-bit hash, SHA-256). Each hash falls on one cell of a
 counting filter of CELLS_PER_ROW cells for each row of the table; counts are added up within tasks first, so what
 moves is at most one (cell, count) pair for each row and task, whatever the copies, and never a digest. Cells hit twice
-or more are kept as bits, 64 in a word. Pass 2 tests every digest with a look-up of its bit: a row whose cell was hit
+or more are kept as dense bits. Pass 2 tests every digest with a look-up of its bit: a row whose cell was hit
 once is certainly unique and passes from there as a group of one. Only the others, repeated rows and about one unique
-row in CELLS_PER_ROW, shuffle by SHA-256, which decides. The bits are broadcast up to FILTER_BYTES as measured, and
-joined on the word's number beyond.
+row in CELLS_PER_ROW, shuffle by SHA-256, which decides. No more than FILTER_BYTES of the bits are broadcast at a time, 134 million
+rows' worth: a larger table takes its cells in turns, each of which reads the digests of its own range (they are sorted by cell
+where they are) and meets its own bits, so that at no size does a digest of a unique row shuffle.
 
 A group of copies, however large, is added up within tasks, and its verdict goes to its rows by `spread_join`.
 
@@ -18,12 +19,14 @@ results. Extra columns are carried along by `exact_dedup` and ignored by `verdic
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.llm.common import SPACE, partnered, sized, spread_join, stage
+from wardline.llm.common import FILTER_BITS, FILTER_ROW_BYTES, SPACE, bit_at, bitmaps, partnered, spread_join, stage
 
-#: Cells of the filter for each row of the table; the most that is broadcast of its bits, and what a word of them takes.
-CELLS_PER_ROW, FILTER_BYTES, WORD_BYTES = 16, 32 << 20, 48
+#: Cells of the filter for each row of the table; the most that is broadcast of its bits in one turn.
+CELLS_PER_ROW, FILTER_BYTES = 16, 256 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -36,22 +39,34 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return stage(norm.select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")), "digests")
 
 
-def bit_of(cell: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(cell, F.lit(64)).cast("int"))
+def placed(rows: DataFrame, cells: int) -> DataFrame:
+    """rows with the cell of their hash, the row of the filter that has its bit, and the bit's position there."""
+    cell = rows.withColumn("cell", F.pmod("h", F.lit(cells)))
+    return cell.withColumn("row", F.floor(F.col("cell") / FILTER_BITS)).withColumn("at", F.pmod("cell", F.lit(FILTER_BITS)))
 
 
 def again(rows: DataFrame, cells: int) -> DataFrame:
-    """Pass 1: the words (number, bits) of the filter that have a cell hit twice or more, staged."""
-    counts = rows.groupBy(F.pmod("h", F.lit(cells)).alias("cell")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return stage(counts.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(bit_of(F.col("cell"))).alias("bits")), "bloom")
+    """Pass 1: the filter's staged rows (row, bits), with a bit for each cell hit twice or more."""
+    counts = placed(rows, cells).groupBy("row", "at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return bitmaps(counts, F.col("at"))
 
 
 def tested(rows: DataFrame) -> DataFrame:
-    """Pass 2: rows with `maybe`, false where the hash is certainly unique."""
-    cells = max(64, rows.count() * CELLS_PER_ROW)
-    probe = rows.withColumn("cell", F.pmod("h", F.lit(cells))).withColumn("word", F.shiftright("cell", 6))
-    hit = probe.join(sized(again(rows, cells), WORD_BYTES, FILTER_BYTES), "word", "left")
-    return hit.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(bit_of(F.col("cell"))) != 0, F.lit(False))).drop("word", "cell", "bits")
+    """Pass 2: staged rows with `maybe`, false where the hash is certainly unique."""
+    cells = max(1, rows.count() * CELLS_PER_ROW)
+    bits, at_once = again(rows, cells), max(1, FILTER_BYTES // FILTER_ROW_BYTES) * FILTER_BITS
+
+    def looked_up(some: DataFrame, own: DataFrame) -> DataFrame:
+        hit = some.join(F.broadcast(own), "row", "left")  # FILTER_BYTES at most
+        return hit.select(*rows.columns, bit_at(F.col("bits"), F.col("at")).alias("maybe"))
+
+    every = placed(rows, cells)
+    if cells <= at_once:
+        return looked_up(every, bits)
+    every = stage(every.sortWithinPartitions("cell"), "by_cell")
+    turn = lambda df, column, a, b: df.where((F.col(column) >= a) & (F.col(column) < b))
+    turns = [(a, a + at_once) for a in range(0, cells, at_once)]
+    return reduce(DataFrame.unionByName, [stage(looked_up(turn(every, "cell", a, b), turn(bits, "row", a // FILTER_BITS, b // FILTER_BITS)), "turn") for a, b in turns])
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,7 +90,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = docs.select(row, F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha"), F.col(id_col).alias("id"))
     marks = per_row.select(F.col("sha").alias("sha2"), F.col("doc_id").alias("id2"), "__kept", "__again")
     same = (F.col("sha") == F.col("sha2")) & F.col("id").eqNullSafe(F.col("id2"))
-    seen = partnered(keyed, marks, same, F.xxhash64("sha", "id"), F.xxhash64("sha2", "id2"), 128, "left").where(F.coalesce("__kept", F.lit(True)))
+    seen = partnered(keyed, marks, same, F.xxhash64("sha", "id"), F.xxhash64("sha2", "id2"), "left").where(F.coalesce("__kept", F.lit(True)))
     if per_row.where("__kept and __again").isEmpty():
         return seen.select("row.*")
     again = seen.where("__again").dropDuplicates(["sha", "id"])

@@ -64,7 +64,7 @@ def masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     said = labels.select(F.col("doc_id").alias("__id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic")).where("__id IS NOT NULL AND (good OR toxic)")
     said = stage(said.groupBy("__id").agg(F.max(F.coalesce("good", F.lit(False)).cast("int")).alias("good"), F.max(F.coalesce("toxic", F.lit(False)).cast("int")).alias("toxic")), "labelled")
     lost = failing.where("mask > 0")  # what fails nothing is never lost, so its labels don't matter
-    marked = partnered(lost, said, F.col("doc_id") == F.col("__id"), F.xxhash64("doc_id"), F.xxhash64("__id"), 64, "left")
+    marked = partnered(lost, said, F.col("doc_id") == F.col("__id"), F.xxhash64("doc_id"), F.xxhash64("__id"), "left")
     none = F.lit(None).cast("int")
     return marked.select("part", "mask", "n", "good", "toxic").unionByName(failing.where("mask = 0").select("part", "mask", "n", none.alias("good"), none.alias("toxic")))
 

@@ -76,11 +76,11 @@ def plan(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     sums = scored.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("through", F.sum("n").over(running))
-    ends = sums.join(sized(t, 128), F.col("source").eqNullSafe(F.col("s"))).where("through - n <= rest and rest < through")
+    ends = sums.join(sized(t), F.col("source").eqNullSafe(F.col("s"))).where("through - n <= rest and rest < through")
     ends = ends.select(F.col("source").alias("s2"), F.col("bucket").alias("end_bucket"), (F.col("through") - F.col("n")).alias("end_before"))
     per_source = t.join(ends, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2")
     per_source = stage(per_source, "per_source")
-    last = scored.join(sized(per_source, 160), F.col("source").eqNullSafe(F.col("s"))).where("bucket = end_bucket")
+    last = scored.join(sized(per_source), F.col("source").eqNullSafe(F.col("s"))).where("bucket = end_bucket")
     groups = last.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"), F.first("end_before").alias("end_before"))
     order = Window.partitionBy("source").orderBy("key", F.asc_nulls_last("doc_id"), "size")
     before = F.col("end_before") + F.sum(F.col("n") * F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n") * F.col("size")
@@ -95,9 +95,9 @@ def _scored(docs: DataFrame, weight: Column | None) -> DataFrame:
 
 def _decided(rows: DataFrame, per_source: DataFrame, edge: DataFrame) -> DataFrame:
     """rows (doc_id, source, size, key, bucket, ...) with epochs and extra: what is taken beyond complete epochs."""
-    out = rows.join(sized(per_source, 160), F.col("source").eqNullSafe(F.col("s")), "left")
+    out = rows.join(sized(per_source), F.col("source").eqNullSafe(F.col("s")), "left")
     same = (F.col("key") == F.col("k2")) & (F.col("size") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("source").eqNullSafe(F.col("s3"))
-    out = partnered(out, edge, same, F.xxhash64("key", "size", "doc_id", "source"), F.xxhash64("k2", "n2", "d2", "s3"), 160, "left")
+    out = partnered(out, edge, same, F.xxhash64("key", "size", "doc_id", "source"), F.xxhash64("k2", "n2", "d2", "s3"), "left")
     inside = F.col("end_bucket").isNotNull()
     extra = F.when(inside & (F.col("bucket") < F.col("end_bucket")), F.col("size")).when(inside & (F.col("bucket") == F.col("end_bucket")), F.coalesce("edge_extra", F.lit(0)))
     whole = F.col("rest") >= F.col("source_size")  # no range ends the budget: all is taken once more

@@ -221,7 +221,7 @@ def homes(rows: DataFrame, size: int, large: bool) -> DataFrame:
     k = F.ceil(F.col("members") / F.lit(size)).cast("long")
     own = F.pmod(F.xxhash64("cid"), k)
     blocks = F.when(F.array_contains("heads", F.col("cid")), F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array(own))
-    headed = rows.join(sized(heads, 96), "key", "left")
+    headed = rows.join(sized(heads), "key", "left")
     return headed.select("key", F.explode(blocks).alias("block"), "cid", F.col("cid").alias("label"), F.lit(0).alias("visits"))
 
 
@@ -232,7 +232,7 @@ def visits(rows: DataFrame, groups: DataFrame, size: int) -> DataFrame:
     counts = named.groupBy("key", "members", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy("key", "members").agg(F.max(F.struct("n", "label")).alias("most")).select("key", F.col("most.label").alias("main"), (F.col("members") - F.col("most.n")).alias("apart"))
     largest = stage(largest.where("apart > 0"), "largest")
-    both = named.join(sized(largest, 64), "key")
+    both = named.join(sized(largest), "key")
     k, kv = (F.ceil(F.col(c) / F.lit(size)).cast("long") for c in ("members", "apart"))
     steps = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     pair = lambda home, visiting: home * F.lit(1 << 31) + visiting
@@ -275,7 +275,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = stage(members.join(sizes, "root").select(F.col("root").alias("key"), "members", "cid"), "wanted")
     places = stage(wanted.join(classes.select("cid", "rep", "rep_th"), "cid").select("cid", "rep", "rep_th"), "places")
     same_text = (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-    texts = partnered(base, places, same_text, F.xxhash64("th", "doc_id"), F.xxhash64("rep_th", "rep"), 64)
+    texts = partnered(base, places, same_text, F.xxhash64("th", "doc_id"), F.xxhash64("rep_th", "rep"))
     sets = stage(texts.select("cid", "text").mapInArrow(_sets, "cid long, found binary"), "sets")
     exact = linked(wanted, sets, _exact, SET_BLOCK)
 
@@ -290,7 +290,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, th (hash of the text), n_shingles, component_id, kept."""
     rows, company = classes_and_components(docs, id_col, text_col)
-    named = partnered(rows, company.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2"), F.xxhash64("fp"), F.xxhash64("fp2"), 96, "left")
+    named = partnered(rows, company.withColumnRenamed("fp", "fp2"), F.col("fp") == F.col("fp2"), F.xxhash64("fp"), F.xxhash64("fp2"), "left")
     component = F.when(F.col("fp2").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -301,7 +301,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no column of docs can clash with ours
     keyed = docs.select(row, F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"))
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))
-    return partnered(keyed, gone, same, F.xxhash64("th", "id"), F.xxhash64("th2", "id2"), 48, "left_anti").select("row.*")
+    return partnered(keyed, gone, same, F.xxhash64("th", "id"), F.xxhash64("th2", "id2"), "left_anti").select("row.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

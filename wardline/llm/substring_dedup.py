@@ -166,10 +166,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(row, F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.shiftrightunsigned(F.xxhash64(text_col), 33).alias("part"))
 
 
-def _of_documents(base: DataFrame, side: DataFrame, row_bytes: int) -> DataFrame:
+def _of_documents(base: DataFrame, side: DataFrame) -> DataFrame:
     """base (id, part, text) with the columns of a staged side (sid, spart, ...); other texts stay where they are."""
     same = (F.col("id") == F.col("sid")) & (F.col("part") == F.col("spart"))
-    return partnered(base, side, same, F.xxhash64("id", "part"), F.xxhash64("sid", "spart"), row_bytes)
+    return partnered(base, side, same, F.xxhash64("id", "part"), F.xxhash64("sid", "spart"))
 
 
 KEY = ["g", "h1", "h2"]
@@ -181,7 +181,7 @@ def passages(base: DataFrame) -> DataFrame:
     recurring = anchors.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("copies")).where("least < most")
     recurring = stage(recurring.select("phrase", "copies"), "recurring")
     lists = spread_join(anchors, recurring, ["phrase"], "copies", few=True).groupBy(F.col("id").alias("sid"), F.col("part").alias("spart")).agg(F.collect_set("phrase").alias("phrases"))
-    texts = _of_documents(base, stage(lists, "lists"), 1024)
+    texts = _of_documents(base, stage(lists, "lists"))
     return stage(texts.select("id", "part", "text", "phrases").mapInArrow(_passages, PASSAGES), "passages")
 
 
@@ -197,7 +197,7 @@ def covered(base: DataFrame, classes: DataFrame) -> DataFrame:
     kinds = stage(number_rows(kinds, F.col("at.id"), name="kid"), "kinds")
     firsts = kinds.groupBy(F.col("at.id").alias("sid")).agg(F.min("kid").alias("first"))
     wanted = kinds.groupBy(F.col("at.id").alias("sid"), F.col("at.part").alias("spart")).agg(F.collect_list(F.struct("at.start", "at.n", "kid", "role")).alias("passages"))
-    texts = _of_documents(base, stage(wanted, "wanted"), 1024)
+    texts = _of_documents(base, stage(wanted, "wanted"))
     windows = stage(texts.select("text", "passages").mapInArrow(_windows, WINDOWS), "windows")
     makers = windows.where("role & 2 > 0").groupBy("w", "c").agg(F.shiftright(F.min("place"), PLACE_BITS).alias("least"), F.count(F.lit(1)).cast("int").alias("copies"))
     met = spread_join(windows.where("role & 1 > 0"), stage(makers, "makers"), ["w", "c"], "copies")
@@ -226,7 +226,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     same = (F.col("id") == F.col("rid")) & (F.col("part") == F.col("rpart"))
-    return partnered(_keyed(docs, id_col, text_col), repeats(docs, id_col, text_col), same, F.xxhash64("id", "part"), F.xxhash64("rid", "rpart"), 128, "left")
+    return partnered(_keyed(docs, id_col, text_col), repeats(docs, id_col, text_col), same, F.xxhash64("id", "part"), F.xxhash64("rid", "rpart"), "left")
 
 
 def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
