@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 
+#: Least seconds between two collections of the driver's garbage, and when the last one was.
+SWEEP_S, _swept = 5.0, [0.0]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
@@ -45,13 +51,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, unless it has just done so. Spark drops the shuffle files and broadcasts of what is
+    finished, on all machines, when the driver finds them unreachable; a driver that runs many small jobs would fill its heap, and
+    the executors' disks, before it looks."""
+    if time.monotonic() - _swept[0] >= SWEEP_S:
+        gc.collect()  # what Python holds in cycles the JVM can't drop
+        spark._jvm.java.lang.System.gc()
+        _swept[0] = time.monotonic()
+
+
 def stage(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. The table is deleted
-    when the driver ends."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and lets go of the
+    shuffles behind it (`sweep`). The table is deleted when the driver ends."""
     spark = df.sparkSession
     path = _path(spark, name)
     df.write.options(compression="zstd", **options).parquet(path)
     _goes_with_driver(spark, path, make=False)
+    sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
