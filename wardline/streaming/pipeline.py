@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from wardline.config import DEFAULT, Config
@@ -66,12 +65,14 @@ def reject_log(spark: SparkSession, root: str) -> DataFrame:
 
 ALARM_STATE = "ord long, t0 long, room_id string, ts_ms long, confidence double, dups int, q0 long, q1 long"
 ALARM_CHANGE = f"device_id string, kind string, change_ord long, {ALARM_STATE}"
+CHANGE = Row(*[x.split()[0] for x in ALARM_CHANGE.split(", ")])
 
 
 class FallDedup(StatefulProcessor):
     """Alarms of one device that are still open, in order of creation; warnings are folded in order of arrival.
 
-    Alarms at the head of the list that no accepted warning can reach any more are forgotten.
+    Alarms at the head of the list that no accepted warning can reach any more are forgotten. A device has few warnings in a
+    batch, so they come as plain rows: a data frame for each device would take longer than the fold.
     """
 
     def __init__(self, window_ms: int, slack: int | None, past_limit_ms: int) -> None:
@@ -80,32 +81,35 @@ class FallDedup(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getListState("open", ALARM_STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        yield from self.folded(key[0], rows)[2]
+
+    def folded(self, device: str, rows: Iterator[Row]) -> tuple[int | None, int | None, list[Row]]:
+        """Times of the oldest open alarm before and after the warnings (None: there is none), and the changes."""
         alarms = [list(a) for a in self.open.get()]
+        before = alarms[0][3] if alarms else None
         out, newest = [], 0
-        for r in pd.concat(list(rows)).sort_values("ord").itertuples():
-            q = None if pd.isna(r.seq) else int(r.seq)
-            conf = None if pd.isna(r.confidence) else float(r.confidence)
-            newest = max(newest, int(r.received_ms))
-            found = next((a for a in alarms if self.touches(a, int(r.t_ms), q)), None)
+        for r in sorted(rows, key=lambda r: r.ord):
+            newest = max(newest, r.received_ms)
+            found = next((a for a in alarms if self.touches(a, r.t_ms, r.seq)), None)
             if found is None:
-                found = [int(r.ord), int(r.t_ms), r.room_id, int(r.t_ms), conf, 0, q, q]
+                found = [r.ord, r.t_ms, r.room_id, r.t_ms, r.confidence, 0, r.seq, r.seq]
                 alarms.append(found)
-                out.append((key[0], "created", int(r.ord), *found))
+                out.append(CHANGE(device, "created", r.ord, *found))
                 continue
-            found[3] = min(found[3], int(r.t_ms))
-            found[4] = max((x for x in (found[4], conf) if x is not None), default=None)
+            found[3] = min(found[3], r.t_ms)
+            found[4] = max((x for x in (found[4], r.confidence) if x is not None), default=None)
             found[5] += 1
-            found[6] = min((x for x in (found[6], q) if x is not None), default=None)
-            found[7] = max((x for x in (found[7], q) if x is not None), default=None)
-            out.append((key[0], "amended", int(r.ord), *found))
+            found[6] = min((x for x in (found[6], r.seq) if x is not None), default=None)
+            found[7] = max((x for x in (found[7], r.seq) if x is not None), default=None)
+            out.append(CHANGE(device, "amended", r.ord, *found))
         cutoff = newest - self.past_limit_ms - self.window_ms
-        while alarms and alarms[0][3] < cutoff:
-            alarms.pop(0)
-        self.open.put([tuple(a) for a in alarms]) if alarms else self.open.clear()
-        columns = [x.split()[0] for x in ALARM_CHANGE.split(", ")]
-        frame = pd.DataFrame(out, columns=columns)
-        yield frame.astype({"q0": "Int64", "q1": "Int64"})
+        first = next((i for i, a in enumerate(alarms) if a[3] >= cutoff), len(alarms))
+        self.hold([tuple(a) for a in alarms[first:]])
+        return before, alarms[first][3] if first < len(alarms) else None, out
+
+    def hold(self, alarms: list[tuple]) -> None:
+        self.open.put(alarms) if alarms else self.open.clear()
 
     def touches(self, a: list, t: int, q: int | None) -> bool:
         if abs(t - a[3]) > self.window_ms:
@@ -119,7 +123,7 @@ class FallDedup(StatefulProcessor):
 def alarm_changes(events: DataFrame, config: Config = DEFAULT, slack: int | None = 2) -> DataFrame:
     """A stream of created and amended alarms; needs the RocksDB state store."""
     falls = events.where("type = 'fall_warn'").select("device_id", "room_id", "ord", "received_ms", "t_ms", "seq", "confidence")
-    return falls.groupBy("device_id").transformWithStateInPandas(
+    return falls.groupBy("device_id").transformWithState(
         FallDedup(config.dedup_window_ms, slack, config.past_limit_ms), outputStructType=ALARM_CHANGE, outputMode="Update", timeMode="None"
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from wardline.config import DEFAULT, Config
@@ -25,35 +25,40 @@ def arrived(events: DataFrame, lateness_ms: int = 60_000) -> DataFrame:
 
 
 class ExpiringFallDedup(FallDedup):
-    """The fold of fall warnings; each device's timer stands at the moment at which its oldest open alarm is out of reach."""
+    """The fold of fall warnings; each device's one timer stands at the moment at which its oldest open alarm is out of reach."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        yield from super().handleInputRows(key, rows, timerValues)
-        self.rearm([a[3] for a in self.open.get()])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before, after, out = self.folded(key[0], rows)
+        if after != before:
+            if before is not None:
+                self.handle.deleteTimer(self.due(before))
+            self.arm(after)
+        yield from out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         alarms = list(self.open.get())
         cutoff = timerValues.getCurrentWatermarkInMs() - self.past_limit_ms - self.window_ms
         first = next((i for i, a in enumerate(alarms) if a[3] >= cutoff), len(alarms))  # a younger one keeps all after it
-        self.open.put(alarms[first:]) if first < len(alarms) else self.open.clear()
-        self.rearm([a[3] for a in alarms[first:]])
-        yield pd.DataFrame({c.split()[0]: pd.Series(dtype="object") for c in ALARM_CHANGE.split(", ")})
+        self.hold([tuple(a) for a in alarms[first:]])
+        self.arm(alarms[first][3] if first < len(alarms) else None)  # Spark drops the one that expired
+        yield from ()
 
-    def rearm(self, times: list[int]) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if times:
-            self.handle.registerTimer(times[0] + self.past_limit_ms + self.window_ms + 1)
+    def due(self, time_ms: int) -> int:
+        return time_ms + self.past_limit_ms + self.window_ms + 1
+
+    def arm(self, time_ms: int | None) -> None:
+        if time_ms is not None:
+            self.handle.registerTimer(self.due(time_ms))
 
 
 def expiring_alarm_changes(events: DataFrame, config: Config = DEFAULT, slack: int | None = 2, lateness_ms: int = 60_000) -> DataFrame:
     """As pipeline.alarm_changes, with timers."""
     falls = arrived(events.where("type = 'fall_warn'"), lateness_ms).select("arrival", "device_id", "room_id", "ord", "received_ms", "t_ms", "seq", "confidence")
-    return falls.groupBy("device_id").transformWithStateInPandas(
+    return falls.groupBy("device_id").transformWithState(
         ExpiringFallDedup(config.dedup_window_ms, slack, config.past_limit_ms), outputStructType=ALARM_CHANGE, outputMode="Update", timeMode="EventTime"
     )
 
