@@ -1,8 +1,9 @@
 """What a key of a stream and a line of the log may cost."""
 
-from pyspark.sql import Row
+from pyspark.sql import Row, functions as F
 
 from helpers import NOW
+from wardline.sources import segments
 from wardline.streaming import state
 
 
@@ -47,3 +48,10 @@ def test_a_timer_moves_with_the_oldest_alarm_only():
     assert [r.kind for r in fold.handleInputRows(("d",), iter([warning(2, 5100, 10)]), None)] == ["amended"] and len(held.calls) == 1
     list(fold.handleInputRows(("d",), iter([warning(3, -100, 1)]), None))
     assert held.calls[1:] == [("drop", NOW + 61_001), ("set", NOW + 60_901)]
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"device_id":"d","type":"x","t_ms":1}\n')
+    plan = segments.events_of(segments.log_lines(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("parseJson") == 1, plan
+    assert segments.events_of(segments.log_lines(spark, str(tmp_path))).select(F.col("device_id")).first()[0] == "d"

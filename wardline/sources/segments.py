@@ -8,12 +8,14 @@ written waits for its end; once a later file exists it counts as torn.
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import compute as pc, fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -22,8 +24,8 @@ from wardline.schemas import EVENTS
 
 FORMAT = "sensor_log"
 LINES = "file string, at long, size long, line string"
-#: Bytes of a file for one task, bytes read at once, lines in a batch.
-RANGE_BYTES, READ_BYTES, BATCH_LINES = 16 << 20, 1 << 20, 4096
+#: Bytes of a file for one task, bytes read at once; the lines that end in these are one batch.
+RANGE_BYTES, READ_BYTES = 16 << 20, 1 << 20
 
 
 @dataclass(frozen=True, order=True)
@@ -83,8 +85,8 @@ def ranges(files: list[tuple[str, int]], start: Position, stop: Position | None,
     return out
 
 
-def lines(path: str, part: Range) -> Iterator[tuple[int, bytes]]:
-    """(place, bytes with the line end) of each line that begins in the range."""
+def blocks(path: str, part: Range) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of runs of whole lines that begin in the range; the last line of a file may lack its end."""
     store, root = fs.FileSystem.from_uri(path)
     with store.open_input_file(f"{root}/{part.file}") as f:
         at, skip = part.start, False
@@ -92,43 +94,64 @@ def lines(path: str, part: Range) -> Iterator[tuple[int, bytes]]:
             f.seek(at - 1)
             skip = f.read(1) != b"\n"
         f.seek(at)
-        rest = b""
+        held: list[bytes] = []  # a line that has not ended, from `at` on
+        end = at
         while at < part.stop:
             data = f.read(READ_BYTES)
             if not data:
-                if rest and not skip:
-                    yield at, rest
+                if held and not skip:
+                    yield at, b"".join(held)
                 return
-            *whole, rest = (rest + data).split(b"\n")
-            for line in whole:
-                if not skip and at < part.stop:
-                    yield at, line + b"\n"
-                skip = False
-                at += len(line) + 1
+            # no further than the end of the last line that begins in the range: the first line end at stop - 1 or behind it
+            last = data.find(b"\n", max(0, part.stop - 1 - end)) if end + len(data) >= part.stop else -1
+            cut = (last if last >= 0 else data.rfind(b"\n")) + 1
+            end += len(data)
+            if not cut:
+                held.append(data)
+                continue
+            whole, held = b"".join([*held, data[:cut]]), [data[cut:]]
+            first = whole.index(b"\n") + 1 if skip else 0
+            skip = False
+            if first < len(whole) and at + first < part.stop:
+                yield at + first, whole[first:]
+            at += len(whole)
+
+
+def lines(path: str, part: Range) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes with the line end) of each line that begins in the range."""
+    for at, block in blocks(path, part):
+        for line in io.BytesIO(block):
+            yield at, line
+            at += len(line)
+
+
+def line_batch(file: str, at: int, block: bytes) -> pa.RecordBatch:
+    """The lines of a block without their ends, cut by numpy; null where a line is no UTF-8."""
+    data = np.frombuffer(block, np.uint8)
+    ends = np.flatnonzero(data == 10) + 1
+    if not len(ends) or ends[-1] < len(data):
+        ends = np.append(ends, len(data))
+    starts = np.append(0, ends[:-1])
+    raw = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(block)])
+    try:
+        text = pc.utf8_rtrim(raw.cast(pa.string()), "\r\n")
+    except pa.ArrowInvalid:
+        text = pa.array([_decoded(x) for x in raw.to_pylist()], pa.string())
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(file), len(ends)), pa.array(at + starts), pa.array(ends - starts), text], ["file", "at", "size", "line"])
+
+
+def _decoded(line: bytes) -> str | None:
+    try:
+        return line.decode().rstrip("\r\n")
+    except UnicodeDecodeError:
+        return None
 
 
 def read_range(path: str, part: Range | None) -> Iterator[pa.RecordBatch]:
     if part is None:  # what Spark asks for where there is nothing to read
         return
-    held: list[tuple[int, int, str | None]] = []
-    weight = 0
-
-    def batch() -> pa.RecordBatch:
-        at, size, line = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([part.file] * len(held)), pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array(line, pa.string())], ["file", "at", "size", "line"])
-
-    for at, data in lines(path, part):
-        try:
-            text = data.decode().rstrip("\r\n")
-        except UnicodeDecodeError:
-            text = None
-        held.append((at, len(data), text))
-        weight += len(data)
-        if len(held) >= BATCH_LINES or weight >= READ_BYTES:
-            yield batch()
-            held, weight = [], 0
-    if held:
-        yield batch()
+    for at, block in blocks(path, part):
+        yield line_batch(part.file, at, block)
 
 
 class LogReader(DataSourceReader):
@@ -207,10 +230,12 @@ def parsed(rows: DataFrame) -> DataFrame:
     Limits of acceptance are not applied again. An event has a device, a type and a time.
     """
     last_value_counts(rows.sparkSession)
-    d = rows.withColumn("e", F.from_json("line", EVENTS))
+    # one row of a generator for each line: a filter on what it gives is not moved before it, where it would parse the line again
+    once = F.struct(F.from_json("line", EVENTS).alias("e"), strict_json(F.col("line")).alias("strict"))
+    d = rows.withColumn("__once", F.explode(F.array(once))).select(*rows.columns, "__once.e", F.col("__once.strict").alias("__strict"))
     sound = F.col("e.device_id").isNotNull() & F.col("e.type").isNotNull() & F.col("e.t_ms").isNotNull()
-    kind = F.when(F.trim(F.coalesce("line", F.lit("x"))) == "", "blank").when(F.col("line").isNull() | ~strict_json(F.col("line")), "torn").when(F.coalesce(sound, F.lit(False)), "event").otherwise("other")
-    return d.withColumn("kind", kind)
+    kind = F.when(F.trim(F.coalesce("line", F.lit("x"))) == "", "blank").when(F.col("line").isNull() | ~F.col("__strict"), "torn").when(F.coalesce(sound, F.lit(False)), "event").otherwise("other")
+    return d.withColumn("kind", kind).drop("__strict")
 
 
 def events_of(rows: DataFrame) -> DataFrame:
