@@ -23,3 +23,14 @@ def test_staging_lets_go_of_shuffles(spark, monkeypatch):
     while shuffle_files(spark) - before and time.time() < end:
         time.sleep(0.2)
     assert not shuffle_files(spark) - before and out.count() == 7
+
+
+def test_tables_go_with_the_block_they_are_staged_in(spark):
+    there = lambda df: Path(df.inputFiles()[0].removeprefix("file://")).exists()
+    with staging.passing(spark):
+        with staging.passing(spark):
+            inner, outer = staging.stage(spark.range(3), "inner"), staging.stage(spark.range(4), "outer", lasts=True)
+            assert there(inner) and there(outer)
+        assert not there(inner) and outer.count() == 4
+        kept = staging.stage(spark.range(5), "kept", lasts=True)
+    assert not there(outer) and kept.count() == 5

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
-from wardline.sources.staging import number_rows, shared_dir, stage
+from wardline.sources.staging import number_rows, passing, shared_dir, stage
 
-__all__ = ["SPACE", "WORD", "bit_at", "bitmaps", "free_name", "number_rows", "partnered", "prefix_sums", "shared_dir", "sized", "spread_join", "stage", "text_batches"]
+__all__ = ["SPACE", "WORD", "bit_at", "bitmaps", "free_name", "number_rows", "partnered", "passing", "prefix_sums", "shared_dir", "sized", "spread_join", "stage", "text_batches"]
 
 #: Words are maximal runs of anything but ASCII white space (fixed by the contract).
 WORD = r"[^\x20\x09-\x0D]+"

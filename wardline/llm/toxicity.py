@@ -29,14 +29,15 @@ them says so; without any usable label all scores are those of no evidence; an e
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardline.llm import words
-from wardline.llm.common import stage, text_batches
+from wardline.llm.common import passing, stage, text_batches
 
 ORDER, DISCOUNT, MIN_COUNT, MIN_PAIRS, TRAIN_DOCS = 6, 0.75, 4, 2, 12_000
 #: Bytes of a stem; times it must recur in a document to count as repeated there; toxic documents that must repeat it.
@@ -149,16 +150,17 @@ class Model:
 
     def __init__(self, strings: Table, expressions: Table, unknown: float, marks: dict, a: tuple = (0.0,) * 3, b: float = -2.0) -> None:
         self.strings, self.expressions, self.unknown, self.marks, self.a, self.b = strings, expressions, unknown, marks, a, b
+        self.sent: Broadcast | None = None
         self.cache: dict[bytes, float] = {}
         self.hits: dict[bytes, list[bytes]] = {}  # marks of cached words that have any
 
-    def shared(self) -> tuple:
-        return self.strings, self.expressions, self.unknown, self.marks, self.a, self.b
-
-    @classmethod
-    def of(cls, shared: tuple) -> Model:
-        """A worker's own model, with an empty cache."""
-        return cls(*shared)
+    def shared(self, spark: SparkSession) -> Callable[[], Model]:
+        """What gives a worker its own model, with an empty cache. The tables, which each machine writes to its disk, are sent
+        once, whether the curve is fitted yet or not."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast((self.strings, self.expressions, self.unknown, self.marks))
+        sent, a, b = self.sent, self.a, self.b
+        return lambda: Model(*sent.value, a, b)
 
     def of_words(self, found: list[bytes]) -> np.ndarray:
         """Log-ratio of each word: of each character by the longest known string that it ends."""
@@ -413,18 +415,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Counts from the sampled documents with remainders 1 to 3; the curve from those with remainder 4."""
     spark = docs.sparkSession
     text_batches(spark)
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    usable = stage(usable.withColumn("part", remainder(F.col("doc_id"))).where("part <> 0"), "usable")
-    share = int(min(1.0, TRAIN_DOCS / max(1, usable.count())) * (1 << 62))
-    chosen = usable.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < share)
-    sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "part").repartition(8), "sample")  # TRAIN_DOCS rows or so
-    counted = sample.where("part < 4").select("text", "toxic").coalesce(8)
-    found = string_counts(counted).toArrow()  # bounded by the sample
-    rows = {c: found.column(c).to_numpy() for c in found.column_names}
-    rows |= {c: rows[c].view(np.uint64) for c in ("h", "ctx", "low")}
-    expressions, unknown = expression_ratios(counted)
-    model = Model(Table(rows["h"], kneser_ney(rows) if len(rows["h"]) else np.empty(0, np.float32)), expressions, unknown, marks_of(counted))
-    held = _evidence(sample.where("part = 4").select(F.col("toxic").cast("long").alias("toxic"), "text"), model).toArrow()
+    with passing(spark):
+        usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        usable = stage(usable.withColumn("part", remainder(F.col("doc_id"))).where("part <> 0"), "usable")
+        share = int(min(1.0, TRAIN_DOCS / max(1, usable.count())) * (1 << 62))
+        chosen = usable.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < share)
+        sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "part").repartition(8), "sample")  # TRAIN_DOCS rows or so
+        counted = sample.where("part < 4").select("text", "toxic").coalesce(8)
+        with passing(spark):
+            found = string_counts(counted).toArrow()  # bounded by the sample
+        rows = {c: found.column(c).to_numpy() for c in found.column_names}
+        rows |= {c: rows[c].view(np.uint64) for c in ("h", "ctx", "low")}
+        with passing(spark):
+            expressions, unknown = expression_ratios(counted)
+        model = Model(Table(rows["h"], kneser_ney(rows) if len(rows["h"]) else np.empty(0, np.float32)), expressions, unknown, marks_of(counted))
+        held = _evidence(sample.where("part = 4").select(F.col("toxic").cast("long").alias("toxic"), "text"), model).toArrow()
     model.a, model.b = logistic(np.stack([held.column(c).to_numpy() for c in EVIDENCE], axis=1), held.column("toxic").to_numpy() > 0)
     return model
 
@@ -434,10 +439,10 @@ EVIDENCE = ("characters", "words", "marks")
 
 def _evidence(rows: DataFrame, model: Model) -> DataFrame:
     """(toxic, text) -> toxic and all kinds of evidence."""
-    shared = rows.sparkSession.sparkContext.broadcast(model.shared())
+    own_model = model.shared(rows.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.of(shared.value)
+        own = own_model()
         for batch in batches:
             found = own.evidence(words.texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in found.T)], ["toxic", *EVIDENCE])
@@ -450,10 +455,10 @@ SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 def _scored(rows: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, text) -> doc_id, held_out, score, predicted."""
-    shared = rows.sparkSession.sparkContext.broadcast(model.shared())
+    own_model = model.shared(rows.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.of(shared.value)
+        own = own_model()
         for batch in batches:
             score = own.scores(own.evidence(words.texts(batch.column(2))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -470,11 +475,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic; all columns kept, texts not moved between tasks."""
     model = train(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model.shared())
+    own_model = model.shared(docs.sparkSession)
     place = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.of(shared.value)
+        own = own_model()
         for batch in batches:
             yield batch.filter(pa.array(own.scores(own.evidence(words.texts(batch.column(place)))) < 0.5))
 

@@ -6,6 +6,9 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
@@ -13,6 +16,8 @@ from pyspark.sql.window import Window
 
 #: Least seconds between two collections of the driver's garbage, and when the last one was.
 SWEEP_S, _swept = 5.0, [0.0]
+#: Folders of the tables staged in each of the `passing` blocks that are open, the innermost last.
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,23 +56,42 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def sweep(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, unless it has just done so. Spark drops the shuffle files and broadcasts of what is
+def sweep(spark: SparkSession, now: bool = False) -> None:
+    """Have the driver collect its garbage, unless it has just done so (now: in any case). Spark drops the shuffle files and broadcasts of what is
     finished, on all machines, when the driver finds them unreachable; a driver that runs many small jobs would fill its heap, and
     the executors' disks, before it looks."""
-    if time.monotonic() - _swept[0] >= SWEEP_S:
+    if now or time.monotonic() - _swept[0] >= SWEEP_S:
         gc.collect()  # what Python holds in cycles the JVM can't drop
         spark._jvm.java.lang.System.gc()
         _swept[0] = time.monotonic()
 
 
-def stage(df: DataFrame, name: str, **options: object) -> DataFrame:
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables staged in this block are deleted at its end, so nothing that reads them may be left to be computed then."""
+    own: list[str] = []
+    token = _passing.set((*_passing.get(), own))
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        sweep(spark, now=bool(own))
+
+
+def stage(df: DataFrame, name: str, lasts: bool = False, **options: object) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and lets go of the
-    shuffles behind it (`sweep`). The table is deleted when the driver ends."""
+    shuffles behind it (`sweep`). The table is deleted when the driver ends, or before that with the `passing` block it is
+    staged in (lasts: with the one around that, if there is any)."""
     spark = df.sparkSession
     path = _path(spark, name)
     df.write.options(compression="zstd", **options).parquet(path)
     _goes_with_driver(spark, path, make=False)
+    blocks = _passing.get()[: -1 if lasts else None]
+    if blocks:
+        blocks[-1].append(path)
     sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
