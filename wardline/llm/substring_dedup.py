@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.llm import words
-from wardline.llm.common import number_rows, partnered, spread_join, stage, text_batches
+from wardline.llm.common import number_rows, partnered, passing, spread_join, stage, text_batches
 
 WINDOW, PHRASE = 50, 6
 #: Windows that a task holds before it passes them on.
@@ -177,12 +177,16 @@ KEY = ["g", "h1", "h2"]
 
 def passages(base: DataFrame) -> DataFrame:
     """Staged passages of the documents (id, part, text), as the automata locate them."""
-    anchors = stage(base.mapInArrow(_anchors, "id long, part long, phrase binary"), "anchors")
-    recurring = anchors.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("copies")).where("least < most")
-    recurring = stage(recurring.select("phrase", "copies"), "recurring")
-    lists = spread_join(anchors, recurring, ["phrase"], "copies", few=True).groupBy(F.col("id").alias("sid"), F.col("part").alias("spart")).agg(F.collect_set("phrase").alias("phrases"))
-    texts = _of_documents(base, stage(lists, "lists"))
-    return stage(texts.select("id", "part", "text", "phrases").mapInArrow(_passages, PASSAGES), "passages")
+    spark = base.sparkSession
+    with passing(spark):
+        with passing(spark):
+            anchors = stage(base.mapInArrow(_anchors, "id long, part long, phrase binary"), "anchors")
+            recurring = anchors.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("copies")).where("least < most")
+            recurring = stage(recurring.select("phrase", "copies"), "recurring")
+            lists = spread_join(anchors, recurring, ["phrase"], "copies", few=True).groupBy(F.col("id").alias("sid"), F.col("part").alias("spart")).agg(F.collect_set("phrase").alias("phrases"))
+            lists = stage(lists, "lists", lasts=True)
+        texts = _of_documents(base, lists)
+        return stage(texts.select("id", "part", "text", "phrases").mapInArrow(_passages, PASSAGES), "passages", lasts=True)
 
 
 def covered(base: DataFrame, classes: DataFrame) -> DataFrame:
@@ -197,11 +201,14 @@ def covered(base: DataFrame, classes: DataFrame) -> DataFrame:
     kinds = stage(number_rows(kinds, F.col("at.id"), name="kid"), "kinds")
     firsts = kinds.groupBy(F.col("at.id").alias("sid")).agg(F.min("kid").alias("first"))
     wanted = kinds.groupBy(F.col("at.id").alias("sid"), F.col("at.part").alias("spart")).agg(F.collect_list(F.struct("at.start", "at.n", "kid", "role")).alias("passages"))
-    texts = _of_documents(base, stage(wanted, "wanted"))
-    windows = stage(texts.select("text", "passages").mapInArrow(_windows, WINDOWS), "windows")
-    makers = windows.where("role & 2 > 0").groupBy("w", "c").agg(F.shiftright(F.min("place"), PLACE_BITS).alias("least"), F.count(F.lit(1)).cast("int").alias("copies"))
-    met = spread_join(windows.where("role & 1 > 0"), stage(makers, "makers"), ["w", "c"], "copies")
+    with passing(base.sparkSession):
+        texts = _of_documents(base, stage(wanted, "wanted"))
+        windows = stage(texts.select("text", "passages").mapInArrow(_windows, WINDOWS), "windows", lasts=True)
     kid = F.shiftright("place", PLACE_BITS)
+    least, most = F.min(F.when(F.expr("role & 2 > 0"), kid)), F.max(F.when(F.expr("role & 1 > 0"), kid))
+    # windows that no later passage has make nothing go, so they stay out of the join, and those without a maker don't move
+    makers = windows.groupBy("w", "c").agg(least.alias("least"), most.alias("most"), F.count_if(F.expr("role & 1 > 0")).cast("int").alias("copies")).where("least < most")
+    met = spread_join(windows.where("role & 1 > 0"), stage(makers.drop("most"), "makers"), ["w", "c"], "copies", few=True)
     later = met.where(F.col("least") < kid).select(kid.alias("kid"), "least", F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("offset"))
     found = later.groupBy("kid").agg(F.collect_set(F.struct("offset", "least")).alias("found"))
     named = found.join(kinds.select("kid", *KEY, F.col("at.id").alias("sid")), "kid").join(firsts, "sid")
@@ -212,16 +219,17 @@ def covered(base: DataFrame, classes: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Staged (rid, rpart, ranges) for each document that has words to remove."""
     text_batches(docs.sparkSession)
-    base = _keyed(docs, id_col, text_col).select("id", "part", "text")
-    found = passages(base)
-    classes = stage(found.groupBy(*KEY).agg(F.min(F.struct("id", "part", "start", "n")).alias("at"), F.count(F.lit(1)).alias("copies")), "classes")
-    known = spread_join(found, classes, KEY, "copies")
-    whole = known.where(F.col("id") > F.col("at.id")).select("id", "part", "start", "n")
-    first = known.where(F.col("id") == F.col("at.id")).join(covered(base, classes), KEY)
-    some = first.select("id", "part", F.explode(F.transform("offsets", lambda x: F.col("start") + x)).alias("start"), F.lit(1).alias("n"))
-    runs = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    gone = whole.unionByName(some).groupBy("id", "part").agg(F.collect_set(runs).alias("runs"))
-    return stage(gone.mapInArrow(_ranges, "rid long, rpart long, ranges binary"), "ranges")
+    with passing(docs.sparkSession):
+        base = _keyed(docs, id_col, text_col).select("id", "part", "text")
+        found = passages(base)
+        classes = stage(found.groupBy(*KEY).agg(F.min(F.struct("id", "part", "start", "n")).alias("at"), F.count(F.lit(1)).alias("copies")), "classes")
+        known = spread_join(found, classes, KEY, "copies")
+        whole = known.where(F.col("id") > F.col("at.id")).select("id", "part", "start", "n")
+        first = known.where(F.col("id") == F.col("at.id")).join(covered(base, classes), KEY)
+        some = first.select("id", "part", F.explode(F.transform("offsets", lambda x: F.col("start") + x)).alias("start"), F.lit(1).alias("n"))
+        runs = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+        gone = whole.unionByName(some).groupBy("id", "part").agg(F.collect_set(runs).alias("runs"))
+        return stage(gone.mapInArrow(_ranges, "rid long, rpart long, ranges binary"), "ranges", lasts=True)
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
