@@ -1,10 +1,13 @@
 """What a key of a stream and a line of the log may cost."""
 
+from pathlib import Path
+
 from pyspark.sql import Row, functions as F
 
 from helpers import NOW
+from wardline.plans import recovery
 from wardline.sources import segments
-from wardline.streaming import state
+from wardline.streaming import latency, state
 
 
 class Held:
@@ -55,3 +58,12 @@ def test_a_line_is_parsed_once(spark, tmp_path):
     plan = segments.events_of(segments.log_lines(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1 and plan.count("parseJson") == 1, plan
     assert segments.events_of(segments.log_lines(spark, str(tmp_path))).select(F.col("device_id")).first()[0] == "d"
+
+
+def test_a_join_of_streams_has_one_store_for_each_partition(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr(recovery, "scratch", lambda spark, name: f"file://{tmp_path}")
+    before = {k: spark.conf.get(k, None) for k in getattr(latency, "STORES", {})}
+    assert recovery.delivered(spark, sf).count() > 0
+    stores = {p.name for p in Path(tmp_path, "checkpoint/state/0/0").iterdir() if p.is_dir()} - {"_metadata"}
+    assert not any(name.startswith(("left-", "right-")) for name in stores), stores
+    assert before == {k: spark.conf.get(k, None) for k in before}

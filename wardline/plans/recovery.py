@@ -185,7 +185,8 @@ def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
             (rows.where(part_of("at_ms") == i) if i in PARTS else end).select("event_id", "at_ms").write.parquet(f"{root}/{name}/part={i}")
         read = {name: spark.readStream.schema("event_id string, at_ms long").parquet(f"{root}/{name}/part=*") for name in ("sent", "received")}
         joined = latency.deliveries(read["sent"], read["received"], WITHIN_MS)
-        pipeline.run(joined.writeStream.format("parquet").option("path", f"{root}/joined").outputMode("append").option("checkpointLocation", f"{root}/checkpoint"))
+        with latency.stores(spark):
+            pipeline.run(joined.writeStream.format("parquet").option("path", f"{root}/joined").outputMode("append").option("checkpointLocation", f"{root}/checkpoint"))
     return spark.read.schema("event_id string, sent_ms long, received_ms long").parquet(f"{root}/joined").where("event_id <> 'end'")
 
 

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.operators import metrics
 
+#: A partition of the join holds its state in one store, not in four, and a batch writes what it changed, not the whole state.
+STORES = {"spark.sql.streaming.join.stateFormatVersion": "3", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
+@contextmanager
+def stores(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started in this block have the settings of STORES; a checkpoint keeps the format it began with."""
+    before = {k: spark.conf.get(k, None) for k in STORES}
+    for k, v in STORES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
 def deliveries(sent: DataFrame, received: DataFrame, within_ms: int, lateness_ms: int = 60_000) -> DataFrame:
     """Streams (event_id, at_ms) -> event_id, sent_ms, received_ms.
