@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.llm import words
+from wardline.llm import placed_words as words
 from wardline.llm.common import number_rows, partnered, passing, spread_join, stage, text_batches
 
 WINDOW, PHRASE = 50, 6
@@ -44,37 +44,57 @@ def chosen(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, words.sliding_min(g, WINDOW - PHRASE + 1) if len(h) >= WINDOW else g[:0]
 
 
+def choices(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows of one text that choose the same phrase: number of the text, first and last (exclusive) window, where the phrase first
+    occurs in the first window, and its hash. Words h are those of all texts, of which each begins at its bound."""
+    g, least = chosen(h)
+    text = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
+    window = np.flatnonzero(text[: len(least)] == text[WINDOW - 1 :]) if len(least) else np.empty(0, np.int64)
+    if not len(window):
+        return tuple(np.empty(0, np.int64) for _ in range(4)) + (g[:0],)
+    value, own = least[window], text[window]
+    cut = np.flatnonzero((value[1:] != value[:-1]) | (own[1:] != own[:-1])) + 1
+    first, last = window[np.append(0, cut)], window[np.append(cut, len(window)) - 1] + 1
+    value = least[first]
+    place = first + (g[first[:, None] + np.arange(WINDOW - PHRASE + 1)] == value[:, None]).argmax(axis=1)
+    return text[first], first, last, place, value
+
+
+def phrases(own: words.Placed, place: np.ndarray) -> pa.Array:
+    """The phrases at these words, with one space between words."""
+    joined, spaces = own.joined()
+    begin = np.append(0, spaces + 1)[place]
+    size = spaces[place + PHRASE - 1] - begin
+    ends = np.append(0, np.cumsum(size))
+    letters = joined[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters)])
+
+
 def _anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        phrase, row = [], []
-        for i, text in enumerate(words.texts(batch.column(2))):
-            own = words.split(text)
-            g, least = chosen(words.hashes(own))
-            if len(least):
-                values, at = np.unique(g, return_index=True)
-                picked = at[np.isin(values, least)].tolist()
-                phrase += [b" ".join(own[p : p + PHRASE]) for p in picked]
-                row += [i] * len(picked)
-        at = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(phrase, pa.binary())], ["id", "part", "phrase"])
-
-
-def occurrences(automaton, own: list[bytes]) -> np.ndarray:
-    """Word numbers at which the automaton's phrases occur in a text."""
-    text = f" {b' '.join(own).decode('utf-8', 'surrogateescape')} "
-    ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-    if not len(ends):
-        return ends
-    spaces = np.cumsum([0, *(len(w.decode("utf-8", "surrogateescape")) + 1 for w in own)])  # of the space after each word
-    return np.unique(np.searchsorted(spaces, ends) - PHRASE)
+        for row, own in words.placed(batch.column(2)):
+            text, _, _, place, value = choices(own.hashes(), own.bounds)
+            order = np.lexsort((value, text))
+            text, place, value = text[order], place[order], value[order]
+            new = np.append(True, (text[1:] != text[:-1]) | (value[1:] != value[:-1])) if len(text) else np.empty(0, bool)
+            at = pa.array(text[new] + row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), phrases(own, place[new])], ["id", "part", "phrase"])
+
+
+def occurrences(automaton, own: words.Placed) -> np.ndarray:
+    """Numbers of the words at which the automaton's phrases occur, which may go on into the next text."""
+    joined, spaces = own.joined()
+    ends = np.fromiter((end for end, _ in automaton.iter(f" {joined.tobytes().decode('latin-1')}")), np.int64)
+    return np.unique(np.searchsorted(spaces + 1, ends) - PHRASE + 1)
 
 
 def compiled(phrases: Iterable[bytes]):
+    """An automaton for phrases as bytes, each of which stands for a character."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
     for p in phrases:
-        automaton.add_word(f" {p.decode('utf-8', 'surrogateescape')} ", 1)
+        automaton.add_word(f" {p.decode('latin-1')} ", 1)
     automaton.make_automaton()
     return automaton
 
@@ -95,19 +115,17 @@ def _passages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        automaton = compiled({p for x in batch.column(3).to_pylist() for p in x})
+        automaton = compiled(batch.column(3).flatten().unique().to_pylist())
         out: list[list[np.ndarray]] = [[] for _ in PASSAGES.split(", ")]
-        for doc_id, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), words.texts(batch.column(2)), strict=True):
-            own = words.split(text)
-            h = words.hashes(own)
-            g, least = chosen(h)
-            if not len(least):
-                continue
-            cut = np.flatnonzero(np.diff(least)) + 1
-            first, last = np.append(0, cut), np.append(cut, len(least))
-            hit = np.isin(least[first], g[occurrences(automaton, own)])
-            first, last = first[hit], last[hit]
-            found = least[first], spans(h, first, last - 1 + WINDOW, 0), spans(h, first, last - 1 + WINDOW, 41), np.full(len(first), doc_id), np.full(len(first), part), first, last - first
+        ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for row, own in words.placed(batch.column(2)):
+            h = own.hashes()
+            text, first, last, place, value = choices(h, own.bounds)
+            hits = np.zeros(len(h), bool)
+            hits[occurrences(automaton, own)] = True
+            text, first, last, value = (x[hits[place]] for x in (text, first, last, value))
+            ends = last - 1 + WINDOW
+            found = value, spans(h, first, ends, 0), spans(h, first, ends, 41), ids[text + row], parts[text + row], first - own.bounds[text], last - first
             for x, y in zip(out, found, strict=True):
                 x.append(y)
         kinds = [np.int64] * 5 + [np.int32] * 2
@@ -125,13 +143,16 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in WINDOWS.split(", ")]
     for batch in batches:
         held: list[tuple[np.ndarray, ...]] = []
-        for text, passages in zip(words.texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            h = words.hashes(words.split(text))
-            start, n, kid, role = (np.array([p[x] for p in passages]) for x in ("start", "n", "kid", "role"))
-            ends = np.cumsum(n)
-            offset = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        passages = batch.column(1).flatten()
+        begin = np.append(0, np.cumsum(batch.column(1).value_lengths().to_numpy()))
+        for row, own in words.placed(batch.column(0)):
+            h, rows = own.hashes(), len(own.bounds) - 1
+            start, n, kid, role = (passages.field(x).to_numpy()[begin[row] : begin[row + rows]] for x in ("start", "n", "kid", "role"))
+            start = start + np.repeat(own.bounds[:-1], np.diff(begin[row : row + rows + 1]))
+            ends = np.cumsum(n, dtype=np.int64)
+            offset = np.arange(n.sum()) - np.repeat(ends - n, n)
             at = np.repeat(start, n) + offset
-            w, c = words.long_runs(h, WINDOW)[at].view(np.int64), (words.long_runs(h, WINDOW, 41)[at] >> np.uint64(33)).astype(np.int32)
+            w, c = spans(h, at, at + WINDOW, 0).view(np.int64), (spans(h, at, at + WINDOW, 41) >> np.uint64(33)).astype(np.int32)
             held.append((w, c, np.repeat(kid << PLACE_BITS, n) | offset, np.repeat(role, n).astype(np.int32)))
             if sum(len(x[0]) for x in held) > FLUSH:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
@@ -240,13 +261,16 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, gone, sha = [], [], []
-        for text, ranges in zip(words.texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            own = words.split(text)
-            keep = keep_mask(len(own), ranges)
-            n.append(len(own))
-            gone.append(int(len(own) - keep.sum()))
-            kept = own if ranges is None else [own[i] for i in np.flatnonzero(keep).tolist()]
-            sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+        ranges = batch.column(2).to_pylist()
+        for row, own in words.placed(batch.column(1)):
+            joined, spaces = own.joined()
+            begin = np.append(0, spaces + 1)
+            for i, (first, end) in enumerate(zip(own.bounds[:-1].tolist(), own.bounds[1:].tolist(), strict=True)):
+                cut = first + np.frombuffer(ranges[row + i] or b"", np.int32)
+                kept = begin[np.concatenate([[first], cut, [end]])].tolist()  # from and to in turns
+                n.append(end - first)
+                gone.append(int((cut[1::2] - cut[::2]).sum()))
+                sha.append(hashlib.sha256(b"".join(joined[x:y].tobytes() for x, y in zip(kept[::2], kept[1::2], strict=True))[:-1]).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 

@@ -98,20 +98,3 @@ def bounds(table: pa.Table, keys: int) -> np.ndarray:
         x = table.column(c).to_numpy()
         change[1:] |= x[1:] != x[:-1]
     return np.append(np.flatnonzero(change), n)
-
-
-def long_runs(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of k words, by doubling; as `runs`, but in log2(k) steps."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    step = M1 + np.uint64(2 * seed)
-    join = lambda a, b: ((a ^ (a >> np.uint64(31))) * step) + (b ^ (b >> np.uint64(27)))
-    power, have, out, done = h + np.uint64(seed), 1, None, 0
-    while True:
-        if k & have:
-            out = power if out is None else join(out[: len(power) - done if done else None], power[done:]) if len(power) > done else out[:0]
-            done += have
-        if done == k:
-            return mixed(out[:n])
-        power, have = join(power[:-have], power[have:]), 2 * have
